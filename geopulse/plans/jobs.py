@@ -36,7 +36,7 @@ from geopulse.operators.official import describe5, drop_outliers
 from geopulse.operators.regions import join_regions, metric_layers, region_metrics
 from geopulse.operators.sentiment import normalise_text, polarity
 from geopulse.operators.views import topic_views
-from geopulse.schemas import POST
+from geopulse.schemas import POST_COLUMNS
 from geopulse.sources.posts import extract_fields, read_post_lines
 from geopulse.sources.sinks import save_gazetteer, write_batched
 from geopulse.sources.tables import read_place_dict
@@ -95,7 +95,7 @@ def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="r
         posts = require(posts, ["sal"])
     posts = require(enrich(posts, enrichers), ["content"])
     posts = posts.withColumn("_id", F.concat_ws(":", id_partition("tid").cast("string"), "tid"))
-    return posts.select(*POST.names)
+    return posts.select(*POST_COLUMNS)
 
 
 def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode="regex"):
