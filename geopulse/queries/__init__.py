@@ -1,4 +1,10 @@
 """All registered queries."""
 
-from geopulse.queries import place_queries, text_queries, view_queries  # noqa: F401
+from geopulse.queries import (
+    official_queries,
+    place_queries,
+    store_queries,
+    text_queries,
+    view_queries,
+)  # noqa: F401
 from geopulse.queries.registry import ORACLES, QUERIES  # noqa: F401
