@@ -1,15 +1,19 @@
 """Language tagging with character-trigram profiles learned from a labelled table."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup, let
-from geopulse.functions.text import words
-from geopulse.plans.skew import lookup_join
 from pyspark.sql.window import Window
 
+from geopulse.functions.lookup import MAX_LOOKUP_ROWS
+from geopulse.functions.text import WORD, words
+from geopulse.plans.skew import fits, lookup_join
+from geopulse.session import checkpointed
+
 # Length of a language profile in the published n-gram method (fixed value).
 PROFILE_SIZE = 300
+BLANK = ord(" ")
 
 
 def word_trigrams(word):
@@ -44,48 +48,69 @@ def train_lang(df: DataFrame, text, lang, size=PROFILE_SIZE) -> DataFrame:
     )
 
 
+def _scorer(grams, weights, langs):
+    """Arrow-batched function from blank-separated lower-cased words to the best language.
+
+    ``grams`` and ``weights`` are the profile: packed trigrams in order, and one weight per language.
+    All texts of a batch are handled as one array of code points.
+    """
+    names = np.array([*langs, None], dtype=object)
+
+    def best(texts: pd.Series) -> pd.Series:
+        padded = [f" {text} " if text else "  " for text in texts]
+        ends = np.cumsum([len(text) for text in padded])
+        if not len(ends):
+            return pd.Series([], dtype=object)
+        points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        inside = points[1:-1] != BLANK
+        marked = np.where(points == BLANK, ord("_"), points).astype(np.int64)
+        packed = (marked[:-2] << 42) | (marked[1:-1] << 21) | marked[2:]
+        spot = np.flatnonzero(inside)
+        packed = packed[spot]
+        at = np.minimum(np.searchsorted(grams, packed), len(grams) - 1)
+        known = grams[at] == packed
+        # The middle of a trigram tells whose text it is.
+        owner = np.searchsorted(ends, spot[known] + 1, side="right")
+        totals = np.zeros((len(padded), len(langs)), dtype=np.int64)
+        np.add.at(totals, owner, weights[at[known]])
+        winner = totals.argmax(axis=1)
+        winner[totals.max(axis=1) == 0] = len(langs)
+        return pd.Series(names[winner], dtype=object)
+
+    return F.pandas_udf(best, "string")
+
+
 class LanguageDetector:
-    """Picks the language whose profile weighs most over the trigrams of a text."""
+    """Picks the language whose profile weighs most over the trigrams of a text.
+
+    Ties go to the first language by name; a text without known trigrams gets NULL.
+    """
 
     def __init__(self, profiles: DataFrame, max_rows=MAX_LOOKUP_ROWS):
-        self._profiles = profiles
-        langs = profiles.select("lang").distinct().orderBy("lang").limit(max_rows + 1).collect()
-        self._langs = [row.lang for row in langs]
-        self._lookup = None
-        if len(self._langs) <= 200:
-            wide = profiles.groupBy("gram").agg(
-                F.array(
-                    *[
-                        F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("weight"))), F.lit(0))
-                        for lang in self._langs
-                    ]
-                ).alias("weights")
-            )
-            self._lookup = Lookup.from_frame(wide, "gram", "weights", max_rows)
+        self._profiles = checkpointed(profiles.select("lang", "gram", "weight"))
+        self._score = None
+        if fits(self._profiles, max_rows):
+            self._score = self._compile(self._profiles.toPandas())
+
+    @staticmethod
+    def _compile(profile: pd.DataFrame):
+        if profile.empty:
+            return None
+        table = profile.pivot_table(
+            index="gram", columns="lang", values="weight", aggfunc="sum", fill_value=0
+        ).sort_index(axis=1)
+        packed = np.array(
+            [(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in table.index], dtype=np.int64
+        )
+        order = np.argsort(packed)
+        weights = table.to_numpy(dtype=np.int64)[order]
+        return _scorer(packed[order], weights, list(table.columns))
 
     def detect(self, df: DataFrame, text, row_key, out="lang") -> DataFrame:
-        """Language of each text, NULL when none of its trigrams is known."""
-        if self._lookup is None:
+        if self._score is None:
             return self._detect_by_join(df, text, row_key, out)
-        return df.withColumn(out, self._best(text))
-
-    def _best(self, text):
-        def winner(hits):
-            def total(i):
-                return F.aggregate(
-                    hits, F.lit(0).cast("bigint"), lambda acc, w: acc + F.get(w, F.lit(i))
-                )
-
-            ranked = F.array(
-                *[
-                    F.struct((-total(i)).alias("minus"), F.lit(lang).alias("lang"))
-                    for i, lang in enumerate(self._langs)
-                ]
-            )
-            return let(F.array_min(ranked), lambda b: F.when(b["minus"] < 0, b["lang"]))
-
-        grams = F.flatten(F.transform(words(text), word_trigrams))
-        return let(F.array_compact(F.transform(grams, self._lookup.get)), winner)
+        plain = F.regexp_replace(F.lower(F.col(text)), rf"[^{WORD}]+", " ")
+        return df.withColumn(out, self._score(plain))
 
     def _detect_by_join(self, df, text, row_key, out):
         grams = (

@@ -41,7 +41,7 @@ def extract_fields(lines: DataFrame, mode="regex") -> DataFrame:
         F.col("d.id").alias("tid"),
         F.col("d.doc.data.author_id").alias("author"),
         F.col("d.doc.data.created_at").alias("date"),
-        F.get(F.col("d.includes.places"), F.lit(0))["full_name"].alias("location"),
+        F.get(F.col("d.doc.includes.places"), F.lit(0))["full_name"].alias("location"),
         F.col("d.doc.data.text").alias("text"),
         F.col("d.value.tags").alias("tags"),
         F.col("d.value.tokens").alias("tokens"),

@@ -35,23 +35,31 @@ def to_documents(df: DataFrame, out="document") -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(out))
 
 
-def write_json_array(df: DataFrame, path, mode="overwrite"):
-    """One JSON array per file, written by each task as its rows stream through."""
+def framed(df: DataFrame, col, opening, between, closing) -> DataFrame:
+    """Text lines with marks around and between them, per task and as the rows stream through.
+
+    Each file written from the result stands on its own, e.g. as one JSON array.
+    """
 
-    def bracketed(batches):
+    def frame(batches):
         import pandas as pd
 
-        opened = False
+        started = False
         for batch in batches:
-            lines = batch["document"].tolist()
+            lines = batch[col].tolist()
             if lines:
-                marks = ["," if opened else "["] + [","] * (len(lines) - 1)
-                opened = True
+                marks = [between if started else opening] + [between] * (len(lines) - 1)
+                started = True
                 yield pd.DataFrame({"value": [mark + line for mark, line in zip(marks, lines)]})
-        if opened:
-            yield pd.DataFrame({"value": ["]"]})
+        if started:
+            yield pd.DataFrame({"value": [closing]})
+
+    return df.select(col).mapInPandas(frame, "value string")
 
-    to_documents(df).mapInPandas(bracketed, "value string").write.mode(mode).text(path)
+
+def write_json_array(df: DataFrame, path, mode="overwrite"):
+    """One JSON array per file."""
+    framed(to_documents(df), "document", "[", ",", "]").write.mode(mode).text(path)
 
 
 def materialise(df: DataFrame, path, force=False) -> DataFrame:

@@ -49,8 +49,11 @@ def read_regions(spark: SparkSession, path, code, name, state, geometry=None, fo
 
 
 def read_view(spark: SparkSession, path) -> DataFrame:
-    """Rows ``{"key": [...], "value": {...}}``, as JSON lines or arrays."""
-    return spark.read.schema(VIEW_ROW).json(path)
+    """Rows ``{"key": [...], "value": {...}}`` from files that hold a JSON array, or one row, each.
+
+    A view has one row per region, so a file is small; the files are read in parallel.
+    """
+    return spark.read.schema(VIEW_ROW).option("multiLine", True).json(path)
 
 
 def flatten_view(df: DataFrame) -> DataFrame:
