@@ -14,6 +14,7 @@ from geopulse.session import checkpointed
 # Length of a language profile in the published n-gram method (fixed value).
 PROFILE_SIZE = 300
 BLANK = ord(" ")
+CHUNK = 50_000
 
 
 def word_trigrams(word):
@@ -52,30 +53,41 @@ def _scorer(grams, weights, langs):
     """Arrow-batched function from blank-separated lower-cased words to the best language.
 
     ``grams`` and ``weights`` are the profile: packed trigrams in order, and one weight per language.
-    All texts of a batch are handled as one array of code points.
+    Many texts at a time are handled as one array of code points.
     """
     names = np.array([*langs, None], dtype=object)
 
-    def best(texts: pd.Series) -> pd.Series:
-        padded = [f" {text} " if text else "  " for text in texts]
+    # An unknown trigram weighs nothing.
+    weights = np.vstack([weights, np.zeros((1, len(langs)), dtype=np.int64)])
+
+    def best_of(padded):
         ends = np.cumsum([len(text) for text in padded])
-        if not len(ends):
-            return pd.Series([], dtype=object)
         points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        inside = points[1:-1] != BLANK
+        # The middle of a trigram tells whose text it is; blanks have no middle.
+        middle = np.flatnonzero(points[1:-1] != BLANK) + 1
         marked = np.where(points == BLANK, ord("_"), points).astype(np.int64)
-        packed = (marked[:-2] << 42) | (marked[1:-1] << 21) | marked[2:]
-        spot = np.flatnonzero(inside)
-        packed = packed[spot]
+        packed = (marked[middle - 1] << 42) | (marked[middle] << 21) | marked[middle + 1]
         at = np.minimum(np.searchsorted(grams, packed), len(grams) - 1)
-        known = grams[at] == packed
-        # The middle of a trigram tells whose text it is.
-        owner = np.searchsorted(ends, spot[known] + 1, side="right")
-        totals = np.zeros((len(padded), len(langs)), dtype=np.int64)
-        np.add.at(totals, owner, weights[at[known]])
+        at[grams[at] != packed] = len(grams)
+        until = np.searchsorted(middle, ends)
+        upto = np.cumsum(np.vstack([np.zeros((1, len(langs)), dtype=np.int64), weights[at]]), axis=0)
+        totals = np.diff(upto[np.concatenate([[0], until])], axis=0)
         winner = totals.argmax(axis=1)
         winner[totals.max(axis=1) == 0] = len(langs)
-        return pd.Series(names[winner], dtype=object)
+        return names[winner]
+
+    def best(texts: pd.Series) -> pd.Series:
+        found, padded, size = [], [], 0
+        for text in texts:
+            padded.append(f" {text} " if text else "  ")
+            size += len(padded[-1])
+            # Arrays of this size stay in the processor cache.
+            if size > CHUNK:
+                found.append(best_of(padded))
+                padded, size = [], 0
+        if padded:
+            found.append(best_of(padded))
+        return pd.Series(np.concatenate(found) if found else [], dtype=object)
 
     return F.pandas_udf(best, "string")
 

@@ -18,7 +18,10 @@ ALPHA = 15.0
 UNIT = 100_000_000
 # Fixed values of the rules: booster strength, its fade over distance, negation factor.
 BOOST_MICRO = [293_000, 278_350, 263_700]
-NEGATION_PERCENT = -74
+# Negation factor -0.74 to the power 0..3, as integers over NEGATION_SCALE.
+NEGATION_SCALE = 1_000_000
+NEGATION_FACTORS = [1_000_000, -740_000, 547_600, -405_224]
+NEGATES = 2
 NEGATORS = ["not", "n't", "no", "never", "none", "nor", "neither", "nothing", "without", "cannot"]
 BOOSTERS = {
     "very": 1, "really": 1, "extremely": 1, "so": 1, "totally": 1, "most": 1,
@@ -73,7 +76,7 @@ def polarity(df, text, lexicon, row_key, out="compound", rules=False, max_rows=M
     if table is None:
         return _polarity_by_join(df, lower, text, lexicon, row_key, out, rules)
     if rules:
-        total = _rule_total(lower, table)
+        total = _rule_total(F.transform(lower, lambda t: let(table.get(t), lambda v: _mark(t, v))))
     else:
         tenths = F.aggregate(
             lower,
@@ -84,40 +87,37 @@ def polarity(df, text, lexicon, row_key, out="compound", rules=False, max_rows=M
     return df.withColumn(out, let(total, compound))
 
 
-def _rule_valence(valence, known, previous):
-    """Rules for one token. ``known``: lexicon value or NULL of the k-th token ahead."""
-    boosts = F.lit(0).cast("bigint")
-    boost_of = F.create_map(*[F.lit(x) for item in BOOSTERS.items() for x in item])
-    value = valence.cast("bigint") * F.lit(UNIT // 10)
-    sign = F.signum(valence.cast("double")).cast("bigint")
-    for distance, strength in enumerate(BOOST_MICRO):
-        word = previous(distance + 1)
-        applies = word.isNotNull() & known(distance + 1).isNull()
-        step = F.coalesce(F.element_at(boost_of, word), F.lit(0)).cast("bigint")
-        boosts = boosts + F.when(applies, step * sign * F.lit(strength * 100)).otherwise(0)
-    value = value + boosts
-    for distance in range(len(BOOST_MICRO)):
-        word = previous(distance + 1)
-        negates = F.coalesce(word.isin(NEGATORS) & known(distance + 1).isNull(), F.lit(False))
-        value = F.when(negates, F.call_function("div", value * NEGATION_PERCENT, F.lit(100))).otherwise(value)
-    return value
-
-
-def _rule_total(tokens, table):
-    def total(words):
-        def one(word, i):
-            def previous(k):
-                return F.when(i >= k, F.get(words, i - k))
-
-            valence = table.get(word)
-            adjusted = _rule_valence(valence, lambda k: table.get(previous(k)), previous)
-            return F.when(valence.isNull(), F.lit(0).cast("bigint")).otherwise(adjusted)
+def _mark(token, valence):
+    """What the rules need to know of a token: its valence, or else its part in the rules."""
+    parts = Lookup.of({**BOOSTERS, **dict.fromkeys(NEGATORS, NEGATES)}, "int")
+    rule = F.when(valence.isNull(), parts.get(token))
+    return F.struct(valence.cast("bigint").alias("v"), rule.alias("rule"))
+
+
+def _rule_total(marks):
+    """Sum of the adjusted valences of a text, given the marks of its tokens in order."""
+
+    def total(seen):
+        def one(mark, i):
+            v = mark["v"]
+            value = v * (UNIT // 10)
+            ahead = [
+                F.when(i >= k, F.get(seen, i - k)["rule"]) for k in range(1, len(BOOST_MICRO) + 1)
+            ]
+            for rule, micro in zip(ahead, BOOST_MICRO):
+                boost = rule * F.when(v > 0, micro * 100).when(v < 0, -micro * 100).otherwise(0)
+                value = value + F.when(F.abs(rule) == 1, boost).otherwise(0)
+            negations = sum((F.when(rule == NEGATES, 1).otherwise(0) for rule in ahead), F.lit(0))
+            # Three tokens ahead at most, so the factors are few and known.
+            factor = F.element_at(F.array(*[F.lit(f) for f in NEGATION_FACTORS]), negations + 1)
+            value = F.call_function("div", value * factor, F.lit(NEGATION_SCALE))
+            return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(value)
 
         return F.aggregate(
-            F.transform(words, one), F.lit(0).cast("bigint"), lambda acc, v: acc + v
+            F.transform(seen, one), F.lit(0).cast("bigint"), lambda acc, value: acc + value
         )
 
-    return let(tokens, total).cast("double") / UNIT
+    return let(marks, total).cast("double") / UNIT
 
 
 def _polarity_by_join(df, tokens, text, lexicon, row_key, out, rules):
@@ -130,15 +130,8 @@ def _polarity_by_join(df, tokens, text, lexicon, row_key, out, rules):
             F.array_sort(F.collect_list(F.struct("_pos", "token", "valence"))).alias("_w")
         )
 
-        def one(word, i):
-            def at(k, field):
-                return F.when(i >= k, F.get(F.col("_w"), i - k)[field])
-
-            adjusted = _rule_valence(word["valence"], lambda k: at(k, "valence"), lambda k: at(k, "token"))
-            return F.when(word["valence"].isNull(), F.lit(0).cast("bigint")).otherwise(adjusted)
-
-        summed = F.aggregate(F.transform("_w", one), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-        totals = arrays.select(*row_key, (summed.cast("double") / UNIT).alias("_total"))
+        marks = F.transform("_w", lambda w: _mark(w["token"], w["valence"]))
+        totals = arrays.select(*row_key, _rule_total(marks).alias("_total"))
     else:
         totals = scored.groupBy(*row_key).agg(
             (F.coalesce(F.sum("valence"), F.lit(0)).cast("double") / 10).alias("_total")

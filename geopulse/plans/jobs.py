@@ -55,8 +55,8 @@ class Enrichers:
     resolver: PlaceResolver = field(default=None)
 
     @classmethod
-    def from_tables(cls, lemmas, profiles, lexicon, gazetteer=None, rules=False):
-        detector = LanguageDetector(profiles)
+    def from_tables(cls, lemmas, lexicon, profiles=None, gazetteer=None, rules=False):
+        detector = LanguageDetector(profiles).detect if profiles is not None else None
 
         def normalise(df, text, key, out):
             return normalise_text(df, text, lemmas, key, out)
@@ -65,7 +65,7 @@ class Enrichers:
             return polarity(df, text, lexicon, key, out, rules=rules)
 
         resolver = PlaceResolver(gazetteer) if gazetteer is not None else None
-        return cls(normalise, detector.detect, score, resolver)
+        return cls(normalise, detector, score, resolver)
 
 
 def enrich(df: DataFrame, enrichers: Enrichers, text="text", row_key=("tid",)) -> DataFrame:

@@ -19,15 +19,19 @@ from geopulse.session import scratch_path
 from geopulse.streaming import harvest, live_view
 
 
-def enrichers(t, with_places=True):
+def enrichers(t):
+    """All steps of an ingest."""
+    profiles = train_lang(t.documents, "text", "lang")
     return Enrichers.from_tables(
-        lemmas(t.spark),
-        train_lang(t.documents, "text", "lang"),
-        lexicon(t.spark),
-        build_gazetteer(places(t)) if with_places else None,
+        lemmas(t.spark), lexicon(t.spark), profiles, build_gazetteer(places(t))
     )
 
 
+def toot_enrichers(t):
+    """Statuses name their language and have no place."""
+    return Enrichers.from_tables(lemmas(t.spark), lexicon(t.spark))
+
+
 def sql_ingest(extra):
     return f"""WITH {SQL_LEMMAS}, {SQL_LEXICON}, {SQL_PROFILES}, {SQL_PLACES}, {SQL_GAZETTEER}, {SQL_LINE_FIELDS},
     kept AS (SELECT tid, author, date, location, tags, {sql_strip('text')} AS text,
@@ -81,7 +85,7 @@ SQL_TOOTS = f"""{SQL_LEMMAS}, {SQL_LEXICON},
 
 @query("enrich_toots", f"WITH {SQL_TOOTS} SELECT * FROM toots")
 def enrich_toots(t):
-    return harvest.enrich_toots(statuses(t), enrichers(t, with_places=False))
+    return harvest.enrich_toots(statuses(t), toot_enrichers(t))
 
 
 @query("stream_harvest", f"WITH {SQL_TOOTS} SELECT * FROM toots")
@@ -89,7 +93,7 @@ def stream_harvest(t):
     """Statuses arrive as files; the second run over replayed files must add nothing."""
     arrived, store = scratch_path(t.spark, "statuses"), scratch_path(t.spark, "toots")
     statuses(t).write.json(arrived)
-    steps = enrichers(t, with_places=False)
+    steps = toot_enrichers(t)
     for run in range(2):
         # A fresh checkpoint makes the second run read every file again.
         stream = harvest.harvest_stream(t.spark, arrived)

@@ -5,6 +5,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geopulse.sources.tables import spread
+
+# Tables whose rows are long texts.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 QUERIES = {}
 ORACLES = {}
 
@@ -17,7 +22,8 @@ class Tables:
         self._dir = sf_dir.rstrip("/")
 
     def __getattr__(self, name) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
     @cached_property
     def posts(self) -> DataFrame:

@@ -175,7 +175,7 @@ def json_props(t):
 def write_batched(t):
     path = scratch_path(t.spark, "batched")
     rows = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    sinks.write_batched(rows, path, partition_by=["l_returnflag"])
+    sinks.write_batched(rows, path, n=50_000, partition_by=["l_returnflag"])
     return t.spark.read.parquet(path)
 
 

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from geopulse.constants import BATCH_SIZE
 
+# Documents per file: large files, as small ones would swamp a large store.
+FILE_ROWS = 1_000_000
+
 
 def save_gazetteer(df: DataFrame, path):
     df.write.mode("overwrite").parquet(path)
@@ -14,7 +17,27 @@ def load_gazetteer(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_batched(df: DataFrame, path, n=BATCH_SIZE, partition_by=(), mode="append"):
+def upload_batched(df: DataFrame, send, n=BATCH_SIZE):
+    """Hand documents to ``send(list of dicts)`` in batches of ``n``, and the rest of each task.
+
+    Runs inside the tasks. A task that runs again sends its batches again, so ``send`` should
+    ignore ids it has stored before.
+    """
+
+    def upload(rows):
+        batch = []
+        for row in rows:
+            batch.append(row.asDict(recursive=True))
+            if len(batch) == n:
+                send(batch)
+                batch = []
+        if batch:
+            send(batch)
+
+    df.foreachPartition(upload)
+
+
+def write_batched(df: DataFrame, path, n=FILE_ROWS, partition_by=(), mode="append"):
     """Files of at most ``n`` documents."""
     writer = df.write.mode(mode).option("maxRecordsPerFile", n)
     if partition_by:

@@ -6,6 +6,16 @@ from pyspark.sql import functions as F
 from geopulse.schemas import PLACE_VALUE, VIEW_ROW
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out to all cores.
+
+    Meant for small inputs of texts, where computing outweighs reading. A large input has more
+    splits than cores and is left as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_official_csv(spark: SparkSession, path, schema=None) -> DataFrame:
     """CSV with a header; blanks in front of column names are part of the names."""
     reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False)
