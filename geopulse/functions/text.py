@@ -136,13 +136,21 @@ def _decode_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), let(F.split(text, "&"), all_parts)).otherwise(text)
 
 
+# Stands for a removed tag while references are decoded; not allowed in a page itself.
+NODE_END = "\x00"
+
+
 def html_to_text(col) -> Column:
-    """Text nodes of a page joined without separator, references decoded."""
-    out = F.regexp_replace(_col(col), r"(?s)<!--.*?-->", "")
+    """Text nodes of a page joined without separator, references decoded.
+
+    A reference without semicolon ends with its text node, so the ends of nodes are kept until the
+    references are decoded.
+    """
+    out = F.regexp_replace(_col(col), r"(?s)<!--.*?-->", NODE_END)
     for tag in HIDDEN_TAGS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
-    out = F.regexp_replace(out, r"(?s)<[!/?a-zA-Z][^>]*>", "")
-    return _decode_references(out)
+        out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", NODE_END)
+    out = F.regexp_replace(out, r"(?s)<[!/?a-zA-Z][^>]*>", NODE_END)
+    return F.replace(_decode_references(out), F.lit(NODE_END), F.lit(""))
 
 
 CONTRACTIONS = r"(?:n't|'(?:s|m|d|ll|re|ve))"

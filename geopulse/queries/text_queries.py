@@ -71,16 +71,17 @@ def place_names(t):
 
 
 def sql_page_text(x):
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', chr(57344), 'g')"
     for tag in ("script", "style", "template", "rt", "rp"):
-        x = rf"regexp_replace({x}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>', '', 'g')"
-    x = f"regexp_replace({x}, '(?s)<[!/?a-zA-Z][^>]*>', '', 'g')"
+        x = rf"regexp_replace({x}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>', chr(57344), 'g')"
+    x = f"regexp_replace({x}, '(?s)<[!/?a-zA-Z][^>]*>', chr(57344), 'g')"
     for name, char in [
-        ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "),
-        ("apos", "''"), ("eacute", "é"), ("amp", "&"),
+        ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\xa0"),
+        ("eacute", "é"), ("amp", "&"),
     ]:
-        x = f"replace({x}, '&{name};', '{char}')"
-    return x
+        x = rf"regexp_replace({x}, '&{name};', '{char}', 'g')"
+        x = rf"regexp_replace({x}, '&{name}([^a-zA-Z0-9]|$)', '{char}\1', 'g')"
+    return f"replace({x}, chr(57344), '')"
 
 
 @query("html_to_text", f"SELECT page_id, {sql_page_text('html')} AS text FROM pages")
