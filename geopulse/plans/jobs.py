@@ -18,7 +18,7 @@ from geopulse.constants import (
     TOTAL_OFFENCES,
 )
 from geopulse.functions.scalars import mentions, score_bin
-from geopulse.functions.text import normalise_location, strip_social
+from geopulse.functions.text import SPACE, normalise_location, strip_social
 from geopulse.operators.docstore import id_partition
 from geopulse.operators.filters import (
     drop_all_null,
@@ -47,12 +47,18 @@ Step = Callable[[DataFrame, str, list, str], DataFrame]
 
 @dataclass
 class Enrichers:
-    """The three exchangeable steps of an ingest: normaliser, language detector, scorer."""
+    """The three exchangeable steps of an ingest: normaliser, language detector, scorer.
+
+    ``keeps_text`` says that the normaliser never empties a text that is not blank. The job then
+    leaves out its test for empty content, which would run the normaliser a second time, as
+    filters are moved below the columns they look at.
+    """
 
     normaliser: Step
     detector: Step
     scorer: Step
     resolver: PlaceResolver = field(default=None)
+    keeps_text: bool = False
 
     @classmethod
     def from_tables(cls, lemmas, lexicon, profiles=None, gazetteer=None, rules=False):
@@ -65,7 +71,9 @@ class Enrichers:
             return polarity(df, text, lexicon, key, out, rules=rules)
 
         resolver = PlaceResolver(gazetteer) if gazetteer is not None else None
-        return cls(normalise, detector, score, resolver)
+        # A lemma could be empty only if the table says so.
+        keeps = lemmas.where("lemma IS NULL OR trim(lemma) = ''").isEmpty()
+        return cls(normalise, detector, score, resolver, keeps)
 
 
 def enrich(df: DataFrame, enrichers: Enrichers, text="text", row_key=("tid",)) -> DataFrame:
@@ -87,13 +95,16 @@ def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="r
     posts = require(posts, ["author", "date"])
     if geo_only:
         posts = keep_geo(posts)
-    posts = posts.withColumn("text", strip_social("text")).where("trim(text) <> ''")
+    posts = posts.withColumn("text", strip_social("text"))
+    posts = posts.where(F.rlike("text", F.lit(rf"[^{SPACE}]")))
     posts = posts.withColumn("_place", normalise_location(F.lower("location")))
     posts = enrichers.resolver.resolve(posts, "_place", ["tid"], "_match")
     posts = posts.withColumn("sal", F.col("_match.sal"))
     if geo_only:
         posts = require(posts, ["sal"])
-    posts = require(enrich(posts, enrichers), ["content"])
+    posts = enrich(posts, enrichers)
+    if not enrichers.keeps_text:
+        posts = require(posts, ["content"])
     posts = posts.withColumn("_id", F.concat_ws(":", id_partition("tid").cast("string"), "tid"))
     return posts.select(*POST_COLUMNS)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geopulse.functions.lookup import let
 from geopulse.schemas import POST_LINE, POST_OBJECT
 
 # First match per line; fixed patterns. Escapes are not decoded and end at the first quote.
@@ -29,9 +30,13 @@ def extract_fields(lines: DataFrame, mode="regex") -> DataFrame:
     line = F.col("value")
     if mode == "regex":
         def found(name):
+            # The line is searched once; an empty value is told from a miss by the whole match.
             pattern = FIELD_PATTERNS[name]
-            # An empty match is a value, a failed match is not.
-            return F.when(F.rlike(line, F.lit(pattern)), F.regexp_extract(line, pattern, 1)).alias(name)
+            value = let(
+                F.regexp_extract(line, pattern, 0),
+                lambda match: F.when(match != "", F.regexp_extract(match, pattern, 1)),
+            )
+            return value.alias(name)
 
         has_id = F.regexp_extract(line, FIELD_PATTERNS["tid"], 1) != ""
         return lines.where(has_id).select(*[found(name) for name in FIELD_PATTERNS])
