@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.constants import MIN_ID_LENGTH
+from geopulse.constants import INVALID_PLACES, MIN_ID_LENGTH
 
 
 def valid_id(df: DataFrame, min_len=MIN_ID_LENGTH, col="tid") -> DataFrame:
@@ -24,6 +24,11 @@ def geo_only(df: DataFrame, location="location", sal=None) -> DataFrame:
     return require(out, [sal]) if sal else out
 
 
+def without_invalid_places(df: DataFrame, place="place") -> DataFrame:
+    """Drop normalised places that name a whole state or country. Optional; no job applies it."""
+    return df.where(F.col(place).isNull() | ~F.col(place).isin(INVALID_PLACES))
+
+
 def in_state(df: DataFrame, state, col) -> DataFrame:
     return df.where(F.col(col) == state)
 

@@ -3,11 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.functions.scalars import iso_utc
+from geopulse.constants import PAGE_SIZE
+from geopulse.functions.scalars import iso_utc, score_bin
 from geopulse.functions.text import html_to_text, join_tags
+from geopulse.operators.paging import next_pages
 from geopulse.plans.jobs import Enrichers
-from geopulse.functions.scalars import score_bin
 from geopulse.schemas import STATUS, TOOT
+from geopulse.session import checkpointed
 
 
 def harvest_stream(spark: SparkSession, path, files_per_trigger=None) -> DataFrame:
@@ -96,6 +98,23 @@ def run_harvest(spark, statuses: DataFrame, enrichers, store_path, checkpoint, t
     )
 
 
+def harvest_pass(source: DataFrame, enrichers, store_path, n=PAGE_SIZE) -> int:
+    """One pass of the polling harvest over a status table: next page per server, enrich, store.
+
+    Returns how many statuses came; 0 when there was nothing new. Rows at or below the greatest
+    stored id of their server are never asked for again.
+    """
+    spark = source.sparkSession
+    ensure_store(spark, store_path)
+    stored = spark.read.schema(TOOT).parquet(store_path).select("server", F.col("tid").alias("id"))
+    # A page per server: small, and needed twice.
+    page = checkpointed(enrich_toots(next_pages(source, stored, n, by="id"), enrichers))
+    came = page.count()
+    if came:
+        insert_new(store_path)(page, 0)
+    return came
+
+
 def append_stream(df: DataFrame, path, checkpoint, trigger=None):
     """Append every arriving row as a JSON line."""
     return (

@@ -202,6 +202,18 @@ def test_harvest_stores_each_toot_once(spark, steps, tmp_path):
     assert (stored.date, stored.author, stored.content, stored.tags) == ("2023-05-01T00:00:00.000Z", "5", "bad & bad", "a|b")
 
 
+def test_polling_passes_drain_the_source(spark, steps, tmp_path):
+    from geopulse.schemas import STATUS
+
+    rows = [("AU", i) for i in range(1, 95)] + [("SOCIAL", i) for i in range(3)]
+    folder = tmp_path / "statuses"
+    drop(folder, "all.json", [status(s, i) for s, i in rows])
+    source, store = spark.read.schema(STATUS).json(str(folder)), str(tmp_path / "store")
+    assert [harvest.harvest_pass(source, steps, store) for _ in range(4)] == [43, 40, 14, 0]
+    stored = spark.read.parquet(store)
+    assert sorted((r.server, r.tid) for r in stored.collect()) == sorted(rows)
+
+
 def test_live_view_equals_batch_view(spark, tmp_path):
     arrived, out = tmp_path / "in", str(tmp_path / "view")
     rows = [{"sal": f"r{i % 3}", "content": "police" if i % 2 else "calm", "score": i % 9 + 1} for i in range(60)]

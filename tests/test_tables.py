@@ -160,6 +160,21 @@ def test_pages(spark):
     assert [r.tid for r in paging.page_before(ids, 400).collect()] == [390]
 
 
+def test_next_pages_cut_early(spark):
+    source = spark.range(1000).selectExpr("IF(id % 3 = 0, 'a', 'b') AS server", "id AS tid")
+    stored = spark.createDataFrame([("a", 500)], "server string, tid bigint")
+    page = paging.next_pages(source, stored)
+    got = sorted((r.server, r.tid) for r in page.collect())
+    want = [("a", i) for i in range(501, 621, 3)] + [("b", i) for i in range(1000) if i % 3][:40]
+    assert got == sorted(want)
+    assert "WindowGroupLimit" in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_invalid_places(spark):
+    df = spark.createDataFrame([("vic australia",), ("carlton vic",), (None,)], "place string")
+    assert [r.place for r in filters.without_invalid_places(df).collect()] == ["carlton vic", None]
+
+
 def test_extremes_and_bands(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 1.0), ("d", None)], "name string, m double")
     row = official.extremes(df, "name", ["m"]).first()
