@@ -14,21 +14,29 @@ from geopulse.session import checkpointed
 def running_counts(histogram: DataFrame, group, order, n="n") -> DataFrame:
     """Adds ``upto``, the number of counted rows up to and including each value of its group.
 
-    A prefix sum in two steps: values are range-partitioned, slice totals give what lies before a
-    slice, and a window runs inside each slice. No task ever holds a whole group.
+    Also adds ``total`` and ``mean`` of the group. A prefix sum in two steps: values are
+    range-partitioned, slice totals give what lies before a slice, and a window runs inside each
+    slice. No task ever holds a whole group.
     """
     sliced = histogram.repartitionByRange(group, order).withColumn("_slice", F.spark_partition_id())
     # Range bounds come from sampling; the cut keeps both uses below on the same slices.
     sliced = checkpointed(sliced)
-    totals = sliced.groupBy(group, "_slice").agg(F.sum(n).alias("_slice_n"))
-    earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        group, "_slice", F.coalesce(F.sum("_slice_n").over(earlier), F.lit(0)).alias("_before")
+    totals = sliced.groupBy(group, "_slice").agg(
+        F.sum(n).alias("_n"), F.sum(F.col(n) * F.col(order)).alias("_sum")
+    )
+    # One row per slice and group that meet: bounded by the shuffle partitions plus the groups.
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = totals.select(
+        group,
+        "_slice",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("total"),
+        (F.sum("_sum").over(whole) / F.sum("_n").over(whole)).alias("mean"),
     )
     inside = F.sum(n).over(Window.partitionBy(group, "_slice").orderBy(order))
-    # At most one row per slice plus one per group: bounded by the shuffle partitions.
     return (
-        sliced.join(F.broadcast(before), [group, "_slice"])
+        sliced.join(F.broadcast(slices), [group, "_slice"])
         .withColumn("upto", F.col("_before") + inside)
         .drop("_slice", "_before")
     )
@@ -43,13 +51,6 @@ def describe5(df: DataFrame, cols, digits=2) -> DataFrame:
     numbers = df.select([F.col(f"`{c}`").cast("double").alias(c) for c in cols])
     long = numbers.unpivot([], list(cols), "metric", "z").where("z IS NOT NULL AND NOT isnan(z)")
     ranked = running_counts(long.groupBy("metric", "z").agg(F.count("*").alias("n")), "metric", "z")
-    ranked = checkpointed(ranked)
-    # One row per column.
-    totals = F.broadcast(
-        ranked.groupBy("metric").agg(
-            F.sum("n").alias("total"), (F.sum(F.col("z") * F.col("n")) / F.sum("n")).alias("avg")
-        )
-    )
     first = F.col("upto") - F.col("n")
 
     def order_statistic(rank):
@@ -57,8 +58,8 @@ def describe5(df: DataFrame, cols, digits=2) -> DataFrame:
 
     aggs = [
         F.first("total").alias("count"),
-        F.first("avg").alias("mean"),
-        F.sum(F.col("n") * F.pow(F.col("z") - F.col("avg"), 2)).alias("_squares"),
+        F.first("mean").alias("mean"),
+        F.sum(F.col("n") * F.pow(F.col("z") - F.col("mean"), 2)).alias("_squares"),
         F.min("z").alias("min"),
         F.max("z").alias("max"),
     ]
@@ -70,7 +71,7 @@ def describe5(df: DataFrame, cols, digits=2) -> DataFrame:
             order_statistic(F.ceil(at)).alias(f"{name}_hi"),
             F.first(at - F.floor(at)).alias(f"{name}_t"),
         ]
-    wide = ranked.join(totals, "metric").groupBy("metric").agg(*aggs)
+    wide = ranked.groupBy("metric").agg(*aggs)
 
     def quantile(name):
         lo, hi, t = (F.col(f"{name}_{part}") for part in ("lo", "hi", "t"))

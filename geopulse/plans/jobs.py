@@ -156,11 +156,14 @@ def crime_table(official, metrics=None, total=TOTAL_OFFENCES) -> DataFrame:
 
 
 def crime_map_job(official, regions, code, region_code, id_cols, metrics=None, total=TOTAL_OFFENCES):
-    """Returns ``(map layers, summary)`` of the crime table."""
-    table = crime_table(official, metrics, total)
-    cols = [*(OFFENCES if metrics is None else metrics).values(), total]
-    merged = join_regions(table, regions, code, region_code)
-    return metric_layers(merged, id_cols, cols), describe5(table, cols)
+    """Map layers of the crime table."""
+    merged = join_regions(crime_table(official, metrics, total), regions, code, region_code)
+    return metric_layers(merged, id_cols, [*(metrics or OFFENCES).values(), total])
+
+
+def crime_summary(official, metrics=None, total=TOTAL_OFFENCES):
+    """Description of the offences that are left after cleaning."""
+    return describe5(crime_table(official, metrics, total), [*(metrics or OFFENCES).values(), total])
 
 
 def income_table(official, regions, code, region_code, state_col, state=STATE_OF_INTEREST, metrics=None, fenced=None):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from geopulse.operators import official
 from geopulse.operators.filters import drop_any_null, fill_zero
 from geopulse.operators.views import topic_views
-from geopulse.plans.jobs import crime_map_job, crime_table, income_map_job, income_table
+from geopulse.plans.jobs import crime_map_job, crime_summary, crime_table, income_map_job, income_table
 from geopulse.queries.registry import (
     SQL_AREAS, SQL_POSTS, TOPIC_WORDS, query, sql_mentions, sql_round,
 )
@@ -118,7 +118,7 @@ SQL_MERGED = f"""a AS ({SQL_AREAS}), merged AS (
     max(z) OVER (PARTITION BY metric) AS zmax FROM l""",
 )
 def crime_map(t):
-    layers, _ = crime_map_job(
+    layers = crime_map_job(
         offences(t), t.areas, " code", "code", ["event", "name"], OFFENCE_COLUMNS, "total"
     )
     return layers.select(
@@ -126,11 +126,10 @@ def crime_map(t):
     )
 
 
-@query("crime_summary", f"WITH {SQL_CRIME}, c AS (SELECT value, users, step, round(total, 2) AS total FROM crime) "
+@query("crime_summary", f"WITH {SQL_CRIME}, c AS (SELECT value, users, step, total FROM crime) "
        + sql_describe("c", [*OFFENCE_METRICS, "total"]))
-def crime_summary(t):
-    table = crime_table(offences(t), OFFENCE_COLUMNS, "total").withColumn("total", F.round("total", 2))
-    return official.describe5(table, [*OFFENCE_METRICS, "total"])
+def crime_summary_query(t):
+    return crime_summary(offences(t), OFFENCE_COLUMNS, "total")
 
 
 # Documents as an official income table of areas.
