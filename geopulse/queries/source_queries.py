@@ -6,7 +6,7 @@ from geopulse.operators import views
 from geopulse.operators.docstore import with_generated_ids
 from geopulse.plans.jobs import gazetteer_job
 from geopulse.queries.place_queries import SQL_GAZETTEER, part_places
-from geopulse.queries.registry import SQL_POSTS, query
+from geopulse.queries.registry import SQL_POSTS, literal_table, query
 from geopulse.session import scratch_path
 from geopulse.sources import posts as post_source
 from geopulse.sources import sinks, tables
@@ -48,7 +48,7 @@ SQL_LINE_FIELDS = """raw AS (SELECT doc_id,
 def post_lines(t):
     """The lines as a text dump with a header and a footer line."""
     path = scratch_path(t.spark, "posts")
-    head = t.spark.createDataFrame([('{"total_rows":0,"offset":0,"rows":[',), ("]}",)], "value string")
+    head = literal_table(t.spark, ["('{\"total_rows\":0,\"offset\":0,\"rows\":[')", "(']}')"], ["value"])
     post_line(t).unionAll(head).write.text(path)
     return post_source.read_post_lines(t.spark, path)
 
