@@ -17,6 +17,7 @@ from geopulse.constants import (
     TOPICS,
     TOTAL_OFFENCES,
 )
+from geopulse.functions.lookup import MAX_LOOKUP_ROWS
 from geopulse.functions.scalars import mentions, score_bin
 from geopulse.functions.text import SPACE, normalise_location, strip_social
 from geopulse.operators.docstore import id_partition
@@ -61,16 +62,19 @@ class Enrichers:
     keeps_text: bool = False
 
     @classmethod
-    def from_tables(cls, lemmas, lexicon, profiles=None, gazetteer=None, rules=False):
-        detector = LanguageDetector(profiles).detect if profiles is not None else None
+    def from_tables(
+        cls, lemmas, lexicon, profiles=None, gazetteer=None, rules=False, max_rows=MAX_LOOKUP_ROWS
+    ):
+        """Steps from model tables; tables of more than ``max_rows`` rows are joined."""
+        detector = LanguageDetector(profiles, max_rows).detect if profiles is not None else None
 
         def normalise(df, text, key, out):
-            return normalise_text(df, text, lemmas, key, out)
+            return normalise_text(df, text, lemmas, key, out, max_rows)
 
         def score(df, text, key, out):
-            return polarity(df, text, lexicon, key, out, rules=rules)
+            return polarity(df, text, lexicon, key, out, rules, max_rows)
 
-        resolver = PlaceResolver(gazetteer) if gazetteer is not None else None
+        resolver = PlaceResolver(gazetteer, max_rows) if gazetteer is not None else None
         # A lemma could be empty only if the table says so.
         keeps = lemmas.where("lemma IS NULL OR trim(lemma) = ''").isEmpty()
         return cls(normalise, detector, score, resolver, keeps)

@@ -87,11 +87,18 @@ def ensure_store(spark: SparkSession, store_path):
 
 
 def run_harvest(spark, statuses: DataFrame, enrichers, store_path, checkpoint, trigger=None):
-    """Start the harvest query. The default trigger takes what is there and stops."""
+    """Start the harvest query. The default trigger takes what is there and stops.
+
+    Statuses are enriched batch by batch, so models too large for a lookup can be joined as well.
+    """
     ensure_store(spark, store_path)
+    insert = insert_new(store_path)
+
+    def store(batch: DataFrame, batch_id: int):
+        insert(enrich_toots(batch, enrichers), batch_id)
+
     return (
-        enrich_toots(statuses, enrichers)
-        .writeStream.foreachBatch(insert_new(store_path))
+        statuses.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

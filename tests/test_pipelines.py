@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from geopulse.operators.gazetteer import build_gazetteer
 from geopulse.operators.language import train_lang
 from geopulse.plans.jobs import Enrichers, crime_table, gazetteer_job, income_table, ingest_job, ingest_posts
+from geopulse.schemas import POST_COLUMNS
 from geopulse.sources import posts as post_source
 from geopulse.sources import sinks, tables
 from geopulse.streaming import harvest, live_view
@@ -35,12 +36,17 @@ LINES = [
 
 @pytest.fixture(scope="module")
 def steps(spark):
+    return make_steps(spark)
+
+
+def make_steps(spark, **options):
     places = spark.createDataFrame([(1, "middle park", "2gmel", "21640"), (2, "vic", "2rvic", "2")], "ord int, location string, gcc string, sal string")
     return Enrichers.from_tables(
         spark.createDataFrame([("Cats", "cat")], "token string, lemma string"),
         spark.createDataFrame([("good", 30), ("bad", -30)], "token string, valence int"),
         train_lang(spark.createDataFrame([("good bad no place fine day", "en")], "t string, l string"), "t", "l"),
         build_gazetteer(places),
+        **options,
     )
 
 
@@ -73,6 +79,18 @@ def test_ingest_without_models_in_memory_needs_no_shuffle(spark, steps):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_large_models_are_joined_with_the_same_result(spark, steps, tmp_path):
+    lines = spark.createDataFrame([(x,) for x in LINES * 30], "value string").distinct()
+    joined = make_steps(spark, max_rows=0)
+    small, large = ingest_posts(lines, steps), ingest_posts(lines, joined).select(*POST_COLUMNS)
+    assert small.count() == 3 and small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+    drop(tmp_path / "in", "1.json", [status("AU", 2), status("SOCIAL", 2, "<p>bad</p>")])
+    stream = harvest.harvest_stream(spark, str(tmp_path / "in"))
+    store = str(tmp_path / "store")
+    harvest.run_harvest(spark, stream, joined, store, str(tmp_path / "marks")).awaitTermination()
+    assert sorted((r.server, r.score) for r in spark.read.parquet(store).collect()) == [("AU", 8), ("SOCIAL", 2)]
+
+
 def test_ingest_job_reads_split_files_once(spark, steps, tmp_path):
     many = [line(str(200000000000000 + i), f"good text number {i} " * 20, "Middle Park") for i in range(3000)]
     path, store = str(tmp_path / "dump.json"), str(tmp_path / "store")
