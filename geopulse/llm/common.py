@@ -8,6 +8,8 @@ unless the operator says otherwise; a null key is a key like any other; repeated
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geopulse.session import scratch_path
+
 # White space of the word patterns, and a word: anything else.
 SPACE = "\x20\x09-\x0d"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -45,3 +47,11 @@ def let(value, body) -> Column:
 def doc_fold(key, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, kept when executors are lost, and
+    of a size that later plans know."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

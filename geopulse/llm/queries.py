@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.llm import byte_bpe, lang_conv, scaled_sketch
+from geopulse.llm import byte_bpe, host_paths, lang_conv, license_rules, scaled_sketch, simhash_trees
 from geopulse.llm.common import doc_fold, table
 
 QUERIES = {}
@@ -36,11 +36,42 @@ def query(name, source="documents", sql=None):
     return register
 
 
+@query("op3_host_paths", "pages")
+def host_paths_query(pages):
+    return host_paths.extract(pages)
+
+
 @query("op5_scaled_sketch")
 def scaled_sketch_query(docs):
     return scaled_sketch.compare_edited(docs)
 
 
+@query("op6_license_rules")
+def license_rules_query(docs):
+    found = license_rules.scan(docs)
+    base, more = F.col("base"), F.col("detections")
+
+    def labels(*lists):
+        return F.array_join(F.array_sort(F.array_distinct(F.concat(*[l["label"] for l in lists]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["first"]).alias("first_word"),
+        F.array_max(base["first"]).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(base, more).alias("labels"),
+        F.coalesce(F.array_max(F.concat(base["weight"], more["weight"])), F.lit(0.0)).alias("score"),
+    )
+
+
+@query("op7_simhash_trees")
+def simhash_trees_query(docs):
+    found = simhash_trees.near_duplicates(docs)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op8_byte_bpe")
 def byte_bpe_query(docs):
     return byte_bpe.round_trip(docs, *byte_bpe.vocabulary())
