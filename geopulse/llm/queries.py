@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.llm import byte_bpe, host_paths, lang_conv, license_rules, scaled_sketch, simhash_trees
+from geopulse.llm import block_mix, byte_bpe, host_paths, lang_conv, license_rules, scaled_sketch, simhash_trees
 from geopulse.llm.common import doc_fold, table
 
 QUERIES = {}
@@ -83,3 +83,8 @@ def lang_conv_query(docs):
     net = lang_conv.train(docs.where(fold != 2))
     docs = docs.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out"))
     return lang_conv.predict(docs, net, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op1_block_mix")
+def block_mix_query(docs):
+    return block_mix.mix(docs)
