@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.llm import block_mix, byte_bpe, host_paths, lang_conv, license_rules, scaled_sketch, simhash_trees
+from geopulse.llm import block_mix, byte_bpe, host_paths, lang_conv, license_rules, quality_rules, scaled_sketch, simhash_trees
 from geopulse.llm.common import doc_fold, table
 
 QUERIES = {}
@@ -41,6 +41,51 @@ def host_paths_query(pages):
     return host_paths.extract(pages)
 
 
+def quality_sql():
+    """The same measures and thresholds in SQL."""
+    blank = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+    stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    rules = []
+    for measure, least, most in quality_rules.RULES:
+        rules += [f"coalesce({measure} >= {least}, true)"] if least is not None else []
+        rules += [f"coalesce({measure} <= {most}, true)"] if most is not None else []
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^ 	-]+') AS w,
+                 list_filter(string_split(text, chr(10)), lambda s: trim(s, {blank}) <> '') AS l FROM d),
+    win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s
+            FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM t)),
+    twice AS (SELECT rid, s FROM win GROUP BY rid, s HAVING count(*) > 1),
+    covered AS (SELECT rid, count(DISTINCT p) AS n
+                FROM (SELECT win.rid, unnest(range(win.i, win.i + 8)) AS p
+                      FROM win JOIN twice ON win.rid = twice.rid AND win.s = twice.s) GROUP BY rid),
+    m AS (SELECT doc_id, len(w) AS n_words, len(l) AS n_lines,
+                 coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                 (length(text) - length(translate(text, '{quality_rules.SYMBOLS}', ''))) AS n_symbols,
+                 len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+                 len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                                              IN ({stop}))) AS n_stop_words,
+                 len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+                 len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	]*\z'))) AS n_ellipsis,
+                 len(list_filter(l, lambda x: regexp_matches(x, '\A[ 	]*[-*•‣]'))) AS n_bullets
+          FROM t LEFT JOIN covered ON t.rid = covered.rid),
+    r AS (SELECT *, word_chars::DOUBLE / nullif(n_words, 0) AS mean_word_chars,
+                 n_symbols::DOUBLE / nullif(n_words, 0) AS symbols_per_word,
+                 n_letter_words::DOUBLE / nullif(n_words, 0) AS letter_word_share,
+                 n_dup_lines::DOUBLE / nullif(n_lines, 0) AS dup_line_share,
+                 n_ellipsis::DOUBLE / nullif(n_lines, 0) AS ellipsis_line_share,
+                 n_bullets::DOUBLE / nullif(n_lines, 0) AS bullet_line_share,
+                 n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND {' AND '.join(rules)} AS kept FROM r"""
+
+
+@query("op4_quality_rules", sql=quality_sql())
+def quality_rules_query(docs):
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules.judge(docs).select(columns)
+
+
 @query("op5_scaled_sketch")
 def scaled_sketch_query(docs):
     return scaled_sketch.compare_edited(docs)
