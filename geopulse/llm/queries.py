@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.llm import block_mix, byte_bpe, host_paths, lang_conv, license_rules, quality_rules, scaled_sketch, simhash_trees
+from geopulse.llm import block_mix, byte_bpe, host_paths, lang_conv, license_rules, line_dedup, quality_rules, scaled_sketch, simhash_trees
 from geopulse.llm.common import doc_fold, table
 
 QUERIES = {}
@@ -36,6 +36,11 @@ def query(name, source="documents", sql=None):
     return register
 
 
+@query("op2_line_dedup")
+def line_dedup_query(docs):
+    return line_dedup.report(docs)
+
+
 @query("op3_host_paths", "pages")
 def host_paths_query(pages):
     return host_paths.extract(pages)
@@ -51,7 +56,8 @@ def quality_sql():
         rules += [f"coalesce({measure} <= {most}, true)"] if most is not None else []
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-    t AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^ 	-]+') AS w,
+    t AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^ 	-
+]+') AS w,
                  list_filter(string_split(text, chr(10)), lambda s: trim(s, {blank}) <> '') AS l FROM d),
     win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s
             FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM t)),
