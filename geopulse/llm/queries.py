@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.llm import block_mix, byte_bpe, host_paths, lang_conv, license_rules, line_dedup, quality_rules, scaled_sketch, simhash_trees
+from geopulse.llm import block_mix, byte_bpe, host_paths, interpolated_lm, lang_conv, license_rules, line_dedup, quality_rules, scaled_sketch, simhash_trees
 from geopulse.llm.common import doc_fold, table
 
 QUERIES = {}
@@ -139,3 +139,11 @@ def lang_conv_query(docs):
 @query("op1_block_mix")
 def block_mix_query(docs):
     return block_mix.mix(docs)
+
+
+@query("op10_interpolated_lm")
+def interpolated_lm_query(docs):
+    fold = doc_fold("doc_id", 5)
+    found = interpolated_lm.score(docs, F.coalesce(fold != 1, F.lit(False)))
+    held_out = F.coalesce(fold == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
