@@ -144,21 +144,22 @@ def train(df: DataFrame, key="doc_id", text="text", lang="lang", per_lang=400, w
 
 
 def predict(df: DataFrame, net: ByteConvNet | None, key="doc_id", text="text", keep=()) -> DataFrame:
-    """``doc_id, lang_pred, score`` and the columns ``keep`` of every row, each in its whole."""
+    """``doc_id, lang_pred, score`` and, as ``kept_<name>``, the columns ``keep`` of every row, each read in
+    its whole."""
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = df.select(*keep, F.col(key).alias("__id"), F.when(has_letter, F.col(text)).alias("__text"))
-    kept = rows.select(*keep).schema
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-        + [f"doc_id {rows.schema['__id'].dataType.simpleString()}", "lang_pred string", "score double"]
-    )
-    names = [*keep, "doc_id", "lang_pred", "score"]
+    others = [c for c in keep if c != text]
+    rows = df.select(*[F.col(c).alias(f"kept_{c}") for c in others], F.col(text).alias(f"kept_{text}"), F.col(key).alias("doc_id"), has_letter.alias("ok"))
+    at = [rows.columns.index(f"kept_{c}") for c in keep]
+    n_kept = len(others)
+    fields = [rows.schema[i] for i in (*at, n_kept + 1)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    names = [*[f.name for f in fields], "lang_pred", "score"]
 
     def run(batches):
         for batch in batches:
             langs, scores = [], []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                if value is None or net is None:
+            for value, ok in zip(batch.column(n_kept).to_pylist(), batch.column(n_kept + 2).to_pylist()):
+                if not ok or net is None:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
@@ -170,8 +171,15 @@ def predict(df: DataFrame, net: ByteConvNet | None, key="doc_id", text="text", k
                 best = int(p.argmax())
                 langs.append(net.labels[best])
                 scores.append(float(min(1.0, p[best])))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in (*at, n_kept + 1)]
             columns += [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, schema)
+
+
+def identified(df: DataFrame, net: ByteConvNet | None, key="doc_id", text="text", least=0.35) -> DataFrame:
+    """The rows of ``df`` whose language is told with a score of ``least`` or more."""
+    found = predict(df, net, key, text, keep=df.columns)
+    sure = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return sure.select(*[F.col(f"kept_{c}").alias(c) for c in df.columns])

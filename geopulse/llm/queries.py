@@ -133,7 +133,9 @@ def lang_conv_query(docs):
     fold = doc_fold("doc_id", 4)
     net = lang_conv.train(docs.where(fold != 2))
     docs = docs.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out"))
-    return lang_conv.predict(docs, net, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+    return lang_conv.predict(docs, net, keep=["held_out"]).select(
+        "doc_id", F.col("kept_held_out").alias("held_out"), "lang_pred", "score"
+    )
 
 
 @query("op1_block_mix")
