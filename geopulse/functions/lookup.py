@@ -12,6 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LOOKUP_ROWS = 100_000
+MAX_LOOKUP_BYTES = 8 << 20
+
+
+def unique_keys(dim: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value`` with one row for each key: of several values of a key the least counts."""
+    known = dim.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    return known.groupBy(key).agg(F.min(value).alias(value))
 
 
 class Lookup:
@@ -35,19 +42,22 @@ class Lookup:
 
     @classmethod
     def from_frame(cls, dim: DataFrame, key: str, value: str, max_rows=MAX_LOOKUP_ROWS):
-        """The dimension as a lookup, or None when it has more than ``max_rows`` rows.
+        """The dimension as a lookup, or None when it has more than ``max_rows`` rows or
+        ``MAX_LOOKUP_BYTES`` of text.
 
-        Keys must be unique. At most ``max_rows + 1`` rows ever reach the driver.
+        Its size is measured before any row reaches the driver. See :func:`unique_keys` for keys
+        that repeat.
         """
         value_type = dim.schema[value].dataType.simpleString()
-        rows = (
-            dim.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-            .select(F.col(key).alias("k"), F.to_json(F.struct(F.col(value).alias("v"))).alias("v"))
-            .limit(max_rows + 1)
-            .collect()
+        if not max_rows:
+            return None
+        texts = unique_keys(dim, key, value).select(
+            F.col(key).alias("k"), F.to_json(F.struct(F.col(value).alias("v"))).alias("v")
         )
-        if len(rows) > max_rows:
+        size = texts.agg(F.count("*"), F.sum(F.octet_length("k") + F.octet_length("v"))).first()
+        if size[0] > max_rows or (size[1] or 0) > MAX_LOOKUP_BYTES:
             return None
+        rows = texts.collect()
         # to_json gives {"v":...}: the value text is what stands between.
         return cls({row.k: row.v[len('{"v":'):-1] for row in rows}, value_type)
 

@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS
 from geopulse.functions.text import WORD, words
-from geopulse.plans.skew import fits, lookup_join
+from geopulse.operators.sentiment import joined_back
+from geopulse.plans.skew import MAX_BROADCAST_ROWS, ROW, fits, lookup_join, with_row_id
 from geopulse.session import checkpointed
 
-# Length of a language profile in the published n-gram method (fixed value).
+# Length of a language profile in the published n-gram method (fixed value, a parameter of train_lang).
 PROFILE_SIZE = 300
 BLANK = ord(" ")
 CHUNK = 50_000
@@ -100,7 +101,7 @@ class LanguageDetector:
 
     def __init__(self, profiles: DataFrame, max_rows=MAX_LOOKUP_ROWS):
         self._profiles = checkpointed(profiles.select("lang", "gram", "weight"))
-        self._score = None
+        self._score, self._max_rows = None, max_rows
         if fits(self._profiles, max_rows):
             self._score = self._compile(self._profiles.toPandas())
 
@@ -120,22 +121,24 @@ class LanguageDetector:
 
     def detect(self, df: DataFrame, text, row_key, out="lang") -> DataFrame:
         if self._score is None:
-            return self._detect_by_join(df, text, row_key, out)
+            return self._detect_by_join(df, text, out)
         plain = F.regexp_replace(F.lower(F.col(text)), rf"[^{WORD}]+", " ")
         return df.withColumn(out, self._score(plain))
 
-    def _detect_by_join(self, df, text, row_key, out):
+    def _detect_by_join(self, df, text, out):
+        had_row, df = ROW in df.columns, with_row_id(df)
         grams = (
-            df.select(*row_key, F.explode(words(text)).alias("word"))
-            .select(*row_key, F.explode(word_trigrams(F.col("word"))).alias("gram"))
-            .groupBy(*row_key, "gram")
+            df.select(ROW, F.explode(words(text)).alias("word"))
+            .select(ROW, F.explode(word_trigrams(F.col("word"))).alias("gram"))
+            .groupBy(ROW, "gram")
             .agg(F.count("*").alias("n"))
         )
-        scored = lookup_join(grams, self._profiles, "gram", [*row_key, "gram"], "inner")
-        totals = scored.groupBy(*row_key, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
-        best = totals.groupBy(*row_key).agg(F.min(F.struct((-F.col("s")).alias("minus"), "lang")).alias("b"))
-        best = best.select(*row_key, F.col("b.lang").alias(out))
-        return df.drop(out).join(best, row_key, "left")
+        limit = min(self._max_rows, MAX_BROADCAST_ROWS)
+        scored = lookup_join(grams, self._profiles, "gram", [ROW, "gram"], "inner", max_rows=limit)
+        totals = scored.groupBy(ROW, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
+        best = totals.groupBy(ROW).agg(F.min(F.struct((-F.col("s")).alias("minus"), "lang")).alias("b"))
+        best = best.select(ROW, F.col("b.lang").alias(out))
+        return joined_back(df.drop(out), had_row, best)
 
 
 def detect_lang(df, text, profiles, row_key, out="lang", max_rows=MAX_LOOKUP_ROWS) -> DataFrame:

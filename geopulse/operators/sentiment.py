@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geopulse.constants import SCORE_LABELS
-from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup, let
+from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup, let, unique_keys
 from geopulse.functions.text import tokenise
-from geopulse.plans.skew import lookup_join
+from geopulse.plans.skew import MAX_BROADCAST_ROWS, ROW, lookup_join, with_row_id
+from geopulse.session import checkpointed
 
 # Damping constant of the compound score (fixed value).
 ALPHA = 15.0
@@ -30,19 +31,31 @@ BOOSTERS = {
 
 
 def normalise_text(df, text, lemmas, row_key, out="content", max_rows=MAX_LOOKUP_ROWS) -> DataFrame:
-    """Tokens of ``text`` replaced by their lemma and joined with blanks; NULL stays NULL."""
+    """Tokens of ``text`` replaced by their lemma and joined with blanks; NULL stays NULL.
+
+    The result is the same for lemma tables of any size. It goes row by row: a ``row_key`` that
+    repeats does no harm. Of several lemmas of a token the least counts.
+    """
     table = Lookup.from_frame(lemmas, "token", "lemma", max_rows)
     if table is not None:
         tokens = F.transform(tokenise(text), lambda t: F.coalesce(table.get(t), t))
         return df.withColumn(out, F.array_join(tokens, " "))
-    return _normalise_by_join(df, text, lemmas, row_key, out)
+    return _normalise_by_join(df, text, lemmas, out, max_rows)
+
 
+def joined_back(df, had_row, found) -> DataFrame:
+    """Rows with what a join found for them; the row number goes if this step made it."""
+    out = df.join(checkpointed(found), ROW, "left")
+    return out if had_row else out.drop(ROW)
 
-def _normalise_by_join(df, text, lemmas, row_key, out):
-    """Each post becomes its tokens, and one post is put together again per group."""
-    tokens = df.select(*row_key, F.posexplode(tokenise(text)).alias("_pos", "token"))
-    named = lookup_join(tokens, lemmas, "token", [*row_key, "_pos"])
-    joined = named.groupBy(*row_key).agg(
+
+def _normalise_by_join(df, text, lemmas, out, max_rows):
+    """Each row becomes its tokens, and one row is put together again per group."""
+    had_row, df = ROW in df.columns, with_row_id(df)
+    tokens = df.select(ROW, F.posexplode(tokenise(text)).alias("_pos", "token"))
+    lemmas = unique_keys(lemmas, "token", "lemma")
+    named = lookup_join(tokens, lemmas, "token", [ROW, "_pos"], max_rows=min(max_rows, MAX_BROADCAST_ROWS))
+    joined = named.groupBy(ROW).agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "token").alias("t")))),
@@ -52,11 +65,7 @@ def _normalise_by_join(df, text, lemmas, row_key, out):
         ).alias("_joined")
     )
     empty = F.when(F.col(text).isNotNull(), F.lit(""))
-    return (
-        df.join(joined, row_key, "left")
-        .withColumn(out, F.coalesce("_joined", empty))
-        .drop("_joined")
-    )
+    return joined_back(df, had_row, joined).withColumn(out, F.coalesce("_joined", empty)).drop("_joined")
 
 
 def compound(total) -> F.Column:
@@ -69,12 +78,13 @@ def polarity(df, text, lexicon, row_key, out="compound", rules=False, max_rows=M
 
     The valences are summed as integers, so the sum does not depend on the order of the rows.
     With ``rules`` a booster up to three tokens ahead strengthens or weakens a valence, and a
-    negator up to three tokens ahead flips and damps it.
+    negator up to three tokens ahead flips and damps it. The result is the same for lexicons of any
+    size and goes row by row; of several valences of a token the least counts.
     """
     lower = F.split(F.lower(F.col(text)), " ")
     table = Lookup.from_frame(lexicon, "token", "valence", max_rows)
     if table is None:
-        return _polarity_by_join(df, lower, text, lexicon, row_key, out, rules)
+        return _polarity_by_join(df, lower, text, lexicon, out, rules, max_rows)
     if rules:
         total = _rule_total(F.transform(lower, lambda t: let(table.get(t), lambda v: _mark(t, v))))
     else:
@@ -120,25 +130,26 @@ def _rule_total(marks):
     return let(marks, total).cast("double") / UNIT
 
 
-def _polarity_by_join(df, tokens, text, lexicon, row_key, out, rules):
-    """Large lexicon: tokens meet valences in a join, sums come back per post."""
-    exploded = df.select(*row_key, F.posexplode(tokens).alias("_pos", "token"))
-    scored = lookup_join(exploded, lexicon.select("token", "valence"), "token", [*row_key, "_pos"])
+def _polarity_by_join(df, tokens, text, lexicon, out, rules, max_rows):
+    """Large lexicon: tokens meet valences in a join, sums come back per row."""
+    had_row, df = ROW in df.columns, with_row_id(df)
+    exploded = df.select(ROW, F.posexplode(tokens).alias("_pos", "token"))
+    lexicon = unique_keys(lexicon, "token", "valence")
+    scored = lookup_join(exploded, lexicon, "token", [ROW, "_pos"], max_rows=min(max_rows, MAX_BROADCAST_ROWS))
     if rules:
-        # One ordered array per post: the rules look at neighbours inside a post only.
-        arrays = scored.groupBy(*row_key).agg(
+        # One ordered array per row: the rules look at neighbours inside a text only.
+        arrays = scored.groupBy(ROW).agg(
             F.array_sort(F.collect_list(F.struct("_pos", "token", "valence"))).alias("_w")
         )
 
         marks = F.transform("_w", lambda w: _mark(w["token"], w["valence"]))
-        totals = arrays.select(*row_key, _rule_total(marks).alias("_total"))
+        totals = arrays.select(ROW, _rule_total(marks).alias("_total"))
     else:
-        totals = scored.groupBy(*row_key).agg(
+        totals = scored.groupBy(ROW).agg(
             (F.coalesce(F.sum("valence"), F.lit(0)).cast("double") / 10).alias("_total")
         )
-    joined = df.join(totals, row_key, "left")
     missing = F.when(F.col(text).isNotNull(), F.lit(0.0))
-    return joined.withColumn(out, compound(F.coalesce("_total", missing))).drop("_total")
+    return joined_back(df, had_row, totals).withColumn(out, compound(F.coalesce("_total", missing))).drop("_total")
 
 
 def score_histogram(df: DataFrame, score="score", count=None, by=()) -> DataFrame:

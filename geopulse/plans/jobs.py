@@ -17,7 +17,7 @@ from geopulse.constants import (
     TOPICS,
     TOTAL_OFFENCES,
 )
-from geopulse.functions.lookup import MAX_LOOKUP_ROWS
+from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup
 from geopulse.functions.scalars import mentions, score_bin
 from geopulse.functions.text import SPACE, normalise_location, strip_social
 from geopulse.operators.docstore import id_partition
@@ -37,6 +37,7 @@ from geopulse.operators.official import describe5, drop_outliers
 from geopulse.operators.regions import join_regions, metric_layers, region_metrics
 from geopulse.operators.sentiment import normalise_text, polarity
 from geopulse.operators.views import topic_views
+from geopulse.plans.skew import ROW, fits, with_row_id
 from geopulse.schemas import POST_COLUMNS
 from geopulse.sources.posts import extract_fields, read_post_lines
 from geopulse.sources.sinks import save_gazetteer, write_batched
@@ -52,7 +53,8 @@ class Enrichers:
 
     ``keeps_text`` says that the normaliser never empties a text that is not blank. The job then
     leaves out its test for empty content, which would run the normaliser a second time, as
-    filters are moved below the columns they look at.
+    filters are moved below the columns they look at. ``joins`` says that a step joins its model:
+    the posts are then written down once, with a number for each, before the steps.
     """
 
     normaliser: Step
@@ -60,6 +62,7 @@ class Enrichers:
     scorer: Step
     resolver: PlaceResolver = field(default=None)
     keeps_text: bool = False
+    joins: bool = False
 
     @classmethod
     def from_tables(
@@ -77,16 +80,22 @@ class Enrichers:
         resolver = PlaceResolver(gazetteer, max_rows) if gazetteer is not None else None
         # A lemma could be empty only if the table says so.
         keeps = lemmas.where("lemma IS NULL OR trim(lemma) = ''").isEmpty()
-        return cls(normalise, detector, score, resolver, keeps)
+        joins = (
+            Lookup.from_frame(lemmas, "token", "lemma", max_rows) is None
+            or Lookup.from_frame(lexicon, "token", "valence", max_rows) is None
+            or (profiles is not None and not fits(profiles, max_rows))
+        )
+        return cls(normalise, detector, score, resolver, keeps, joins)
 
 
 def enrich(df: DataFrame, enrichers: Enrichers, text="text", row_key=("tid",)) -> DataFrame:
     """Content, language and nine-point score of posts with a stripped ``text``."""
     key = list(row_key)
-    out = enrichers.normaliser(df, text, key, "content")
+    out = with_row_id(df) if enrichers.joins else df
+    out = enrichers.normaliser(out, text, key, "content")
     out = enrichers.detector(out, "content", key, "lang")
     out = enrichers.scorer(out, "content", key, "_compound")
-    return out.withColumn("score", score_bin("_compound")).drop("_compound")
+    return out.withColumn("score", score_bin("_compound")).drop("_compound", ROW)
 
 
 def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="regex") -> DataFrame:
@@ -102,6 +111,8 @@ def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="r
     posts = posts.withColumn("text", strip_social("text"))
     posts = posts.where(F.rlike("text", F.lit(rf"[^{SPACE}]")))
     posts = posts.withColumn("_place", normalise_location(F.lower("location")))
+    if enrichers.joins:
+        posts = with_row_id(posts)
     posts = enrichers.resolver.resolve(posts, "_place", ["tid"], "_match")
     posts = posts.withColumn("sal", F.col("_match.sal"))
     if geo_only:

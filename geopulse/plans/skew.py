@@ -26,6 +26,20 @@ def lookup_join(left, right, key, row_key, how="left", max_rows=MAX_BROADCAST_RO
     return salted_join(left, right, key, row_key, how, salts)
 
 
+ROW = "_row"
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own (``ROW``), written down once.
+
+    Joins that take rows apart and put them together again go by this number and not by a key of
+    the data, which may repeat. A frame that has it already stays as it is.
+    """
+    if ROW in df.columns:
+        return df
+    return checkpointed(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def hot_keys(df: DataFrame, key: str, fraction=HOT_FRACTION) -> DataFrame:
     """Keys that hold at least ``fraction`` of the rows: never more than ``1/fraction`` of them."""
     counts = checkpointed(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")))
