@@ -103,30 +103,70 @@ HIDDEN_TAGS = ["script", "style", "template", "rt", "rp"]
 
 
 def _entity_names() -> Lookup:
-    names = {name.rstrip(";"): text for name, text in html.entities.html5.items()}
-    return Lookup.of(names, "string")
+    """Names that end with a semicolon."""
+    return Lookup.of({name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")}, "string")
+
+
+def _legacy_names() -> dict[str, str]:
+    """Names that also count without a semicolon, and as the beginning of a longer word."""
+    return {name: text for name, text in html.entities.html5.items() if not name.endswith(";")}
+
+
+def _windows_characters() -> dict[str, str]:
+    """What numbers 128 to 159 stand for: the characters of the Windows code page that has them."""
+    return {str(n): bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+REPLACEMENT = "\ufffd"
+
+
+def _character(digits: Column, base: int) -> Column:
+    """The character of a number of any length; what is no character becomes U+FFFD."""
+    short = F.regexp_replace(digits, "^0+", "")
+    # Seven digits hold every code in either base and fit a number.
+    code = F.when(F.length(short) <= 7, F.conv(F.concat(F.lit("0"), short), base, 10).cast("int")).otherwise(-1)
+    windows = Lookup.of(_windows_characters(), "string")
+
+    def decoded(n):
+        wrong = (n <= 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        own = windows.get(n.cast("string"))
+        return (
+            F.when(wrong, F.lit(REPLACEMENT))
+            .when(n.between(128, 159) & own.isNotNull(), own)
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32"))
+        )
+
+    return let(code, decoded)
 
 
 def _decode_references(text: Column) -> Column:
-    """Character references decoded once, left to right."""
-    names = _entity_names()
-    utf32 = "UTF-32"
+    """Character references decoded once, left to right, by the rules of HTML: a name with its
+    semicolon, else the longest old name the text begins with; a number of any length."""
+    names, legacy = _entity_names(), _legacy_names()
+    old = Lookup.of(legacy, "string")
+    longest = max(map(len, legacy))
+
+    def by_prefix(part):
+        tries = [
+            F.when(old.get(F.substring(part, 1, n)).isNotNull() & (F.length(part) >= n), F.lit(n)) for n in range(longest, 1, -1)
+        ]
+
+        def replaced(n):
+            return F.when(n.isNull(), F.concat(F.lit("&"), part)).otherwise(
+                F.concat(old.get(F.substring(part, F.lit(1), n)), F.regexp_replace(F.substring(part, n + 1, F.length(part)), "^;", ""))
+            )
+
+        return let(F.coalesce(*tries), replaced)
 
     def one(part):
-        decimal = F.regexp_extract(part, r"^#([0-9]{1,7});?", 1)
-        hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});?", 1)
-        name = F.regexp_extract(part, r"^([a-zA-Z][a-zA-Z0-9]*)", 1)
-        code = F.when(decimal != "", F.conv(decimal, 10, 16)).when(hexa != "", hexa)
-        known = names.get(name)
-        named_rest = F.regexp_replace(part, r"^[a-zA-Z][a-zA-Z0-9]*;?", "")
-        number_rest = F.regexp_replace(part, r"^#[xX]?[0-9a-fA-F]+;?", "")
+        decimal = F.regexp_extract(part, r"^#([0-9]+)", 1)
+        hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+)", 1)
+        known = names.get(F.regexp_extract(part, r"^([a-zA-Z][a-zA-Z0-9]*);", 1))
         return (
-            F.when(
-                code.isNotNull(),
-                F.concat(F.decode(F.unhex(F.lpad(code, 8, "0")), utf32), number_rest),
-            )
-            .when((name != "") & known.isNotNull(), F.concat(known, named_rest))
-            .otherwise(F.concat(F.lit("&"), part))
+            F.when(decimal != "", F.concat(_character(decimal, 10), F.regexp_replace(part, r"^#[0-9]+;?", "")))
+            .when(hexa != "", F.concat(_character(hexa, 16), F.regexp_replace(part, r"^#[xX][0-9a-fA-F]+;?", "")))
+            .when(known.isNotNull(), F.concat(known, F.regexp_replace(part, r"^[a-zA-Z][a-zA-Z0-9]*;", "")))
+            .otherwise(by_prefix(part))
         )
 
     def all_parts(parts):

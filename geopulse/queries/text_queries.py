@@ -7,7 +7,7 @@ from geopulse.functions import scalars, text
 from geopulse.operators import language, sentiment
 from geopulse.queries.registry import (
     SQL_LEMMAS, SQL_LEXICON, SQL_PROFILES, S, W, lemmas, lexicon, query, sql_bin, sql_compound,
-    sql_content, sql_detect, sql_place, sql_round, sql_strip,
+    sql_content, sql_detect, sql_place, sql_round, sql_strip, sql_tokens,
 )
 
 DECORATED = "text || ' @' || source || ' #' || lang || 'é http://x.org/' || doc_id || '?q=1 end'"
@@ -84,9 +84,18 @@ def sql_page_text(x):
     return f"replace({x}, chr(57344), '')"
 
 
-@query("html_to_text", f"SELECT page_id, {sql_page_text('html')} AS text FROM pages")
+# References that pages of these tables lack, and what they stand for.
+REFERENCES = "<p>&#0000000065;&#x00000042; &#9999999; &#0;&#xD800;&#128;&notit;&hearts;&#"
+REFERENCE_TEXT = "AB \ufffd \ufffd\ufffd€¬it;♥"
+
+
+@query(
+    "html_to_text",
+    f"SELECT page_id, {sql_page_text('html')} || '{REFERENCE_TEXT}' || chr(CAST(65 + page_id % 26 AS INTEGER)) AS text FROM pages",
+)
 def html_to_text(t):
-    return t.pages.select("page_id", text.html_to_text("html").alias("text"))
+    page = F.concat("html", F.lit(REFERENCES), (65 + F.col("page_id") % 26).cast("string"), F.lit(";</p>"))
+    return t.pages.select("page_id", text.html_to_text(page).alias("text"))
 
 
 @query(
@@ -154,12 +163,12 @@ _VARIED = (
 )
 
 
-def sql_polarity_rules():
+def sql_polarity_rules(lexicon=SQL_LEXICON, source="documents", key="doc_id"):
     boosters = ", ".join(f"('{w}', {s})" for w, s in sentiment.BOOSTERS.items())
     negators = ", ".join(f"'{w}'" if w != "n't" else "'n''t'" for w in sentiment.NEGATORS)
     lags = ", ".join(
-        f"lag(w, {k}) OVER (PARTITION BY doc_id ORDER BY pos) AS p{k}, "
-        f"lag(valence, {k}) OVER (PARTITION BY doc_id ORDER BY pos) AS v{k}" for k in (1, 2, 3)
+        f"lag(w, {k}) OVER (PARTITION BY {key} ORDER BY pos) AS p{k}, "
+        f"lag(valence, {k}) OVER (PARTITION BY {key} ORDER BY pos) AS v{k}" for k in (1, 2, 3)
     )
     boost = " + ".join(
         f"CASE WHEN v{k} IS NULL AND b{k}.s IS NOT NULL THEN b{k}.s * sign(valence) * {micro * 100} ELSE 0 END"
@@ -169,30 +178,108 @@ def sql_polarity_rules():
     damp = " * ".join(
         f"CASE WHEN v{k} IS NULL AND p{k} IN ({negators}) THEN -0.74 ELSE 1.0 END" for k in (1, 2, 3)
     )
-    return f"""WITH {SQL_LEXICON}, boosters(w, s) AS (VALUES {boosters}),
-    t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ ]+')) AS w,
+    return f"""WITH {lexicon}, boosters(w, s) AS (VALUES {boosters}),
+    t AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[^ ]+')) AS w,
                  generate_subscripts(regexp_extract_all(lower(text), '[^ ]+'), 1) AS pos FROM
-          (SELECT doc_id, {_VARIED} AS text FROM documents)),
-    v AS (SELECT doc_id, pos, t.w, valence FROM t LEFT JOIN lexicon ON t.w = token),
-    n AS (SELECT doc_id, pos, valence, {lags} FROM v),
-    x AS (SELECT doc_id, (valence * 10000000 + {boost}) / 100000000.0 * {damp} AS y
+          (SELECT {key}, {_VARIED} AS text FROM {source})),
+    v AS (SELECT {key}, pos, t.w, valence FROM t LEFT JOIN lexicon ON t.w = token),
+    n AS (SELECT {key}, pos, valence, {lags} FROM v),
+    x AS (SELECT {key}, (valence * 10000000 + {boost}) / 100000000.0 * {damp} AS y
           FROM n {joins} WHERE valence IS NOT NULL),
-    s AS (SELECT doc_id, sum(y) AS s0 FROM x GROUP BY doc_id)
-    SELECT d.doc_id, round(coalesce(s0, 0) / sqrt(coalesce(s0, 0) * coalesce(s0, 0) + 15.0), 6) AS compound
-    FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id"""
+    s AS (SELECT {key}, sum(y) AS s0 FROM x GROUP BY {key})
+    SELECT d.{key}, round(coalesce(s0, 0) / sqrt(coalesce(s0, 0) * coalesce(s0, 0) + 15.0), 6) AS compound
+    FROM {source} d LEFT JOIN s ON d.{key} = s.{key}"""
+
+
+def varied(text):
+    out = F.lower(text)
+    for word, other in [("in", "not"), ("for", "very"), ("de", "barely"), ("en", "never")]:
+        out = F.replace(out, F.lit(f" {word} "), F.lit(f" {other} "))
+    return F.trim(F.regexp_replace(out, rf"[{S}]+", " "))
 
 
 @query("polarity_rules", sql_polarity_rules())
 def polarity_rules(t):
-    varied = F.lower("text")
-    for word, other in [("in", "not"), ("for", "very"), ("de", "barely"), ("en", "never")]:
-        varied = F.replace(varied, F.lit(f" {word} "), F.lit(f" {other} "))
-    varied = F.trim(F.regexp_replace(varied, rf"[{S}]+", " "))
-    posts = t.documents.select("doc_id", varied.alias("content"))
+    posts = t.documents.select("doc_id", varied("text").alias("content"))
     scored = sentiment.polarity(posts, "content", lexicon(t.spark), ["doc_id"], rules=True)
     return scored.select("doc_id", F.round("compound", 6).alias("compound"))
 
 
+# --- the same with models that are joined: derived from the words of the texts, ids that repeat ------
+SQL_COPIES = """posts AS (SELECT doc_id || '/' || copy AS k, * FROM (
+    SELECT doc_id, 0 AS copy, text FROM documents UNION ALL
+    SELECT doc_id, 1, text || ' again the others' FROM documents WHERE doc_id % 3 = 0 UNION ALL
+    SELECT doc_id, 2, text FROM documents WHERE doc_id % 5 = 0))"""
+SQL_LARGE_LEMMAS = f"""lemmas AS (SELECT token, substr(token, 1, 4) AS lemma
+    FROM (SELECT DISTINCT unnest({sql_tokens('text')}) AS token FROM documents) WHERE regexp_full_match(token, '[a-z]{{6,}}'))"""
+SQL_LARGE_LEXICON = """lexicon AS (SELECT token, CAST((ascii(token) + 3 * ascii(substr(token, 2))) % 9 - 4 AS BIGINT) AS valence
+    FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS token FROM documents) WHERE regexp_full_match(token, '[a-z]{2,6}'))"""
+
+
+def copies(t):
+    """Texts of which many share their id with another, equal or different one."""
+    d = t.documents.select("doc_id", F.lit(0).alias("copy"), "text")
+    other = d.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("copy"), F.concat("text", F.lit(" again the others")).alias("text"))
+    return d.unionByName(other).unionByName(d.where("doc_id % 5 = 0").withColumn("copy", F.lit(2)))
+
+
+def large_lemmas(t):
+    """A lemma for every longer word; some stand twice, with a lemma that comes later in order."""
+    token = t.documents.select(F.explode(text.tokenise("text")).alias("token")).distinct()
+    token = token.where(F.rlike("token", F.lit("^[a-z]{6,}$")))
+    first = token.select("token", F.substring("token", 1, 4).alias("lemma"))
+    return first.unionByName(token.where(F.col("token").startswith("t")).select("token", F.lit("zz").alias("lemma")))
+
+
+def large_lexicon(t):
+    token = t.documents.select(F.explode(F.split(F.lower("text"), " ")).alias("token")).distinct()
+    token = token.where(F.rlike("token", F.lit("^[a-z]{2,6}$")))
+    value = (F.ascii("token") + 3 * F.ascii(F.substring("token", 2, 1))) % 9 - 4
+    first = token.select("token", value.cast("int").alias("valence"))
+    return first.unionByName(token.where(F.col("token").startswith("t")).select("token", F.lit(9).alias("valence")))
+
+
+@query(
+    "normalise_text_joined",
+    f"WITH {SQL_COPIES}, {SQL_LARGE_LEMMAS}, {sql_content('posts', 'k', 'text')} "
+    "SELECT doc_id, copy, content FROM posts JOIN content ON posts.k = content.k",
+)
+def normalise_text_joined(t):
+    out = sentiment.normalise_text(copies(t), "text", large_lemmas(t), ["doc_id"], max_rows=0)
+    return out.select("doc_id", "copy", "content")
+
+
+@query(
+    "polarity_joined",
+    f"WITH {SQL_COPIES}, {SQL_LARGE_LEXICON}, {sql_compound('posts', 'k', 'text')} "
+    "SELECT doc_id, copy, round(compound, 9) AS compound FROM posts JOIN polar ON posts.k = polar.k",
+)
+def polarity_joined(t):
+    scored = sentiment.polarity(copies(t), "text", large_lexicon(t), ["doc_id"], max_rows=0)
+    return scored.select("doc_id", "copy", F.round("compound", 9).alias("compound"))
+
+
+@query(
+    "polarity_rules_joined",
+    "WITH " + SQL_COPIES + ", found AS (" + sql_polarity_rules(SQL_LARGE_LEXICON, "posts", "k") + ") "
+    "SELECT doc_id, copy, compound FROM posts JOIN found ON posts.k = found.k",
+)
+def polarity_rules_joined(t):
+    posts = copies(t).withColumn("content", varied("text"))
+    scored = sentiment.polarity(posts, "content", large_lexicon(t), ["doc_id"], rules=True, max_rows=0)
+    return scored.select("doc_id", "copy", F.round("compound", 6).alias("compound"))
+
+
+@query(
+    "detect_lang_joined",
+    f"WITH {SQL_PROFILES}, {SQL_COPIES}, {sql_detect('posts', 'k', 'text')} "
+    "SELECT doc_id, copy, x.lang AS lang FROM posts LEFT JOIN detected x ON posts.k = x.k",
+)
+def detect_lang_joined(t):
+    profiles = language.train_lang(t.documents, "text", "lang")
+    return language.detect_lang(copies(t), "text", profiles, ["doc_id"], max_rows=0).select("doc_id", "copy", "lang")
+
+
 SCALED = "value / 250.0 - 1.0"
 
 
