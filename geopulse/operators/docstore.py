@@ -2,7 +2,7 @@
 
 ``version`` counts the revisions of a document. Update frames are usually far smaller than the
 table; joins are left to the planner, which broadcasts the small side by its size, so the table
-itself is not shuffled.
+itself is not shuffled. Update frames may repeat an id; a stated order says which row comes last.
 """
 
 from pyspark.sql import DataFrame
@@ -12,41 +12,42 @@ from geopulse.constants import ID_PARTITIONS
 from geopulse.session import checkpointed
 
 
-def upsert(base: DataFrame, updates: DataFrame, key="_id", order_col=None) -> DataFrame:
+def upsert(base: DataFrame, updates: DataFrame, order_col, key="_id") -> DataFrame:
     """Replace documents whose id exists, insert the others; each save is a new version.
 
     With several updates of one id the last by ``order_col`` stays, and all of them count as
-    revisions. Without ``order_col`` ids in ``updates`` must be unique.
+    revisions.
     """
     fields = [c for c in base.columns if c not in (key, "version")]
     latest = updates.groupBy(key).agg(
-        (F.max_by(F.struct(*fields), F.col(order_col)) if order_col else F.first(F.struct(*fields))).alias("_doc"),
-        F.count("*").alias("_saves"),
+        F.max_by(F.struct(*fields), F.col(order_col)).alias("_doc"), F.count("*").alias("_saves")
     )
-    old = base.join(updates.select(key).distinct(), key, "left_semi").select(key, F.col("version").alias("_old"))
-    changed = latest.join(old, key, "left").select(
+    saved = F.col("_saves").isNotNull()
+    stored = base.join(latest, key, "left").select(
         key,
-        *[F.col("_doc")[f].alias(f) for f in fields],
-        (F.coalesce("_old", F.lit(0)) + F.col("_saves")).alias("version"),
+        *[F.when(saved, F.col("_doc")[f]).otherwise(F.col(f)).alias(f) for f in fields],
+        (F.col("version") + F.coalesce("_saves", F.lit(0))).alias("version"),
     )
-    kept = base.join(updates.select(key), key, "left_anti")
-    return kept.select(key, *fields, "version").unionByName(changed)
+    new = latest.join(base.select(key), key, "left_anti")
+    new = new.select(key, *[F.col("_doc")[f].alias(f) for f in fields], F.col("_saves").alias("version"))
+    return stored.unionByName(new)
 
 
-def bulk_insert(base: DataFrame, new: DataFrame, key="_id", order_col=None):
-    """Insert documents with unknown ids. Returns ``(inserted, conflicts)``.
+def bulk_insert(base: DataFrame, new: DataFrame, order_col=None, key="_id"):
+    """Insert documents with unknown ids as version 1. Returns ``(inserted, conflicts)``.
 
-    A document whose id is stored already, or came earlier in the same batch, is a conflict and
-    is not stored. Documents without an id must be given one first, see
-    :func:`with_generated_ids`.
+    A document whose id is stored already, or came earlier in the same batch (by ``order_col``, then
+    by its fields), is a conflict and is not stored. Documents without an id get one.
     """
-    fields = [c for c in new.columns if c != key]
-    order = F.col(order_col) if order_col else F.struct(*fields)
+    new = with_generated_ids(new, key)
+    fields = [c for c in new.columns if c not in (key, "version")]
+    order = F.struct(*([order_col] if order_col else []), *fields)
     packed = new.select(key, F.struct(*fields).alias("_doc"), order.alias("_ord"))
     grouped = packed.groupBy(key).agg(F.min_by("_doc", "_ord").alias("_doc"), F.count("*").alias("_copies"))
     known = base.select(key)
-    inserted = grouped.join(known, key, "left_anti").select(key, "_doc.*")
-    repeated = grouped.join(known, key, "left_anti").where("_copies > 1").select(key, (F.col("_copies") - 1).alias("rejected"))
+    fresh = grouped.join(known, key, "left_anti")
+    inserted = fresh.select(key, "_doc.*", F.lit(1).cast("bigint").alias("version"))
+    repeated = fresh.where("_copies > 1").select(key, (F.col("_copies") - 1).alias("rejected"))
     stored = grouped.join(known, key, "left_semi").select(key, F.col("_copies").alias("rejected"))
     return inserted, stored.unionByName(repeated)
 
@@ -66,24 +67,31 @@ def delete_documents(df: DataFrame, ids: DataFrame, key="_id"):
     return df.join(wanted, key, "left_anti"), wanted.distinct().join(df.select(key), key, "left_anti")
 
 
-def patch(base: DataFrame, patches: DataFrame, key="_id", given="fields"):
+def patch(base: DataFrame, patches: DataFrame, order_col, key="_id", given="fields"):
     """Overwrite the fields each patch row names in its array ``given``, also with NULL.
 
+    Of several patches of one field the last by ``order_col`` counts; each patch is a revision.
     Returns ``(patched table, ids that do not exist)``; missing ids are not inserted.
     """
-    changes = [c for c in patches.columns if c not in (key, given)]
-    renamed = patches.select(
-        key, F.col(given).alias("_given"), *[F.col(c).alias(f"_new_{c}") for c in changes]
-    )
-    joined = base.join(renamed, key, "left")
+    changes = [c for c in patches.columns if c not in (key, given, order_col) and c in base.columns]
+
+    def last(c):
+        # Rows that do not name the field have no place in its order.
+        at = F.when(F.array_contains(given, c), F.struct(order_col))
+        return F.max_by(F.struct(F.col(c).alias("value")), at).alias(f"_new_{c}")
+
+    reduced = patches.groupBy(key).agg(F.count("*").alias("_saves"), *[last(c) for c in changes])
+    joined = base.join(reduced, key, "left")
 
     def value(c):
+        if c == "version":
+            return (F.col(c) + F.coalesce("_saves", F.lit(0))).alias(c)
         if c not in changes:
             return F.col(c)
-        named = F.array_contains("_given", c)
-        return F.when(named, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+        new = F.col(f"_new_{c}")
+        return F.when(new.isNotNull(), new["value"]).otherwise(F.col(c)).alias(c)
 
-    missing = patches.select(key).join(base.select(key), key, "left_anti")
+    missing = patches.select(key).distinct().join(base.select(key), key, "left_anti")
     return joined.select(*[value(c) for c in base.columns]), missing
 
 

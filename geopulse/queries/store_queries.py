@@ -17,7 +17,7 @@ def base(t):
 
 def updates(t):
     """Orders that write to customers: some known, some new, several per customer."""
-    return t.orders.where("o_orderkey % 10 = 0").select(
+    return t.orders.select(
         F.when(F.col("o_orderkey") % 30 == 0, F.concat(F.lit("n"), "o_custkey"))
         .otherwise(F.col("o_custkey").cast("string")).alias("_id"),
         F.col("o_orderpriority").alias("c_name"), F.col("o_orderstatus").alias("c_mktsegment"),
@@ -28,7 +28,7 @@ def updates(t):
 SQL_BASE = """b AS (SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name, c_mktsegment,
     CAST(round(c_acctbal * 100) AS BIGINT) AS cents, CAST(1 AS BIGINT) AS version FROM customer)"""
 SQL_UPDATES = """u AS (SELECT CASE WHEN o_orderkey % 30 = 0 THEN 'n' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS _id,
-    o_orderpriority AS c_name, o_orderstatus AS c_mktsegment, o_orderkey AS cents FROM orders WHERE o_orderkey % 10 = 0)"""
+    o_orderpriority AS c_name, o_orderstatus AS c_mktsegment, o_orderkey AS cents FROM orders)"""
 
 
 @query(
@@ -49,13 +49,27 @@ def upsert(t):
     "bulk_insert",
     f"""WITH {SQL_BASE}, {SQL_UPDATES},
     r AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY cents) AS rk FROM u)
-    SELECT _id, c_name, c_mktsegment, cents FROM r WHERE rk = 1 AND _id NOT IN (SELECT _id FROM b)""",
+    SELECT _id, c_name, c_mktsegment, cents, CAST(1 AS BIGINT) AS version FROM r
+    WHERE rk = 1 AND _id NOT IN (SELECT _id FROM b)""",
 )
 def bulk_insert(t):
     inserted, _ = docstore.bulk_insert(base(t), updates(t), order_col="ord")
     return inserted.drop("ord")
 
 
+@query(
+    "bulk_without_ids",
+    """SELECT o_orderpriority AS c_name, count(*) AS documents, count(*) AS ids FROM orders
+    WHERE o_orderkey % 3 = 0 GROUP BY o_orderpriority""",
+)
+def bulk_without_ids(t):
+    """A third of the documents come without an id; all of them are stored, each under its own."""
+    new = updates(t).withColumn("_id", F.when(F.col("cents") % 3 != 0, F.concat(F.lit("o"), "cents")))
+    inserted, _ = docstore.bulk_insert(base(t), new, order_col="ord")
+    minted = inserted.where(~F.col("_id").startswith("o"))
+    return minted.groupBy("c_name").agg(F.count("*").alias("documents"), F.countDistinct("_id").alias("ids"))
+
+
 @query(
     "bulk_conflicts",
     f"""WITH {SQL_BASE}, {SQL_UPDATES}, c AS (SELECT _id, count(*) AS n FROM u GROUP BY _id)
@@ -91,30 +105,33 @@ def delete_missing(t):
 
 
 def patches(t):
-    """Suppliers patch the customer of the same number: a new name, or an explicit NULL segment."""
-    return t.supplier.select(
-        F.when(F.col("s_suppkey") % 10 == 0, F.concat(F.lit("x"), "s_suppkey"))
-        .otherwise(F.col("s_suppkey").cast("string")).alias("_id"),
-        F.col("s_name").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"),
-        F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("c_name")))
-        .otherwise(F.array(F.lit("c_name"), F.lit("c_mktsegment"))).alias("fields"),
+    """Orders patch their customer, most of them several times: a new name, or an explicit NULL segment."""
+    order = F.col("o_orderkey")
+    return t.orders.select(
+        F.when(order % 10 == 0, F.concat(F.lit("x"), "o_custkey")).otherwise(F.col("o_custkey").cast("string")).alias("_id"),
+        F.col("o_orderpriority").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"),
+        F.when(order % 2 == 0, F.array(F.lit("c_name")))
+        .when(order % 7 == 0, F.array(F.lit("c_name"), F.lit("c_mktsegment"))).otherwise(F.array().cast("array<string>")).alias("fields"),
+        order.alias("ord"),
     )
 
 
 @query(
     "patch",
-    f"""WITH {SQL_BASE}, p AS (SELECT CAST(s_suppkey AS VARCHAR) AS _id, s_name, s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0)
-    SELECT b._id, coalesce(s_name, c_name) AS c_name,
-    CASE WHEN s_suppkey % 2 = 1 THEN NULL ELSE c_mktsegment END AS c_mktsegment, cents, version
-    FROM b LEFT JOIN p ON b._id = p._id""",
+    f"""WITH {SQL_BASE}, p AS (SELECT CAST(o_custkey AS VARCHAR) AS _id, count(*) AS saves,
+        arg_max(o_orderpriority, o_orderkey) FILTER (WHERE o_orderkey % 2 = 0 OR o_orderkey % 7 = 0) AS name,
+        count(*) FILTER (WHERE o_orderkey % 2 = 1 AND o_orderkey % 7 = 0) AS nulled
+        FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY o_custkey)
+    SELECT b._id, coalesce(name, c_name) AS c_name, CASE WHEN nulled > 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+    cents, version + coalesce(saves, 0) AS version FROM b LEFT JOIN p ON b._id = p._id""",
 )
 def patch(t):
-    return docstore.patch(base(t), patches(t))[0]
+    return docstore.patch(base(t), patches(t), "ord")[0]
 
 
-@query("patch_missing", "SELECT 'x' || s_suppkey AS _id FROM supplier WHERE s_suppkey % 10 = 0")
+@query("patch_missing", "SELECT DISTINCT 'x' || o_custkey AS _id FROM orders WHERE o_orderkey % 10 = 0")
 def patch_missing(t):
-    return docstore.patch(base(t), patches(t))[1]
+    return docstore.patch(base(t), patches(t), "ord")[1]
 
 
 @query("last_documents", "SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 25")
