@@ -20,7 +20,7 @@ from geopulse.constants import (
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup
 from geopulse.functions.scalars import mentions, score_bin
 from geopulse.functions.text import SPACE, normalise_location, strip_social
-from geopulse.operators.docstore import id_partition
+from geopulse.operators.docstore import bulk_insert, id_partition
 from geopulse.operators.filters import (
     drop_all_null,
     drop_any_null,
@@ -41,6 +41,7 @@ from geopulse.plans.skew import ROW, fits, with_row_id
 from geopulse.schemas import POST_COLUMNS
 from geopulse.sources.posts import extract_fields, read_post_lines
 from geopulse.sources.sinks import save_gazetteer, write_batched
+from geopulse.session import checkpointed
 from geopulse.sources.tables import read_place_dict
 
 # A step takes posts, the text column, the row key and the output column, and adds that column.
@@ -124,11 +125,22 @@ def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="r
     return posts.select(*POST_COLUMNS)
 
 
-def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode="regex"):
-    """Read a dump, clean it and store it, one folder per id partition."""
+def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode="regex") -> DataFrame:
+    """Read a dump, clean it and store what is new, one folder per id partition.
+
+    A post whose ``_id`` is stored already, or that comes again in the dump, is a conflict and is not
+    stored; the first by date and then by its fields stays. Returns the conflicts: ``_id, rejected``.
+    """
     posts = ingest_posts(read_post_lines(spark, path), enrichers, geo_only, mode)
-    partitioned = posts.withColumn("partition", F.substring_index("_id", ":", 1).cast("int"))
-    write_batched(partitioned, store, partition_by=["partition"])
+    partition = F.substring_index("_id", ":", 1).cast("int")
+    posts = posts.withColumn("partition", partition)
+    # An empty store, so that the first dump can look for stored ids.
+    posts.limit(0).write.mode("ignore").partitionBy("partition").parquet(store)
+    stored = spark.read.schema(posts.schema).parquet(store)
+    inserted, conflicts = bulk_insert(stored, posts, "date")
+    conflicts = checkpointed(conflicts)
+    write_batched(inserted.drop("version"), store, partition_by=["partition"])
+    return conflicts
 
 
 def gazetteer_job(spark: SparkSession, path, out) -> DataFrame:

@@ -13,7 +13,9 @@ from geopulse.queries.registry import (
     sql_compound, sql_content, sql_detect, sql_mentions, sql_place, sql_strip,
 )
 from geopulse.queries.source_queries import SQL_LINE_FIELDS, post_lines
-from geopulse.queries.text_queries import sql_page_text
+from geopulse.queries.text_queries import (
+    SQL_LARGE_LEMMAS, SQL_LARGE_LEXICON, large_lemmas, large_lexicon, sql_page_text,
+)
 from geopulse.queries.view_queries import STATS
 from geopulse.session import scratch_path
 from geopulse.streaming import harvest, live_view
@@ -63,11 +65,32 @@ def ingest_geo(t):
     return t.spark.read.parquet(store).drop("partition")
 
 
+@query("ingest_posts_joined", sql_ingest("").replace(SQL_LEMMAS, SQL_LARGE_LEMMAS).replace(SQL_LEXICON, SQL_LARGE_LEXICON))
+def ingest_posts_joined(t):
+    """All models too large for a lookup: every step joins, and the dump is read once."""
+    profiles = train_lang(t.documents, "text", "lang")
+    steps = Enrichers.from_tables(large_lemmas(t), large_lexicon(t), profiles, build_gazetteer(places(t)), max_rows=0)
+    return ingest_posts(post_lines(t), steps)
+
+
+@query("ingest_twice", sql_ingest(""))
+def ingest_twice(t):
+    """A dump with repeated lines, and a second one that overlaps: each post is stored once."""
+    store, steps = scratch_path(t.spark, "store"), enrichers(t)
+    lines = post_lines(t)
+    half = F.pmod(F.crc32("value"), F.lit(2)) == 0
+    for dump in (lines.where(half).unionByName(lines.where(half)), lines):
+        raw = scratch_path(t.spark, "raw")
+        dump.write.text(raw)
+        ingest_job(t.spark, raw, store, steps)
+    return t.spark.read.parquet(store).drop("partition")
+
+
 def statuses(t):
     """Conversation turns as statuses; the role stands for the server."""
     return t.conversations.selectExpr(
         "role AS server", "conv_id * 1000 + turn AS id", "TIMESTAMP '2023-05-01 00:00:00' AS created_at",
-        "'en' AS language", "concat('<p>', text, '</p><p>Q&amp;A</p>') AS content",
+        "'en' AS language", "concat('<p>', text, '</p><p>Q&amp;A</p><p>&#9999999;&#0000065;&notit;</p>') AS content",
         "named_struct('id', conv_id) AS account", "array('a', role) AS tags",
     )
 
@@ -75,7 +98,7 @@ def statuses(t):
 SQL_TOOTS = f"""{SQL_LEMMAS}, {SQL_LEXICON},
     st AS (SELECT role AS server, conv_id * 1000 + turn AS tid, conv_id,
                   role || '/' || (conv_id * 1000 + turn) AS k,
-                  {sql_page_text("'<p>' || text || '</p><p>Q&amp;A</p>'")} AS text FROM conversations),
+                  {sql_page_text("'<p>' || text || '</p><p>Q&amp;A</p>'")} || chr(65533) || 'A¬it;' AS text FROM conversations),
     {sql_content('st', 'k', 'text')},
     {sql_compound('content', 'k')},
     toots AS (SELECT server, tid, '2023-05-01T00:00:00.000Z' AS date, CAST(conv_id AS VARCHAR) AS author, 'en' AS lang,

@@ -57,7 +57,7 @@ def insert_new(store_path, key=("server", "tid")):
     """Micro-batch sink that stores each ``(server, tid)`` once, also when a batch is replayed.
 
     The batch is small against the store. Its id range becomes a constant filter, so the scan of
-    stored keys skips all row groups and server folders the batch cannot touch.
+    stored keys skips all row groups the batch cannot touch.
     """
     server, tid = key
 
@@ -68,12 +68,12 @@ def insert_new(store_path, key=("server", "tid")):
             ends = batch.agg(F.min(tid).alias("lo"), F.max(tid).alias("hi")).first()
             if ends.lo is None:
                 return
-            servers = [r[0] for r in batch.select(server).distinct().limit(1000).collect()]
             stored = spark.read.schema(TOOT).parquet(store_path)
-            near = stored.where(F.col(tid).between(ends.lo, ends.hi))
-            if len(servers) < 1000:
-                near = near.where(F.col(server).isin(servers))
-            fresh = batch.dropDuplicates(list(key)).join(near.select(*key), list(key), "left_anti")
+            near = stored.where(F.col(tid).between(ends.lo, ends.hi)).select(*key)
+            # Of copies in one batch the first by date and then by its fields stays.
+            rest = [c for c in batch.columns if c not in key]
+            first = F.min_by(F.struct(*rest), F.struct("date", *rest)).alias("_first")
+            fresh = batch.groupBy(*key).agg(first).select(*key, "_first.*").join(near, list(key), "left_anti")
             fresh.write.mode("append").partitionBy(server).parquet(store_path)
         finally:
             batch.unpersist()
