@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from geopulse.constants import INVALID_SCORE, SCORE_LABELS
+from geopulse.functions.lookup import let
 
 
 def _col(col) -> Column:
@@ -43,19 +44,31 @@ def score_label(col) -> Column:
     return out.otherwise(INVALID_SCORE)
 
 
+def _any_of(lowered, topic_words) -> Column:
+    if topic_words is None:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in topic_words])
+
+
 def mentions(col, topic_words) -> Column:
     """Lower-cased text contains any of the words; ``None`` stands for every post."""
-    text = _col(col)
     if topic_words is None:
         return F.lit(True)
-    lowered = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in topic_words])
+    return let(F.lower(_col(col)), lambda lowered: _any_of(lowered, topic_words))
+
+
+def topic_flags(col, topics) -> Column:
+    """Struct of one flag for each topic; the text is lower-cased once for all of them."""
+    return let(
+        F.lower(_col(col)),
+        lambda lowered: F.struct(*[_any_of(lowered, words).alias(name) for name, words in topics.items()]),
+    )
 
 
 def topic_title(col, topic_words, name) -> Column:
     """``<Name>Mentioned`` or ``<Name>Absent``; NULL for a missing text."""
-    flag = mentions(col, topic_words)
-    return F.when(flag, f"{name}Mentioned").when(~flag, f"{name}Absent")
+    titles = [F.lit(f"{name}Mentioned"), F.lit(f"{name}Absent")]
+    return let(mentions(col, topic_words), lambda flag: F.when(flag, titles[0]).when(~flag, titles[1]))
 
 
 def key_part(col, index=0) -> Column:

@@ -5,8 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.constants import TOPICS
-from geopulse.functions.scalars import mentions, round_half_even, topic_title
+from geopulse.constants import CRIME_WORDS_V1, TOPICS
+from geopulse.functions.scalars import mentions, round_half_even, topic_flags, topic_title
 
 
 def _col(col) -> Column:
@@ -77,24 +77,29 @@ def topic_view(posts, topic, key_cols=("sal",), level=None, text="content", valu
 
 def topic_views(posts, topics=None, by="sal", text="content", value="score") -> DataFrame:
     """Count and average score of every topic per region, in one scan and one shuffle."""
+    topics = topics or TOPICS
+    flagged = posts.select(by, _col(value).alias("_value"), topic_flags(text, topics).alias("_topics"))
     aggs = []
-    for name, topic_words in (topics or TOPICS).items():
-        s = stats(value, mentions(text, topic_words))
+    for name in topics:
+        s = stats("_value", F.col("_topics")[name])
         # No post of the topic: NULL, as after a left join with a view that lacks the region.
         count = F.nullif(s["count"], F.lit(0))
         aggs += [
             count.alias(f"count {name}"),
             average_sentiment(s["sum"], count).alias(f"average_sentiment({name})"),
         ]
-    return posts.groupBy(by).agg(*aggs)
+    return flagged.groupBy(by).agg(*aggs)
+
+
+# The split by presence has an older list for crime.
+SPLIT_TOPICS = {**TOPICS, "crime": CRIME_WORDS_V1}
 
 
 def topic_split(posts, topic, by=("sal",), text="content", value="score", words=None) -> DataFrame:
     """Statistics of posts that mention the topic and of those that do not."""
-    topic_words = TOPICS[topic] if words is None else words
-    titled = posts.withColumn("title", topic_title(text, topic_words, topic.capitalize()))
-    titled = titled.where(F.col("title").isNotNull())
-    return view(titled, ["title", *by], value)
+    topic_words = SPLIT_TOPICS[topic] if words is None else words
+    present = posts.where(_col(text).isNotNull())
+    return view(present.withColumn("title", topic_title(text, topic_words, topic.capitalize())), ["title", *by], value)
 
 
 def hierarchy(df, cols, value=None) -> DataFrame:

@@ -18,7 +18,7 @@ from geopulse.constants import (
     TOTAL_OFFENCES,
 )
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup
-from geopulse.functions.scalars import mentions, score_bin
+from geopulse.functions.scalars import score_bin, topic_flags
 from geopulse.functions.text import SPACE, normalise_location, strip_social
 from geopulse.operators.docstore import bulk_insert, id_partition
 from geopulse.operators.filters import (
@@ -33,7 +33,7 @@ from geopulse.operators.filters import (
 )
 from geopulse.operators.gazetteer import PlaceResolver, build_gazetteer
 from geopulse.operators.language import LanguageDetector
-from geopulse.operators.official import describe5, drop_outliers
+from geopulse.operators.official import area_correlation, count_bands, describe5, drop_outliers, extremes
 from geopulse.operators.regions import join_regions, metric_layers, region_metrics
 from geopulse.operators.sentiment import normalise_text, polarity
 from geopulse.operators.views import topic_views
@@ -173,12 +173,13 @@ def topic_map_job(posts, regions, code, name, state_col, state=STATE_OF_INTEREST
 def crime_table(official, metrics=None, total=TOTAL_OFFENCES) -> DataFrame:
     """Cleaned crime table with the total of all offences.
 
-    The fences come from all areas, before any join with boundaries.
+    The fences come from all areas, before any join with boundaries. The table without repeats is
+    written down once: description, filter and all that follows read it from there.
     """
     metrics = OFFENCES if metrics is None else metrics
     cols = list(metrics.values())
     numbers = [f.name for f in official.schema if isinstance(f.dataType, NumericType)]
-    clean = fill_zero(official, numbers).dropDuplicates().withColumnsRenamed(metrics)
+    clean = checkpointed(fill_zero(official, numbers).dropDuplicates().withColumnsRenamed(metrics))
     return row_sum(drop_outliers(clean, cols), cols, total)
 
 
@@ -201,8 +202,8 @@ def income_table(official, regions, code, region_code, state_col, state=STATE_OF
     """
     metrics, fenced = metrics or INCOME_METRICS, fenced or INCOME_FENCED
     clean = drop_any_null(official).dropDuplicates()
-    areas = in_state(join_regions(clean, in_state(regions, state, state_col), code, region_code), state, state_col)
-    return drop_outliers(areas, fenced).dropDuplicates()
+    areas = join_regions(clean, in_state(regions, state, state_col), code, region_code)
+    return drop_outliers(checkpointed(areas.dropDuplicates()), fenced)
 
 
 def income_map_job(official, regions, code, region_code, id_cols, state_col, state=STATE_OF_INTEREST, metrics=None, fenced=None):
@@ -211,6 +212,42 @@ def income_map_job(official, regions, code, region_code, id_cols, state_col, sta
     return metric_layers(table, id_cols, metrics)
 
 
+def scenario_job(posts, official, code, metrics, topics=None, by="sal", official_code=None) -> dict[str, DataFrame]:
+    """Posts against an official table, area by area.
+
+    Returns ``table`` (topic metrics and official metrics of the areas both know), ``bands`` (areas by
+    count of posts, for each topic), ``correlations`` (average sentiment of each topic with each official
+    metric) and ``extremes`` (area with the greatest and least value of every metric).
+    """
+    topics = topics or TOPICS
+    official_code = official_code or code
+    areas = official.select(F.col(official_code).cast("string").alias(code), *[F.col(m).cast("double").alias(m) for m in metrics])
+    seen = topic_views(posts, topics, by).withColumnRenamed(by, code).withColumn(code, F.col(code).cast("string"))
+    # One row for each area, used by three reports.
+    table = checkpointed(seen.join(areas, code))
+    bands = [count_bands(table, f"`count {t}`").withColumn("topic", F.lit(t)) for t in topics]
+    averages = [f"average_sentiment({t})" for t in topics]
+    pairs = [
+        compare_columns(table, f"`{a}`", m).select(F.lit(a).alias("posts"), F.lit(m).alias("official"), "correlation", "areas")
+        for a in averages
+        for m in metrics
+    ]
+    columns = {c: f"m{i}" for i, c in enumerate([*topic_columns(topics), *metrics])}
+    plain = table.select(code, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in columns.items()])
+    names = F.create_map(*[F.lit(x) for c, n in columns.items() for x in (n, c)])
+    ends = extremes(plain, code, list(columns.values())).withColumn("metric", names[F.col("metric")])
+    return {
+        "table": table,
+        "bands": reduce(DataFrame.unionByName, bands),
+        "correlations": reduce(DataFrame.unionByName, pairs),
+        "extremes": ends,
+    }
+
+
+def compare_columns(table, x, y):
+    return area_correlation(table.select(F.col(x).alias("x"), F.col(y).alias("y")), "x", "y")
+
+
 def score_distributions(datasets: dict[str, DataFrame], wanted: dict[str, list], topics=None, text="content", score="score"):
     """Score histogram per dataset and topic, with zeros, also for a topic nobody mentions.
 
@@ -219,13 +256,15 @@ def score_distributions(datasets: dict[str, DataFrame], wanted: dict[str, list],
     words = topics or TOPICS
     parts = []
     for name, posts in datasets.items():
-        # One scan per dataset: a post counts once for every topic it belongs to.
-        cells = [
-            F.count(F.when(mentions(text, words[t]) & (F.col(score) == s), 1)).alias(f"{t}\t{s}")
-            for t in wanted[name]
-            for s in SCORE_LABELS
-        ]
-        long = posts.agg(*cells).unpivot([], [f"{t}\t{s}" for t in wanted[name] for s in SCORE_LABELS], "cell", "count")
+        flags = topic_flags(text, {t: words[t] for t in wanted[name]})
+        flagged = posts.select(F.col(score).alias("score"), flags.alias("_topics"))
+        # One scan per dataset: posts of each topic are counted per score, then scores become cells.
+        counted = flagged.groupBy("score").agg(*[F.count(F.when(F.col("_topics")[t], 1)).alias(t) for t in wanted[name]])
+        cells = {(t, s): f"{t}\t{s}" for t in wanted[name] for s in SCORE_LABELS}
+        wide = counted.agg(
+            *[F.coalesce(F.sum(F.when(F.col("score") == s, F.col(t))), F.lit(0)).alias(c) for (t, s), c in cells.items()]
+        )
+        long = wide.unpivot([], list(cells.values()), "cell", "count")
         at = F.split("cell", "\t")
         parts.append(
             long.select(

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from geopulse.constants import SERVERS
 from geopulse.operators import views
 from geopulse.operators.filters import drop_all_null, in_state, ready_for_join
 from geopulse.operators.regions import metric_layers, region_metrics
-from geopulse.plans.jobs import score_distributions, topic_columns, topic_map_job, topic_region_table
+from geopulse.plans.jobs import scenario_job, score_distributions, topic_columns, topic_map_job, topic_region_table
 from geopulse.queries.registry import (
     SQL_AREAS, SQL_LEXICON, SQL_POSTS, TOPIC_WORDS, lexicon, query, sql_bin, sql_compound,
     sql_mentions, sql_round, sql_strip,
@@ -184,17 +185,17 @@ def hierarchy(t):
     "region_left_joins",
     f"""WITH a AS ({SQL_AREAS}),
     c AS (SELECT CAST(c_nationkey AS VARCHAR) AS code, count(*) AS customers FROM customer
-          WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey),
+          GROUP BY c_nationkey),
     s AS (SELECT CAST(s_nationkey AS VARCHAR) AS code, count(*) AS suppliers FROM supplier
-          WHERE s_acctbal > 8000 GROUP BY s_nationkey)
+          GROUP BY s_nationkey)
     SELECT a.code, name, state, customers, suppliers FROM a LEFT JOIN c ON a.code = c.code
     LEFT JOIN s ON a.code = s.code WHERE state = 'ASIA' AND (customers IS NOT NULL OR suppliers IS NOT NULL)""",
 )
 def region_left_joins(t):
-    customers = t.customer.where("c_mktsegment = 'BUILDING'").groupBy(
+    customers = t.customer.groupBy(
         F.col("c_nationkey").alias("code")
     ).agg(F.count("*").alias("customers"))
-    suppliers = t.supplier.where("s_acctbal > 8000").groupBy(
+    suppliers = t.supplier.groupBy(
         F.col("s_nationkey").alias("code")
     ).agg(F.count("*").alias("suppliers"))
     joined = region_metrics(
@@ -261,12 +262,16 @@ def topic_map(t):
     )
 
 
-DATASETS = {"posts": ["crime", "income", "sentiment"], "toots": ["income", "sentiment"]}
+SERVER_TOPICS = ["income", "sentiment"]
+# Three distributions of posts, and two for each of three servers.
+ROLES = {"SOCIAL": "system", "AU": "user", "TICTOC_SOCIAL": "assistant"}
+DATASETS = {"posts": ["crime", "income", "sentiment"], **dict.fromkeys(SERVERS, SERVER_TOPICS)}
 
 
 def _sql_distributions():
     parts = []
-    sources = {"posts": f"({SQL_POSTS})", "toots": "(SELECT text AS content, CAST(length(text) % 9 + 1 AS INTEGER) AS score FROM conversations)"}
+    turns = "(SELECT text AS content, CAST(length(text) % 9 + 1 AS INTEGER) AS score FROM conversations WHERE role = '{}')"
+    sources = {"posts": f"({SQL_POSTS})", **{server: turns.format(role) for server, role in ROLES.items()}}
     for dataset, topics in DATASETS.items():
         for topic in topics:
             words = TOPIC_WORDS[topic]
@@ -281,7 +286,52 @@ def _sql_distributions():
 
 @query("score_distributions", _sql_distributions())
 def score_distributions_query(t):
+    """All nine: the role of a turn stands for the server."""
     toots = t.conversations.select(
-        F.col("text").alias("content"), (F.length("text") % 9 + 1).cast("int").alias("score")
+        "role", F.col("text").alias("content"), (F.length("text") % 9 + 1).cast("int").alias("score")
+    )
+    servers = {server: toots.where(F.col("role") == ROLES[server]) for server in SERVERS}
+    return score_distributions({"posts": t.posts, **servers}, DATASETS, TOPIC_WORDS)
+
+
+SQL_SCENARIO = f"""WITH p AS ({SQL_AREA_POSTS}), m AS ({sql_topic_views('p', 'sal')}),
+    o AS (SELECT CAST(c_nationkey AS VARCHAR) AS code, CAST(count(*) AS DOUBLE) AS customers,
+          CAST(max(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) AS top FROM customer GROUP BY c_nationkey),
+    w AS (SELECT * FROM m JOIN o ON sal = code)"""
+
+
+def _sql_scenario():
+    parts = []
+    for topic in TOPIC_WORDS:
+        n = f'"count {topic}"'
+        band = f"CASE WHEN {n} <= 10 THEN '1-10' WHEN {n} <= 100 THEN '10-100' ELSE '>100' END"
+        parts.append(f"SELECT 'bands' AS report, '{topic}' AS a, {band} AS b, CAST(count(*) AS DOUBLE) AS x FROM w WHERE {n} >= 1 GROUP BY 3")
+        for metric in ("customers", "top"):
+            y = f'"average_sentiment({topic})"'
+            parts.append(
+                f"SELECT 'correlations', 'average_sentiment({topic})', '{metric}', round(corr({y}, {metric}), 6) FROM w WHERE {y} IS NOT NULL"
+            )
+    for metric in [*topic_columns(TOPIC_WORDS), "customers", "top"]:
+        for end, order in (("highest", "DESC"), ("lowest", "ASC")):
+            parts.append(f"SELECT * FROM (SELECT 'extremes', '{metric} {end}', code, CAST(\"{metric}\" AS DOUBLE) FROM w WHERE \"{metric}\" IS NOT NULL ORDER BY \"{metric}\" {order}, code LIMIT 1)")
+    return SQL_SCENARIO + " " + " UNION ALL ".join(parts)
+
+
+@query("scenario_job", _sql_scenario())
+def scenario_job_query(t):
+    """The three reports of a scenario, one below the other."""
+    official = t.customer.groupBy(F.col("c_nationkey").alias("code")).agg(
+        F.count("*").alias("customers"), F.max(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("top")
+    )
+    found = scenario_job(area_posts(t.posts), official, "code", ["customers", "top"], TOPIC_WORDS)
+    ends = found["extremes"]
+
+    def rows(df, report, a, b, x):
+        return df.select(F.lit(report).alias("report"), a.alias("a"), b.alias("b"), x.cast("double").alias("x"))
+
+    return (
+        rows(found["bands"], "bands", F.col("topic"), F.col("band"), F.col("regions"))
+        .unionByName(rows(found["correlations"], "correlations", F.col("posts"), F.col("official"), F.round("correlation", 6)))
+        .unionByName(rows(ends, "extremes", F.concat("metric", F.lit(" highest")), F.col("highest"), F.col("highest_value")))
+        .unionByName(rows(ends, "extremes", F.concat("metric", F.lit(" lowest")), F.col("lowest"), F.col("lowest_value")))
     )
-    return score_distributions({"posts": t.posts, "toots": toots}, DATASETS, TOPIC_WORDS)
