@@ -64,18 +64,20 @@ def _anchored(gazetteer: DataFrame) -> DataFrame:
     Common words ("north", a state) then lead to few names, which keeps the fan-out of a
     frequent word small.
     """
+    # What a gazetteer table may lack is NULL in the entry.
+    more = [F.col(c) if c in gazetteer.columns else F.lit(None).cast("string").alias(c) for c in ("gcc", "real_loc")]
     names = gazetteer.where(F.col("sal") != "").select(
-        "location", "sal", F.split("location", " ").alias("words")
+        "location", F.struct("sal", *more).alias("entry"), F.split("location", " ").alias("words")
     )
-    each = names.select("location", "sal", "words", F.explode(F.array_distinct("words")).alias("anchor"))
+    each = names.select("location", "entry", "words", F.explode(F.array_distinct("words")).alias("anchor"))
     used = each.groupBy("anchor").agg(F.count("*").alias("used"))
     rarest = (
         each.join(used, "anchor")
         .groupBy("location")
-        .agg(F.min(F.struct("used", "anchor", "words", "sal")).alias("r"))
+        .agg(F.min(F.struct("used", "anchor", "words", "entry")).alias("r"))
         .select(
             F.col("r.anchor").alias("anchor"),
-            F.struct(F.col("r.words").alias("words"), "location", F.col("r.sal").alias("sal")).alias("name"),
+            F.struct(F.col("r.words").alias("words"), "location", F.col("r.entry").alias("entry")).alias("name"),
         )
     )
     return rarest
@@ -97,8 +99,9 @@ def _hit(place_words: Column, name: Column) -> Column:
     return F.struct(
         F.size(name["words"]).alias("n"),
         _leftmost_positions(place_words, name["words"]).alias("at"),
-        name["sal"].alias("sal"),
+        name["entry"]["sal"].alias("sal"),
         name["location"].alias("location"),
+        name["entry"].alias("entry"),
     )
 
 
@@ -118,7 +121,7 @@ class PlaceResolver:
         return self._lookup is not None
 
     def best(self, place: Column) -> Column:
-        """Struct ``(n, at, sal, location)`` of the winner, or NULL. Needs a small gazetteer."""
+        """Struct ``(n, at, sal, location, entry)`` of the winner, or NULL. Needs a small gazetteer."""
 
         def search(words):
             names = F.flatten(
@@ -163,8 +166,8 @@ def resolve_location(df, gazetteer, place, row_key, out="sal", keep_match=False,
     found = resolver.resolve(df, place, row_key, "_match")
     found = found.withColumn(out, F.col("_match.sal"))
     if keep_match:
-        entry = F.create_map(F.col("_match.location"), F.struct(F.col("_match.sal").alias("sal")))
-        nothing = F.create_map().cast("map<string,struct<sal:string>>")
+        entry = F.create_map(F.col("_match.location"), F.col("_match.entry"))
+        nothing = F.create_map().cast("map<string,struct<sal:string,gcc:string,real_loc:string>>")
         found = found.withColumn(
             "possible_suburb", F.when(F.col("_match").isNull(), nothing).otherwise(entry)
         )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from geopulse.constants import PAGE_SIZE
 from geopulse.functions.scalars import score_bin
 from geopulse.operators.gazetteer import build_gazetteer
 from geopulse.operators.language import train_lang
@@ -125,6 +126,19 @@ def stream_harvest(t):
     return t.spark.read.parquet(store)
 
 
+@query(
+    "harvest_pass",
+    f"""WITH {SQL_TOOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY tid) AS rk FROM toots)
+    SELECT * EXCLUDE (rk) FROM r WHERE rk <= 2 * {PAGE_SIZE}""",
+)
+def harvest_pass(t):
+    """Two passes of the polling harvest: each stores the next page of every server."""
+    store, steps = scratch_path(t.spark, "polled"), toot_enrichers(t)
+    for _ in range(2):
+        harvest.harvest_pass(statuses(t), steps, store)
+    return t.spark.read.parquet(store)
+
+
 @query(
     "stream_servers_append",
     "SELECT role AS server, conv_id * 1000 + turn AS id, conv_id AS account FROM conversations",

@@ -16,11 +16,11 @@ def places(t: Tables):
         F.lower("r_name").alias("location"), F.lit("g0").alias("gcc"),
         F.concat(F.lit("R"), "r_regionkey").alias("sal"), F.col("r_regionkey").cast("int").alias("ord"),
     )
-    nations = t.nation.where("n_nationkey % 3 = 0").select(
+    nations = t.nation.select(
         F.lower("n_name").alias("location"), F.lit("g1").alias("gcc"),
         F.concat(F.lit("N"), "n_nationkey").alias("sal"), (F.col("n_nationkey") + 100).cast("int").alias("ord"),
     )
-    combined = joined.where("n_nationkey % 2 = 0").select(
+    combined = joined.select(
         F.expr("lower(n_name || ' - ' || r_name || ' (old.)')").alias("location"), F.lit("g2").alias("gcc"),
         F.concat(F.lit("C"), "n_nationkey").alias("sal"), (F.col("n_nationkey") + 200).cast("int").alias("ord"),
     )
@@ -41,9 +41,9 @@ SQL_PLACES = """
     joined AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
     places AS (
       SELECT lower(r_name) AS location, 'g0' AS gcc, 'R' || r_regionkey AS sal, r_regionkey AS ord FROM region
-      UNION ALL SELECT lower(n_name), 'g1', 'N' || n_nationkey, n_nationkey + 100 FROM nation WHERE n_nationkey % 3 = 0
+      UNION ALL SELECT lower(n_name), 'g1', 'N' || n_nationkey, n_nationkey + 100 FROM nation
       UNION ALL SELECT lower(n_name || ' - ' || r_name || ' (old.)'), 'g2', 'C' || n_nationkey, n_nationkey + 200
-      FROM joined WHERE n_nationkey % 2 = 0)"""
+      FROM joined)"""
 SQL_PART_PLACES = """
     places AS (SELECT p_name || ' (' || lower(p_type) || '.) - ' || (p_size % 7) AS location, p_brand AS gcc,
                       CAST(p_partkey AS VARCHAR) AS sal, p_partkey AS ord FROM part)"""
@@ -78,7 +78,7 @@ def gazetteer_saved(t):
 
 
 CUSTOMER_PLACE = (
-    "c_name || ', ' || CASE WHEN c_custkey % 5 = 0 THEN 'Old ' ELSE '' END || n_name || ' - ' || "
+    "c_name || ', ' || CASE WHEN c_custkey % 5 = 0 THEN 'Old ' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN 'nowhere' ELSE n_name END || ' - ' || "
     "CASE WHEN c_custkey % 4 = 0 THEN '' ELSE r_name END || CASE WHEN c_custkey % 3 = 0 THEN ' Old' ELSE ' x' END"
 )
 
@@ -101,7 +101,7 @@ def sql_resolved(source, place="place", key="c_custkey"):
            FROM pb WHERE (mask >> i) & 1 = 1 GROUP BY place, mask),
     hits AS (SELECT place, cand, sal, row_number() OVER (PARTITION BY place ORDER BY n, spots) AS rk
              FROM pc JOIN gazetteer ON cand = location WHERE sal <> ''),
-    resolved AS (SELECT place, cand, sal FROM hits WHERE rk = 1)"""
+    resolved AS (SELECT place, cand, hits.sal AS sal, gcc, real_loc FROM hits JOIN gazetteer ON cand = location WHERE rk = 1)"""
 
 
 SQL_CUSTOMER_PLACES = f"""
@@ -122,7 +122,8 @@ def resolve_location(t):
 @query(
     "resolve_location_match",
     f"""WITH {SQL_PLACES}, {SQL_GAZETTEER}, {SQL_CUSTOMER_PLACES}, {sql_resolved('cp')}
-    SELECT cp.c_custkey, cand AS matched, sal AS entry, CASE WHEN sal IS NULL THEN 0 ELSE 1 END AS entries
+    SELECT cp.c_custkey, cand AS matched, sal || '/' || gcc || '/' || real_loc AS entry,
+    CASE WHEN sal IS NULL THEN 0 ELSE 1 END AS entries
     FROM cp LEFT JOIN resolved r ON cp.place = r.place""",
 )
 def resolve_location_match(t):
@@ -130,10 +131,11 @@ def resolve_location_match(t):
     found = gz.resolve_location(
         customer_places(t), gazetteer, "place", ["c_custkey"], keep_match=True
     )
+    entry = F.get(F.map_values("possible_suburb"), F.lit(0))
     return found.select(
         "c_custkey",
         F.get(F.map_keys("possible_suburb"), F.lit(0)).alias("matched"),
-        F.get(F.map_values("possible_suburb"), F.lit(0))["sal"].alias("entry"),
+        F.concat(*[x for c in ("sal", "gcc", "real_loc") for x in (entry[c], F.lit("/"))][:-1]).alias("entry"),
         F.size("possible_suburb").alias("entries"),
     )
 

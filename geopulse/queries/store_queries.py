@@ -167,13 +167,14 @@ def page_before(t):
 @query(
     "next_pages",
     """WITH s AS (SELECT event_type AS server, event_id AS tid, value FROM events),
-    m AS (SELECT server, max(tid) AS mark FROM s WHERE tid % 3 = 0 AND tid < 200 AND server <> 'view' GROUP BY server)
+    m AS (SELECT server, max(tid) AS mark FROM s WHERE tid % 3 = 0 AND tid < (SELECT max(tid) / 2 FROM s) AND server <> 'view' GROUP BY server)
     SELECT server, tid, value FROM (SELECT s.server AS server, tid, value, row_number() OVER (PARTITION BY s.server ORDER BY tid) AS rk
     FROM s LEFT JOIN m ON s.server = m.server WHERE mark IS NULL OR tid > mark) WHERE rk <= 40""",
 )
 def next_pages(t):
     source = t.events.selectExpr("event_type AS server", "event_id AS tid", "value")
-    stored = source.where("tid % 3 = 0 AND tid < 200 AND server <> 'view'")
+    half = source.agg(F.max("tid") / 2).first()[0] or 0
+    stored = source.where("tid % 3 = 0 AND server <> 'view'").where(F.col("tid") < half)
     return paging.next_pages(source, stored)
 
 

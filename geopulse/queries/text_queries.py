@@ -334,6 +334,18 @@ def local_dates(t):
     )
 
 
+@query(
+    "local_dates_over_years",
+    """SELECT o_orderkey, strftime(CAST(timezone('Australia/Melbourne',
+       timezone('UTC', o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)))) AS DATE), '%Y-%m-%d') AS local_date FROM orders""",
+)
+def local_dates_over_years(t):
+    """Hours of several years, so with and without daylight saving time."""
+    hours = F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    local = scalars.local_date(F.col("o_orderdate") + hours, "Australia/Melbourne")
+    return t.orders.select("o_orderkey", local.cast("string").alias("local_date"))
+
+
 @query(
     "tag_lists",
     """SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS tags,

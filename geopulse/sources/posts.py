@@ -53,16 +53,26 @@ def extract_fields(lines: DataFrame, mode="regex") -> DataFrame:
     )
 
 
-def read_post_array(spark: SparkSession, path) -> DataFrame:
+def read_post_array(spark: SparkSession, path, mode="FAILFAST"):
     """Posts of a pretty-printed JSON array whose objects begin with ``_id``.
 
-    The reader cuts the file at each ``"_id":``, which cannot occur inside a JSON string, so one
-    large file is split among tasks and every object is still parsed whole.
+    The reader cuts the file at each ``"_id"``, so one large file is split among tasks and every object is
+    still parsed whole. Inside a JSON string the quotes of such a text have a backslash before them.
+
+    A bad object ends the job; with ``mode`` PERMISSIVE the result is ``(posts, rejected)``, where
+    ``rejected`` has the text of each bad object. A file with text but without any object is an error.
     """
-    marker = '"_id":'
+    marker = '"_id"'
     chunks = spark.read.option("lineSep", marker).text(path)
-    # The chunk ahead of the first marker holds no object.
-    chunks = chunks.where(F.regexp_like("value", F.lit(r'^\s*"')))
+    # What stands ahead of the first marker holds no object.
+    objects = chunks.where(F.regexp_like("value", F.lit(r"^\s*:")))
+    if objects.isEmpty() and not chunks.where(F.regexp_like("value", F.lit(r"[^\s\[\]]"))).isEmpty():
+        raise ValueError(f"no object that begins with {marker} in {path}")
     body = F.regexp_replace("value", r"\s*(?:,\s*\{|\])\s*$", "")
-    parsed = F.from_json(F.concat(F.lit("{" + marker), body), POST_OBJECT, {"mode": "FAILFAST"})
-    return chunks.select(parsed.alias("d")).select("d.*")
+    parsed = F.from_json(F.concat(F.lit("{" + marker), body), POST_OBJECT, {"mode": mode}).alias("d")
+    if mode != "PERMISSIVE":
+        return objects.select(parsed).select("d.*")
+    rows = objects.select(parsed, F.col("value").alias("rejected"))
+    # A bad object parses to nothing but NULL fields.
+    bad = F.col("d").isNull() | F.col("d._id").isNull()
+    return rows.where(~bad).select("d.*"), rows.where(bad).select("rejected")

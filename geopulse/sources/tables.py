@@ -6,16 +6,6 @@ from pyspark.sql import functions as F
 from geopulse.schemas import PLACE_VALUE, VIEW_ROW
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores, dealt out to all cores.
-
-    Meant for small inputs of texts, where computing outweighs reading. A large input has more
-    splits than cores and is left as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_official_csv(spark: SparkSession, path, schema=None) -> DataFrame:
     """CSV with a header; blanks in front of column names are part of the names."""
     reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False)
@@ -24,11 +14,12 @@ def read_official_csv(spark: SparkSession, path, schema=None) -> DataFrame:
     return reader.option("inferSchema", True).csv(path)
 
 
-def read_place_dict(spark: SparkSession, path) -> DataFrame:
+def read_place_dict(spark: SparkSession, path, mode="FAILFAST"):
     """Place dictionary ``{name: {ste, gcc, sal}}`` as rows with the name as a column.
 
     Every entry ends with a closing brace, so the file is cut there and parsed entry by entry in
-    parallel. ``ord`` keeps the order of the file.
+    parallel. ``ord`` keeps the order of the file. A bad entry ends the job; with ``mode`` PERMISSIVE the
+    result is ``(rows, rejected)``, where ``rejected`` has the text of each bad entry.
     """
     chunks = (
         spark.read.option("lineSep", "}")
@@ -44,7 +35,13 @@ def read_place_dict(spark: SparkSession, path) -> DataFrame:
         .where(F.contains("value", F.lit(":")))
     )
     entry = F.concat(F.lit("{"), F.regexp_replace("value", r"^\s*[,{]\s*", ""), F.lit("}}"))
-    parsed = F.from_json(entry, f"MAP<STRING,{PLACE_VALUE}>", {"mode": "FAILFAST"})
+    parsed = F.from_json(entry, f"MAP<STRING,{PLACE_VALUE}>", {"mode": mode})
+    if mode == "PERMISSIVE":
+        entries = chunks.select("ord", parsed.alias("v"), F.col("value").alias("rejected"))
+        return (
+            entries.where("v IS NOT NULL").select("ord", F.explode("v").alias("location", "v")).select("location", "v.*", "ord"),
+            entries.where("v IS NULL").select("ord", "rejected"),
+        )
     return chunks.select("ord", F.explode(parsed).alias("location", "v")).select("location", "v.*", "ord")
 
 

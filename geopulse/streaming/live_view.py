@@ -14,15 +14,19 @@ def live_view(posts: DataFrame, topic, by="sal", text="content", value="score",
     return posts.where(mentions(text, topic_words)).groupBy(by).agg(*reduce_with("stats", value))
 
 
-def run_live_view(view: DataFrame, path, checkpoint, trigger=None):
+def run_live_view(view: DataFrame, path, checkpoint, trigger=None, keep=2):
     """Keep the view as a Parquet table, replaced as a whole by each batch.
 
-    Each batch goes to a folder of its own, so a reader never sees half a view;
-    :func:`read_live_view` takes the newest.
+    A batch writes the view to a folder of its own and then a commit that names it, so a reader never
+    sees half a view; :func:`read_live_view` takes the view of the last commit. Of older folders
+    ``keep`` stay, for readers that have begun.
     """
 
     def replace(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        spark.range(batch_id, batch_id + 1, 1, 1).toDF("batch").write.mode("append").json(f"{path}/commits")
+        drop_old(spark, path, batch_id - keep)
 
     return (
         view.writeStream.outputMode("complete")
@@ -33,7 +37,17 @@ def run_live_view(view: DataFrame, path, checkpoint, trigger=None):
     )
 
 
+def drop_old(spark, path, upto):
+    """Remove the folders of batches up to a number, in whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name[len("batch="):]) <= upto:
+            files.delete(status.getPath(), True)
+
+
 def read_live_view(spark, path) -> DataFrame:
-    table = spark.read.parquet(path)
-    newest = table.agg(F.max("batch")).first()[0]
-    return table.where(F.col("batch") == newest).drop("batch")
+    newest = spark.read.schema("batch BIGINT").json(f"{path}/commits").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{path}/batch={newest}")

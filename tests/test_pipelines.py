@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from geopulse.operators.gazetteer import build_gazetteer
 from geopulse.operators.language import train_lang
 from geopulse.plans.jobs import Enrichers, crime_table, gazetteer_job, income_table, ingest_job, ingest_posts
+from geopulse.operators.sentiment import normalise_text, polarity
 from geopulse.schemas import POST_COLUMNS
 from geopulse.sources import posts as post_source
 from geopulse.sources import sinks, tables
@@ -91,6 +92,93 @@ def test_large_models_are_joined_with_the_same_result(spark, steps, tmp_path):
     assert sorted((r.server, r.score) for r in spark.read.parquet(store).collect()) == [("AU", 8), ("SOCIAL", 2)]
 
 
+def test_repeated_ids_with_other_texts_and_repeated_model_keys(spark):
+    """Rows that share an id are scored each by itself, whatever way the models take."""
+    posts = spark.createDataFrame([("1", "good cat", 0), ("1", "bad cats", 1), ("1", None, 2), ("2", "", 3)], "tid string, text string, at int")
+    lemmas = spark.createDataFrame([("cats", "dog"), ("cats", "cat")], "token string, lemma string")
+    lexicon = spark.createDataFrame([("good", 20), ("good", 5), ("bad", -30)], "token string, valence int")
+    found = []
+    for max_rows in (1000, 0):
+        done = normalise_text(posts, "text", lemmas, ["tid"], max_rows=max_rows)
+        plain = polarity(done, "content", lexicon, ["tid"], max_rows=max_rows)
+        both = polarity(plain, "content", lexicon, ["tid"], "ruled", rules=True, max_rows=max_rows)
+        assert both.columns == ["tid", "text", "at", "content", "compound", "ruled"]
+        found.append(sorted(map(tuple, both.collect()), key=lambda r: r[2]))
+    assert found[0] == found[1] and [r[3] for r in found[0]] == ["good cat", "bad cat", None, ""]
+    assert found[0][0][4] == pytest.approx(0.5 / (0.25 + 15) ** 0.5)
+
+
+def test_joined_models_read_the_dump_once(spark, tmp_path):
+    path = tmp_path / "dump.json"
+    path.write_text("\n".join(LINES))
+    posts = ingest_posts(post_source.read_post_lines(spark, str(path)), make_steps(spark, max_rows=0))
+    # The dump is read by the step that writes the posts down; what comes after reads from there.
+    assert "FileScan text" not in posts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topic_flags_lower_the_text_once(spark):
+    from geopulse.operators.views import topic_split, topic_views
+    from geopulse.plans.jobs import score_distributions
+
+    schema = "sal string, content string, score int"
+    posts = spark.createDataFrame([("1", "Police WORK", 3), ("2", None, 4)], schema)
+    for df in (topic_views(posts), topic_split(posts, "crime"), score_distributions({"p": posts}, {"p": ["crime", "income"]})):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [(r.title, r["count"]) for r in topic_split(posts, "crime").collect()] == [("CrimeMentioned", 1)]
+    # The split has its own list: "criminal" is not in it.
+    other = spark.createDataFrame([("1", "a criminal", 3)], schema)
+    assert topic_split(other, "crime").first().title == "CrimeAbsent"
+
+
+def test_ingest_twice_stores_each_id_once(spark, steps, tmp_path):
+    store = str(tmp_path / "store")
+    for name, lines in (("a", LINES * 2), ("b", LINES)):
+        path = tmp_path / f"{name}.json"
+        path.write_text("\n".join(lines))
+        rejected = ingest_job(spark, str(path), store, steps)
+        assert {r.rejected for r in rejected.collect()} == {1}
+    back = spark.read.parquet(store)
+    assert back.count() == back.select("_id").distinct().count() == 3
+
+
+def test_poison_references_do_not_end_the_harvest(spark, steps, tmp_path):
+    drop(tmp_path / "in", "1.json", [status("AU", 2, "<p>good &#9999999; &#xD800;&#0000000065;</p>")])
+    stream = harvest.harvest_stream(spark, str(tmp_path / "in"))
+    store = str(tmp_path / "store")
+    harvest.run_harvest(spark, stream, steps, store, str(tmp_path / "marks")).awaitTermination()
+    assert spark.read.parquet(store).first().content == "good \ufffd \ufffd A"
+
+
+def test_post_array_spacing_rejects_and_empty(spark, tmp_path):
+    path = tmp_path / "array.json"
+    path.write_text('[{"_id" : "1", "text": "a \\"_id\\": b"}, {\n"_id"\n:"2"}, {"_id": "3", "text": oops}, {"_id": "4"}]')
+    posts, rejected = post_source.read_post_array(spark, str(path), mode="PERMISSIVE")
+    assert {r._id: r.text for r in posts.collect()} == {"1": 'a "_id": b', "2": None, "4": None}
+    assert rejected.count() == 1
+    (tmp_path / "none.json").write_text('[{"id": 1}]')
+    with pytest.raises(ValueError):
+        post_source.read_post_array(spark, str(tmp_path / "none.json"))
+    (tmp_path / "empty.json").write_text("[]")
+    assert post_source.read_post_array(spark, str(tmp_path / "empty.json")).count() == 0
+
+
+def test_half_written_view_is_not_read(spark, tmp_path):
+    schema = "tid string, sal string, content string, lang string, score int"
+    out = str(tmp_path / "view")
+    for i in range(4):
+        spark.createDataFrame([(str(i), "1", "police", "en", i + 1)], schema).write.json(str(tmp_path / "in"), mode="append")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    live_view.run_live_view(live_view.live_view(stream, "crime"), out, str(tmp_path / "marks")).awaitTermination()
+    want = live_view.read_live_view(spark, out).collect()
+    assert want[0]["count"] == 4
+    # A batch that began and did not end: a folder without a commit.
+    live_view.read_live_view(spark, out).limit(0).write.parquet(f"{out}/batch=99")
+    assert live_view.read_live_view(spark, out).collect() == want
+    import os
+
+    assert len([x for x in os.listdir(out) if x.startswith("batch=")]) <= 5
+
+
 def test_ingest_job_reads_split_files_once(spark, steps, tmp_path):
     many = [line(str(200000000000000 + i), f"good text number {i} " * 20, "Middle Park") for i in range(3000)]
     path, store = str(tmp_path / "dump.json"), str(tmp_path / "store")

@@ -139,13 +139,25 @@ def test_generated_ids_stay(spark):
 
 
 def test_patch_overwrites_only_named_fields(spark):
-    rows = [("a", None, "new", ["t"]), ("b", None, None, ["n", "t"]), ("zz", 1, "q", ["n"])]
-    patches = spark.createDataFrame(rows, "_id string, n int, t string, fields array<string>")
-    patched, missing = docstore.patch(stored(spark), patches)
-    assert {r._id: (r.n, r.t) for r in patched.collect()} == {"a": (1, "new"), "b": (None, None)}
+    rows = [
+        ("a", None, "newer", ["t"], 2), ("a", None, "new", ["t"], 1), ("a", 5, "no", ["n"], 3),
+        ("b", None, None, ["n", "t"], 1), ("zz", 1, "q", ["n"], 1), ("zz", 2, "q", ["n"], 2),
+    ]
+    patches = spark.createDataFrame(rows, "_id string, n int, t string, fields array<string>, ord int")
+    patched, missing = docstore.patch(stored(spark), patches, "ord")
+    assert {r._id: (r.n, r.t, r.version) for r in patched.collect()} == {"a": (5, "newer", 4), "b": (None, None, 4)}
+    assert patched.count() == 2
     assert [r._id for r in missing.collect()] == ["zz"]
 
 
+def test_bulk_insert_gives_ids_and_versions(spark):
+    new = spark.createDataFrame([(None, 1, "x"), (None, 1, "x"), ("b", 2, "y"), ("e", 3, "z")], "_id string, n int, t string")
+    inserted, conflicts = docstore.bulk_insert(stored(spark), new)
+    got = inserted.collect()
+    assert len(got) == 3 and len({r._id for r in got}) == 3 and {r.version for r in got} == {1}
+    assert [(r._id, r.rejected) for r in conflicts.collect()] == [("b", 1)]
+
+
 def test_get_and_delete(spark):
     ids = spark.createDataFrame([("b",), ("q",), ("q",)], "_id string")
     assert [r._id for r in docstore.get_documents(stored(spark), ids).collect()] == ["b"]
