@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from geopulse.session import checkpointed
 
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 HOT_FRACTION = 0.001
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether the frame has at most ``max_rows`` rows; never counts further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int, max_bytes=MAX_BROADCAST_BYTES) -> bool:
+    """Whether the frame has at most ``max_rows`` rows and about ``max_bytes``; never reads further."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, used = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return rows <= max_rows and (used or 0) <= max_bytes
 
 
 def lookup_join(left, right, key, row_key, how="left", max_rows=MAX_BROADCAST_ROWS, salts=64):

@@ -1,5 +1,7 @@
 """Session settings and lineage cuts."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ def build_session(app_name="geopulse", master=None, shuffle_partitions=None, **c
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -38,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             configured = tempfile.mkdtemp(prefix="geopulse-")
+            # The folder is this process's own; a configured one is left to who configured it.
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
         context.setCheckpointDir(configured)
         current = context.getCheckpointDir()
     return configured or current

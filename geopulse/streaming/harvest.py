@@ -81,6 +81,17 @@ def insert_new(store_path, key=("server", "tid")):
     return insert
 
 
+def compact_store(spark: SparkSession, store_path, out, file_rows=1_000_000):
+    """A copy of the store in few files: batches leave one for each server and task.
+
+    Readers and the harvest go on with the old path until they are pointed at the new one.
+    """
+    rows = spark.read.schema(TOOT).parquet(store_path)
+    # A file's worth of ids of a server is one task's work, however many a server has.
+    part = F.floor(F.col("tid") / file_rows)
+    rows.repartition("server", part).write.option("maxRecordsPerFile", file_rows).partitionBy("server").parquet(out)
+
+
 def ensure_store(spark: SparkSession, store_path):
     """An empty store, so that the first batch can look for stored keys."""
     spark.createDataFrame([], TOOT).write.mode("ignore").partitionBy("server").parquet(store_path)

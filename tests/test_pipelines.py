@@ -162,6 +162,18 @@ def test_post_array_spacing_rejects_and_empty(spark, tmp_path):
     assert post_source.read_post_array(spark, str(tmp_path / "empty.json")).count() == 0
 
 
+def test_compacted_store_is_the_store(spark, steps, tmp_path):
+    store, out = str(tmp_path / "store"), str(tmp_path / "compact")
+    for i in range(3):
+        drop(tmp_path / f"in{i}", "1.json", [status("AU", 10 * i + k, "<p>good</p>") for k in range(5)])
+        stream = harvest.harvest_stream(spark, str(tmp_path / f"in{i}"))
+        harvest.run_harvest(spark, stream, steps, store, str(tmp_path / f"marks{i}")).awaitTermination()
+    harvest.compact_store(spark, store, out)
+    before, after = spark.read.parquet(store), spark.read.parquet(out)
+    assert before.count() == after.count() == 15 and before.exceptAll(after).isEmpty()
+    assert len(after.inputFiles()) == 1 < len(before.inputFiles())
+
+
 def test_half_written_view_is_not_read(spark, tmp_path):
     schema = "tid string, sal string, content string, lang string, score int"
     out = str(tmp_path / "view")
