@@ -30,7 +30,8 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BLOCK = 256
 SHARD_SLOTS = 8192
-SLICE_ROWS = 10_000
+SLICE_ROWS = 4_000
+TASK_SLOTS = 1 << 17
 ROUNDS = 24
 SEED = 20
 
@@ -115,13 +116,16 @@ def drawn_slots(quota: DataFrame, block=BLOCK, shard_slots=SHARD_SLOTS, seed=SEE
     shards = max(1, -(-total // shard_slots))
     about = ["skey", "blocks", "epochs", "words_left", "short", "short_at"]
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(shard_slots).cast("long")))
-    runs = quota.where("slots > 0").select(*about, "slots", starts.alias("start")).repartition("skey", "start")
+    runs = quota.where("slots > 0").select(*about, "slots", starts.alias("start"))
+    runs = runs.repartition(-(-total // TASK_SLOTS) or 1, "skey", "start")
     end = F.least(F.col("start") + shard_slots, "slots") - 1
     thrown = runs.select(*about, F.explode(F.sequence("start", end)).alias("slot"))
     shard = F.pmod(F.xxhash64(F.lit(seed), "skey", "slot"), F.lit(shards))
     counts = thrown.withColumn("shard", shard).groupBy(*about, "shard").count()
     upto = F.sum("count").over(Window.partitionBy("skey").orderBy("shard"))
-    counts = counts.withColumn("first", upto - F.col("count")).repartition("skey", "shard")
+    # A row becomes a shard's slots, so few rows are much work: dealt out by number of slots.
+    tasks = -(-total // TASK_SLOTS) or 1
+    counts = counts.withColumn("first", upto - F.col("count")).repartition(tasks, "skey", "shard")
     slots = counts.select(*about, "shard", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot"))
     slots = slots.withColumn("epoch", F.expr("slot div blocks")).withColumn("index", F.expr("slot % blocks"))
     slots = slots.withColumn("block", permuted(F.col("index"), F.col("blocks"), F.lit(seed), F.col("skey"), F.col("epoch")))
@@ -159,7 +163,8 @@ def mixed_parts(sized: DataFrame, target: DataFrame, block=BLOCK, shard_slots=SH
     """The mix as parts of documents: ``shard, slot, skey, epoch, block, row, doc_id, word, n_words``."""
     n_rows = sized.count()
     slots = drawn_slots(written(quotas(target, block, seed), "quotas"), block, shard_slots, seed)
-    parts = packed(sized, n_rows, block, seed).join(slots, ["skey", "block"])
+    # What slots come to is not seen in the size of the rows they are made of, so no side is broadcast.
+    parts = packed(sized, n_rows, block, seed).join(slots.hint("merge"), ["skey", "block"])
     n_words = F.least("high", "take") - F.col("low")
     return parts.where(n_words > 0).select(
         "shard", "slot", "skey", "epoch", "block", "row", "doc_id", "word", n_words.alias("n_words")
