@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join.
 
-A line (text between line feeds) is the set of its lower-cased (A-Z) words. It goes if an earlier line, in order of
+A line (text between line feeds) is the set of its lower-cased words. It goes if an earlier line, in order of
 document key, line number and line hash, has Jaccard similarity 0.8 or more with it, whether or not that
 one stays. Words stand as 64-bit hashes, lines as 64-bit hashes of their text.
 
@@ -25,8 +25,9 @@ whole. An empty table gives an empty result.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.llm.common import SPACE_CHARS, let, lower_ascii, words, written
+from geopulse.llm.common import SPACE_CHARS, let, written
 
+SPACES = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
 HASH_BITS = (1 << 56) - 1
 LARGE = 16
@@ -36,13 +37,23 @@ FILTER_BITS = 1 << 20
 def lines_of(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """``doc_id, doc_hash, line_no, line, line_hash`` of each line with a word; ``line`` is lower-cased."""
     docs = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("doc_hash"), F.col(text).alias("text"))
-    lines = docs.select("doc_id", "doc_hash", F.posexplode(F.split(lower_ascii(F.col("text")), "\n")).alias("line_no", "line"))
-    lines = lines.where(F.btrim("line", F.lit(SPACE_CHARS)) != "")
+    lines = docs.select("doc_id", "doc_hash", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.btrim("line", F.lit(SPACE_CHARS))).where("line <> ''")
     return lines.withColumn("line_hash", F.xxhash64("line"))
 
 
+def word_array(text, others=("\t", "\x0b", "\x0c", "\r", "  ")):
+    """Words between single blanks; other white space becomes a blank first, where there is any."""
+    odd = F.lit(False)
+    for c in others:
+        odd = odd | F.contains(text, F.lit(c))
+    # One plain character is cut at much faster than a pattern.
+    return F.split(F.when(odd, F.regexp_replace(text, SPACES, " ")).otherwise(text), " ")
+
+
 def word_hashes(line):
-    return F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    """Hashes of the distinct words of a line that has one and no white space around it."""
+    return F.array_distinct(F.transform(word_array(line), lambda w: F.xxhash64(w)))
 
 
 def literal_numbers(values, kind):
@@ -52,62 +63,62 @@ def literal_numbers(values, kind):
 
 def rarity(df: DataFrame, text="text"):
     """A constant array of ``BUCKETS`` classes: three times the logarithm of how many words fall there."""
-    word = df.select(F.explode(words(lower_ascii(F.col(text)))).alias("word"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")
+    # Text before the first word or after the last gives an empty word, which counts for nothing.
+    word = df.select(F.explode(word_array(F.replace(F.lower(F.col(text)), F.lit("\n"), F.lit(" ")))).alias("word"))
+    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
     counts = word.groupBy(bucket).count()
     classes = [0] * BUCKETS
     for b, level in counts.select("bucket", F.floor(3 * F.log2(F.col("count") + 1)).cast("int")).collect():
-        classes[b] = level
+        classes[b] = level << 56
     return literal_numbers(classes, "bigint")
 
 
-def bits_of(hashes, half: int):
-    """64 of 128 parity bits of a set: bit i is the parity of how many members name it. Two sets differ
-    in at least as many members as bits."""
+def bits_of(hashes):
+    """64 parity bits of a set: bit i is the parity of how many members name it."""
 
     def flip(acc, h):
-        place = h.bitwiseAND(F.lit(63)).cast("int")
-        own = F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half
-        return F.when(own, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place))).otherwise(acc)
+        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate(hashes, F.lit(0).cast("bigint"), flip)
 
 
-def signatures(hashes):
-    """A few hashes that two similar sets share with high probability."""
+def signatures(prefix):
+    """A few hashes that two similar sets share with high probability: neighbours among the least of
+    their rarest words, in two orders that have nothing to do with rarity."""
 
     def chained(order):
         low = F.slice(F.sort_array(order), 1, 4)
         return let(low, lambda b: F.array(*[F.xxhash64(F.get(b, i), F.get(b, i + 1)) for i in range(3)]))
 
-    return F.concat(chained(hashes), chained(F.transform(hashes, lambda h: F.xxhash64(h))))
+    return F.concat(chained(prefix), chained(F.transform(prefix, lambda h: F.xxhash64(h))))
 
 
 def line_sets(df: DataFrame, levels, key="doc_id", text="text") -> DataFrame:
     """One row for each class of equal lines: ``line_hash``, its first place (``doc_id, line_no, doc_hash``),
-    ``n`` words, the ``prefix`` in order of rarity, ``bits0, bits1``, and ``signs``."""
+    ``n`` words, the ``prefix`` in order of rarity, and ``bits0, bits1``."""
     lines = lines_of(df, key, text)
     lines = lines.select("doc_id", "line_no", "doc_hash", "line_hash", word_hashes(F.col("line")).alias("h"))
 
     def ranked(h):
-        return F.shiftleft(F.element_at(levels, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit(HASH_BITS)))
+        level = F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return level.bitwiseOR(h.bitwiseAND(F.lit(HASH_BITS)))
 
     n = F.size("h")
     # At three words or fewer only equal sets are similar, and one word of them finds those.
     length = F.when(n < 4, F.lit(1)).otherwise(n - F.expr("(4 * size(h) + 4) div 5").cast("int") + 1)
-    prefix = F.transform(F.slice(F.array_sort(F.transform("h", ranked)), 1, length), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    prefix = F.transform(F.slice(F.sort_array(F.transform("h", ranked)), 1, length), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     rows = lines.select(
         "line_hash",
         F.struct("doc_id", "line_no", "doc_hash").alias("place"),
         n.alias("n"),
         prefix.alias("prefix"),
-        bits_of(F.col("h"), 0).alias("bits0"),
-        bits_of(F.col("h"), 1).alias("bits1"),
-        F.when(n >= 4, signatures(F.col("h"))).alias("signs"),
+        # 128 bits, half of them for hashes below zero. Two sets differ in at least as many words as bits.
+        bits_of(F.filter("h", lambda x: x < 0)).alias("bits0"),
+        bits_of(F.filter("h", lambda x: x >= 0)).alias("bits1"),
     )
-    same = [F.first(c).alias(c) for c in ("n", "prefix", "bits0", "bits1", "signs")]
+    same = [F.first(c).alias(c) for c in ("n", "prefix", "bits0", "bits1")]
     sets = rows.groupBy("line_hash").agg(F.min("place").alias("place"), *same)
-    return sets.select("line_hash", "place.*", "n", "prefix", "bits0", "bits1", "signs")
+    return sets.select("line_hash", "place.*", "n", "prefix", "bits0", "bits1")
 
 
 def may_match(a: str, b: str):
@@ -131,23 +142,46 @@ SHORT = ["line_hash", "doc_id", "line_no", "n", "bits0", "bits1"]
 
 def pairs_with_first(sets: DataFrame) -> DataFrame:
     """Pairs ``line_hash, earlier`` of lines with the first line of their large buckets."""
-    signed = sets.where("signs is not null").select(*SHORT, F.explode("signs").alias("sign"))
-    hub = F.min(F.struct("doc_id", "line_no", "line_hash", "n", "bits0", "bits1")).alias("hub")
-    hubs = signed.groupBy("sign").agg(F.count(F.lit(1)).alias("members"), hub).where(F.col("members") >= LARGE)
-    hubs = written(hubs.select("sign", "hub.*"), "line-hubs")
+    signed = sets.where("n >= 4").select(*SHORT, F.explode(signatures(F.col("prefix"))).alias("sign"))
+    large = signed.groupBy("sign").count().where(F.col("count") >= LARGE).select("sign")
+    signed = written(signed.join(written(large, "line-signs"), "sign"), "line-buckets")
+    hubs = signed.groupBy("sign").agg(F.min(F.struct("doc_id", "line_no", "line_hash", "n", "bits0", "bits1")).alias("hub"))
+    hubs = hubs.select("sign", "hub.*")
     fits = may_match("a", "b")
     joined = signed.alias("a").join(hubs.alias("b"), (F.col("a.sign") == F.col("b.sign")) & later("a", "b") & fits)
     return joined.select("a.line_hash", F.col("b.line_hash").alias("earlier")).distinct()
 
 
 def pairs_by_prefix(sets: DataFrame) -> DataFrame:
-    """Pairs ``line_hash, earlier`` of lines not ``done`` with earlier ones that the filters let through."""
-    posted = sets.select(*SHORT, "done", F.posexplode("prefix").alias("pos", "token"))
-    fits = may_match("a", "b")
+    """Pairs ``line_hash, earlier`` of lines not ``done`` with earlier ones that the filters let through.
+
+    Each posting is a token and a few numbers. Both sides of the join are the same postings, shuffled
+    once: every condition speaks of both sides, so none moves below the exchange.
+    """
+    flags = F.when(F.col("done"), 1).otherwise(0)
+    posted = sets.select("line_hash", "n", "bits0", "bits1", flags.alias("done"), F.posexplode("prefix").alias("pos", "token"))
+    need = common_needed("a", "b")
     ahead = F.least(F.col("a.pos"), F.col("b.pos")) + 1
     behind = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
-    same = (F.col("a.token") == F.col("b.token")) & ~F.col("a.done") & later("a", "b") & fits & (ahead + behind >= common_needed("a", "b"))
-    return posted.alias("a").join(posted.alias("b"), same).select("a.line_hash", F.col("b.line_hash").alias("earlier")).distinct()
+    same = (
+        (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.line_hash") < F.col("b.line_hash"))
+        & (F.col("a.done") + F.col("b.done") < 2)
+        & may_match("a", "b")
+        & (ahead + behind >= need)
+    )
+    pairs = posted.alias("a").join(posted.alias("b"), same).select("a.line_hash", F.col("b.line_hash").alias("other")).distinct()
+    # Which of the two stands first is looked up for the few pairs that are left.
+    place = sets.select("line_hash", F.struct("doc_id", "line_no", "line_hash").alias("place"), "done")
+    both = pairs.join(place.select("line_hash", F.struct("place", "done").alias("x")), "line_hash")
+    both = both.join(place.select(F.col("line_hash").alias("other"), F.struct("place", "done").alias("y")), "other")
+    late = F.col("x.place") > F.col("y.place")
+    out = both.select(
+        F.when(late, F.col("line_hash")).otherwise(F.col("other")).alias("line_hash"),
+        F.when(late, F.col("other")).otherwise(F.col("line_hash")).alias("earlier"),
+        F.when(late, F.col("x.done")).otherwise(F.col("y.done")).alias("done"),
+    )
+    return out.where(~F.col("done")).select("line_hash", "earlier")
 
 
 def bit_filter(keys: DataFrame, column: str):
@@ -169,15 +203,20 @@ def bit_filter(keys: DataFrame, column: str):
     return test
 
 
-def similar(df: DataFrame, pairs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """The pairs whose word sets have Jaccard similarity 0.8 or more."""
+def similar(df: DataFrame, sets: DataFrame, pairs: DataFrame, key="doc_id", text="text") -> DataFrame:
+    """The pairs whose word sets have Jaccard similarity 0.8 or more.
+
+    Words are fetched from the documents where the lines stand first.
+    """
     needed = pairs.select("line_hash").unionByName(pairs.select(F.col("earlier").alias("line_hash"))).distinct()
-    passes = bit_filter(needed, "line_hash")
-    lines = lines_of(df, key, text).where(passes(F.col("line_hash"))).select("line_hash", "line")
-    lines = lines.groupBy("line_hash").agg(F.first("line").alias("line")).join(needed, "line_hash", "left_semi")
-    sets = written(lines.select("line_hash", word_hashes(F.col("line")).alias("h")), "line-words")
-    both = pairs.join(sets, "line_hash").withColumnRenamed("h", "x")
-    both = both.join(sets.select(F.col("line_hash").alias("earlier"), F.col("h").alias("y")), "earlier")
+    needed = written(needed.join(sets.select("line_hash", "doc_id", "line_no", "doc_hash"), "line_hash"), "line-needed")
+    passes = bit_filter(needed, "doc_hash")
+    lines = lines_of(df.where(passes(F.xxhash64(F.col(text)))), key, text)
+    at = F.expr("l.line_hash = w.line_hash AND l.line_no = w.line_no AND l.doc_hash = w.doc_hash AND l.doc_id <=> w.doc_id")
+    found = lines.alias("l").join(needed.alias("w"), at, "left_semi").groupBy("line_hash").agg(F.first("line").alias("line"))
+    words_of = written(found.select("line_hash", word_hashes(F.col("line")).alias("h")), "line-words")
+    both = pairs.join(words_of, "line_hash").withColumnRenamed("h", "x")
+    both = both.join(words_of.select(F.col("line_hash").alias("earlier"), F.col("h").alias("y")), "earlier")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("line_hash", "earlier")
 
@@ -185,9 +224,9 @@ def similar(df: DataFrame, pairs: DataFrame, key="doc_id", text="text") -> DataF
 def removed_lines(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """``doc_id, doc_hash, removed``: the line numbers (from 0, in order) that a document loses."""
     sets = written(line_sets(df, rarity(df, text), key, text), "line-sets")
-    first = written(similar(df, written(pairs_with_first(sets), "line-pairs"), key, text).select("line_hash").distinct(), "line-done")
+    first = written(similar(df, sets, written(pairs_with_first(sets), "line-pairs"), key, text).select("line_hash").distinct(), "line-done")
     done = sets.join(first.withColumn("done", F.lit(True)), "line_hash", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    rest = similar(df, written(pairs_by_prefix(done), "line-pairs"), key, text).select("line_hash")
+    rest = similar(df, sets, written(pairs_by_prefix(done), "line-pairs"), key, text).select("line_hash")
     near = first.unionByName(rest).distinct().withColumn("near", F.lit(True))
     classes = sets.select("line_hash", F.struct("doc_id", "line_no", "doc_hash").alias("place")).join(near, "line_hash", "left")
     lines = lines_of(df, key, text).select("doc_id", "line_no", "doc_hash", "line_hash")

@@ -99,7 +99,7 @@ def brute_lines(rows):
     """Line numbers to remove, by comparing each line with all earlier ones that share a word."""
     seen, by_word, out = [], defaultdict(set), defaultdict(list)
     for key, text in rows:
-        for n, line in enumerate((text or "").translate(LOW).split("\n")):
+        for n, line in enumerate((text or "").lower().split("\n")):
             words = frozenset(WORD.findall(line))
             if not words:
                 continue
