@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from geopulse.llm.common import UPPER, written
 
-BATCH = 3 << 20
+BATCH = 3 << 19
 # Word hashes of a shard share their first bits; there are 2**8 shards at least.
 LEAST_SHARD_BITS = 8
 SHARD_TOKENS = 1 << 22
@@ -46,12 +46,37 @@ STEPS, CELLS = 8, 512
 ITERATIONS = 60
 
 
+# Bits of a key that stand beside its shard's: 56 of a hash in all.
+KEY_BYTES = 6
+
+
 def pack(numbers: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+    """Unsigned numbers compressed by byte planes: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(numbers).reshape(-1, 1).view(np.uint8).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    planes = planes.reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_counts(first: np.ndarray, second: np.ndarray) -> bytes:
+    """Two counts for each key; most are below 15 and share a byte, the others follow."""
+    small = (first < 15) & (second < 15)
+    codes = np.where(small, first * 16 + second, 255).astype(np.uint8)
+    rest = np.stack([first[~small], second[~small]]).astype(np.uint64)
+    return len(codes).to_bytes(8, "big") + zstandard.ZstdCompressor(level=3).compress(codes.tobytes() + rest.tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "big")
+    raw = zstandard.ZstdDecompressor().decompress(data[8:])
+    codes = np.frombuffer(raw, np.uint8, size)
+    out = np.stack([codes >> 4, codes & 15]).astype(np.uint64)
+    out[:, codes == 255] = np.frombuffer(raw[size:], np.uint64).reshape(2, -1)
+    return out
 
 
 class Numbers(dict):
@@ -103,23 +128,24 @@ class Batch:
     """A batch's tokens, and its distinct word pairs in order of their numbers."""
 
     def __init__(self, row):
-        self.vocab = np.frombuffer(row["vocab"], ">u8").astype(np.uint64)
-        self.tokens = unpack(row["tokens"], np.uint32).astype(np.int64)
+        """``row``: a batch, or one that has met its answers (with ``words`` for ``vocab``)."""
+        self.vocab = np.frombuffer(row["vocab"], ">u8").astype(np.uint64) if "vocab" in row else range(row["words"])
+        self.tokens = unpack(row["tokens"], np.uint32)
         self.sizes = np.array(row["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
+        code = self.tokens.astype(np.int64)
         # The token before a document's first is an end token too.
-        before[0] = 0
-        self.role = np.repeat(np.array(row["roles"], np.int8), self.sizes)
-        self.pairs, self.pair = np.unique(before * len(self.vocab) + self.tokens, return_inverse=True)
-        self.first, self.second = np.divmod(self.pairs, len(self.vocab))
+        code[1:] += self.tokens[:-1].astype(np.int64) * len(self.vocab)
+        self.role = np.repeat(np.array(row["roles"], np.int8), self.sizes) if "roles" in row else None
+        self.pairs, self.pair = np.unique(code, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        self.first, self.second = (x.astype(np.int32) for x in np.divmod(self.pairs, len(self.vocab)))
 
     def keys(self) -> np.ndarray:
-        """A hash for each word, then for each pair."""
+        """A hash of 56 bits for each word, then for each pair."""
         one = mixed(self.vocab ^ np.uint64(0x5851F42D4C957F2D))
         two = mixed(self.vocab[self.first] * np.uint64(0x9E3779B97F4A7C15) + self.vocab[self.second])
-        return np.concatenate([one, two])
+        return np.concatenate([one, two]) >> np.uint64(64 - 56)
 
     def counts(self, fold: int) -> np.ndarray:
         own = self.role == fold
@@ -133,12 +159,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-REQUESTS = "batch long, shard int, keys binary, counts binary"
+REQUESTS = "batch long, shard int, keys binary, counts binary, is_word binary"
 
 
 def requests(batches: DataFrame, bits: int) -> DataFrame:
-    """What each batch asks of each shard: the last seven bytes of its keys, and for each key the
-    counts of both folds and whether it is a word."""
+    """What each batch asks of each shard: its keys in order (as differences, without the shard's bits), and
+    for each key the counts of both folds and whether it is a word."""
 
     def run(arrows):
         for arrow in arrows:
@@ -147,19 +173,21 @@ def requests(batches: DataFrame, bits: int) -> DataFrame:
                 keys = batch.keys()
                 order = np.argsort(keys)
                 keys = keys[order]
-                is_word = (order < len(batch.vocab)).astype(np.uint32)
-                counts = np.stack([batch.counts(0)[order], batch.counts(1)[order], is_word]).astype(np.uint32)
-                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                is_word = order < len(batch.vocab)
+                counts = np.stack([batch.counts(0)[order], batch.counts(1)[order]])
+                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(56 - bits))
                 cuts = np.concatenate([[0], cuts, [len(keys)]])
-                tails = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:]
+                keys &= np.uint64((1 << (56 - bits)) - 1)
                 full = np.flatnonzero(np.diff(cuts))
+                spans = [slice(cuts[s], cuts[s + 1]) for s in full]
                 columns = [
                     pa.array(np.full(len(full), row["batch"]), pa.int64()),
                     pa.array(full, pa.int32()),
-                    pa.array([tails[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()),
-                    pa.array([pack(counts[:, cuts[s] : cuts[s + 1]]) for s in full], pa.binary()),
+                    pa.array([pack(np.diff(keys[x], prepend=np.uint64(0))) for x in spans], pa.binary()),
+                    pa.array([pack_counts(counts[0, x], counts[1, x]) for x in spans], pa.binary()),
+                    pa.array([zstandard.compress(np.packbits(is_word[x]).tobytes()) for x in spans], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["batch", "shard", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays(columns, ["batch", "shard", "keys", "counts", "is_word"])
 
     return batches.mapInArrow(run, REQUESTS)
 
@@ -184,21 +212,18 @@ def answers(asked: DataFrame) -> DataFrame:
             yield answered(held)
 
     def answered(rows):
-        keys = []
-        for r in rows:
-            wide = np.zeros((len(r["keys"]) // 7, 8), np.uint8)
-            wide[:, 1:] = np.frombuffer(r["keys"], np.uint8).reshape(-1, 7)
-            keys.append(wide.reshape(-1).view(">u8").astype(np.uint64))
+        keys = [np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        counts = np.concatenate([unpack(r["counts"], np.uint32).reshape(3, -1) for r in rows], axis=1)
+        counts = np.concatenate([unpack_counts(r["counts"]) for r in rows], axis=1)
+        is_word = [np.unpackbits(np.frombuffer(zstandard.decompress(r["is_word"]), np.uint8), count=len(k)) for r, k in zip(rows, keys)]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.stack([np.bincount(at, counts[i], len(distinct)) for i in (0, 1)]).astype(np.uint64)
-        words = np.bincount(at, counts[2], len(distinct)) > 0
+        words = np.bincount(at, np.concatenate(is_word), len(distinct)) > 0
         new = [0] * len(rows)
         new[0] = int((words & (totals.sum(axis=0) > 0)).sum())
         columns = [
             pa.array([r["batch"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int32()),
-            pa.array([pack(t) for t in np.split(totals[:, at], ends, axis=1)], pa.binary()), pa.array(new, pa.int64()),
+            pa.array([pack_counts(*t) for t in np.split(totals[:, at], ends, axis=1)], pa.binary()), pa.array(new, pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["batch", "shard", "totals", "new_words"])
 
@@ -206,7 +231,14 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ANSWERS)
 
 
-MET = BATCHES + ", totals binary, new_words long, cells array<int>, events array<long>"
+# What scoring needs of a batch: not its vocabulary, but the totals in its place.
+MET = "batch long, doc_ids array<long>, sizes array<int>, words int, tokens binary, totals binary, new_words long, cells array<int>, events array<long>"
+MET_ARROW = pa.schema(
+    [
+        ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.int32()),
+        ("tokens", pa.binary()), ("totals", pa.binary()), ("new_words", pa.int64()), ("cells", pa.list_(pa.int32())), ("events", pa.list_(pa.int64())),
+    ]
+)
 
 
 def level(p: np.ndarray) -> np.ndarray:
@@ -235,18 +267,23 @@ def met(batches: DataFrame, answered: DataFrame, fold_tokens) -> DataFrame:
         row = left.to_pylist()[0]
         batch = Batch(row)
         parts = sorted(right.to_pylist(), key=lambda r: r["shard"])
-        in_order = np.concatenate([unpack(r["totals"], np.uint64).reshape(2, -1) for r in parts], axis=1)
+        in_order = np.concatenate([unpack_counts(r["totals"]) for r in parts], axis=1)
         totals = np.empty_like(in_order)
         totals[:, np.argsort(batch.keys())] = in_order
-        cells = []
+        cells, events = [], []
         for fold in (0, 1):
             where, two, one, _ = estimates(batch, totals[1 - fold], fold_tokens[1 - fold])
-            cell = (where * CELLS + level(two)) * CELLS + level(one)
-            cells.append(np.repeat(cell, batch.counts(fold)[len(batch.vocab) :]))
-        cells, events = np.unique(np.concatenate(cells), return_counts=True)
-        row |= {"totals": pack(totals), "new_words": sum(r["new_words"] for r in parts), "cells": cells.tolist(), "events": events.tolist()}
-        return pa.Table.from_pylist([row], schema=left.schema.append(pa.field("totals", pa.binary())).append(
-            pa.field("new_words", pa.int64())).append(pa.field("cells", pa.list_(pa.int32()))).append(pa.field("events", pa.list_(pa.int64()))))
+            count = batch.counts(fold)[len(batch.vocab) :]
+            seen = count > 0
+            cells.append(((where * CELLS + level(two)) * CELLS + level(one))[seen])
+            events.append(count[seen])
+        cells, at = np.unique(np.concatenate(cells), return_inverse=True)
+        events = np.bincount(at, np.concatenate(events), len(cells)).astype(np.int64)
+        out = {
+            "batch": row["batch"], "doc_ids": row["doc_ids"], "sizes": row["sizes"], "words": len(batch.vocab), "tokens": row["tokens"],
+            "totals": pack_counts(*totals), "new_words": sum(r["new_words"] for r in parts), "cells": cells.tolist(), "events": events.tolist(),
+        }
+        return pa.Table.from_pylist([out], schema=MET_ARROW)
 
     return batches.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(meet, MET)
 
@@ -283,7 +320,7 @@ def scores(found: DataFrame, weights: np.ndarray, n: int, v: int) -> DataFrame:
         for arrow in arrows:
             for row in arrow.to_pylist():
                 batch = Batch(row)
-                totals = unpack(row["totals"], np.uint64).reshape(2, -1).sum(axis=0)
+                totals = unpack_counts(row["totals"]).sum(axis=0)
                 where, two, one, word = estimates(batch, totals, n)
                 w = weights[where]
                 model = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] / (v + 1))
