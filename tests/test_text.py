@@ -67,7 +67,10 @@ def test_place_name(spark):
         ("a<script>if (1<2) x()</script>b<style>p{}</style>c<!-- d -->e", "abce"),
         ("&#233;&#x1F600;&lt;b&gt; AT&T &unknown; &amp;lt;", "é😀<b> AT&T &unknown; &lt;"),
         ("1 < 2 and <b>3</b>", "1 < 2 and 3"),
-        ("cut &amp</p><p>Off &ampOff", "cut &Off &ampOff"),
+        # An old name counts without a semicolon too, as the beginning of a longer word.
+        ("cut &amp</p><p>Off &ampOff &notit; &notin;", "cut &Off &Off ¬it; ∉"),
+        ("x&#0000000065;y &#x00000041;z", "xAy Az"),
+        ("a &#9999999; &#0; &#xD800; &#128; &#x9F; b", "a \ufffd \ufffd \ufffd € Ÿ b"),
         ("", ""),
     ],
 )
