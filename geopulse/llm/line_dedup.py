@@ -158,30 +158,21 @@ def pairs_by_prefix(sets: DataFrame) -> DataFrame:
     Each posting is a token and a few numbers. Both sides of the join are the same postings, shuffled
     once: every condition speaks of both sides, so none moves below the exchange.
     """
-    flags = F.when(F.col("done"), 1).otherwise(0)
-    posted = sets.select("line_hash", "n", "bits0", "bits1", flags.alias("done"), F.posexplode("prefix").alias("pos", "token"))
-    need = common_needed("a", "b")
+    posted = sets.select(*SHORT, "done", F.posexplode("prefix").alias("pos", "token"))
     ahead = F.least(F.col("a.pos"), F.col("b.pos")) + 1
     behind = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
+    late = later("a", "b")
     same = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.line_hash") < F.col("b.line_hash"))
-        & (F.col("a.done") + F.col("b.done") < 2)
+        & ~F.when(late, F.col("a.done")).otherwise(F.col("b.done"))
         & may_match("a", "b")
-        & (ahead + behind >= need)
+        & (ahead + behind >= common_needed("a", "b"))
     )
-    pairs = posted.alias("a").join(posted.alias("b"), same).select("a.line_hash", F.col("b.line_hash").alias("other")).distinct()
-    # Which of the two stands first is looked up for the few pairs that are left.
-    place = sets.select("line_hash", F.struct("doc_id", "line_no", "line_hash").alias("place"), "done")
-    both = pairs.join(place.select("line_hash", F.struct("place", "done").alias("x")), "line_hash")
-    both = both.join(place.select(F.col("line_hash").alias("other"), F.struct("place", "done").alias("y")), "other")
-    late = F.col("x.place") > F.col("y.place")
-    out = both.select(
-        F.when(late, F.col("line_hash")).otherwise(F.col("other")).alias("line_hash"),
-        F.when(late, F.col("other")).otherwise(F.col("line_hash")).alias("earlier"),
-        F.when(late, F.col("x.done")).otherwise(F.col("y.done")).alias("done"),
-    )
-    return out.where(~F.col("done")).select("line_hash", "earlier")
+    return posted.alias("a").join(posted.alias("b"), same).select(
+        F.when(late, F.col("a.line_hash")).otherwise(F.col("b.line_hash")).alias("line_hash"),
+        F.when(late, F.col("b.line_hash")).otherwise(F.col("a.line_hash")).alias("earlier"),
+    ).distinct()
 
 
 def bit_filter(keys: DataFrame, column: str):
