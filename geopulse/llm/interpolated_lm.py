@@ -17,7 +17,7 @@ Counting and scoring are Spark jobs over batches of whole documents of about ``B
 5. With the weights the batch scores its documents.
 
 A document ends with an end token, which is also the context of its first word. Words are as in
-``common.WORD``, with A-Z lower-cased, and stand as 64-bit hashes.
+``common.WORD``, with A-Z lower-cased, and stand as hashes of 56 bits.
 
 Results for edge cases: a null or empty text, or one without a word, is one end token. Without training
 documents all counts are zero and only the uniform estimate is left. Very long texts are one batch
@@ -46,8 +46,8 @@ STEPS, CELLS = 8, 512
 ITERATIONS = 60
 
 
-# Bits of a key that stand beside its shard's: 56 of a hash in all.
-KEY_BYTES = 6
+# Bytes of a word's hash.
+WORD_BYTES = 7
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -97,7 +97,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
         numbers, held = Numbers({END: 0}), []
 
         def row():
-            vocab = b"".join(xxhash.xxh64_digest(w) for w in numbers)
+            vocab = b"".join(xxhash.xxh64_digest(w)[:WORD_BYTES] for w in numbers)
             columns = [
                 [int.from_bytes(os.urandom(7), "big")], [[h[0] for h in held]], [[h[1] for h in held]],
                 [[len(h[2]) for h in held]], [vocab], [pack(np.concatenate([h[2] for h in held]))],
@@ -124,12 +124,18 @@ def batches_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "role").mapInArrow(run, BATCHES)
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
+    wide[:, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, WORD_BYTES)
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
+
+
 class Batch:
     """A batch's tokens, and its distinct word pairs in order of their numbers."""
 
     def __init__(self, row):
         """``row``: a batch, or one that has met its answers (with ``words`` for ``vocab``)."""
-        self.vocab = np.frombuffer(row["vocab"], ">u8").astype(np.uint64) if "vocab" in row else range(row["words"])
+        self.vocab = word_hashes(row["vocab"]) if "vocab" in row else range(row["words"])
         self.tokens = unpack(row["tokens"], np.uint32)
         self.sizes = np.array(row["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
@@ -142,10 +148,10 @@ class Batch:
         self.first, self.second = (x.astype(np.int32) for x in np.divmod(self.pairs, len(self.vocab)))
 
     def keys(self) -> np.ndarray:
-        """A hash of 56 bits for each word, then for each pair."""
+        """A number of 56 bits for each word, then for each pair: a hash, and a last bit that is set for words."""
         one = mixed(self.vocab ^ np.uint64(0x5851F42D4C957F2D))
         two = mixed(self.vocab[self.first] * np.uint64(0x9E3779B97F4A7C15) + self.vocab[self.second])
-        return np.concatenate([one, two]) >> np.uint64(64 - 56)
+        return np.concatenate([one | np.uint64(1 << 8), two & ~np.uint64(1 << 8)]) >> np.uint64(8)
 
     def counts(self, fold: int) -> np.ndarray:
         own = self.role == fold
@@ -159,12 +165,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-REQUESTS = "batch long, shard int, keys binary, counts binary, is_word binary"
+REQUESTS = "batch long, shard int, keys binary, counts binary"
 
 
 def requests(batches: DataFrame, bits: int) -> DataFrame:
     """What each batch asks of each shard: its keys in order (as differences, without the shard's bits), and
-    for each key the counts of both folds and whether it is a word."""
+    for each key the counts of both folds."""
 
     def run(arrows):
         for arrow in arrows:
@@ -173,7 +179,6 @@ def requests(batches: DataFrame, bits: int) -> DataFrame:
                 keys = batch.keys()
                 order = np.argsort(keys)
                 keys = keys[order]
-                is_word = order < len(batch.vocab)
                 counts = np.stack([batch.counts(0)[order], batch.counts(1)[order]])
                 cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(56 - bits))
                 cuts = np.concatenate([[0], cuts, [len(keys)]])
@@ -185,9 +190,8 @@ def requests(batches: DataFrame, bits: int) -> DataFrame:
                     pa.array(full, pa.int32()),
                     pa.array([pack(np.diff(keys[x], prepend=np.uint64(0))) for x in spans], pa.binary()),
                     pa.array([pack_counts(counts[0, x], counts[1, x]) for x in spans], pa.binary()),
-                    pa.array([zstandard.compress(np.packbits(is_word[x]).tobytes()) for x in spans], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["batch", "shard", "keys", "counts", "is_word"])
+                yield pa.RecordBatch.from_arrays(columns, ["batch", "shard", "keys", "counts"])
 
     return batches.mapInArrow(run, REQUESTS)
 
@@ -215,10 +219,9 @@ def answers(asked: DataFrame) -> DataFrame:
         keys = [np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
         ends = np.cumsum([len(k) for k in keys])[:-1]
         counts = np.concatenate([unpack_counts(r["counts"]) for r in rows], axis=1)
-        is_word = [np.unpackbits(np.frombuffer(zstandard.decompress(r["is_word"]), np.uint8), count=len(k)) for r, k in zip(rows, keys)]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.stack([np.bincount(at, counts[i], len(distinct)) for i in (0, 1)]).astype(np.uint64)
-        words = np.bincount(at, np.concatenate(is_word), len(distinct)) > 0
+        words = distinct & np.uint64(1) == 1
         new = [0] * len(rows)
         new[0] = int((words & (totals.sum(axis=0) > 0)).sum())
         columns = [
