@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 A text is reduced to words (A-Z lower-cased; runs of letters a-z, digits and non-ASCII characters) joined by
-one blank, and rules are regular expressions over that. A rule runs only on texts that hold all its
-keywords; most texts hold none. Detections are word intervals. One is dropped if another of at least
+one blank, and rules are regular expressions over that. A rule runs only on texts that hold all keywords
+of one of its sets, and each match holds one of the sets; most texts hold none. Detections are word intervals. One is dropped if another of at least
 its priority contains it; of equal ones the rule that comes first in order stays.
 
 The rules are made of a table of license names (each name a pattern written by hand) and of the forms in
@@ -30,17 +30,18 @@ BASE_PHRASES = (
     (b"general public license", "gpl"),
 )
 
-# Label; keywords that the name's pattern cannot do without; pattern of the name over
-# lower-cased words; versions as words; identifiers.
+# Label; sets of keywords, one of which is whole in each match of the name's pattern (a test
+# runs through all alternatives); pattern of the name over lower-cased words; versions as words; identifiers.
 NAMES = (
-    ("mit", "mit", r"(?:mit|expat)(?: x11)?(?: style)?(?: open source)? licen[cs]e", "", "mit expat"),
+    # Before mit, whose identifier may be followed by a version.
     ("mit-0", "attribution", r"mit no attribution(?: licen[cs]e)?", "", "mit 0"),
+    ("mit", "mit|expat", r"(?:mit|expat)(?: x11)?(?: style)?(?: open source)? licen[cs]e", "", "mit expat"),
     ("x11", "x11", r"x11 licen[cs]e", "", "x11"),
     ("isc", "isc", r"isc(?: open source)? licen[cs]e", "", "isc"),
     ("bsd", "bsd", r"bsd(?: style)?(?: [0-4] clause)?(?: licen[cs]e)", "", "bsd"),
-    ("bsd-2-clause", "bsd clause", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd clause", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd|revised bsd|modified bsd)(?: licen[cs]e)?", "", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd clause", r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[cs]e)?", "", "bsd 4 clause"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "", "bsd 2 clause"),
+    ("bsd-3-clause", "bsd", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd|revised bsd|modified bsd)(?: licen[cs]e)?", "", "bsd 3 clause"),
+    ("bsd-4-clause", "bsd", r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[cs]e)?", "", "bsd 4 clause"),
     ("0bsd", "bsd clause", r"(?:zero|0) clause bsd(?: licen[cs]e)?", "", "0bsd"),
     ("apache", "apache", r"apache(?: software)?(?: foundation)? licen[cs]e", "1 0|1 1|2 0", "apache"),
     ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", "1|2|3|1 0|2 0|3 0", "gpl gplv2 gplv3"),
@@ -123,7 +124,7 @@ VERSION = r"(?: licen[cs]e)?(?: as published by the free software foundation)?(?
 
 class Rule(NamedTuple):
     label: str
-    keywords: frozenset
+    keywords: tuple[frozenset, ...]
     pattern: re.Pattern
     priority: int
     weight: float
@@ -131,7 +132,15 @@ class Rule(NamedTuple):
 
 def compile_rule(label, keywords, pattern, priority, weight) -> Rule:
     whole = rf"(?<![^ ])(?:{pattern})(?![^ ])"
-    return Rule(label, frozenset(k.encode() for k in keywords.split()), re.compile(whole.encode()), priority, weight)
+    sets = tuple(frozenset(k.encode() for k in one.split()) for one in keywords.split("|"))
+    return Rule(label, sets, re.compile(whole.encode()), priority, weight)
+
+
+def with_glued(keywords: str, digits: str) -> str:
+    """Also the sets in which a word and the version after it are one word, as in GPL2."""
+    sets = [one.split() for one in keywords.split("|")]
+    glued = [[*one[:i], one[i] + digits, *one[i + 1 :]] for one in sets for i in range(len(one))]
+    return "|".join(" ".join(one) for one in sets + glued)
 
 
 @lru_cache(maxsize=1)
@@ -143,8 +152,9 @@ def rules() -> tuple[Rule, ...]:
     for label, keywords, name, versions, ids in NAMES:
         for version in sorted(filter(None, versions.split("|")), key=len, reverse=True):
             tag = f"{label}-{version.replace(' ', '.')}"
-            out.append(compile_rule(tag, keywords, GRANT + name + VERSION + version, 4, 1.0))
-            out.append(compile_rule(tag, keywords, name + VERSION + version, 3, 0.9))
+            either = with_glued(keywords, version.split()[0])
+            out.append(compile_rule(tag, either, GRANT + name + VERSION + version, 4, 1.0))
+            out.append(compile_rule(tag, either, name + VERSION + version, 3, 0.9))
         if ids:
             ids = ids.split() if label in ("mit", "gpl") else [ids]
             codes = "|".join(ids)
@@ -161,9 +171,10 @@ class Scanner:
         self.rules = chosen or rules()
         self.by_keyword = {}
         for i, rule in enumerate(self.rules):
-            # One of a rule's keywords leads to it; the others are checked then.
-            self.by_keyword.setdefault(min(rule.keywords), []).append(i)
-        self.keywords = frozenset(k for rule in self.rules for k in rule.keywords)
+            # One of a set's keywords leads to its rule; the others are checked then.
+            for need in rule.keywords:
+                self.by_keyword.setdefault(min(need), []).append((i, need))
+        self.keywords = frozenset(k for rule in self.rules for need in rule.keywords for k in need)
         self.keywords |= {w for phrase, _ in BASE_PHRASES for w in phrase.split()}
         self.base = [(re.compile(rb"(?<![^ ])" + p + rb"(?![^ ])"), frozenset(p.split()), label) for p, label in BASE_PHRASES]
         # Digits, letters and all bytes of non-ASCII characters make words; the rest parts them.
@@ -189,7 +200,7 @@ class Scanner:
                 yield label, int(first), int(last), priority, weight
 
         base = [d for p, need, label in self.base if need <= hits for d in found(p, label, 0, 0.7)]
-        chosen = sorted(i for k in hits for i in self.by_keyword.get(k, ()) if self.rules[i].keywords <= hits)
+        chosen = sorted({i for k in hits for i, need in self.by_keyword.get(k, ()) if need <= hits})
         every = [(*d, i) for i in chosen for d in found(self.rules[i].pattern, *self.rules[i][:1], *self.rules[i][3:])]
         return len(words), base, outermost(every)
 

@@ -108,6 +108,56 @@ def test_license_containment_and_priority(docs):
         assert sorted(license_rules.outermost(found)) == sorted(d[:5] for d in found if not beaten(d))
 
 
+def matching(parsed, k):
+    """A text that a parsed pattern matches, taking the k-th choice wherever there is one."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = arg[k % len(arg)]
+            out += chr(value if str(kind) == "LITERAL" else value[0] + k % (value[1] - value[0] + 1))
+        elif name == "BRANCH":
+            out += matching(arg[1][k % len(arg[1])], k // len(arg[1]))
+        elif name == "SUBPATTERN":
+            out += matching(arg[3], k)
+        elif name == "MAX_REPEAT":
+            out += matching(arg[2], k) * (arg[0] + k % (min(arg[1], arg[0] + 2) - arg[0] + 1))
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_license_keywords_let_every_alternative_through():
+    scanner = license_rules.Scanner()
+    texts = {matching(re._parser.parse(r.pattern.pattern), k) for r in scanner.rules for k in range(24)}
+    assert len(texts) > 3000
+    for text in sorted(texts):
+        line, every = text.encode(), []
+        for i, rule in enumerate(scanner.rules):
+            for m in rule.pattern.finditer(line):
+                first, last = line.count(b" ", 0, m.start()), line.count(b" ", 0, m.end() - 1)
+                every.append((rule.label, first, last, rule.priority, rule.weight, i))
+        assert every and scanner.scan(text)[2] == license_rules.outermost(every), text
+
+
+def test_license_names_without_their_usual_words():
+    scanner = license_rules.Scanner()
+
+    def labels(text):
+        return {d[0] for d in scanner.scan(text)[2]}
+
+    assert labels("released under the Simplified BSD License") == {"bsd-2-clause"}
+    assert labels("FreeBSD License") == {"bsd-2-clause"}
+    assert labels("the New BSD License, the Revised BSD, the Modified BSD") == {"bsd-3-clause"}
+    assert labels("Original BSD license") == {"bsd-4-clause"}
+    assert labels("Expat license") == {"mit"}
+    assert labels("SPDX-License-Identifier: MIT-0") == {"mit-0"}
+    assert labels("SPDX-License-Identifier: MIT") == {"mit"}
+    assert labels("GPL2 or CeCILL2.1") == {"gpl-abbreviation-2", "cecill-2.1"}
+
+
 def test_quality_counts_equal_brute_force(docs, odd_texts):
     got = {r.doc_id: r for r in quality_rules.judge(docs(odd_texts)).collect()}
     for i, text in enumerate(odd_texts):
