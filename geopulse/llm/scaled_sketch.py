@@ -3,8 +3,10 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range. Its size follows the
 document, so the sketches of two documents of very unequal length hold the same sample of what they
 share: containment and likeness are ratios of set sizes, and the sketch of a union is the union of
-the sketches. Beside the sample a fingerprint names the least hash of all, which answers (by equality)
-where both samples are empty.
+the sketches. The fraction is the whole range: most documents have too few shingles for a sample of them
+to tell their likeness, so all are kept, and ratios are exact but for equal hashes of unequal shingles.
+Beside the sample a fingerprint names the least hash of all, which answers (by equality) where a thinner
+fraction (``fraction_bits`` above 0) leaves both samples empty.
 
 A shingle is five words in a row; a text of fewer words is one shingle of all its words. Words are
 as in ``common.WORD``.
@@ -24,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-# One hash in 16 is kept.
-FRACTION_BITS = 4
+# One hash in 2 ** FRACTION_BITS is kept: all.
+FRACTION_BITS = 0
+# Characters of fingerprints in one batch.
+STEP = 1 << 24
 WORDS_KEPT = 200_000
 
 
@@ -116,8 +120,14 @@ def fingerprints(df: DataFrame, key="doc_id", text="text", shingle=SHINGLE, frac
     def run(batches):
         tool = Sketcher(shingle, fraction_bits)
         for batch in batches:
-            prints = [fingerprint(tool.sketch(t.encode())) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
+            at, prints, size = 0, [], 0
+            for t in batch.column(1).to_pylist():
+                prints.append(fingerprint(tool.sketch(t.encode())))
+                size += len(prints[-1])
+                if size >= STEP or at + len(prints) == batch.num_rows:
+                    keys = batch.column(0).slice(at, len(prints))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
+                    at, prints, size = at + len(prints), [], 0
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
@@ -202,15 +212,16 @@ def compare_edited(df: DataFrame, key="doc_id", text="text", shingle=SHINGLE, fr
 
     def run(batches):
         tool = Sketcher(shingle, fraction_bits)
-        out, before = [], None
+        out, size, before = [], 0, None
         for where, key_value, text_value in rows_of(batches):
             word = tool.word_hashes(text_value.encode())
             now = (where, key_value, text_value, word, tool.of_words(word))
             if before is not None and before[0] == where:
                 out.append(compared(tool, before, now))
-                if len(out) == 500:
+                size += len(out[-1][3]) + len(out[-1][4])
+                if len(out) == 500 or size >= STEP:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
-                    out = []
+                    out, size = [], 0
             before = now
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)

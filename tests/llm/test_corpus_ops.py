@@ -205,6 +205,28 @@ def test_sketch_estimates_and_merges():
     assert merged[0] == b[0] and (merged[1] == b[1]).all()
 
 
+def test_sketch_estimates_equal_jaccard_of_whole_documents(docs):
+    random.seed(13)
+    texts = [" ".join(f"w{random.randint(0, 3000)}" for _ in range(n)) for n in [*range(10, 40), *range(40, 301, 10)] for _ in range(2)]
+    # The second of two is a near copy of the first.
+    for i in range(0, len(texts), 2):
+        words = texts[i].split()
+        words[len(words) // 2] = "other"
+        texts[i + 1] = " ".join(words)
+
+    def shingles(text):
+        words = WORD.findall(text)
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    got = {r.doc_id: r for r in scaled_sketch.compare_edited(docs(texts)).collect()}
+    for i, text in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        a, b, c = shingles(text), shingles(scaled_sketch.edited(text, following)), shingles(following)
+        assert got[i].near_edited == pytest.approx(len(a & b) / len(a | b))
+        assert got[i].near_next == pytest.approx(len(a & c) / len(a | c))
+        assert got[i].contained_in_next == pytest.approx(len(a & c) / len(a))
+
+
 # --- SimHash ---------------------------------------------------------------------------------
 def slow_fingerprint(text):
     words = WORD.findall((text or "").translate(LOW))
