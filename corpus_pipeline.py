@@ -6,7 +6,7 @@ next one's ``docs``. All but the last return the columns of ``documents``.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopulse.llm import block_mix, byte_bpe, lang_conv, line_dedup, simhash_trees
+from geopulse.llm import block_mix, byte_bpe, lang_conv, line_dedup, near_copies
 from geopulse.llm.common import table, written
 from geopulse.llm.queries import importable
 
@@ -23,9 +23,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
     importable(spark)
-    return simhash_trees.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from geopulse.llm import block_mix, interpolated_lm, line_dedup, scaled_sketch, simhash_trees
+from geopulse.llm import block_mix, interpolated_lm, line_dedup, near_copies, scaled_sketch, simhash_trees
 from geopulse.llm.components import components
 from geopulse.llm.queries import QUERIES
 
@@ -290,6 +290,40 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# --- near copies -----------------------------------------------------------------------------
+def test_near_copies_equal_brute_force(docs, odd_texts):
+    import corpus_pipeline
+
+    random.seed(12)
+    texts = list(odd_texts)
+    for n in (5, 8, 9, 12, 30, 100, 300):
+        for g in range(4):
+            base = [f"b{n}x{random.randint(0, 4000)}" for _ in range(n)]
+            for i in range(8):
+                line = list(base)
+                for _ in range(random.randint(0, max(1, n // 25))):
+                    line[random.randrange(n)] = f"n{random.randint(0, 9999)}"
+                if i == 3:
+                    line.append("tail")
+                texts.append(" ".join(line).title())
+    sets = []
+    for t in texts:
+        words = WORD.findall((t or "").translate(LOW))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(texts)))
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0]
+    for _ in texts:
+        for i, j in edges:
+            label[i] = label[j] = min(label[i], label[j])
+    far = [1 for i, j in edges if (slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).bit_count() > 4]
+    assert len(far) > 20
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(texts)).collect()}
+    assert got == dict(enumerate(label))
+    kept = corpus_pipeline.near_duplicates(docs(texts).sparkSession, docs(texts), None)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert near_copies.one_of_each(docs([])).count() == 0
+
+
 # --- language model --------------------------------------------------------------------------
 def test_language_model_counts_equal_brute_force(docs, odd_texts):
     texts = odd_texts + ["the cat sat on the mat"] * 3 + ["a cat sat on a mat"]
