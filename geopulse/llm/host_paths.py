@@ -4,7 +4,11 @@ A page is cut into blocks of text, each under a container (an element that can h
 container is named by its generalised path: tags and classes from the root, digits left out. In a
 first pass each page scores its containers and votes for the path of its main one; Spark sums the
 votes of a host. In a second pass every page is read again by the winning paths of its host: the one
-with most votes that the page has text under. A page with none of them is read by its own vote.
+with most votes under which the page has all that its own main container has, but for noise. A page with
+none of them is read by its own vote.
+
+The main container is found from the root down, for as long as what stands beside the next container is
+noise: dropped as below, or mostly links and without a heading.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never
 count as text: they are known by tag, role, or the words of class and id.
@@ -78,7 +82,8 @@ def is_dropped(tag: str, mark: dict, in_article: bool) -> bool:
     if "style" in mark and re.search(r"display\s*:\s*none", mark["style"], re.I):
         return True
     named = NAME_WORDS.findall(f"{mark.get('class', '')} {mark.get('id', '')}")
-    return any(w.lower() in DROPPED_WORDS for w in named)
+    # The header of an article is its own.
+    return any(w.lower() in DROPPED_WORDS and not (in_article and w.lower() == "header") for w in named)
 
 
 def path_part(tag: str, mark: dict) -> str:
@@ -88,13 +93,13 @@ def path_part(tag: str, mark: dict) -> str:
 
 
 class Page:
-    """The blocks of a page in order: ``(text, container, is heading)``; containers as
-    ``(path, parent)``, by number."""
+    """The blocks of a page in order: ``(text, container, is heading)``; whether each is mostly links;
+    containers as ``(path, parent)``, by number."""
 
     def __init__(self, source: str):
-        self.blocks, self.containers = [], [("", -1)]
+        self.blocks, self.linked, self.containers = [], [], [("", -1)]
         self.stack = []  # (tag, container, dropped, in article, only headings)
-        self.parts = []
+        self.parts, self.said, self.said_in_links = [], 0, 0
         self.read(source)
 
     def top(self):
@@ -103,15 +108,21 @@ class Page:
     def end_block(self):
         if self.parts:
             text = " ".join(references.unescape("".join(self.parts)).split())
-            self.parts = []
+            linked = 2 * self.said_in_links > self.said
+            self.parts, self.said, self.said_in_links = [], 0, 0
             if text:
                 heading = any(tag in HEADINGS for tag, *_ in self.stack[-4:])
                 self.blocks.append((text, self.top()[1], heading))
+                self.linked.append(linked)
 
     def say(self, text: str):
         tag, _, dropped, _, only_headings = self.top()
         if text and not dropped and not (only_headings and not any(t in HEADINGS for t, *_ in self.stack[-4:])):
             self.parts.append(text)
+            size = len(text.strip())
+            self.said += size
+            if any(entry[0] == "a" for entry in self.stack[-4:]):
+                self.said_in_links += size
 
     def read(self, source: str):
         at, size = 0, len(source)
@@ -192,28 +203,47 @@ class Page:
         return out
 
     def main_container(self) -> int:
-        """From the root down while one container holds most of the text and no heading is left out."""
+        """From the root down while one container holds most of the text and only noise is left out."""
         size = self.sizes()
-        children, headed = {}, [False] * len(size)
+        children, kept, noise = {}, [0] * len(size), [0] * len(size)
         for i, (_, parent) in enumerate(self.containers):
             children.setdefault(parent, []).append(i)
-        for _, container, heading in self.blocks:
-            headed[container] |= heading
+        # Under each container, at any depth: blocks that may not be left out, and characters of the others.
+        for (text, container, heading), linked in zip(self.blocks, self.linked):
+            if heading or not linked:
+                kept[container] += 1
+            else:
+                noise[container] += len(text)
+        for i in range(len(size) - 1, 0, -1):
+            kept[self.containers[i][1]] += kept[i]
+            noise[self.containers[i][1]] += noise[i]
         at = 0
         while children.get(at):
-            best = max(children[at], key=lambda i: (size[i], -i))
-            share = 0.5 if re.search(r"/(article|main)[^/]*\Z", self.containers[best][0]) else 0.7
-            if size[best] < share * size[at] or size[best] == 0 or (headed[at] and share > 0.5):
+            best = max(children[at], key=lambda i: (kept[i], size[i], -i))
+            if size[best] == 0 or kept[best] < kept[at] or noise[best] < noise[at] and kept[best] == 0:
                 break
             at = best
         return at
 
-    def text_under(self, path: str) -> str:
-        """The blocks under all containers of a path."""
+    def blocks_under(self, path: str) -> list[int]:
+        """The numbers of the blocks under all containers of a path."""
         under = []
         for own, parent in self.containers:
             under.append(own == path or (parent >= 0 and under[parent]))
-        return "\n\n".join(text for text, container, _ in self.blocks if under[container])
+        return [i for i, (_, container, _) in enumerate(self.blocks) if under[container]]
+
+    def best_path(self, winning) -> str:
+        """The first winning path that has all of the page's main container but noise, or that one's own."""
+        own = self.containers[self.main_container()][0]
+        mine = {i for i in self.blocks_under(own) if self.blocks[i][2] or not self.linked[i]}
+        for path in winning:
+            has = self.blocks_under(path)
+            if has and mine.issubset(has):
+                return path
+        return own
+
+    def text_under(self, path: str) -> str:
+        return "\n\n".join(self.blocks[i][0] for i in self.blocks_under(path))
 
 
 def votes(pages: DataFrame, key="page_id", url="url", html="html") -> DataFrame:
@@ -264,12 +294,8 @@ def extract(pages: DataFrame, key="page_id", url="url", html="html") -> DataFram
             texts, paths = [], []
             for source, winning in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 page = Page(source)
-                for path in [*(winning or ()), page.containers[page.main_container()][0]]:
-                    text = page.text_under(path)
-                    if text:
-                        break
-                texts.append(text)
-                paths.append(path)
+                paths.append(page.best_path(winning or ()))
+                texts.append(page.text_under(paths[-1]))
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(paths, pa.string())], ["page_id", "url", "text", "n_chars", "path"])
 

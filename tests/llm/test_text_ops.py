@@ -251,6 +251,28 @@ def test_page_without_the_hosts_path_uses_its_own(pages):
     assert got[5].text == "text 5 is here" and got[99].text == "other text"
 
 
+def test_extraction_leaves_no_part_of_an_article_out(pages):
+    body, more = "long text of the story " * 40, "the last part of it " * 9
+    parted = f"<article><div class=title><h1>Head</h1></div><div class=text><p>{body}</p></div><div class=more><p>{more}</p></div></article>"
+    menu = "<div class=list><a href=1>one link</a> <a href=2>another link</a></div>"
+    named = f"<article><div class=article-header><h1>Head</h1></div><p>{body}</p></article>"
+    # The host's usual path has a line of text on a page of another template.
+    other = f"<article><p>short teaser</p></article><div class=story><h2>Story</h2><p>{body}</p></div>"
+    beside = f"<div class=top><h1>Head</h1></div><article><p>{body}</p></article>"
+    two = f"<article><p>{body}</p></article><article><p>{more}</p></article>"
+    rows = [(i, "http://h.example/", f"<html><body>{menu}<article><p>{body} {i}</p></article>", "", "", "") for i in range(40)]
+    cases = [parted, menu + parted, named, other, beside, two]
+    rows += [(100 + i, "http://h.example/", f"<html><body>{h}", "", "", "") for i, h in enumerate(cases)]
+    got = {r.page_id: r.text for r in host_paths.extract(pages(rows)).collect()}
+    body, more = body.strip(), more.strip()
+    assert got[7] == f"{body} 7"
+    assert got[100] == got[101] == f"Head\n\n{body}\n\n{more}"
+    assert got[102] == f"Head\n\n{body}"
+    assert got[103] == f"short teaser\n\nStory\n\n{body}"
+    assert got[104] == f"Head\n\n{body}"
+    assert got[105] == f"{body}\n\n{more}"
+
+
 def test_extraction_of_given_pages(spark, sf_dir):
     source = dict(duckdb.sql(f"select page_id, html from read_parquet('{sf_dir}/pages.parquet')").fetchall())
     for r in QUERIES["op3_host_paths"](spark, sf_dir).collect():
