@@ -242,7 +242,8 @@ def report(df: DataFrame, key="doc_id", text="text") -> DataFrame:
 def without_lines(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """The rows of ``df`` with what is left of their texts; ``n_chars``, if there, follows the text.
 
-    Documents that lose a line and have no word left are dropped: all of them stood before.
+    Documents that lose a line and have no word left are dropped: each of their lines is similar to an
+    earlier one, which may itself be removed, so what is left need not resemble them.
     """
     gone = written(removed_lines(df, key, text), "removed-lines")
     names = df.columns
