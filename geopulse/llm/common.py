@@ -52,4 +52,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     of a size that later plans know."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`written` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "scratch", None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

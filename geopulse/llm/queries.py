@@ -5,7 +5,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.llm import block_mix, byte_bpe, host_paths, interpolated_lm, lang_conv, license_rules, line_dedup, quality_rules, scaled_sketch, simhash_trees
+from geopulse.llm import (
+    block_mix, byte_bpe, host_paths, interpolated_lm, lang_conv, license_rules, line_dedup, merkle, quality_rules,
+    scaled_sketch, simhash_trees, token_alignment, token_store,
+)
 from geopulse.llm.common import doc_fold, table
 
 QUERIES = {}
@@ -149,3 +152,26 @@ def interpolated_lm_query(docs):
     found = interpolated_lm.score(docs, F.coalesce(fold != 1, F.lit(False)))
     held_out = F.coalesce(fold == 1, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_galloping_alignment")
+def token_alignment_query(docs):
+    return token_alignment.report(docs, *token_alignment.vocabularies())
+
+
+@query("op12_orc_tokens")
+def token_store_query(docs):
+    return token_store.written_and_read(docs, token_store.vocabulary())
+
+
+@query("op13_merkle_manifest")
+def merkle_query(docs):
+    changed = [F.translate(f, "\n", "") if f == "text" else F.col(f) for f in merkle.FIELDS]
+    claim = F.when(doc_fold("doc_id", 2) == 0, merkle.leaf(changed))
+    found = merkle.manifest(docs, keep={"claim": claim})
+    found = merkle.folded(found.withColumn("claim", F.coalesce("claim", "leaf")), "claim")
+    siblings = F.translate("proof", ",;", "")
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(siblings).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
