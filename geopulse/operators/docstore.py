@@ -33,23 +33,33 @@ def upsert(base: DataFrame, updates: DataFrame, order_col, key="_id") -> DataFra
     return stored.unionByName(new)
 
 
-def bulk_insert(base: DataFrame, new: DataFrame, order_col=None, key="_id"):
+def bulk_insert(base: DataFrame, new: DataFrame, order_col=None, key="_id", known=None):
     """Insert documents with unknown ids as version 1. Returns ``(inserted, conflicts)``.
 
     A document whose id is stored already, or came earlier in the same batch (by ``order_col``, then
     by its fields), is a conflict and is not stored. Documents without an id get one.
+
+    Only ids are grouped: how often each comes and whether it is stored is written down once. Documents
+    whose id comes once and is not stored go on as they are; only copies of one id are compared by their
+    fields. ``known`` may be a function from a frame of the new ids to the stored ones among them (and others),
+    such as a look-up in a :class:`~geopulse.operators.keyindex.KeyIndex`, instead of all ids of ``base``.
     """
     new = with_generated_ids(new, key)
     fields = [c for c in new.columns if c not in (key, "version")]
+    copies = new.groupBy(key).agg(F.count("*").alias("_copies"))
+    if known is not None:
+        copies = checkpointed(copies)
+    stored = (base if known is None else known(copies)).select(key).withColumn("_stored", F.lit(True))
+    ids = copies.join(stored, key, "left").withColumn("_stored", F.col("_stored").isNotNull())
+    # Usually few of the batch: the others need no join but with these.
+    odd = checkpointed(ids.where("_stored OR _copies > 1"))
+    once = new.join(odd.select(key), key, "left_anti").select(key, *fields)
+    repeated = new.join(odd.where("NOT _stored").select(key), key, "left_semi")
     order = F.struct(*([order_col] if order_col else []), *fields)
-    packed = new.select(key, F.struct(*fields).alias("_doc"), order.alias("_ord"))
-    grouped = packed.groupBy(key).agg(F.min_by("_doc", "_ord").alias("_doc"), F.count("*").alias("_copies"))
-    known = base.select(key)
-    fresh = grouped.join(known, key, "left_anti")
-    inserted = fresh.select(key, "_doc.*", F.lit(1).cast("bigint").alias("version"))
-    repeated = fresh.where("_copies > 1").select(key, (F.col("_copies") - 1).alias("rejected"))
-    stored = grouped.join(known, key, "left_semi").select(key, F.col("_copies").alias("rejected"))
-    return inserted, stored.unionByName(repeated)
+    first = repeated.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("_doc")).select(key, "_doc.*")
+    inserted = once.unionByName(first).withColumn("version", F.lit(1).cast("bigint"))
+    rejected = F.when(F.col("_stored"), F.col("_copies")).otherwise(F.col("_copies") - 1)
+    return inserted, odd.select(key, rejected.alias("rejected"))
 
 
 def with_generated_ids(new: DataFrame, key="_id") -> DataFrame:

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup, let
 from geopulse.functions.text import name_bigrams, place_name
-from geopulse.plans.skew import lookup_join
-from geopulse.session import checkpointed
+from geopulse.plans.skew import Dimension, lookup_join
 
 
 def normalise_place_names(places: DataFrame) -> DataFrame:
@@ -109,7 +108,8 @@ class PlaceResolver:
     """Resolves normalised place strings; built once per gazetteer."""
 
     def __init__(self, gazetteer: DataFrame, max_rows=MAX_LOOKUP_ROWS):
-        self._names = checkpointed(_anchored(gazetteer))
+        self._dimension = Dimension(_anchored(gazetteer))
+        self._names = self._dimension.frame
         # A bounded count first: the grouped form below is only built for a small gazetteer.
         self._lookup = None
         if self._names.limit(max_rows + 1).count() <= max_rows:
@@ -150,7 +150,7 @@ class PlaceResolver:
         place_words = distinct.select(place, F.split(place, " ").alias("_words")).select(
             place, "_words", F.explode(F.array_distinct("_words")).alias("anchor")
         )
-        pairs = lookup_join(place_words, self._names, "anchor", [place, "anchor"], "inner")
+        pairs = self._dimension.joined(place_words, "anchor", [place, "anchor"], "inner")
         hits = pairs.select(place, _hit(F.col("_words"), F.col("name")).alias(out))
         best = hits.where(F.col(out)["at"].isNotNull()).groupBy(place).agg(F.min(out).alias(out))
         return lookup_join(df, best, place, row_key, "left")

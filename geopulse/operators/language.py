@@ -9,8 +9,7 @@ from pyspark.sql.window import Window
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS
 from geopulse.functions.text import WORD, words
 from geopulse.operators.sentiment import joined_back
-from geopulse.plans.skew import MAX_BROADCAST_ROWS, ROW, fits, lookup_join, with_row_id
-from geopulse.session import checkpointed
+from geopulse.plans.skew import MAX_BROADCAST_ROWS, ROW, Dimension, fits, with_row_id
 
 # Length of a language profile in the published n-gram method (fixed value, a parameter of train_lang).
 PROFILE_SIZE = 300
@@ -100,10 +99,14 @@ class LanguageDetector:
     """
 
     def __init__(self, profiles: DataFrame, max_rows=MAX_LOOKUP_ROWS):
-        self._profiles = checkpointed(profiles.select("lang", "gram", "weight"))
-        self._score, self._max_rows = None, max_rows
-        if fits(self._profiles, max_rows):
-            self._score = self._compile(self._profiles.toPandas())
+        profiles = Dimension(profiles.select("lang", "gram", "weight"), min(max_rows, MAX_BROADCAST_ROWS))
+        self._profiles, self._score = profiles, None
+        if fits(profiles.frame, max_rows):
+            self._score = self._compile(profiles.frame.toPandas())
+
+    @property
+    def joins(self) -> bool:
+        return self._score is None
 
     @staticmethod
     def _compile(profile: pd.DataFrame):
@@ -120,7 +123,7 @@ class LanguageDetector:
         return _scorer(packed[order], weights, list(table.columns))
 
     def detect(self, df: DataFrame, text, row_key, out="lang") -> DataFrame:
-        if self._score is None:
+        if self.joins:
             return self._detect_by_join(df, text, out)
         plain = F.regexp_replace(F.lower(F.col(text)), rf"[^{WORD}]+", " ")
         return df.withColumn(out, self._score(plain))
@@ -133,8 +136,7 @@ class LanguageDetector:
             .groupBy(ROW, "gram")
             .agg(F.count("*").alias("n"))
         )
-        limit = min(self._max_rows, MAX_BROADCAST_ROWS)
-        scored = lookup_join(grams, self._profiles, "gram", [ROW, "gram"], "inner", max_rows=limit)
+        scored = self._profiles.joined(grams, "gram", [ROW, "gram"], "inner")
         totals = scored.groupBy(ROW, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
         best = totals.groupBy(ROW).agg(F.min(F.struct((-F.col("s")).alias("minus"), "lang")).alias("b"))
         best = best.select(ROW, F.col("b.lang").alias(out))

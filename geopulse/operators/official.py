@@ -149,6 +149,23 @@ def area_correlation(df: DataFrame, x, y) -> DataFrame:
     return both.agg(F.corr(x, y).alias("correlation"), F.count("*").alias("areas"))
 
 
+def correlations(df: DataFrame, xs, ys) -> DataFrame:
+    """``x, y, correlation, areas`` of every column of ``xs`` with every one of ``ys``, from one aggregate.
+
+    Each row becomes a row for each pair, and a task adds up a pair's co-moments before the shuffle. A pair
+    counts the rows that have both values; without any its correlation is NULL.
+    """
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(xs)], *[F.col(f"`{c}`").cast("double").alias(f"y{i}") for i, c in enumerate(ys)])
+    # A row of NULLs, so that a table without rows has its pairs as well.
+    wide = wide.unionByName(df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in wide.columns]))
+    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("x"), F.col(f"y{j}").alias("y")) for i in range(len(xs)) for j in range(len(ys))]
+    found = wide.select(F.inline(F.array(*pairs))).groupBy("i", "j").agg(
+        F.corr("x", "y").alias("correlation"), F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("areas")
+    )
+    names = [F.array(*[F.lit(c) for c in columns]) for columns in (xs, ys)]
+    return found.select(F.get(names[0], F.col("i")).alias("x"), F.get(names[1], F.col("j")).alias("y"), "correlation", "areas")
+
+
 def extremes(df: DataFrame, label, cols) -> DataFrame:
     """Region with the largest and the smallest value of each metric; ties go to the first label."""
 

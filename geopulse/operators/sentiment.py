@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geopulse.constants import SCORE_LABELS
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup, let, unique_keys
 from geopulse.functions.text import tokenise
-from geopulse.plans.skew import MAX_BROADCAST_ROWS, ROW, lookup_join, with_row_id
+from geopulse.plans.skew import MAX_BROADCAST_ROWS, ROW, Dimension, with_row_id
 from geopulse.session import checkpointed
 
 # Damping constant of the compound score (fixed value).
@@ -30,17 +30,34 @@ BOOSTERS = {
 }
 
 
-def normalise_text(df, text, lemmas, row_key, out="content", max_rows=MAX_LOOKUP_ROWS) -> DataFrame:
-    """Tokens of ``text`` replaced by their lemma and joined with blanks; NULL stays NULL.
+class Normaliser:
+    """Tokens replaced by their lemma. The lemma table is measured and read once, here.
 
-    The result is the same for lemma tables of any size. It goes row by row: a ``row_key`` that
-    repeats does no harm. Of several lemmas of a token the least counts.
+    The result is the same for lemma tables of any size. Of several lemmas of a token the least counts.
     """
-    table = Lookup.from_frame(lemmas, "token", "lemma", max_rows)
-    if table is not None:
-        tokens = F.transform(tokenise(text), lambda t: F.coalesce(table.get(t), t))
+
+    def __init__(self, lemmas: DataFrame, max_rows=MAX_LOOKUP_ROWS):
+        self._table, self._dimension = Lookup.from_frame(lemmas, "token", "lemma", max_rows), None
+        if self._table is None:
+            lemmas = unique_keys(lemmas, "token", "lemma")
+            self._dimension = Dimension(lemmas, min(max_rows, MAX_BROADCAST_ROWS))
+
+    @property
+    def joins(self) -> bool:
+        return self._table is None
+
+    def normalise(self, df, text, row_key, out="content") -> DataFrame:
+        """Tokens of ``text`` as lemmas, joined with blanks; NULL stays NULL. It goes row by row: a
+        ``row_key`` that repeats does no harm."""
+        if self.joins:
+            return _normalise_by_join(df, text, self._dimension, out)
+        tokens = F.transform(tokenise(text), lambda t: F.coalesce(self._table.get(t), t))
         return df.withColumn(out, F.array_join(tokens, " "))
-    return _normalise_by_join(df, text, lemmas, out, max_rows)
+
+
+def normalise_text(df, text, lemmas, row_key, out="content", max_rows=MAX_LOOKUP_ROWS) -> DataFrame:
+    """One use of a :class:`Normaliser`."""
+    return Normaliser(lemmas, max_rows).normalise(df, text, row_key, out)
 
 
 def joined_back(df, had_row, found) -> DataFrame:
@@ -49,12 +66,11 @@ def joined_back(df, had_row, found) -> DataFrame:
     return out if had_row else out.drop(ROW)
 
 
-def _normalise_by_join(df, text, lemmas, out, max_rows):
+def _normalise_by_join(df, text, lemmas, out):
     """Each row becomes its tokens, and one row is put together again per group."""
     had_row, df = ROW in df.columns, with_row_id(df)
     tokens = df.select(ROW, F.posexplode(tokenise(text)).alias("_pos", "token"))
-    lemmas = unique_keys(lemmas, "token", "lemma")
-    named = lookup_join(tokens, lemmas, "token", [ROW, "_pos"], max_rows=min(max_rows, MAX_BROADCAST_ROWS))
+    named = lemmas.joined(tokens, "token", [ROW, "_pos"])
     joined = named.groupBy(ROW).agg(
         F.array_join(
             F.transform(
@@ -73,28 +89,46 @@ def compound(total) -> F.Column:
     return total / F.sqrt(total * total + F.lit(ALPHA))
 
 
-def polarity(df, text, lexicon, row_key, out="compound", rules=False, max_rows=MAX_LOOKUP_ROWS):
-    """Compound score of blank-separated tokens; a post without text gets NULL.
+class Scorer:
+    """Compound score of blank-separated tokens. The lexicon is measured and read once, here.
 
     The valences are summed as integers, so the sum does not depend on the order of the rows.
     With ``rules`` a booster up to three tokens ahead strengthens or weakens a valence, and a
     negator up to three tokens ahead flips and damps it. The result is the same for lexicons of any
-    size and goes row by row; of several valences of a token the least counts.
+    size; of several valences of a token the least counts.
     """
-    lower = F.split(F.lower(F.col(text)), " ")
-    table = Lookup.from_frame(lexicon, "token", "valence", max_rows)
-    if table is None:
-        return _polarity_by_join(df, lower, text, lexicon, out, rules, max_rows)
-    if rules:
-        total = _rule_total(F.transform(lower, lambda t: let(table.get(t), lambda v: _mark(t, v))))
-    else:
-        tenths = F.aggregate(
-            lower,
-            F.lit(0).cast("bigint"),
-            lambda acc, t: acc + F.coalesce(table.get(t).cast("bigint"), F.lit(0).cast("bigint")),
-        )
-        total = tenths.cast("double") / 10
-    return df.withColumn(out, let(total, compound))
+
+    def __init__(self, lexicon: DataFrame, rules=False, max_rows=MAX_LOOKUP_ROWS):
+        self._rules = rules
+        self._table, self._dimension = Lookup.from_frame(lexicon, "token", "valence", max_rows), None
+        if self._table is None:
+            lexicon = unique_keys(lexicon, "token", "valence")
+            self._dimension = Dimension(lexicon, min(max_rows, MAX_BROADCAST_ROWS))
+
+    @property
+    def joins(self) -> bool:
+        return self._table is None
+
+    def score(self, df, text, row_key, out="compound") -> DataFrame:
+        """Adds the score, row by row; a post without text gets NULL."""
+        lower, table = F.split(F.lower(F.col(text)), " "), self._table
+        if self.joins:
+            return _polarity_by_join(df, lower, text, self._dimension, out, self._rules)
+        if self._rules:
+            total = _rule_total(F.transform(lower, lambda t: let(table.get(t), lambda v: _mark(t, v))))
+        else:
+            tenths = F.aggregate(
+                lower,
+                F.lit(0).cast("bigint"),
+                lambda acc, t: acc + F.coalesce(table.get(t).cast("bigint"), F.lit(0).cast("bigint")),
+            )
+            total = tenths.cast("double") / 10
+        return df.withColumn(out, let(total, compound))
+
+
+def polarity(df, text, lexicon, row_key, out="compound", rules=False, max_rows=MAX_LOOKUP_ROWS):
+    """One use of a :class:`Scorer`."""
+    return Scorer(lexicon, rules, max_rows).score(df, text, row_key, out)
 
 
 def _mark(token, valence):
@@ -130,12 +164,11 @@ def _rule_total(marks):
     return let(marks, total).cast("double") / UNIT
 
 
-def _polarity_by_join(df, tokens, text, lexicon, out, rules, max_rows):
+def _polarity_by_join(df, tokens, text, lexicon, out, rules):
     """Large lexicon: tokens meet valences in a join, sums come back per row."""
     had_row, df = ROW in df.columns, with_row_id(df)
     exploded = df.select(ROW, F.posexplode(tokens).alias("_pos", "token"))
-    lexicon = unique_keys(lexicon, "token", "valence")
-    scored = lookup_join(exploded, lexicon, "token", [ROW, "_pos"], max_rows=min(max_rows, MAX_BROADCAST_ROWS))
+    scored = lexicon.joined(exploded, "token", [ROW, "_pos"])
     if rules:
         # One ordered array per row: the rules look at neighbours inside a text only.
         arrays = scored.groupBy(ROW).agg(
@@ -152,6 +185,165 @@ def _polarity_by_join(df, tokens, text, lexicon, out, rules, max_rows):
     return joined_back(df, had_row, totals).withColumn(out, compound(F.coalesce("_total", missing))).drop("_total")
 
 
+# --- the whole score -----------------------------------------------------------------------------
+# What capitals add, and their fade over distance; what a contrast does to the words before and
+# after it, in tenths; what exclamation and question marks add to a text.
+CAPITALS_MICRO = [733_000, 696_350, 659_700]
+CONTRAST, BEFORE, AFTER = "but", 5, 15
+EXCLAMATION_MICRO, MOST_EXCLAMATIONS = 292_000, 4
+QUESTION_MICRO, MOST_QUESTIONS, MANY_QUESTIONS_MICRO = 180_000, 3, 960_000
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def plain_words(text) -> F.Column:
+    """Words between white space, without punctuation around them if more than two characters are left."""
+
+    def bare(word):
+        return let(F.btrim(word, F.lit(PUNCTUATION)), lambda b: F.when(F.length(b) > 2, b).otherwise(word))
+
+    cut = F.filter(F.split(F.col(text) if isinstance(text, str) else text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    return F.transform(cut, bare)
+
+
+def is_capital(word) -> F.Column:
+    return (F.upper(word) == word) & (F.lower(word) != word)
+
+
+class Phrases:
+    """Valences of phrases of several words, as a trie: every beginning of a phrase leads to what it is worth, if
+    anything, and to nothing else. A phrase list is small; one beyond the size of a lookup is refused."""
+
+    def __init__(self, phrases: DataFrame, max_rows=MAX_LOOKUP_ROWS):
+        words = F.split(F.lower(F.trim("phrase")), " +")
+        listed = phrases.where("phrase IS NOT NULL AND valence IS NOT NULL").select(words.alias("w"), "valence")
+        starts = listed.select("w", "valence", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
+        start = F.array_join(F.slice("w", 1, F.col("k")), " ").alias("start")
+        worth = F.min(F.when(F.col("k") == F.size("w"), F.col("valence").cast("bigint")))
+        nodes = starts.groupBy(start).agg(F.struct(worth.alias("v")).alias("node"))
+        self._trie = Lookup.from_frame(nodes, "start", "node", max_rows)
+        if self._trie is None:
+            raise ValueError("the phrase list is too large")
+        self.longest = listed.agg(F.max(F.size("w"))).first()[0] or 0
+
+    def spans(self, words: F.Column) -> F.Column:
+        """For each word how many words the longest phrase that begins there has (0 for none), and its valence."""
+
+        def at(word, i):
+            def step(state, k):
+                path = F.when(k == 1, F.get(words, i)).otherwise(F.concat(state["path"], F.lit(" "), F.get(words, i + k - 1)))
+                node = F.when(state["open"], self._trie.get(path))
+                found = node["v"].isNotNull()
+                return F.struct(
+                    path.alias("path"), node.isNotNull().alias("open"),
+                    F.when(found, k).otherwise(state["n"]).alias("n"), F.when(found, node["v"]).otherwise(state["v"]).alias("v"),
+                )
+
+            start = F.struct(F.lit("").alias("path"), F.lit(True).alias("open"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("v"))
+            walk = F.aggregate(F.sequence(F.lit(1), F.lit(self.longest)), start, step)
+            nothing = F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("v"))
+            # Few words begin a phrase.
+            return F.when(self._trie.get(word).isNotNull(), let(walk, lambda s: F.struct(s["n"].alias("n"), s["v"].alias("v")))).otherwise(nothing)
+
+        return F.transform(words, at)
+
+
+class FullScorer:
+    """Compound score with boosters, negation, contrast, capitals, punctuation and phrases.
+
+    Words are cut at white space. A word's valence is that of its lower-case form. On top of the rules of
+    :class:`Scorer`: a word in capitals, in a text that is not all in capitals, counts for more, and so does
+    a booster in capitals; what stands before the first ``but`` counts half, what comes after it half as much again;
+    exclamation and question marks strengthen the sum. A phrase counts as one word where it begins; its words have no valence
+    and no part in the rules of their own, and a phrase that begins inside of another does not count.
+
+    The result is the same for lexicons of any size and does not depend on the order of rows. A post without text
+    gets NULL.
+    """
+
+    def __init__(self, lexicon: DataFrame, phrases: DataFrame = None, max_rows=MAX_LOOKUP_ROWS):
+        self._phrases = None if phrases is None else Phrases(phrases)
+        self._table, self._dimension = Lookup.from_frame(lexicon, "token", "valence", max_rows), None
+        if self._table is None:
+            self._dimension = Dimension(unique_keys(lexicon, "token", "valence"), min(max_rows, MAX_BROADCAST_ROWS))
+
+    @property
+    def joins(self) -> bool:
+        return self._table is None
+
+    def score(self, df, text, row_key, out="compound") -> DataFrame:
+        if not self.joins:
+            seen = F.transform(plain_words(text), lambda w: F.struct(w.alias("w"), self._table.get(F.lower(w)).cast("bigint").alias("v")))
+            return df.withColumn(out, self._compound(seen, F.col(text)))
+        had_row, df = ROW in df.columns, with_row_id(df)
+        words = df.select(ROW, F.posexplode(plain_words(text)).alias("_pos", "_word"))
+        scored = self._dimension.joined(words.withColumn("token", F.lower("_word")), "token", [ROW, "_pos"])
+        found = F.struct("_pos", F.col("_word").alias("w"), F.col("valence").cast("bigint").alias("v"))
+        arrays = scored.groupBy(ROW).agg(F.array_sort(F.collect_list(found)).alias("_seen"))
+        out_df = joined_back(df, had_row, arrays)
+        nothing = F.array().cast("array<struct<w:string,v:bigint>>")
+        seen = F.coalesce(F.transform("_seen", lambda x: F.struct(x["w"].alias("w"), x["v"].alias("v"))), nothing)
+        return out_df.withColumn(out, F.when(F.col(text).isNotNull(), self._compound(seen, F.col(text)))).drop("_seen")
+
+    def _compound(self, seen, text) -> F.Column:
+        total = let(seen, lambda s: let(self._marks(s), lambda m: self._sum(m, s)))
+        return let(total.cast("double") / (10 * UNIT), lambda t: compound(t + F.signum(t) * self._emphasis(text)))
+
+    def _marks(self, seen):
+        """For each word its valence and part in the rules, with phrases in place of their words."""
+        parts = Lookup.of({**BOOSTERS, **dict.fromkeys(NEGATORS, NEGATES)}, "int")
+        lowers = F.transform(seen, lambda x: F.lower(x["w"]))
+        mixed = let(F.size(F.filter(seen, lambda x: is_capital(x["w"]))), lambda n: (n > 0) & (n < F.size(seen)))
+
+        def marked(spans, mixed):
+            def one(x, i):
+                own = F.get(spans, i) if spans is not None else None
+                inside = F.lit(False)
+                for k in range(1, self._phrases.longest if spans is not None else 1):
+                    inside = inside | F.coalesce(F.when(i >= k, F.get(spans, i - k)["n"] > k), F.lit(False))
+                valence = x["v"] if own is None else F.when(inside, None).when(own["n"] > 0, own["v"]).otherwise(x["v"])
+                plain = ~inside if own is None else ~inside & (own["n"] == 0)
+                rule = F.when(plain & x["v"].isNull(), parts.get(F.lower(x["w"])))
+                return F.struct(valence.alias("v"), rule.alias("rule"), (mixed & is_capital(x["w"])).alias("caps"))
+
+            return F.transform(seen, one)
+
+        if self._phrases is None or not self._phrases.longest:
+            return let(mixed, lambda m: marked(None, m))
+        return let(mixed, lambda m: let(let(lowers, self._phrases.spans), lambda spans: marked(spans, m)))
+
+    def _sum(self, marks, seen):
+        """Sum of adjusted valences in tenths of ``1 / UNIT``."""
+        contrast = F.array_position(F.transform(seen, lambda x: F.lower(x["w"])), CONTRAST)
+
+        def with_contrast(at):
+            def one(mark, i):
+                v = mark["v"]
+                sign = F.when(v > 0, 1).when(v < 0, -1).otherwise(0)
+                value = v * (UNIT // 10) + F.when(mark["caps"], sign * CAPITALS_MICRO[0] * 100).otherwise(0)
+                ahead = [F.when(i >= k, F.get(marks, i - k)) for k in range(1, len(BOOST_MICRO) + 1)]
+                for mark_ahead, boost, capitals in zip(ahead, BOOST_MICRO, CAPITALS_MICRO):
+                    by = mark_ahead["rule"] * boost * 100 + F.when(mark_ahead["caps"], capitals * 100).otherwise(0)
+                    value = value + F.when(F.abs(mark_ahead["rule"]) == 1, sign * by).otherwise(0)
+                negations = sum((F.when(m["rule"] == NEGATES, 1).otherwise(0) for m in ahead), F.lit(0))
+                factor = F.element_at(F.array(*[F.lit(f) for f in NEGATION_FACTORS]), negations + 1)
+                value = F.call_function("div", value * factor, F.lit(NEGATION_SCALE))
+                weight = F.when((at == 0) | (i + 1 == at), 10).when(i + 1 < at, BEFORE).otherwise(AFTER)
+                return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(value * weight)
+
+            return F.aggregate(F.transform(marks, one), F.lit(0).cast("bigint"), lambda acc, value: acc + value)
+
+        return let(contrast, with_contrast)
+
+    @staticmethod
+    def _emphasis(text):
+        def count(mark):
+            return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+        shouted = F.least(count("!"), F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION_MICRO
+        asked = let(count("?"), lambda n: F.when(n < 2, 0).when(n <= MOST_QUESTIONS, n * QUESTION_MICRO).otherwise(MANY_QUESTIONS_MICRO))
+        return (shouted + asked) / 1_000_000.0
+
+
 def score_histogram(df: DataFrame, score="score", count=None, by=()) -> DataFrame:
     """Posts per score, with zero for scores that do not occur.
 

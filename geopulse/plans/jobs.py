@@ -17,7 +17,7 @@ from geopulse.constants import (
     TOPICS,
     TOTAL_OFFENCES,
 )
-from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup
+from geopulse.functions.lookup import MAX_LOOKUP_ROWS
 from geopulse.functions.scalars import score_bin, topic_flags
 from geopulse.functions.text import SPACE, normalise_location, strip_social
 from geopulse.operators.docstore import bulk_insert, id_partition
@@ -31,13 +31,14 @@ from geopulse.operators.filters import (
     row_sum,
     valid_id,
 )
+from geopulse.operators.keyindex import KeyIndex
 from geopulse.operators.gazetteer import PlaceResolver, build_gazetteer
 from geopulse.operators.language import LanguageDetector
-from geopulse.operators.official import area_correlation, count_bands, describe5, drop_outliers, extremes
+from geopulse.operators.official import correlations, count_bands, describe5, drop_outliers, extremes
 from geopulse.operators.regions import join_regions, metric_layers, region_metrics
-from geopulse.operators.sentiment import normalise_text, polarity
+from geopulse.operators.sentiment import Normaliser, Scorer
 from geopulse.operators.views import topic_views
-from geopulse.plans.skew import ROW, fits, with_row_id
+from geopulse.plans.skew import ROW, with_row_id
 from geopulse.schemas import POST_COLUMNS
 from geopulse.sources.posts import extract_fields, read_post_lines
 from geopulse.sources.sinks import save_gazetteer, write_batched
@@ -69,24 +70,18 @@ class Enrichers:
     def from_tables(
         cls, lemmas, lexicon, profiles=None, gazetteer=None, rules=False, max_rows=MAX_LOOKUP_ROWS
     ):
-        """Steps from model tables; tables of more than ``max_rows`` rows are joined."""
-        detector = LanguageDetector(profiles, max_rows).detect if profiles is not None else None
-
-        def normalise(df, text, key, out):
-            return normalise_text(df, text, lemmas, key, out, max_rows)
-
-        def score(df, text, key, out):
-            return polarity(df, text, lexicon, key, out, rules, max_rows)
+        """Steps from model tables; tables of more than ``max_rows`` rows are joined.
 
+        The tables are read here, once: a stream that uses the steps batch by batch reads no model again.
+        """
+        normaliser, scorer = Normaliser(lemmas, max_rows), Scorer(lexicon, rules, max_rows)
+        detector = LanguageDetector(profiles, max_rows) if profiles is not None else None
         resolver = PlaceResolver(gazetteer, max_rows) if gazetteer is not None else None
         # A lemma could be empty only if the table says so.
         keeps = lemmas.where("lemma IS NULL OR trim(lemma) = ''").isEmpty()
-        joins = (
-            Lookup.from_frame(lemmas, "token", "lemma", max_rows) is None
-            or Lookup.from_frame(lexicon, "token", "valence", max_rows) is None
-            or (profiles is not None and not fits(profiles, max_rows))
-        )
-        return cls(normalise, detector, score, resolver, keeps, joins)
+        joins = any(model.joins for model in (normaliser, scorer, detector) if model is not None)
+        detect = detector.detect if detector is not None else None
+        return cls(normaliser.normalise, detect, scorer.score, resolver, keeps, joins)
 
 
 def enrich(df: DataFrame, enrichers: Enrichers, text="text", row_key=("tid",)) -> DataFrame:
@@ -130,16 +125,23 @@ def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode
 
     A post whose ``_id`` is stored already, or that comes again in the dump, is a conflict and is not
     stored; the first by date and then by its fields stays. Returns the conflicts: ``_id, rejected``.
+
+    Cleaned posts are written down once. Stored ids are looked up through the store's key index, which
+    reads the files that may hold one of the new ids, and is brought up to date at the end.
     """
     posts = ingest_posts(read_post_lines(spark, path), enrichers, geo_only, mode)
     partition = F.substring_index("_id", ":", 1).cast("int")
     posts = posts.withColumn("partition", partition)
     # An empty store, so that the first dump can look for stored ids.
     posts.limit(0).write.mode("ignore").partitionBy("partition").parquet(store)
-    stored = spark.read.schema(posts.schema).parquet(store)
-    inserted, conflicts = bulk_insert(stored, posts, "date")
-    conflicts = checkpointed(conflicts)
+    index = KeyIndex(spark, store)
+
+    def known(ids):
+        return index.known(ids.select("_id", partition.alias("partition")))
+
+    inserted, conflicts = bulk_insert(None, posts, "date", known=known)
     write_batched(inserted.drop("version"), store, partition_by=["partition"])
+    index.update()
     return conflicts
 
 
@@ -227,11 +229,7 @@ def scenario_job(posts, official, code, metrics, topics=None, by="sal", official
     table = checkpointed(seen.join(areas, code))
     bands = [count_bands(table, f"`count {t}`").withColumn("topic", F.lit(t)) for t in topics]
     averages = [f"average_sentiment({t})" for t in topics]
-    pairs = [
-        compare_columns(table, f"`{a}`", m).select(F.lit(a).alias("posts"), F.lit(m).alias("official"), "correlation", "areas")
-        for a in averages
-        for m in metrics
-    ]
+    pairs = correlations(table, averages, list(metrics)).withColumnsRenamed({"x": "posts", "y": "official"})
     columns = {c: f"m{i}" for i, c in enumerate([*topic_columns(topics), *metrics])}
     plain = table.select(code, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in columns.items()])
     names = F.create_map(*[F.lit(x) for c, n in columns.items() for x in (n, c)])
@@ -239,15 +237,11 @@ def scenario_job(posts, official, code, metrics, topics=None, by="sal", official
     return {
         "table": table,
         "bands": reduce(DataFrame.unionByName, bands),
-        "correlations": reduce(DataFrame.unionByName, pairs),
+        "correlations": pairs,
         "extremes": ends,
     }
 
 
-def compare_columns(table, x, y):
-    return area_correlation(table.select(F.col(x).alias("x"), F.col(y).alias("y")), "x", "y")
-
-
 def score_distributions(datasets: dict[str, DataFrame], wanted: dict[str, list], topics=None, text="content", score="score"):
     """Score histogram per dataset and topic, with zeros, also for a topic nobody mentions.
 

@@ -17,16 +17,26 @@ def fits(df: DataFrame, max_rows: int, max_bytes=MAX_BROADCAST_BYTES) -> bool:
     return rows <= max_rows and (used or 0) <= max_bytes
 
 
-def lookup_join(left, right, key, row_key, how="left", max_rows=MAX_BROADCAST_ROWS, salts=64):
-    """Join on one column; ``row_key`` names columns of ``left`` that identify a row.
+class Dimension:
+    """A table to join against: computed once, its size checked once.
 
-    ``right`` is computed once and its size checked. A small one is broadcast, a large one goes
-    through :func:`salted_join`.
+    A small one is broadcast, a large one goes through :func:`salted_join`.
     """
-    right = checkpointed(right)
-    if fits(right, max_rows):
-        return left.join(F.broadcast(right), key, how)
-    return salted_join(left, right, key, row_key, how, salts)
+
+    def __init__(self, frame: DataFrame, max_rows=MAX_BROADCAST_ROWS):
+        self.frame = checkpointed(frame)
+        self.small = fits(self.frame, max_rows)
+
+    def joined(self, left: DataFrame, key, row_key, how="left", salts=64) -> DataFrame:
+        """Join on one column; ``row_key`` names columns of ``left`` that identify a row."""
+        if self.small:
+            return left.join(F.broadcast(self.frame), key, how)
+        return salted_join(left, self.frame, key, row_key, how, salts)
+
+
+def lookup_join(left, right, key, row_key, how="left", max_rows=MAX_BROADCAST_ROWS, salts=64):
+    """One join against a dimension; see :class:`Dimension` for several."""
+    return Dimension(right, max_rows).joined(left, key, row_key, how, salts)
 
 
 ROW = "_row"

@@ -19,7 +19,8 @@ from geopulse.queries.text_queries import (
 )
 from geopulse.queries.view_queries import STATS
 from geopulse.session import scratch_path
-from geopulse.streaming import harvest, live_view
+from geopulse.sources import paged
+from geopulse.streaming import array_sink, harvest, live_view
 
 
 def enrichers(t):
@@ -126,6 +127,18 @@ def stream_harvest(t):
     return t.spark.read.parquet(store)
 
 
+@query("stream_paged_harvest", f"WITH {SQL_TOOTS} SELECT * FROM toots")
+def stream_paged_harvest(t):
+    """Pages of every server until nothing is new, and again from the checkpoint when newer statuses came."""
+    pages, store, marks = (scratch_path(t.spark, n) for n in ("pages", "toots", "marks"))
+    steps, all_statuses = toot_enrichers(t), statuses(t)
+    newest = all_statuses.agg(F.max("id")).first()[0] or 0
+    for part in (F.col("id") <= newest // 2, F.col("id") > newest // 2):
+        paged.write_pages(all_statuses.where(part), pages)
+        harvest.harvest_pages(t.spark, pages, steps, store, marks, page=10_000)
+    return t.spark.read.parquet(store)
+
+
 @query(
     "harvest_pass",
     f"""WITH {SQL_TOOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY tid) AS rk FROM toots)
@@ -157,6 +170,19 @@ def stream_servers_append(t):
     return t.spark.read.schema("server STRING, id BIGINT, account BIGINT").json(out)
 
 
+@query("stream_json_array", "SELECT role AS server, conv_id * 1000 + turn AS id, text AS content FROM conversations")
+def stream_json_array(t):
+    """Statuses appended as JSON arrays; the stream is ended after a batch and started again."""
+    arrived, out, marks = (scratch_path(t.spark, n) for n in ("statuses", "arrays", "marks"))
+    rows = t.conversations.selectExpr("role AS server", "conv_id * 1000 + turn AS id", "text AS content")
+    schema = "server STRING, id BIGINT, content STRING"
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
+        rows.where(part).write.mode("append").json(arrived)
+        stream = t.spark.readStream.schema(schema).json(arrived)
+        array_sink.array_stream(stream, out, marks).awaitTermination()
+    return array_sink.JsonArrays(t.spark, out).read(schema)
+
+
 @query(
     "stream_view",
     f"""WITH p AS ({SQL_POSTS}) SELECT sal, {STATS} FROM p

@@ -152,6 +152,28 @@ def read_regions(t):
     return tables.read_regions(t.spark, path, "SAL_CODE", "SAL_NAME", "STE_NAME", "geo")
 
 
+@query(
+    "read_regions_geojson",
+    """SELECT CAST(c_custkey AS VARCHAR) AS code, c_name || ' {"' || c_mktsegment || '\\"}' AS name,
+    CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE n_name END AS state,
+    '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[' || c_nationkey || ',' || c_custkey || ']}]}' AS geometry
+    FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+)
+def read_regions_geojson(t):
+    """Customers as regions of their nation in feature collections: geometries nest, names have braces and quotes."""
+    path = scratch_path(t.spark, "geojson")
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.expr("c_name || ' {\"' || c_mktsegment || '\\\\\"}'")
+    properties = F.to_json(F.struct(F.col("c_custkey").alias("SAL_CODE"), text.alias("SAL_NAME"), F.when(F.col("c_custkey") % 7 != 0, F.col("n_name")).alias("STE_NAME")))
+    geometry = F.concat(F.lit('{"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": ['), "c_nationkey", F.lit(", "), "c_custkey", F.lit("]}]}"))
+    first = F.concat(F.lit('{"type": "Feature", "properties": '), properties, F.lit(', "geometry": '), geometry, F.lit("}"))
+    last = F.concat(F.lit('{"geometry": '), geometry, F.lit(',\n  "properties":'), properties, F.lit(', "type": "Feature"\n }'))
+    features = rows.select(F.when(F.col("c_custkey") % 2 == 0, first).otherwise(last).alias("feature"))
+    opening = '{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "any"}}, "features": [\n'
+    sinks.framed(features, "feature", opening, ",\n", "]}").write.text(path)
+    return tables.read_regions(t.spark, path, "SAL_CODE", "SAL_NAME", "STE_NAME", "geometry", format="geojson")
+
+
 @query(
     "flatten_view",
     f"""WITH p AS ({SQL_POSTS}) SELECT sal AS key, CAST(sum(score) AS DOUBLE) AS "sum", count(*) AS "count",

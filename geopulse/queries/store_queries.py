@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from geopulse.operators import docstore, paging
+from geopulse.operators.keyindex import KeyIndex
 from geopulse.operators.filters import geo_only, require, row_sum, valid_id
 from geopulse.queries.registry import query
+from geopulse.session import scratch_path
 
 
 def base(t):
@@ -216,3 +218,31 @@ def row_sum_query(t):
         "CASE WHEN l_returnflag = 'A' THEN l_suppkey END AS s",
     )
     return row_sum(lines, ["q", "l_linenumber", "s"], "total").drop("q", "s")
+
+
+def order_store(t):
+    """Orders as posts of three servers, several files each, with their key index."""
+    path = scratch_path(t.spark, "orders")
+    rows = t.orders.select(F.col("o_orderkey").alias("tid"), "o_custkey", F.col("o_orderstatus").alias("server"))
+    rows.repartitionByRange(6, "tid").write.partitionBy("server").parquet(path)
+    index = KeyIndex(t.spark, path, "tid", "server", "tid BIGINT, server STRING")
+    index.update()
+    return index
+
+
+@query(
+    "page_from_index",
+    """SELECT * FROM (SELECT o_orderkey AS tid, o_custkey, o_orderstatus AS server FROM orders
+        WHERE o_orderkey > (SELECT max(o_orderkey) // 2 FROM orders) ORDER BY 1 LIMIT 40)
+    UNION ALL SELECT * FROM (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY 1 DESC LIMIT 7)""",
+)
+def page_from_index(t):
+    """The page above a cursor, and the newest rows: only files that may hold them are read."""
+    index = order_store(t)
+    cursor = t.orders.agg(F.max("o_orderkey")).first()[0] // 2
+    return index.page_after(cursor, 40).unionByName(index.page_before(None, 7))
+
+
+@query("marks_from_index", "SELECT o_orderstatus AS bucket, max(o_orderkey) AS mark FROM orders GROUP BY 1")
+def marks_from_index(t):
+    return order_store(t).marks()

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from geopulse.constants import SCORE_LABELS
 from geopulse.functions import scalars, text
 from geopulse.operators import language, sentiment
+from geopulse.operators import lemmas as lemma_rules
 from geopulse.queries.registry import (
-    SQL_LEMMAS, SQL_LEXICON, SQL_PROFILES, S, W, lemmas, lexicon, query, sql_bin, sql_compound,
-    sql_content, sql_detect, sql_place, sql_round, sql_strip, sql_tokens,
+    SQL_LEMMAS, SQL_LEXICON, SQL_PROFILES, S, W, lemmas, lexicon, literal_table, query, sql_bin, sql_compound,
+    sql_content, sql_detect, sql_place, sql_round, sql_strip, sql_tokens, values_sql,
 )
 
 DECORATED = "text || ' @' || source || ' #' || lang || 'é http://x.org/' || doc_id || '?q=1 end'"
@@ -108,6 +109,41 @@ def normalise_text(t):
     return out.select("doc_id", "content")
 
 
+# A dictionary of the texts' own words, so that rules find something at every scale, and some exceptions.
+EXCEPTIONS = [("des", "de"), ("les", "el"), ("les", "la"), ("is", "be"), ("was", "wa"), ("women", "woman")]
+SQL_RULES = values_sql(lemma_rules.NOUN_RULES, ["old", "new"], "rules")
+
+
+def sql_lemmatised():
+    return rf"""WITH RECURSIVE {values_sql(EXCEPTIONS, ["token", "lemma"], "exc")}, {SQL_RULES},
+    tk AS (SELECT doc_id, unnest({sql_tokens('text')}) AS t, generate_subscripts({sql_tokens('text')}, 1) AS pos FROM documents),
+    tokens AS (SELECT DISTINCT t FROM tk),
+    words AS (SELECT t AS word FROM tokens WHERE (ascii(t) + length(t)) % 3 > 0),
+    forms(t, form, level) AS (SELECT t, t, 0 FROM tokens WHERE t NOT IN (SELECT token FROM exc)
+        UNION SELECT t, substr(form, 1, length(form) - length(old)) || new, level + 1 FROM forms JOIN rules ON ends_with(form, old)),
+    cands AS (SELECT t, form, greatest(level, 1) AS level FROM forms
+        UNION SELECT t, t, 1 FROM tokens WHERE t IN (SELECT token FROM exc)
+        UNION SELECT token, lemma, 1 FROM exc),
+    best AS (SELECT t, form AS lemma FROM (SELECT t, form,
+        row_number() OVER (PARTITION BY t ORDER BY level, length(form), form <> t, form) AS rk FROM cands JOIN words ON form = word) WHERE rk = 1)
+    SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.content, '') END AS content FROM documents d LEFT JOIN (
+        SELECT doc_id, string_agg(coalesce(lemma, tk.t), ' ' ORDER BY pos) AS content FROM tk LEFT JOIN best ON tk.t = best.t GROUP BY doc_id) j
+    ON d.doc_id = j.doc_id"""
+
+
+def own_words(t):
+    """About two of three distinct tokens."""
+    tokens = t.documents.select(F.explode(text.tokenise("text")).alias("word")).distinct()
+    return tokens.where((F.ascii("word") + F.length("word")) % 3 > 0)
+
+
+@query("lemmatise_rules", sql_lemmatised())
+def lemmatise_rules(t):
+    exceptions = literal_table(t.spark, EXCEPTIONS, ["token", "lemma"])
+    model = lemma_rules.RuleLemmatiser(own_words(t), exceptions)
+    return model.normalise(t.documents, "text", ["doc_id"]).select("doc_id", "content")
+
+
 @query(
     "train_lang",
     f"WITH {SQL_PROFILES} SELECT lang, gram, weight FROM profiles",
@@ -205,6 +241,60 @@ def polarity_rules(t):
     return scored.select("doc_id", F.round("compound", 6).alias("compound"))
 
 
+# Phrases of words that are frequent in the texts; none begins with another's end.
+PHRASES = [("und die", -25), ("not the", 13), ("der und", 8), ("very la que", 31), ("and to is", -9)]
+# Some words in capitals, marks at the end, and a contrast.
+SHOUTED = (
+    "replace(replace(replace({x}, ' and ', ' AND '), ' la ', ' LA '), ' la. ', ' but ') || repeat('!', {n} % 6) || repeat('?', {n} % 5)"
+)
+PUNCTUATION_SQL = sentiment.PUNCTUATION.replace("'", "''")
+
+
+def sql_polarity_full():
+    boosters = ", ".join(f"('{w}', {s})" for w, s in sentiment.BOOSTERS.items())
+    negators = ", ".join(f"'{w}'" if w != "n't" else "'n''t'" for w in sentiment.NEGATORS)
+    lags = ", ".join(
+        f"lag(CASE WHEN v IS NULL AND free THEN lw END, {k}) OVER o AS p{k}, lag(caps, {k}) OVER o AS c{k}" for k in (1, 2, 3)
+    )
+    boost = " + ".join(
+        f"CASE WHEN b{k}.s IS NOT NULL THEN sign(v) * (b{k}.s * {boost / 1e6} + CASE WHEN c{k} THEN {caps / 1e6} ELSE 0 END) ELSE 0 END"
+        for k, (boost, caps) in enumerate(zip(sentiment.BOOST_MICRO, sentiment.CAPITALS_MICRO), 1)
+    )
+    joins = " ".join(f"LEFT JOIN boosters b{k} ON b{k}.w = p{k}" for k in (1, 2, 3))
+    damp = " * ".join(f"CASE WHEN p{k} IN ({negators}) THEN -0.74 ELSE 1.0 END" for k in (1, 2, 3))
+    return rf"""WITH {SQL_LEXICON}, {values_sql(PHRASES, ["phrase", "valence"], "phrases")}, boosters(w, s) AS (VALUES {boosters}),
+    src AS (SELECT doc_id, {SHOUTED.format(x=_VARIED, n="doc_id")} AS text FROM documents),
+    cut AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '[^ 	
+]+'),
+        lambda w: CASE WHEN length(trim(w, '{PUNCTUATION_SQL}')) > 2 THEN trim(w, '{PUNCTUATION_SQL}') ELSE w END) AS ws FROM src),
+    info AS (SELECT doc_id, list_position(list_transform(ws, lambda w: lower(w)), 'but') AS contrast,
+        len(list_filter(ws, lambda w: upper(w) = w AND lower(w) <> w)) AS n_caps, len(ws) AS n,
+        least(length(text) - length(replace(text, '!', '')), 4) * 0.292 + CASE WHEN length(text) - length(replace(text, '?', '')) < 2 THEN 0
+        WHEN length(text) - length(replace(text, '?', '')) <= 3 THEN (length(text) - length(replace(text, '?', ''))) * 0.18 ELSE 0.96 END AS emphasis FROM cut),
+    tk AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM cut),
+    g AS (SELECT *, lower(w) AS lw, lead(lower(w), 1) OVER o AS n1, lead(lower(w), 2) OVER o AS n2 FROM tk WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    ph AS (SELECT g.*, t.valence AS v3, u.valence AS v2, CASE WHEN t.phrase IS NOT NULL THEN 3 WHEN u.phrase IS NOT NULL THEN 2 ELSE 0 END AS m
+        FROM g LEFT JOIN phrases t ON t.phrase = lw || ' ' || n1 || ' ' || n2 LEFT JOIN phrases u ON u.phrase = lw || ' ' || n1),
+    cov AS (SELECT *, coalesce(lag(m, 1) OVER o > 1, false) OR coalesce(lag(m, 2) OVER o > 2, false) AS inside FROM ph WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    val AS (SELECT c.doc_id, pos, lw, NOT inside AND m = 0 AND l.valence IS NULL AS free, CASE WHEN inside THEN NULL WHEN m > 0 THEN coalesce(v3, v2) ELSE l.valence END AS v,
+        n_caps > 0 AND n_caps < n AND upper(w) = w AND lower(w) <> w AS caps, contrast, emphasis
+        FROM cov c LEFT JOIN lexicon l ON l.token = lw JOIN info i ON i.doc_id = c.doc_id),
+    near AS (SELECT *, {lags} FROM val WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    x AS (SELECT doc_id, (v / 10.0 + CASE WHEN caps THEN sign(v) * 0.733 ELSE 0 END + {boost}) * {damp}
+        * CASE WHEN coalesce(contrast, 0) = 0 OR pos = contrast THEN 1 WHEN pos < contrast THEN 0.5 ELSE 1.5 END AS y FROM near {joins} WHERE v IS NOT NULL),
+    s AS (SELECT i.doc_id, coalesce(s0, 0) + sign(coalesce(s0, 0)) * emphasis AS s0 FROM info i LEFT JOIN (SELECT doc_id, sum(CAST(y AS DOUBLE)) AS s0 FROM x GROUP BY doc_id) y ON i.doc_id = y.doc_id)
+    SELECT doc_id, round(s0 / sqrt(s0 * s0 + 15.0), 5) AS compound FROM s"""
+
+
+@query("polarity_full", sql_polarity_full())
+def polarity_full(t):
+    shouted = F.expr(SHOUTED.format(x="content", n="CAST(doc_id AS INT)"))
+    posts = t.documents.select("doc_id", varied("text").alias("content")).select("doc_id", shouted.alias("content"))
+    phrases = literal_table(t.spark, PHRASES, ["phrase", "valence"])
+    scored = sentiment.FullScorer(lexicon(t.spark), phrases).score(posts, "content", ["doc_id"])
+    return scored.select("doc_id", F.round("compound", 5).alias("compound"))
+
+
 # --- the same with models that are joined: derived from the words of the texts, ids that repeat ------
 SQL_COPIES = """posts AS (SELECT doc_id || '/' || copy AS k, * FROM (
     SELECT doc_id, 0 AS copy, text FROM documents UNION ALL

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from geopulse.constants import SERVERS
-from geopulse.operators import views
+from geopulse.operators import states, views
 from geopulse.operators.filters import drop_all_null, in_state, ready_for_join
 from geopulse.operators.regions import metric_layers, region_metrics
 from geopulse.plans.jobs import scenario_job, score_distributions, topic_columns, topic_map_job, topic_region_table
@@ -14,6 +14,7 @@ from geopulse.queries.registry import (
 from geopulse.functions.scalars import score_bin
 from geopulse.functions.text import strip_social
 from geopulse.operators.sentiment import polarity
+from geopulse.session import scratch_path
 
 STATS = (
     "CAST(sum(score) AS BIGINT) AS \"sum\", count(score) AS \"count\", min(score) AS \"min\", "
@@ -107,6 +108,33 @@ def view_levels(t):
     return views.view_levels(t.posts, ["sal", "lang", "tid"])
 
 
+@query(
+    "view_from_states",
+    f"""WITH p AS ({SQL_POSTS})
+    SELECT 0 AS level, NULL AS lang, NULL AS sal, {STATS} FROM p
+    UNION ALL SELECT 1, lang, NULL, {STATS} FROM p GROUP BY lang
+    UNION ALL SELECT 2, lang, sal, {STATS} FROM p GROUP BY lang, sal""",
+)
+def view_from_states(t):
+    """All levels from states of two batches, the second stored twice."""
+    store = states.StateStore(t.spark, scratch_path(t.spark, "states"), ["lang", "sal"], "score")
+    odd = F.pmod(F.crc32("tid"), F.lit(2)) == 1
+    for batch, rows in ((0, t.posts.where(odd)), (1, t.posts.where(~odd)), (1, t.posts.where(~odd))):
+        store.add(rows, batch)
+    return store.compact(scratch_path(t.spark, "states")).levels()
+
+
+@query(
+    "view_user_reducer",
+    f"""WITH p AS ({SQL_POSTS}) SELECT lang, round(avg(score), 9) AS mean, round(stddev_samp(score), 9) AS std FROM p GROUP BY lang""",
+)
+def view_user_reducer(t):
+    """Mean and deviation of a coarser level, from states at the finest."""
+    fine = states.states_of(t.posts, ["lang", "sal"], "score", states.MEAN)
+    out = states.finished(states.merged(fine, ["lang"], states.MEAN), states.MEAN)
+    return out.select("lang", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
 @query(
     "view_ordered",
     f"WITH p AS ({SQL_POSTS}) SELECT sal, lang, CAST(sum(score) AS BIGINT) AS \"sum\" FROM p GROUP BY sal, lang",

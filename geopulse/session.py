@@ -1,6 +1,7 @@
 """Session settings and lineage cuts."""
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -27,6 +28,18 @@ def build_session(app_name="geopulse", master=None, shuffle_partitions=None, **c
     return builder.getOrCreate()
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, as an installed
+    package would be."""
+    environment = spark.sparkContext.environment
+    path = environment.get("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join([p for p in (path, ROOT) if p])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by spark.checkpoint.dir.
 

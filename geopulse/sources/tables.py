@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopulse.schemas import PLACE_VALUE, VIEW_ROW
+from geopulse.sources.geojson import read_features
 
 
 def read_official_csv(spark: SparkSession, path, schema=None) -> DataFrame:
@@ -46,7 +47,15 @@ def read_place_dict(spark: SparkSession, path, mode="FAILFAST"):
 
 
 def read_regions(spark: SparkSession, path, code, name, state, geometry=None, format="parquet"):
-    """Region attributes as ``code, name, state`` and, if named, the geometry text."""
+    """Region attributes as ``code, name, state`` and, if named, the geometry text.
+
+    ``geojson`` is a file or folder of feature collections: attributes are properties of the features, any
+    ``geometry`` gives the JSON text of the feature's own.
+    """
+    if format == "geojson":
+        features = read_features(spark, path)
+        found = features.select(*[F.col("properties")[c].alias(n) for c, n in ((code, "code"), (name, "name"), (state, "state"))], "geometry")
+        return found if geometry else found.drop("geometry")
     reader = spark.read.option("header", True) if format == "csv" else spark.read
     raw = reader.format(format).load(path)
     cols = [F.col(code).alias("code"), F.col(name).alias("name"), F.col(state).alias("state")]

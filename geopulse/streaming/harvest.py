@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from geopulse.constants import PAGE_SIZE
 from geopulse.functions.scalars import iso_utc, score_bin
 from geopulse.functions.text import html_to_text, join_tags
+from geopulse.operators.keyindex import KeyIndex
 from geopulse.operators.paging import next_pages
 from geopulse.plans.jobs import Enrichers
 from geopulse.schemas import STATUS, TOOT
 from geopulse.session import checkpointed
+from geopulse.sources.paged import PAGE_ROWS, paged_statuses
 
 
 def harvest_stream(spark: SparkSession, path, files_per_trigger=None) -> DataFrame:
@@ -56,25 +58,26 @@ def enrich_toots(df: DataFrame, enrichers: Enrichers) -> DataFrame:
 def insert_new(store_path, key=("server", "tid")):
     """Micro-batch sink that stores each ``(server, tid)`` once, also when a batch is replayed.
 
-    The batch is small against the store. Its id range becomes a constant filter, so the scan of
-    stored keys skips all row groups the batch cannot touch.
+    The batch is small against the store: the store's key index says which files may hold one of its
+    keys, and only these are read.
     """
     server, tid = key
 
     def insert(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
+        index = KeyIndex(spark, store_path, tid, server, f"{tid} BIGINT, {server} STRING")
         batch = batch.persist()
         try:
-            ends = batch.agg(F.min(tid).alias("lo"), F.max(tid).alias("hi")).first()
-            if ends.lo is None:
+            keys = batch.select(*key).distinct()
+            if keys.isEmpty():
                 return
-            stored = spark.read.schema(TOOT).parquet(store_path)
-            near = stored.where(F.col(tid).between(ends.lo, ends.hi)).select(*key)
+            near = index.known(keys)
             # Of copies in one batch the first by date and then by its fields stays.
             rest = [c for c in batch.columns if c not in key]
             first = F.min_by(F.struct(*rest), F.struct("date", *rest)).alias("_first")
             fresh = batch.groupBy(*key).agg(first).select(*key, "_first.*").join(near, list(key), "left_anti")
             fresh.write.mode("append").partitionBy(server).parquet(store_path)
+            index.update()
         finally:
             batch.unpersist()
 
@@ -133,6 +136,24 @@ def harvest_pass(source: DataFrame, enrichers, store_path, n=PAGE_SIZE) -> int:
     return came
 
 
+def drain(query) -> None:
+    """Let a running stream take all there is, batch after batch until nothing is new, and stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def harvest_pages(spark: SparkSession, path, enrichers, store_path, checkpoint, page=PAGE_ROWS) -> None:
+    """The polling harvest: page after page of every server, until no server has anything new.
+
+    The stream's checkpoint remembers how far each server was read, so the next call asks for what is
+    newer only, and a call that was ended goes on with the batch it was at.
+    """
+    pages = paged_statuses(spark, path, page)
+    drain(run_harvest(spark, pages, enrichers, store_path, checkpoint, {"processingTime": "0 seconds"}))
+
+
 def append_stream(df: DataFrame, path, checkpoint, trigger=None):
     """Append every arriving row as a JSON line."""
     return (

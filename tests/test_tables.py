@@ -194,3 +194,43 @@ def test_extremes_and_bands(spark):
     counts = spark.createDataFrame([(1,), (10,), (11,), (100,), (101,), (0,)], "count int")
     got = {r.band: (r.regions, r["share"]) for r in official.count_bands(counts).collect()}
     assert got == {"1-10": (2, 40.0), "10-100": (2, 40.0), ">100": (1, 20.0)}
+
+
+def test_states_give_every_level_and_batch(spark, tmp_path):
+    from geopulse.operators import states
+
+    random.seed(6)
+    rows = [(random.choice([None, "a", "b"]), random.choice(["x", "y", None]), random.choice([None, 1, 5, 9])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, l string, score int")
+    store = states.StateStore(spark, str(tmp_path / "states"), ["k", "l"], "score")
+    store.add(df.limit(0), 0)
+    store.add(df.where("score > 1"), 1)
+    store.add(df.where("score <= 1 OR score IS NULL"), 2)
+    # A batch that runs again replaces itself.
+    store.add(df.where("score > 1"), 1)
+    for level in range(3):
+        want = views.view(df, ["k", "l"], level=level)
+        got = store.view(level).select(*want.columns)
+        assert got.count() == want.count() and got.exceptAll(want.select(*[F.col(c).cast(got.schema[c].dataType).alias(c) for c in want.columns])).isEmpty()
+    levels = store.compact(str(tmp_path / "compact")).levels()
+    want = views.view_levels(df, ["k", "l"])
+    assert sorted(map(repr, levels.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    # Coarser levels read states: one row for each key and batch, not the posts.
+    assert store.states().count() < 25
+
+
+def test_reducers_of_ones_own(spark):
+    from geopulse.operators import states
+
+    rows = [(i % 3, i % 7, float(i * i % 11)) for i in range(100)] + [(9, 9, 1.0)]
+    df = spark.createDataFrame(rows, "k int, l int, v double")
+    frame = pd.DataFrame(rows, columns=["k", "l", "v"]).groupby("k")["v"]
+    fine = states.states_of(df, ["k", "l"], "v", states.MEAN)
+    for r in states.finished(states.merged(fine, ["k"], states.MEAN), states.MEAN).collect():
+        own = frame.get_group(r.k)
+        assert abs(r["mean"] - own.mean()) < 1e-9 and (r["std"] is None if len(own) < 2 else abs(r["std"] - own.std()) < 1e-9)
+    fine = states.states_of(df, ["k", "l"], "v", states.DISTINCT)
+    assert {r.k: r.distinct for r in states.finished(states.merged(fine, ["k"], states.DISTINCT), states.DISTINCT).collect()} == frame.nunique().to_dict()
+    spread = states.Reducer(lambda x: {"lo": F.min(x), "hi": F.max(x)}, lambda s: {"lo": F.min(s["lo"]), "hi": F.max(s["hi"])}, lambda s: {"spread": s["hi"] - s["lo"]})
+    whole = states.finished(states.merged(states.states_of(df, ["k", "l"], "v", spread), [], spread), spread)
+    assert whole.first().spread == 10.0
