@@ -11,9 +11,8 @@ The files are plain ORC: lists of integers are stored as run lengths, stripes ar
 and statistics of stripes and row groups (``stride`` rows) with a Bloom filter on the document id let a
 look-up skip what cannot hold the ids asked for.
 
-A text is encoded word by word, cut at blank, tab and line ends, which no token spans (white space is
-dropped by the vocabulary's own cutting); words are encoded once in a Python worker and kept in a cache whose
-bytes are bounded. ``<|endoftext|>`` and other added tokens written in a text are encoded as the library
+A text is cut into pieces that no token goes across; frequent pieces are kept in a Python worker, in a cache
+whose bytes are bounded, and the others of some texts are encoded together. ``<|endoftext|>`` and other added tokens written in a text are encoded as the library
 does by default.
 
 Results for edge cases: a null or empty text has only ``end_id``. Very long texts are whole. A null id is
@@ -24,6 +23,7 @@ of its own; a hot id is spread over tasks. Extra columns are ignored. An empty t
 import os
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -39,13 +39,29 @@ END_ID = 2
 STRIPE_BYTES = 8 << 20
 # Rows of a row group: what a look-up reads at least.
 STRIDE = 1000
-CUT = re.compile(r"[^ \t\n\r]+")
-# Bytes of words and ids that a worker keeps, and the longest word kept.
-CACHE_BYTES, CACHED_WORD = 96 << 20, 64
+# Bytes of pieces and ids that a worker keeps, and the longest piece kept.
+CACHE_BYTES, CACHED_PIECE = 160 << 20, 64
+# Characters of texts that are looked up together, and pieces that are encoded as one text.
+STEP_CHARS, JOINED = 1_000_000, 256
+# A word that stands between pieces in such a text.
+MARK = "\x01"
+# Words of any text, and white space that Python cuts at and the vocabulary need not.
+WORD, ODD_SPACE = re.compile(r"[^ \t\n\r]+"), re.compile(r"[^\S \t\n\r]")
+# What the vocabulary cuts a lower-case text into: its own pattern, written for letters below U+0250, whose normal form is
+# themselves. Texts with any other character, or with what may be an added token, are cut into words.
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\w\s]|_)+")
+OTHER = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]|<\\|")
+
+
+def pieces_of(text: str) -> list[str]:
+    """A text cut where no token goes across, white space left out."""
+    if not OTHER.search(text):
+        return PIECE.findall(text.lower())
+    return WORD.findall(text) if ODD_SPACE.search(text) else text.split()
 
 
 class Encoder:
-    """Ids of words, as bytes of little-endian unsigned 32-bit integers."""
+    """Ids of pieces, as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         # One thread a worker: Spark already runs a worker for each core.
@@ -53,30 +69,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        mark = self.ids([MARK])[0]
+        # Where the mark is more than one id, words are encoded one by one.
+        self.mark = mark[0] if len(mark) == 1 else None
         self.cache, self.held = {}, 0
 
-    def learned(self, words) -> dict:
-        """Ids of the words that the cache lacks."""
-        new = list({w for w in words if w not in self.cache})
-        got = self.library.encode_batch_fast(new, add_special_tokens=False)
-        found = {w: np.array(g.ids, "<u4").tobytes() for w, g in zip(new, got)}
-        short = {w: ids for w, ids in found.items() if len(w) <= CACHED_WORD}
-        # A dictionary entry costs some 200 bytes besides its texts.
-        size = sum(200 + len(w) + len(ids) for w, ids in short.items())
-        if self.held + size > CACHE_BYTES:
-            self.cache, self.held = {}, 0
-        if size <= CACHE_BYTES:
-            self.cache.update(short)
-            self.held += size
+    def ids(self, texts) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learned(self, words) -> dict[str, bytes]:
+        """Ids of distinct words."""
+        plain = [w for w in words if MARK not in w] if self.mark is not None else []
+        found = {}
+        parts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for part, ids in zip(parts, self.ids([f" {MARK} ".join(p) for p in parts])):
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part) - 1:
+                # A word gives the mark's id as well.
+                found.update(zip(part, (np.array(x, "<u4").tobytes() for x in self.ids(part))))
+                continue
+            data, starts, ends = ids.tobytes(), [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), 4 * len(ids)]
+            for word, x, y in zip(part, starts, ends):
+                found[word] = data[x:y]
+        others = [w for w in words if w not in found]
+        found.update(zip(others, (np.array(x, "<u4").tobytes() for x in self.ids(others))))
         return found
 
-    def encode(self, text: str) -> np.ndarray:
-        words = CUT.findall(text)
-        found = list(map(self.cache.get, words))
-        if None in found:
-            new = self.learned([w for w, ids in zip(words, found) if ids is None])
-            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
-        return np.frombuffer(b"".join(found), "<u4")
+    def encode(self, texts) -> list[bytes]:
+        """Ids of some texts."""
+        cut = [pieces_of(t) for t in texts]
+        found = [list(map(self.cache.get, pieces)) for pieces in cut]
+        missing = Counter(p for pieces, ids in zip(cut, found) if None in ids for p, x in zip(pieces, ids) if x is None)
+        if missing:
+            made = self.learned(list(missing))
+            for pieces, ids in zip(cut, found):
+                if None in ids:
+                    ids[:] = [made[p] if x is None else x for p, x in zip(pieces, ids)]
+            for piece, times in missing.items():
+                # What comes once in a step may be seldom asked for again, and leaves some room.
+                if len(piece) <= CACHED_PIECE and self.held < CACHE_BYTES * (1 if times > 1 else 0.8):
+                    # A dictionary entry costs some 200 bytes besides its texts.
+                    self.held += 200 + 2 * len(piece) + len(made[piece])
+                    self.cache[piece] = made[piece]
+        return list(map(b"".join, found))
+
+
+def steps(texts):
+    """The texts in runs of about ``STEP_CHARS``."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= STEP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @lru_cache(maxsize=2)
@@ -101,17 +150,14 @@ def encoded(df: DataFrame, vocab: str, key="doc_id", text="text", end_id=END_ID)
     names = ["part", "doc_id", "before", "n_tokens", "ids"]
 
     def run(batches):
-        tool, before = encoder(vocab), 0
+        tool, before, end = encoder(vocab), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            lists = [np.append(tool.encode(t), np.uint32(end_id)).astype("<i4") for t in batch.column(2).to_pylist()]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            ends = before + np.cumsum(sizes)
+            lists = [ids + end for step in steps(batch.column(2).to_pylist()) for ids in tool.encode(step)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            if offsets[-1] < 1 << 31:
-                values = np.concatenate(lists) if lists else np.zeros(0, "<i4")
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            else:
-                ids = pa.array(lists, pa.list_(pa.int32()))
+            ends = before + offsets[1:]
+            values = pa.array(np.frombuffer(b"".join(lists), "<i4"))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
             columns = [batch.column(0), batch.column(1), pa.array(ends - sizes), pa.array(sizes), ids]
             yield pa.RecordBatch.from_arrays(columns, names)
             before = int(ends[-1]) if len(ends) else before

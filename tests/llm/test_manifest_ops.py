@@ -96,7 +96,7 @@ class Plain:
         return out
 
 
-NAMES = [*token_alignment.Sums.FIELDS, "groups_sha256"]
+NAMES = [*token_alignment.FIELDS, "groups_sha256"]
 
 
 def check_report(df, texts):
@@ -129,21 +129,26 @@ def test_units_are_whole_and_tokenize_alone():
     for text in random_texts(3000, 5):
         units = token_alignment.units_of(text)
         assert "".join(units) == (" " + text if text else "")
+        assert units == token_alignment.UNIT.findall(" " + text if text else "")
         if not text or "▁" in text:
             continue
-        got = tool.aligned(set(units))
-        assert None not in got.values()
-        assert [i for u in units for i in got[u].a] == plain.a.encode(" " + text, add_special_tokens=False).ids
-        assert [i for u in units for i in got[u].b] == plain.b.encode(text)
+        got = tool.tokenized(units)
+        assert all(got)
+        a, b = (np.frombuffer(b"".join(x), "<u4").tolist() for x in zip(*got))
+        assert a == plain.a.encode(" " + text, add_special_tokens=False).ids
+        assert b == plain.b.encode(text)
 
 
 def test_galloping_equals_sets():
     random.seed(4)
     for _ in range(2000):
-        a = sorted(random.sample(range(300), random.randint(0, 40)))
-        b = sorted(random.sample(range(300), random.randint(0, 200)))
-        assert [a[i] for i, _ in token_alignment.common_ends(a, b)] == sorted(set(a) & set(b))
-        assert all(a[i] == b[j] for i, j in token_alignment.common_ends(a, b))
+        a = sorted(random.sample(range(300), random.randint(0, 40))) + [300]
+        b = sorted(random.sample(range(300), random.randint(0, 200))) + [300]
+        both = sorted(set(a) & set(b))
+        known = sorted(random.sample(both, random.randint(0, len(both))))
+        spots = [np.array([x.index(k) for k in known], np.int64) for x in (a, b)]
+        i, j = token_alignment.common_ends(np.array(a), np.array(b), *spots)
+        assert [a[x] for x in i] == [b[x] for x in j] == both
 
 
 def test_alignment_groups_cover_the_text(docs, odd_texts):
@@ -191,6 +196,17 @@ def test_tokens_equal_the_library(docs, odd_texts):
         at += size
 
 
+def test_pieces_of_latin_texts_equal_the_library():
+    random.seed(11)
+    parts = ["a", "The", " ", "\n", "é", "É", "ß", "ª", "²", "½", "1", "23", "_", "'s", "'S", "'ll", "'", "n't", ".", "$$$", "\xa0", "\x85", "\x01", "\xad", "Ǆ", "ſ", "ǅ", "×"]
+    texts = ["".join(random.choice(parts) * random.choice([1, 1, 2, 3]) for _ in range(random.randint(0, 20))) for _ in range(4000)]
+    assert not any(token_store.OTHER.search(t) for t in texts)
+    tool, library = token_store.Encoder(token_store.vocabulary()), Tokenizer.from_file(token_store.vocabulary())
+    got = [ids for step in token_store.steps(texts) for ids in tool.encode(step)]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_tokens_with_ties_and_nulls(docs):
     make = lambda key, text: (key, text, "en", "s", 1, *["x"] * 6)
     rows = [make(5, "b c"), make(None, "null key"), make(5, "a"), make(1, None), *[make(3, "same words here")] * 60]
