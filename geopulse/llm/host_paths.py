@@ -11,7 +11,9 @@ The main container is found from the root down, for as long as what stands besid
 noise: dropped as below, or mostly links and without a heading.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never
-count as text: they are known by tag, role, or the words of class and id.
+count as text. Most are known by tag or role. The names in class and id only raise a suspicion: a block element
+with such a name goes if it has no article, main part or top heading, and either stands outside of a page's
+article or has less than half of the page's text; reader comments go whatever their size.
 
 The winners are written to the shared folder and joined by host, so they are broadcast only where
 their measured size is below the session's threshold. At most ``1 / MIN_SHARE`` paths of a host win.
@@ -35,7 +37,7 @@ MIN_SHARE = 0.05
 
 # The names of HTML elements by what they are here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe noembed noframes xmp textarea title svg math object canvas".split())
+RAW = frozenset("script style template noscript iframe noembed noframes xmp textarea title svg object canvas annotation annotation-xml".split())
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre address figure figcaption hr header footer nav aside form fieldset details summary dialog center".split()
@@ -43,31 +45,47 @@ BLOCK = frozenset(
 CONTAINERS = frozenset("html body main article section div td center details".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset("nav footer aside form button select option dialog menu fieldset label".split())
+DROPPED = frozenset("nav footer aside button select option dialog menu label".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words of class and id names that mark what is not the article.
-DROPPED_WORDS = frozenset(
+# Words of class and id names that mark what is not the article. A name is one of them or ends with one;
+ENDING = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos "
-    "promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars rail footer masthead topbar "
-    "toolbar header cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations comment comments disqus reply "
-    "replies respond pagination pager widget widgets copyright disclaimer search skip hidden".split()
+    "promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead topbar "
+    "toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe signup "
+    "share sharing related recommended recommendations comment comments disqus reply replies respond pagination pager widget "
+    "widgets copyright disclaimer".split()
 )
+# these it must be as a whole;
+WHOLE = frozenset("header search skip hidden social rail subscription login".split())
+# and with these it may begin.
+BEGINNING = frozenset(
+    "ad ads advert sidebar nav menu cookie cookies comment comments footer related share sharing newsletter promo sponsored "
+    "breadcrumb breadcrumbs widget disqus pagination".split()
+)
+READERS = frozenset("comment comments disqus replies respond".split())
 # Elements that stay whatever their class says.
 KEPT_TAGS = frozenset("html body main article".split())
+# What a suspected element must not have.
+KEEPING = frozenset("main article h1".split())
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+MARKS = frozenset("class id role hidden aria-hidden style".split())
 NAME_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 def marks(attributes: str) -> dict:
-    if not attributes or attributes.isspace():
-        return {}
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+    """The attributes that matter, each by its own name; of repeated ones the first counts."""
+    out = {}
+    if attributes and not attributes.isspace():
+        for m in ATTRIBUTE.finditer(attributes):
+            name = m[1].lower()
+            if name in MARKS:
+                out.setdefault(name, m[2] or m[3] or m[4] or "")
+    return out
 
 
 def is_dropped(tag: str, mark: dict, in_article: bool) -> bool:
@@ -79,11 +97,28 @@ def is_dropped(tag: str, mark: dict, in_article: bool) -> bool:
         return False
     if "hidden" in mark or mark.get("aria-hidden") == "true" or mark.get("role", "").lower() in DROPPED_ROLES:
         return True
-    if "style" in mark and re.search(r"display\s*:\s*none", mark["style"], re.I):
-        return True
-    named = NAME_WORDS.findall(f"{mark.get('class', '')} {mark.get('id', '')}")
-    # The header of an article is its own.
-    return any(w.lower() in DROPPED_WORDS and not (in_article and w.lower() == "header") for w in named)
+    return "style" in mark and bool(re.search(r"display\s*:\s*none", mark["style"], re.I))
+
+
+def suspicion(tag: str, mark: dict, in_article: bool) -> int:
+    """0 for an element whose names say nothing, 1 for one that may go, 2 for reader comments."""
+    if tag in KEPT_TAGS:
+        return 0
+    found = int(tag in ("form", "fieldset"))
+    for name in f"{mark.get('class', '')} {mark.get('id', '')}".split():
+        words = [w.lower() for w in NAME_WORDS.findall(name)]
+        if not words:
+            continue
+        whole = "".join(words)
+        # The header of an article is its own.
+        if whole in WHOLE and not (whole == "header" and in_article) or words[-1] in ENDING or words[0] in BEGINNING:
+            found = 2 if {words[0], words[-1]} & READERS else max(found, 1)
+    return found
+
+
+def is_block(tag: str) -> bool:
+    """Elements of a page's own making are blocks."""
+    return tag in BLOCK or "-" in tag
 
 
 def path_part(tag: str, mark: dict) -> str:
@@ -98,12 +133,16 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks, self.linked, self.containers = [], [], [("", -1)]
-        self.stack = []  # (tag, container, dropped, in article, only headings)
+        # (tag, container, dropped, in article, in heading, in link, suspect)
+        self.stack = []
+        # (suspect around it, suspicion, in article), and what each has: tags that keep it.
+        self.suspects, self.has, self.of = [], [], []
         self.parts, self.said, self.said_in_links = [], 0, 0
         self.read(source)
+        self.leave_out()
 
     def top(self):
-        return self.stack[-1] if self.stack else ("", 0, False, False, False)
+        return self.stack[-1] if self.stack else ("", 0, False, False, False, False, -1)
 
     def end_block(self):
         if self.parts:
@@ -111,19 +150,52 @@ class Page:
             linked = 2 * self.said_in_links > self.said
             self.parts, self.said, self.said_in_links = [], 0, 0
             if text:
-                heading = any(tag in HEADINGS for tag, *_ in self.stack[-4:])
-                self.blocks.append((text, self.top()[1], heading))
+                _, container, _, in_article, heading, _, suspect = self.top()
+                self.blocks.append((text, container, heading))
                 self.linked.append(linked)
+                self.of.append((suspect, in_article))
 
     def say(self, text: str):
-        tag, _, dropped, _, only_headings = self.top()
-        if text and not dropped and not (only_headings and not any(t in HEADINGS for t, *_ in self.stack[-4:])):
+        _, _, dropped, _, _, link, _ = self.top()
+        if text and not dropped:
             self.parts.append(text)
             size = len(text.strip())
             self.said += size
-            if any(entry[0] == "a" for entry in self.stack[-4:]):
+            if link:
                 self.said_in_links += size
 
+    def leave_out(self):
+        """Blocks of suspected elements go, but for elements that the article may be in."""
+        if not self.suspects:
+            return
+        size, total, articles = [0] * len(self.suspects), 0, 0
+        inside = [0] * len(self.suspects)
+        for (text, _, _), (suspect, in_article) in zip(self.blocks, self.of):
+            total += len(text)
+            articles += len(text) * in_article
+            if suspect >= 0:
+                size[suspect] += len(text)
+                inside[suspect] += len(text) * in_article
+        for i in range(len(size) - 1, -1, -1):
+            around = self.suspects[i][0]
+            if around >= 0:
+                size[around] += size[i]
+                inside[around] += inside[i]
+                self.has[around] |= self.has[i]
+        gone = []
+        for i, (around, kind, in_article) in enumerate(self.suspects):
+            if around >= 0 and gone[around]:
+                gone.append(True)
+            elif kind == 2:
+                gone.append(not self.has[i] & {"main", "h1"} and size[i] < total)
+            elif self.has[i]:
+                gone.append(False)
+            else:
+                gone.append(2 * size[i] < total or not in_article and articles > inside[i])
+        stay = [suspect < 0 or not gone[suspect] for suspect, _ in self.of]
+        self.blocks = [x for x, s in zip(self.blocks, stay) if s]
+        self.linked = [x for x, s in zip(self.linked, stay) if s]
+
     def read(self, source: str):
         at, size = 0, len(source)
         last = source.rfind(">")
@@ -146,29 +218,45 @@ class Page:
                 continue
             if m[1] or m[4]:
                 self.close(tag)
-            elif tag in RAW:
+            elif tag in RAW and not (m[3] or m[6] or "").endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = end.end() if end else size
+                if end:
+                    at = end.end()
+                else:
+                    # Without an end of its own it ends with what it stands in.
+                    _, container, _, in_article, *rest = self.top()
+                    self.stack.append((tag, container, True, in_article, *rest))
             else:
                 self.open(tag, m[3] or m[6] or "")
         self.end_block()
 
     def open(self, tag: str, attributes: str):
-        if tag in BLOCK:
+        block = is_block(tag)
+        if block:
             self.end_block()
             self.close_implied(tag)
         elif tag == "br":
             self.say(" ")
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             return
-        _, container, dropped, in_article, only_headings = self.top()
-        mark = marks(attributes)
+        _, container, dropped, in_article, heading, link, suspect = self.top()
         if not dropped:
+            mark = marks(attributes)
             dropped = is_dropped(tag, mark, in_article)
+            kind = 0 if dropped else suspicion(tag, mark, in_article)
+            if kind and block:
+                self.suspects.append((suspect, kind, in_article))
+                self.has.append(set())
+                suspect = len(self.suspects) - 1
+            elif kind:
+                dropped = True
+            if suspect >= 0 and tag in KEEPING:
+                self.has[suspect].add(tag)
             if tag in CONTAINERS and not dropped:
                 self.containers.append((f"{self.containers[container][0]}/{path_part(tag, mark)}", container))
                 container = len(self.containers) - 1
-        self.stack.append((tag, container, dropped, in_article or tag in ("article", "main"), only_headings or tag == "header"))
+        in_article = in_article or tag in ("article", "main")
+        self.stack.append((tag, container, dropped, in_article, heading or tag in HEADINGS, link or tag == "a", suspect))
 
     def close_implied(self, tag: str):
         """A block ends an open paragraph; an item, cell or row ends the one before it."""
@@ -183,14 +271,15 @@ class Page:
                 return
 
     def close(self, tag: str):
-        if tag in BLOCK:
+        block = is_block(tag)
+        if block:
             self.end_block()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
                 return
             # An inline end tag does not reach over a block.
-            if tag not in BLOCK and self.stack[i][0] in BLOCK:
+            if not block and is_block(self.stack[i][0]):
                 return
 
     def sizes(self) -> list[int]:
@@ -203,7 +292,10 @@ class Page:
         return out
 
     def main_container(self) -> int:
-        """From the root down while one container holds most of the text and only noise is left out."""
+        """From the root down while one container holds most of the text and only noise is left out.
+
+        What stands in an article is not noise.
+        """
         size = self.sizes()
         children, kept, noise = {}, [0] * len(size), [0] * len(size)
         for i, (_, parent) in enumerate(self.containers):
@@ -218,7 +310,7 @@ class Page:
             kept[self.containers[i][1]] += kept[i]
             noise[self.containers[i][1]] += noise[i]
         at = 0
-        while children.get(at):
+        while children.get(at) and not self.containers[at][0].rpartition("/")[2].split(".")[0] == "article":
             best = max(children[at], key=lambda i: (kept[i], size[i], -i))
             if size[best] == 0 or kept[best] < kept[at] or noise[best] < noise[at] and kept[best] == 0:
                 break

@@ -273,6 +273,53 @@ def test_extraction_leaves_no_part_of_an_article_out(pages):
     assert got[105] == f"{body}\n\n{more}"
 
 
+BODY = ("long text of the story " * 5).strip()
+WHOLE_ARTICLES = [
+    # Names of wrappers say nothing of the article in them.
+    (f'<div class="layout-with-sidebar"><article><p>{BODY}</p></article><div class="sidebar-left">x y z</div></div>', [BODY]),
+    (f'<div id="page" class="site has-sidebar"><main><p>{BODY}</p></main></div>', [BODY]),
+    (f'<div class="overflow-hidden"><article><p>{BODY}</p></article></div>', [BODY]),
+    (f'<article><p>{BODY}</p><div id="social-history"><p>one</p></div><p class="search-result">two</p></article>', [BODY, "one", "two"]),
+    (f"<form id=aspnetForm><div class=c><h1>T</h1><p>{BODY}</p></div></form>", ["T", BODY]),
+    # Words in other attributes.
+    ('<article><p>see <a href="/the-hidden-truth">the story</a></p><p title="a hidden gem">gem</p></article>', ["see the story", "gem"]),
+    ("<article><p data-hidden=1>a</p><p data-x='style=display:none'>b</p></article>", ["a", "b"]),
+    # Raw elements without an end.
+    ('<article><p>a</p><svg class="i"/><p>b</p></article>', ["a", "b"]),
+    ('<article><p>a</p><svg class="i"><p>lost in it</p></article><article><p>c</p></article>', ["a", "c"]),
+    # Headings and links at any depth, all of an article's header, formulas.
+    (f"<article><header><h1><a><span><b><i>Deep title</i></b></span></a></h1><p>lead</p></header><p>{BODY}</p></article>", ["Deep title", "lead", BODY]),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>", ["Let x=1 be"]),
+    # References at the end of an article are mostly links.
+    (f"<article><div><p>{BODY}</p></div><p><a href=1>reference one</a> <a href=2>two</a></p></article>", [BODY, "reference one two"]),
+    # Noise that is longer than the article.
+    (f"<article><h1>T</h1><p>short</p></article><div class=ad>{BODY}</div><div id=comments><article>{BODY} {BODY}</article></div>", ["T", "short"]),
+    (f'<div class=post><h1>T</h1><p>short</p></div><ol class="comment-list"><li>{BODY}</li></ol>', ["T", "short"]),
+    (f"<article><p>{BODY}</p><div class=social-share>tell others</div><div class=newsletter>get more</div></article>", [BODY]),
+]
+
+
+def test_extraction_gives_whole_articles(pages):
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{h}", "", "", "") for i, (h, _) in enumerate(WHOLE_ARTICLES)]
+    got = {r.page_id: r.text for r in host_paths.extract(pages(rows)).collect()}
+    for i, (source, want) in enumerate(WHOLE_ARTICLES):
+        assert got[i] == "\n\n".join(want), source
+
+
+def test_votes_are_counted_by_host(pages):
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div class=c{i}><p>{'x' * (i + 1)}</p></div>", "", "", "") for i in range(9)]
+    rows.append((10, None, "<body><p>abc</p>", "", "", ""))
+    want = {}
+    for i in range(9):
+        key = (f"h{i % 2}.example", "/body/div.c#")
+        want[key] = want.get(key, 0) + i + 1
+    want["", "/body"] = 3
+    got = {}
+    for r in host_paths.votes(pages(rows)).collect():
+        got[r.host, r.path] = got.get((r.host, r.path), 0) + r.weight
+    assert got == want
+
+
 def test_extraction_of_given_pages(spark, sf_dir):
     source = dict(duckdb.sql(f"select page_id, html from read_parquet('{sf_dir}/pages.parquet')").fetchall())
     for r in QUERIES["op3_host_paths"](spark, sf_dir).collect():
