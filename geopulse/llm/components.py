@@ -9,7 +9,7 @@ written to the shared folder.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.llm.common import written
+from geopulse.llm.common import free, written
 
 
 def linked_to_least(pairs: DataFrame) -> DataFrame:
@@ -44,7 +44,10 @@ def components(links: DataFrame) -> DataFrame:
         mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         now = tuple(links.agg(F.count(F.lit(1)), mark).first())
         if now == before or not now[0]:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots.scratch = links.scratch
+            return roots
         before = now
-        stars = small_star(large_star(links)).where("a <> b").distinct()
-        links = written(stars, "links")
+        stars = written(small_star(large_star(links)).where("a <> b").distinct(), "links")
+        free(links)
+        links = stars

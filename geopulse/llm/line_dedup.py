@@ -25,7 +25,7 @@ whole. An empty table gives an empty result.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.llm.common import SPACE_CHARS, let, written
+from geopulse.llm.common import SPACE_CHARS, free, let, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
@@ -140,16 +140,18 @@ def later(a: str, b: str):
 SHORT = ["line_hash", "doc_id", "line_no", "n", "bits0", "bits1"]
 
 
-def pairs_with_first(sets: DataFrame) -> DataFrame:
-    """Pairs ``line_hash, earlier`` of lines with the first line of their large buckets."""
+def pairs_with_first(sets: DataFrame):
+    """Pairs ``line_hash, earlier`` of lines with the first line of their large buckets, and the table they read."""
     signed = sets.where("n >= 4").select(*SHORT, F.explode(signatures(F.col("prefix"))).alias("sign"))
     large = signed.groupBy("sign").count().where(F.col("count") >= LARGE).select("sign")
-    signed = written(signed.join(written(large, "line-signs"), "sign"), "line-buckets")
+    large = written(large, "line-signs")
+    buckets = signed = written(signed.join(large, "sign"), "line-buckets")
+    free(large)
     hubs = signed.groupBy("sign").agg(F.min(F.struct("doc_id", "line_no", "line_hash", "n", "bits0", "bits1")).alias("hub"))
     hubs = hubs.select("sign", "hub.*")
     fits = may_match("a", "b")
     joined = signed.alias("a").join(hubs.alias("b"), (F.col("a.sign") == F.col("b.sign")) & later("a", "b") & fits)
-    return joined.select("a.line_hash", F.col("b.line_hash").alias("earlier")).distinct()
+    return joined.select("a.line_hash", F.col("b.line_hash").alias("earlier")).distinct(), buckets
 
 
 def pairs_by_prefix(sets: DataFrame) -> DataFrame:
@@ -195,7 +197,7 @@ def bit_filter(keys: DataFrame, column: str):
 
 
 def similar(df: DataFrame, sets: DataFrame, pairs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """The pairs whose word sets have Jaccard similarity 0.8 or more.
+    """``line_hash`` of the later lines of pairs whose word sets have Jaccard similarity 0.8 or more.
 
     Words are fetched from the documents where the lines stand first.
     """
@@ -209,22 +211,33 @@ def similar(df: DataFrame, sets: DataFrame, pairs: DataFrame, key="doc_id", text
     both = pairs.join(words_of, "line_hash").withColumnRenamed("h", "x")
     both = both.join(words_of.select(F.col("line_hash").alias("earlier"), F.col("h").alias("y")), "earlier")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("line_hash", "earlier")
+    both = both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("line_hash").distinct()
+    both = written(both, "line-similar")
+    free(needed, words_of)
+    return both
 
 
 def removed_lines(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """``doc_id, doc_hash, removed``: the line numbers (from 0, in order) that a document loses."""
     sets = written(line_sets(df, rarity(df, text), key, text), "line-sets")
-    first = written(similar(df, sets, written(pairs_with_first(sets), "line-pairs"), key, text).select("line_hash").distinct(), "line-done")
+    pairs, buckets = pairs_with_first(sets)
+    pairs = written(pairs, "line-pairs")
+    free(buckets)
+    first = similar(df, sets, pairs, key, text)
+    free(pairs)
     done = sets.join(first.withColumn("done", F.lit(True)), "line_hash", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    rest = similar(df, sets, written(pairs_by_prefix(done), "line-pairs"), key, text).select("line_hash")
+    pairs = written(pairs_by_prefix(done), "line-pairs")
+    rest = similar(df, sets, pairs, key, text)
+    free(pairs)
     near = first.unionByName(rest).distinct().withColumn("near", F.lit(True))
     classes = sets.select("line_hash", F.struct("doc_id", "line_no", "doc_hash").alias("place")).join(near, "line_hash", "left")
     lines = lines_of(df, key, text).select("doc_id", "line_no", "doc_hash", "line_hash")
     gone = lines.join(classes, "line_hash").where(
         F.col("near").isNotNull() | ~F.struct("doc_id", "line_no", "doc_hash").eqNullSafe(F.col("place"))
     )
-    return gone.groupBy("doc_id", "doc_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    gone = written(gone.groupBy("doc_id", "doc_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed-lines")
+    free(sets, first, rest)
+    return gone
 
 
 def report(df: DataFrame, key="doc_id", text="text") -> DataFrame:
@@ -245,7 +258,7 @@ def without_lines(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     Documents that lose a line and have no word left are dropped: each of their lines is similar to an
     earlier one, which may itself be removed, so what is left need not resemble them.
     """
-    gone = written(removed_lines(df, key, text), "removed-lines")
+    gone = removed_lines(df, key, text)
     names = df.columns
     passes = bit_filter(gone, "doc_hash")
     rows = df.select(*[F.col(c).alias(f"kept_{c}") for c in names], F.xxhash64(F.col(text)).alias("hash"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geopulse.llm import simhash_trees
-from geopulse.llm.common import keyed_text, written
+from geopulse.llm.common import free, fresh, keyed_text, written
 from geopulse.llm.components import components
 from geopulse.llm.line_dedup import bit_filter
 from geopulse.llm.scaled_sketch import Sketcher
@@ -47,9 +47,9 @@ def class_of(hashes: np.ndarray) -> int:
 
 
 def described(df: DataFrame, key, text) -> DataFrame:
-    """``doc_id, cls, n, fp`` of every row, and for each task its counters as rows with a ``part``."""
-    rows = keyed_text(df, key, text)
-    names = ["doc_id", "cls", "n", "fp", "part", "counts"]
+    """``doc_id, text_hash, cls, n, fp`` of every row, and for each task its counters as rows with a ``part``."""
+    rows = keyed_text(df, key, text).withColumn("text_hash", F.xxhash64("text"))
+    names = ["doc_id", "text_hash", "cls", "n", "fp", "part", "counts"]
 
     def run(batches):
         tool, counts, kind = Sketcher(SHINGLE, 0), np.zeros(BUCKETS, np.int64), None
@@ -63,15 +63,15 @@ def described(df: DataFrame, key, text) -> DataFrame:
                 sizes.append(len(h))
             fps = np.frombuffer(b"".join(map(simhash_trees.fingerprint, texts)), ">i8").astype(np.int64)
             none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
-            columns = [batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps), *none]
+            columns = [batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps), *none]
             yield pa.RecordBatch.from_arrays(columns, names)
         if kind is not None:
-            none = [pa.nulls(PARTS, t) for t in (kind, pa.int64(), pa.int32(), pa.int64())]
+            none = [pa.nulls(PARTS, t) for t in (kind, pa.int64(), pa.int64(), pa.int32(), pa.int64())]
             parts = [p.tobytes() for p in np.split(counts, PARTS)]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, cls long, n int, fp long, part int, counts binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, cls long, n int, fp long, part int, counts binary")
 
 
 def rarity(tallies: DataFrame) -> np.ndarray:
@@ -159,23 +159,25 @@ def pairs_with_least(met: DataFrame) -> DataFrame:
 
 
 def pairs_by_fingerprint(classes: DataFrame) -> DataFrame:
-    """Classes with the first of their fingerprint, and those firsts by the links of BK-trees."""
+    """Classes with the first of their fingerprint, and those firsts by the links of BK-trees; and the table
+    of firsts, which they read."""
     first = written(classes.groupBy("fp").agg(F.min("cls").alias("first")), "near-fingerprints")
     same = classes.join(first, "fp").where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b"))
     links = simhash_trees.links(first.select("fp"))
     links = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
     links = links.join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    return same.unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return same.unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), first
 
 
 def pairs_apart(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs that meet and have different labels."""
+    """All pairs that meet and have different labels, and the tables they read."""
     met = met.join(labels, met["cls"] == labels["node"], "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("label"))
-    met = written(met, "near-labelled")
+    labelled = met = written(met, "near-labelled")
     mixed = met.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
     met = written(met.join(mixed, "token", "left_semi"), "near-mixed")
+    free(labelled)
     at = F.expr("a.token = b.token AND a.cls > b.cls AND a.label <> b.label") & may_match("a", "b")
-    return met.alias("a").join(met.alias("b"), at).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
+    return met.alias("a").join(met.alias("b"), at).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")), [met]
 
 
 def similar(df: DataFrame, described: DataFrame, pairs: DataFrame, key, text) -> DataFrame:
@@ -197,28 +199,48 @@ def similar(df: DataFrame, described: DataFrame, pairs: DataFrame, key, text) ->
     sets = rows.mapInArrow(run, "cls long, h array<long>").join(needed.select("cls"), "cls", "left_semi")
     sets = written(sets.groupBy("cls").agg(F.first("h").alias("h")), "near-sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    both = both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    both = written(both, "near-links")
+    free(pairs, needed, sets)
+    return both
 
 
-def near_copies(df: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """``doc_id, component_id`` of every row."""
+def grouped(df: DataFrame, key="doc_id", text="text") -> DataFrame:
+    """``doc_id, text_hash, root, component_id`` of every row; ``root`` names its group."""
     all_rows = written(described(df, key, text), "near-docs")
-    docs = all_rows.where("part IS NULL").select("doc_id", "cls", "n", "fp")
+    docs = all_rows.where("part IS NULL").select("doc_id", "text_hash", "cls", "n", "fp")
     levels = rarity(all_rows.where("part IS NOT NULL").select("part", "counts"))
     met = written(meetings(df, levels, key, text), "near-meetings")
     classes = docs.groupBy("cls").agg(F.first("fp").alias("fp"))
-    early = pairs_with_least(met).unionByName(pairs_by_fingerprint(classes))
-    early = written(similar(df, docs, early, key, text), "near-links")
-    rest = similar(df, docs, pairs_apart(met, components(early)), key, text)
+    by_fingerprint, first = pairs_by_fingerprint(classes)
+    early = similar(df, docs, pairs_with_least(met).unionByName(by_fingerprint), key, text)
+    apart, used = pairs_apart(met, components(early))
+    rest = similar(df, docs, apart, key, text)
+    free(met, first, *used)
     roots = components(early.unionByName(rest))
-    named = docs.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", F.coalesce("root", "cls").alias("root"))
+    named = docs.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
     named = written(named, "near-roots")
+    free(all_rows, early, rest, roots)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", "component_id")
+    return named.join(least, "root").select("doc_id", "text_hash", "root", "component_id")
+
+
+def near_copies(df: DataFrame, key="doc_id", text="text") -> DataFrame:
+    """``doc_id, component_id`` of every row."""
+    return grouped(df, key, text).select("doc_id", "component_id")
 
 
 def one_of_each(df: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """The rows of ``df`` with the least key of their group; of rows that repeat a key one stays."""
-    found = near_copies(df, key, text)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__key")).distinct()
-    return df.join(stay, F.col(key).eqNullSafe(F.col("__key")), "left_semi").dropDuplicates([key])
+    """One row of ``df`` for each group: one with the group's least key (null only if it has no other).
+
+    Rows are told apart by key and text: of rows that repeat a key those of other groups stay. Of rows that repeat
+    both, any one stays.
+    """
+    found = grouped(df, key, text)
+    order = F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "text_hash")
+    stay = found.groupBy("root").agg(F.min(order).alias("row")).select("row.doc_id", "row.text_hash")
+    own_key, own_hash = fresh(df, "stay_key"), fresh(df, "stay_hash")
+    stay = written(stay.toDF(own_key, "text_hash"), "near-stay")
+    marked = df.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col(key).eqNullSafe(stay[own_key]) & (F.col(own_hash) == stay["text_hash"])
+    return marked.join(stay, same, "left_semi").dropDuplicates([key, own_hash]).drop(own_hash)

@@ -209,11 +209,3 @@ def near_duplicates(df: DataFrame, key="doc_id", text="text", radius=RADIUS, sha
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(named.join(least, "root").select("fp", "component_id"), "components")
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(df: DataFrame, key="doc_id", text="text", radius=RADIUS) -> DataFrame:
-    """The rows of ``df`` with the least key of their component; of rows that repeat a key one stays."""
-    found = near_duplicates(df, key, text, radius)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__key")).distinct()
-    kept = df.join(stay, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return kept.dropDuplicates([key])

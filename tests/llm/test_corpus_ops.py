@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -265,8 +266,6 @@ def test_simhash_equals_brute_force(docs, odd_texts):
     # Small shards, so that groups are dealt to several trees.
     small = {r.doc_id: r.component_id for r in simhash_trees.near_duplicates(docs(texts), shard=5).collect()}
     assert small == {i: r.component_id for i, r in got.items()}
-    kept = simhash_trees.one_of_each(docs(texts))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in got.values()})
     assert simhash_trees.near_duplicates(docs([])).count() == 0
 
 
@@ -324,6 +323,33 @@ def test_near_copies_equal_brute_force(docs, odd_texts):
     assert near_copies.one_of_each(docs([])).count() == 0
 
 
+def test_one_of_each_goes_by_row_and_not_by_key(spark):
+    a, near_a = "one text of more than five words that comes often " * 9, "one text of more than five words that comes often " * 9 + "end"
+    b, c = "another text that nothing else is like, with words of its own", "a third one that is like no other text of the table"
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, near_a), (None, None), (7, ""), (9, near_a)]
+    schema = "doc_id long, text string, stay_key string, `__key` string, text_hash string"
+    df = spark.createDataFrame([(k, t, "x", "x", "x") for k, t in rows], schema)
+    kept = near_copies.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (None, c), (7, "")], key=repr)
+
+
+def folder_sizes(spark):
+    from geopulse.session import shared_dir
+
+    return {n for n in os.listdir(shared_dir(spark)) if n.startswith(("near-", "line-", "links-", "removed-", "hot-"))}
+
+
+def test_scratch_tables_are_freed(docs, spark, odd_texts):
+    before = folder_sizes(spark)
+    texts = [*odd_texts, *[f"line {i} of a text that has many words\nand a second line of it {i % 3}" for i in range(40)]]
+    near_copies.one_of_each(docs(texts)).count()
+    line_dedup.without_lines(docs(texts)).count()
+    # What results are read from stays, no intermediate table does.
+    assert len(folder_sizes(spark) - before) <= 6
+
+
 # --- language model --------------------------------------------------------------------------
 def test_language_model_counts_equal_brute_force(docs, odd_texts):
     texts = odd_texts + ["the cat sat on the mat"] * 3 + ["a cat sat on a mat"]
