@@ -23,8 +23,8 @@ of its own; a hot id is spread over tasks. Extra columns are ignored. An empty t
 import os
 import re
 import zlib
-from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +40,17 @@ STRIPE_BYTES = 8 << 20
 # Rows of a row group: what a look-up reads at least.
 STRIDE = 1000
 # Bytes of pieces and ids that a worker keeps, and the longest piece kept.
-CACHE_BYTES, CACHED_PIECE = 160 << 20, 64
+CACHE_BYTES, CACHED_PIECE = 96 << 20, 64
 # Characters of texts that are looked up together, and pieces that are encoded as one text.
-STEP_CHARS, JOINED = 1_000_000, 256
+STEP_CHARS, JOINED = 300_000, 256
 # A word that stands between pieces in such a text.
 MARK = "\x01"
 # Words of any text, and white space that Python cuts at and the vocabulary need not.
 WORD, ODD_SPACE = re.compile(r"[^ \t\n\r]+"), re.compile(r"[^\S \t\n\r]")
-# What the vocabulary cuts a lower-case text into: its own pattern, written for letters below U+0250, whose normal form is
-# themselves. Texts with any other character, or with what may be an added token, are cut into words.
-PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\w\s]|_)+")
+# What the vocabulary cuts a lower-case text into: its own pattern, written out for characters below U+0250, whose normal
+# form is themselves. Texts with any other character, or with what may be an added token, are cut into words.
+LETTERS, DIGITS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PIECE = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{LETTERS}{DIGITS}{SPACES}]+")
 OTHER = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]|<\\|")
 
 
@@ -98,21 +99,22 @@ class Encoder:
 
     def encode(self, texts) -> list[bytes]:
         """Ids of some texts."""
-        cut = [pieces_of(t) for t in texts]
-        found = [list(map(self.cache.get, pieces)) for pieces in cut]
-        missing = Counter(p for pieces, ids in zip(cut, found) if None in ids for p, x in zip(pieces, ids) if x is None)
-        if missing:
-            made = self.learned(list(missing))
-            for pieces, ids in zip(cut, found):
-                if None in ids:
-                    ids[:] = [made[p] if x is None else x for p, x in zip(pieces, ids)]
-            for piece, times in missing.items():
-                # What comes once in a step may be seldom asked for again, and leaves some room.
-                if len(piece) <= CACHED_PIECE and self.held < CACHE_BYTES * (1 if times > 1 else 0.8):
-                    # A dictionary entry costs some 200 bytes besides its texts.
-                    self.held += 200 + 2 * len(piece) + len(made[piece])
-                    self.cache[piece] = made[piece]
-        return list(map(b"".join, found))
+        cut, cache = [pieces_of(t) for t in texts], self.cache
+        # The pieces of a step are few against the cache, and each is looked up in it once.
+        own = dict.fromkeys(chain.from_iterable(cut))
+        found = list(map(cache.get, own))
+        new = [p for p, ids in zip(own, found) if ids is None]
+        own = dict(zip(own, found))
+        made = self.learned(new) if new else {}
+        own.update(made)
+        out = [b"".join(map(own.__getitem__, pieces)) for pieces in cut]
+        for piece, ids in made.items():
+            # A dictionary entry costs some 250 bytes besides its texts.
+            size = 250 + 2 * len(piece) + len(ids)
+            if len(piece) <= CACHED_PIECE and self.held + size <= CACHE_BYTES:
+                self.held += size
+                cache[piece] = ids
+        return out
 
 
 def steps(texts):
