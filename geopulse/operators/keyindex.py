@@ -18,6 +18,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geopulse.sources.files import Folder
+
 BITS_PER_KEY = 10
 PROBED = 10_000
 BATCH_WORDS = 1 << 17
@@ -74,7 +76,8 @@ class KeyIndex:
         return sorted(re.sub(LOCAL, "file:///", f) for f in self.spark.read.schema(self.kinds).parquet(self.store).inputFiles())
 
     def entries(self) -> DataFrame:
-        self.spark.createDataFrame([], self._schema).write.mode("ignore").parquet(self.path)
+        if not Folder(self.spark, self.path).names():
+            return self.spark.createDataFrame([], self._schema)
         return self.spark.read.schema(self._schema).parquet(self.path)
 
     def rows(self, files) -> DataFrame:
@@ -101,11 +104,11 @@ class KeyIndex:
         entries.select("bucket", "file", "first", "last", "keys", "filter").write.mode("append").parquet(self.path)
         return len(new)
 
-    def candidates(self, ids: DataFrame) -> list[str]:
-        """Files that may hold one of the keys: all that do, and a few more."""
+    def candidates(self, ids: DataFrame, n=None) -> list[str]:
+        """Files that may hold one of the keys: all that do, and a few more. ``n`` is how many keys there are, if known."""
         files = self.files()
         wanted = ids.select(F.col(self.bucket).alias("bucket"), F.col(self.key).alias("key"))
-        n = wanted.count()
+        n = wanted.count() if n is None else n
         span = [F.min("key").alias("low"), F.max("key").alias("high")]
         near = (F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low"))
         if n <= self.probed:
@@ -124,10 +127,11 @@ class KeyIndex:
 
     def known(self, ids: DataFrame) -> DataFrame:
         """Stored keys that may be among ``ids``: bucket and key, all that are and a few more."""
-        stored = self.rows(self.candidates(ids))
         n = ids.count()
-        if not n:
-            return stored.limit(0)
+        files = self.candidates(ids, n) if n else []
+        stored = self.rows(files)
+        if not files:
+            return stored
         words = F.least(F.lit(BATCH_WORDS), words_for(F.lit(n)))
         batch = filters(ids.select(F.lit(1).alias("all"), F.col(self.key).alias("key"), words.alias("words")), ["all"], "key")
         bits = batch.select("filter").scalar()

@@ -265,7 +265,8 @@ def sql_polarity_full():
     return rf"""WITH {SQL_LEXICON}, {values_sql(PHRASES, ["phrase", "valence"], "phrases")}, boosters(w, s) AS (VALUES {boosters}),
     src AS (SELECT doc_id, {SHOUTED.format(x=_VARIED, n="doc_id")} AS text FROM documents),
     cut AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '[^ 	
-]+'),
+
+]+'),
         lambda w: CASE WHEN length(trim(w, '{PUNCTUATION_SQL}')) > 2 THEN trim(w, '{PUNCTUATION_SQL}') ELSE w END) AS ws FROM src),
     info AS (SELECT doc_id, list_position(list_transform(ws, lambda w: lower(w)), 'but') AS contrast,
         len(list_filter(ws, lambda w: upper(w) = w AND lower(w) <> w)) AS n_caps, len(ws) AS n,
@@ -282,7 +283,7 @@ def sql_polarity_full():
     near AS (SELECT *, {lags} FROM val WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
     x AS (SELECT doc_id, (v / 10.0 + CASE WHEN caps THEN sign(v) * 0.733 ELSE 0 END + {boost}) * {damp}
         * CASE WHEN coalesce(contrast, 0) = 0 OR pos = contrast THEN 1 WHEN pos < contrast THEN 0.5 ELSE 1.5 END AS y FROM near {joins} WHERE v IS NOT NULL),
-    s AS (SELECT i.doc_id, coalesce(s0, 0) + sign(coalesce(s0, 0)) * emphasis AS s0 FROM info i LEFT JOIN (SELECT doc_id, sum(CAST(y AS DOUBLE)) AS s0 FROM x GROUP BY doc_id) y ON i.doc_id = y.doc_id)
+    s AS (SELECT i.doc_id, coalesce(s0, 0) + sign(coalesce(round(s0, 7), 0)) * emphasis AS s0 FROM info i LEFT JOIN (SELECT doc_id, sum(CAST(y AS DOUBLE)) AS s0 FROM x GROUP BY doc_id) y ON i.doc_id = y.doc_id)
     SELECT doc_id, round(s0 / sqrt(s0 * s0 + 15.0), 5) AS compound FROM s"""
 
 
