@@ -46,7 +46,7 @@ MEAN = Reducer(
 )
 # How many different values, by a sketch of fixed size.
 DISTINCT = Reducer(
-    lambda x: {"sketch": F.hll_sketch_agg(x)},
+    lambda x: {"sketch": F.hll_sketch_agg(x.cast("string"))},
     lambda s: {"sketch": F.hll_union_agg(s["sketch"])},
     lambda s: {"distinct": F.hll_sketch_estimate(s["sketch"])},
 )
