@@ -10,7 +10,8 @@ left to chance:
    classes meet at those; shingles that one class alone has there meet nobody and are dropped.
 3. First each class meets the least one at each of its shingles, and what BK-trees find within
    ``simhash_trees.RADIUS`` bits of its SimHash fingerprint. Pairs are checked on the whole sets, and
-   components over those that hold join most members of large groups without all their pairs.
+   components over those that hold join most members of large groups without all their pairs. Pairs whose parity vectors
+   differ too much are left out before (no similar pair is among them).
 4. Then all pairs that meet and are not in one component yet are checked the same way.
 
 Results for edge cases: null and empty texts and those without a word are one class. Texts of up to three
@@ -36,6 +37,8 @@ BUCKETS = 1 << 16
 PARTS = 16
 # Postings or hashes in one batch.
 STEP = 1 << 18
+# Bits of a set's parity vector: bit i is the parity of how many members name it.
+PARITY = 2048
 
 
 def shingle_set(tool: Sketcher, text: str) -> np.ndarray:
@@ -46,32 +49,40 @@ def class_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The parity vector of a set as 64-bit words. Two sets differ in at least as many members as bits."""
+    counts = np.bincount((hashes >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
+
+
 def described(df: DataFrame, key, text) -> DataFrame:
-    """``doc_id, text_hash, cls, n, fp`` of every row, and for each task its counters as rows with a ``part``."""
+    """``doc_id, text_hash, cls, n, fp, parity`` of every row, and for each task its counters as rows with a ``part``."""
     rows = keyed_text(df, key, text).withColumn("text_hash", F.xxhash64("text"))
-    names = ["doc_id", "text_hash", "cls", "n", "fp", "part", "counts"]
+    names = ["doc_id", "text_hash", "cls", "n", "fp", "parity", "part", "counts"]
+    words = pa.list_(pa.int64())
 
     def run(batches):
         tool, counts, kind = Sketcher(SHINGLE, 0), np.zeros(BUCKETS, np.int64), None
         for batch in batches:
             kind, texts = batch.column(0).type, batch.column(1).to_pylist()
-            classes, sizes = [], []
+            classes, sizes, parities = [], [], []
             for t in texts:
                 h = shingle_set(tool, t)
                 np.add.at(counts, h & np.uint64(BUCKETS - 1), 1)
                 classes.append(class_of(h))
                 sizes.append(len(h))
+                parities.append(parity(h))
             fps = np.frombuffer(b"".join(map(simhash_trees.fingerprint, texts)), ">i8").astype(np.int64)
             none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
-            columns = [batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps), *none]
+            columns = [batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps), pa.array(parities, words), *none]
             yield pa.RecordBatch.from_arrays(columns, names)
         if kind is not None:
-            none = [pa.nulls(PARTS, t) for t in (kind, pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+            none = [pa.nulls(PARTS, t) for t in (kind, pa.int64(), pa.int64(), pa.int32(), pa.int64(), words)]
             parts = [p.tobytes() for p in np.split(counts, PARTS)]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, cls long, n int, fp long, part int, counts binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, cls long, n int, fp long, parity array<long>, part int, counts binary")
 
 
 def rarity(tallies: DataFrame) -> np.ndarray:
@@ -180,9 +191,22 @@ def pairs_apart(met: DataFrame, labels: DataFrame) -> DataFrame:
     return met.alias("a").join(met.alias("b"), at).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")), [met]
 
 
+def may_be_similar(described: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose parity vectors leave room for similarity 0.8."""
+    signs = described.groupBy("cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    both = pairs.join(signs.toDF("a", "na", "x"), "a").join(signs.toDF("b", "nb", "y"), "b")
+    bits = F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
+    return both.where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b")
+
+
 def similar(df: DataFrame, described: DataFrame, pairs: DataFrame, key, text) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets have similarity 0.8 or more."""
-    pairs = written(pairs.distinct(), "near-pairs")
+    """The pairs ``a, b`` whose whole sets have similarity 0.8 or more.
+
+    Two sets of similarity 0.8 differ in a ninth of the sum of their sizes at most, and so do their parity
+    vectors: most other pairs go by these, and only sets of the rest are fetched and compared.
+    """
+    pairs = written(may_be_similar(described, pairs.distinct()), "near-pairs")
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     needed = written(described.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "near-needed")
     rows = keyed_text(df, key, text)
@@ -208,7 +232,7 @@ def similar(df: DataFrame, described: DataFrame, pairs: DataFrame, key, text) ->
 def grouped(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """``doc_id, text_hash, root, component_id`` of every row; ``root`` names its group."""
     all_rows = written(described(df, key, text), "near-docs")
-    docs = all_rows.where("part IS NULL").select("doc_id", "text_hash", "cls", "n", "fp")
+    docs = all_rows.where("part IS NULL").select("doc_id", "text_hash", "cls", "n", "fp", "parity")
     levels = rarity(all_rows.where("part IS NOT NULL").select("part", "counts"))
     met = written(meetings(df, levels, key, text), "near-meetings")
     classes = docs.groupBy("cls").agg(F.first("fp").alias("fp"))
