@@ -100,6 +100,12 @@ NAMES = (
     ("cc-by-nd", "attribution", r"creative commons attribution no ?deriv(?:ative)?s?(?: [1-4] [05])?(?: international| unported)?(?: public)? licen[cs]e", "", ""),
 )
 
+# Label, abbreviation and versions. The version may be glued to the name, with or without a v.
+ABBREVIATIONS = (
+    ("gpl-abbreviation", "gpl", "1|1 0|2|2 0|3|3 0"), ("lgpl", "lgpl", "2|2 0|2 1|3|3 0"), ("agpl", "agpl", "1|1 0|3|3 0"), ("gfdl", "gfdl", "1 1|1 2|1 3"),
+    ("mpl", "mpl", "1 0|1 1|2 0"), ("epl", "epl", "1 0|2 0"), ("cddl", "cddl", "1 0|1 1"), ("eupl", "eupl", "1 0|1 1|1 2"), ("apache", "apache", "1 0|1 1|2 0"),
+)
+
 # Label, keywords, pattern, weight of statements that carry no license name.
 STATEMENTS = (
     ("all-rights-reserved", "rights reserved", r"all rights reserved", 0.6),
@@ -149,6 +155,13 @@ def rules() -> tuple[Rule, ...]:
     out = []
     for label, keywords, pattern, weight in STATEMENTS:
         out.append(compile_rule(label, keywords, pattern, 3 if weight == 1.0 else 1, weight))
+    for label, short, versions in ABBREVIATIONS:
+        for version in sorted(versions.split("|"), key=len, reverse=True):
+            tag, digit = f"{label}-{version.replace(' ', '.')}", version.split()[0]
+            named = rf"(?:gnu )?{short}(?: (?:v|ver|version))? ?v?{version}(?: only| or later| or any later version)?"
+            either = f"{short}|{short}v{digit}|{short}{digit}"
+            out.append(compile_rule(tag, "|".join(f"spdx {k}" for k in either.split("|")), rf"spdx licen[cs]e identifier {named}", 5, 1.0))
+            out.append(compile_rule(tag, either, named, 3, 0.9))
     for label, keywords, name, versions, ids in NAMES:
         for version in sorted(filter(None, versions.split("|")), key=len, reverse=True):
             tag = f"{label}-{version.replace(' ', '.')}"

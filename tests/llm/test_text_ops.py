@@ -90,7 +90,7 @@ def test_license_containment_and_priority(docs):
     got = {r.doc_id: {d["label"] for d in r["detections"]} for r in license_rules.scan(docs(LICENSE_TEXTS)).collect()}
     assert got[0] == {"cc-by-nc-4.0"}
     assert got[2] == {"lgpl-2.1", "gpl-3"}
-    assert got[3] == {"apache"}
+    assert got[3] == {"apache-2.0"}
     assert got[6] == set()
     # Brute force over intervals.
     random = np.random.default_rng(5)
@@ -142,6 +142,22 @@ def test_license_keywords_let_every_alternative_through():
         assert every and scanner.scan(text)[2] == license_rules.outermost(every), text
 
 
+def test_license_abbreviations_with_versions():
+    scanner = license_rules.Scanner()
+
+    def labels(text):
+        return {d[0] for d in scanner.scan(text)[2]}
+
+    cases = {
+        "GPLv3 or later": "gpl-abbreviation-3", "GNU GPL v2": "gpl-abbreviation-2", "under GPL-3.0-only": "gpl-abbreviation-3.0", "LGPLv2.1": "lgpl-2.1", "LGPL 3": "lgpl-3",
+        "AGPLv3": "agpl-3", "MPL-2.0": "mpl-2.0", "EPL 1.0": "epl-1.0", "Apache-2.0": "apache-2.0", "GFDL1.3": "gfdl-1.3",
+        "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1", "SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "EUPL v1.2": "eupl-1.2",
+    }
+    for text, label in cases.items():
+        assert labels(text) == {label}, text
+    assert labels("xgplv3 gplv9 mpl 9 0 apaches 2 0") == set()
+
+
 def test_license_names_without_their_usual_words():
     scanner = license_rules.Scanner()
 
