@@ -43,6 +43,8 @@ STRIDE = 1000
 CACHE_BYTES, CACHED_PIECE = 96 << 20, 64
 # Characters of texts that are looked up together, and pieces that are encoded as one text.
 STEP_CHARS, JOINED = 300_000, 256
+# Rows that are encoded and handed on together.
+ROWS = 500
 # A word that stands between pieces in such a text.
 MARK = "\x01"
 # Words of any text, and white space that Python cuts at and the vocabulary need not.
@@ -153,7 +155,8 @@ def encoded(df: DataFrame, vocab: str, key="doc_id", text="text", end_id=END_ID)
 
     def run(batches):
         tool, before, end = encoder(vocab), 0, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        # Small batches: what is made of a few texts goes on before the next are looked at.
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             lists = [ids + end for step in steps(batch.column(2).to_pylist()) for ids in tool.encode(step)]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
             offsets = np.concatenate([[0], np.cumsum(sizes)])
