@@ -27,6 +27,7 @@ class Lookup:
     def __init__(self, entries: dict[str, str], value_type: str):
         """``entries`` maps a key to its value as JSON text."""
         self.size = len(entries)
+        self._entries = entries
         self._slots = max(1, self.size)
         slots = [[] for _ in range(self._slots)]
         for key, value in entries.items():
@@ -61,6 +62,10 @@ class Lookup:
         # to_json gives {"v":...}: the value text is what stands between.
         return cls({row.k: row.v[len('{"v":'):-1] for row in rows}, value_type)
 
+    def mapping(self) -> dict:
+        """The entries as plain values, for work on batches of rows."""
+        return {key: json.loads(value) for key, value in self._entries.items()}
+
     def get(self, key: Column) -> Column:
         slot = F.crc32(key) % F.lit(self._slots)
         return F.element_at(F.get(self._table, slot.cast("int")), key)

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS
 from geopulse.functions.text import WORD, words
-from geopulse.operators.sentiment import joined_back
-from geopulse.plans.skew import MAX_BROADCAST_ROWS, ROW, Dimension, fits, with_row_id
+from geopulse.plans.blocks import BLOCK, PLAIN, by_blocks
+from geopulse.plans.skew import MAX_BROADCAST_ROWS, Dimension, fits
 
 # Length of a language profile in the published n-gram method (fixed value, a parameter of train_lang).
 PROFILE_SIZE = 300
@@ -49,47 +49,71 @@ def train_lang(df: DataFrame, text, lang, size=PROFILE_SIZE) -> DataFrame:
     )
 
 
-def _scorer(grams, weights, langs):
-    """Arrow-batched function from blank-separated lower-cased words to the best language.
+def _scorer():
+    """Function from a profile to a function from blank-separated lower-cased words to the best language.
 
-    ``grams`` and ``weights`` are the profile: packed trigrams in order, and one weight per language.
+    A profile is ``grams``, packed trigrams in order, and ``weights``, for each of them one weight per language.
     Many texts at a time are handled as one array of code points.
     """
-    names = np.array([*langs, None], dtype=object)
-
-    # An unknown trigram weighs nothing.
-    weights = np.vstack([weights, np.zeros((1, len(langs)), dtype=np.int64)])
-
-    def best_of(padded):
-        ends = np.cumsum([len(text) for text in padded])
-        points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        # The middle of a trigram tells whose text it is; blanks have no middle.
-        middle = np.flatnonzero(points[1:-1] != BLANK) + 1
-        marked = np.where(points == BLANK, ord("_"), points).astype(np.int64)
-        packed = (marked[middle - 1] << 42) | (marked[middle] << 21) | marked[middle + 1]
-        at = np.minimum(np.searchsorted(grams, packed), len(grams) - 1)
-        at[grams[at] != packed] = len(grams)
-        until = np.searchsorted(middle, ends)
-        upto = np.cumsum(np.vstack([np.zeros((1, len(langs)), dtype=np.int64), weights[at]]), axis=0)
-        totals = np.diff(upto[np.concatenate([[0], until])], axis=0)
-        winner = totals.argmax(axis=1)
-        winner[totals.max(axis=1) == 0] = len(langs)
-        return names[winner]
-
-    def best(texts: pd.Series) -> pd.Series:
-        found, padded, size = [], [], 0
-        for text in texts:
-            padded.append(f" {text} " if text else "  ")
-            size += len(padded[-1])
-            # Arrays of this size stay in the processor cache.
-            if size > CHUNK:
+
+    def scorer(grams, weights, langs):
+        names = np.array([*langs, None], dtype=object)
+
+        # An unknown trigram weighs nothing.
+        weights = np.vstack([weights, np.zeros((1, len(langs)), dtype=np.int64)])
+
+        def best_of(padded):
+            ends = np.cumsum([len(text) for text in padded])
+            points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            # The middle of a trigram tells whose text it is; blanks have no middle.
+            middle = np.flatnonzero(points[1:-1] != BLANK) + 1
+            marked = np.where(points == BLANK, ord("_"), points).astype(np.int64)
+            packed = (marked[middle - 1] << 42) | (marked[middle] << 21) | marked[middle + 1]
+            at = np.minimum(np.searchsorted(grams, packed), len(grams) - 1)
+            at[grams[at] != packed] = len(grams)
+            until = np.searchsorted(middle, ends)
+            upto = np.cumsum(np.vstack([np.zeros((1, len(langs)), dtype=np.int64), weights[at]]), axis=0)
+            totals = np.diff(upto[np.concatenate([[0], until])], axis=0)
+            winner = totals.argmax(axis=1)
+            winner[totals.max(axis=1) == 0] = len(langs)
+            return names[winner]
+
+        def best(texts):
+            found, padded, size = [], [], 0
+            for text in texts:
+                padded.append(f" {text} " if text else "  ")
+                size += len(padded[-1])
+                # Arrays of this size stay in the processor cache.
+                if size > CHUNK:
+                    found.append(best_of(padded))
+                    padded, size = [], 0
+            if padded:
                 found.append(best_of(padded))
-                padded, size = [], 0
-        if padded:
-            found.append(best_of(padded))
-        return pd.Series(np.concatenate(found) if found else [], dtype=object)
+            return np.concatenate(found) if found else np.array([], dtype=object)
+
+        return best
+
+    return scorer
+
+
+def _compiler():
+    """Function from profile rows to their scorer; None for no rows."""
+    scorer = _scorer()
+
+    def compile(profile: pd.DataFrame):
+        if profile.empty:
+            return None
+        table = profile.pivot_table(
+            index="gram", columns="lang", values="weight", aggfunc="sum", fill_value=0
+        ).sort_index(axis=1)
+        packed = np.array(
+            [(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in table.index], dtype=np.int64
+        )
+        order = np.argsort(packed)
+        weights = table.to_numpy(dtype=np.int64)[order]
+        return scorer(packed[order], weights, list(table.columns))
 
-    return F.pandas_udf(best, "string")
+    return compile
 
 
 class LanguageDetector:
@@ -110,37 +134,34 @@ class LanguageDetector:
 
     @staticmethod
     def _compile(profile: pd.DataFrame):
-        if profile.empty:
+        best = _compiler()(profile)
+        if best is None:
             return None
-        table = profile.pivot_table(
-            index="gram", columns="lang", values="weight", aggfunc="sum", fill_value=0
-        ).sort_index(axis=1)
-        packed = np.array(
-            [(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in table.index], dtype=np.int64
-        )
-        order = np.argsort(packed)
-        weights = table.to_numpy(dtype=np.int64)[order]
-        return _scorer(packed[order], weights, list(table.columns))
+
+        def detected(texts: pd.Series) -> pd.Series:
+            return pd.Series(best(texts), dtype=object)
+
+        return F.pandas_udf(detected, "string")
 
     def detect(self, df: DataFrame, text, row_key, out="lang") -> DataFrame:
-        if self.joins:
-            return self._detect_by_join(df, text, out)
         plain = F.regexp_replace(F.lower(F.col(text)), rf"[^{WORD}]+", " ")
-        return df.withColumn(out, self._score(plain))
-
-    def _detect_by_join(self, df, text, out):
-        had_row, df = ROW in df.columns, with_row_id(df)
-        grams = (
-            df.select(ROW, F.explode(words(text)).alias("word"))
-            .select(ROW, F.explode(word_trigrams(F.col("word"))).alias("gram"))
-            .groupBy(ROW, "gram")
-            .agg(F.count("*").alias("n"))
-        )
-        scored = self._profiles.joined(grams, "gram", [ROW, "gram"], "inner")
-        totals = scored.groupBy(ROW, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
-        best = totals.groupBy(ROW).agg(F.min(F.struct((-F.col("s")).alias("minus"), "lang")).alias("b"))
-        best = best.select(ROW, F.col("b.lang").alias(out))
-        return joined_back(df.drop(out), had_row, best)
+        if not self.joins:
+            return df.withColumn(out, self._score(plain))
+        compile = _compiler()
+
+        def best(texts, part):
+            score = compile(part.select(["lang", "gram", "weight"]).to_pandas())
+            return [None] * len(texts) if score is None else list(score(texts))
+
+        return by_blocks(df, plain, _grams, self._profiles, "gram", best, out, "string")
+
+
+def _grams(blocks) -> DataFrame:
+    """The trigrams of each block, from its distinct words; as rows, which is faster than arrays."""
+    words = blocks.select(BLOCK, F.explode(F.split(PLAIN, " ")).alias("word")).where("word <> ''").distinct()
+    padded = F.concat(F.lit("_"), "word", F.lit("_")).alias("padded")
+    at = words.select(BLOCK, padded, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    return at.select(BLOCK, F.substring("padded", F.col("at"), F.lit(3)).alias("gram"))
 
 
 def detect_lang(df, text, profiles, row_key, out="lang", max_rows=MAX_LOOKUP_ROWS) -> DataFrame:

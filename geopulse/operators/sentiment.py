@@ -1,17 +1,19 @@
 """Normalised text, polarity and score distributions.
 
 The models are tables: a lemma table (token, lemma) and a valence lexicon (token, valence in
-integer tenths). Small ones become map-only lookups, large ones are joined.
+integer tenths). Small ones become dictionaries in every task, large ones are joined block by block
+(:mod:`geopulse.plans.blocks`). Either way the words of a text are looked up in Arrow batches.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopulse.constants import SCORE_LABELS
+from geopulse.functions import batches
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS, Lookup, let, unique_keys
 from geopulse.functions.text import tokenise
-from geopulse.plans.skew import MAX_BROADCAST_ROWS, ROW, Dimension, with_row_id
-from geopulse.session import checkpointed
+from geopulse.plans.blocks import BLOCK, PLAIN, by_blocks, with_dictionary
+from geopulse.plans.skew import MAX_BROADCAST_ROWS, Dimension
 
 # Damping constant of the compound score (fixed value).
 ALPHA = 15.0
@@ -46,13 +48,25 @@ class Normaliser:
     def joins(self) -> bool:
         return self._table is None
 
+    def blanks(self) -> bool:
+        """Whether a lemma is blank."""
+        if self.joins:
+            return not self._dimension.frame.where("trim(lemma) = ''").isEmpty()
+        return any(not lemma.strip(" ") for lemma in self._table.mapping().values())
+
     def normalise(self, df, text, row_key, out="content") -> DataFrame:
         """Tokens of ``text`` as lemmas, joined with blanks; NULL stays NULL. It goes row by row: a
         ``row_key`` that repeats does no harm."""
+        # No token has a blank.
+        plain = F.array_join(tokenise(text), " ")
         if self.joins:
-            return _normalise_by_join(df, text, self._dimension, out)
-        tokens = F.transform(tokenise(text), lambda t: F.coalesce(self._table.get(t), t))
-        return df.withColumn(out, F.array_join(tokens, " "))
+            work = with_dictionary(batches.replaced(), "token", "lemma")
+            return by_blocks(df, plain, _tokens, self._dimension, "token", work, out, "string")
+        return df.withColumn(out, batches.by_dictionary(batches.replaced(), self._table.mapping(), "string")(plain))
+
+
+def _tokens(blocks) -> DataFrame:
+    return blocks.select(BLOCK, F.explode(F.split(PLAIN, " ")).alias("token"))
 
 
 def normalise_text(df, text, lemmas, row_key, out="content", max_rows=MAX_LOOKUP_ROWS) -> DataFrame:
@@ -60,31 +74,7 @@ def normalise_text(df, text, lemmas, row_key, out="content", max_rows=MAX_LOOKUP
     return Normaliser(lemmas, max_rows).normalise(df, text, row_key, out)
 
 
-def joined_back(df, had_row, found) -> DataFrame:
-    """Rows with what a join found for them; the row number goes if this step made it."""
-    out = df.join(checkpointed(found), ROW, "left")
-    return out if had_row else out.drop(ROW)
-
-
-def _normalise_by_join(df, text, lemmas, out):
-    """Each row becomes its tokens, and one row is put together again per group."""
-    had_row, df = ROW in df.columns, with_row_id(df)
-    tokens = df.select(ROW, F.posexplode(tokenise(text)).alias("_pos", "token"))
-    named = lemmas.joined(tokens, "token", [ROW, "_pos"])
-    joined = named.groupBy(ROW).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "token").alias("t")))),
-                lambda x: x["t"],
-            ),
-            " ",
-        ).alias("_joined")
-    )
-    empty = F.when(F.col(text).isNotNull(), F.lit(""))
-    return joined_back(df, had_row, joined).withColumn(out, F.coalesce("_joined", empty)).drop("_joined")
-
-
-def compound(total) -> F.Column:
+def compound(total) -> Column:
     """Valence sum (plain units) squashed into -1..1."""
     return total / F.sqrt(total * total + F.lit(ALPHA))
 
@@ -111,19 +101,28 @@ class Scorer:
 
     def score(self, df, text, row_key, out="compound") -> DataFrame:
         """Adds the score, row by row; a post without text gets NULL."""
-        lower, table = F.split(F.lower(F.col(text)), " "), self._table
+        plain = F.lower(F.col(text))
+        work = _rule_sums() if self._rules else batches.sums()
         if self.joins:
-            return _polarity_by_join(df, lower, text, self._dimension, out, self._rules)
-        if self._rules:
-            total = _rule_total(F.transform(lower, lambda t: let(table.get(t), lambda v: _mark(t, v))))
+            # Sums without rules keep the kind of the valences.
+            work, kind = with_dictionary(work, "token", "valence"), "bigint" if self._rules else "double"
+            scored = by_blocks(df, plain, _tokens, self._dimension, "token", work, TOTAL, kind)
         else:
-            tenths = F.aggregate(
-                lower,
-                F.lit(0).cast("bigint"),
-                lambda acc, t: acc + F.coalesce(table.get(t).cast("bigint"), F.lit(0).cast("bigint")),
-            )
-            total = tenths.cast("double") / 10
-        return df.withColumn(out, let(total, compound))
+            table = {token: int(valence) for token, valence in self._table.mapping().items()}
+            scored = df.withColumn(TOTAL, batches.by_dictionary(work, table, "bigint")(plain))
+        return scored.withColumn(out, compound(F.col(TOTAL).cast("double") / (UNIT if self._rules else 10))).drop(TOTAL)
+
+
+TOTAL = "_total"
+
+
+def _rule_sums():
+    return batches.rule_sums(_parts(), NEGATES, BOOST_MICRO, NEGATION_FACTORS, NEGATION_SCALE, UNIT)
+
+
+def _parts() -> dict:
+    """Words with a part in the rules."""
+    return {**BOOSTERS, **dict.fromkeys(NEGATORS, NEGATES)}
 
 
 def polarity(df, text, lexicon, row_key, out="compound", rules=False, max_rows=MAX_LOOKUP_ROWS):
@@ -131,60 +130,6 @@ def polarity(df, text, lexicon, row_key, out="compound", rules=False, max_rows=M
     return Scorer(lexicon, rules, max_rows).score(df, text, row_key, out)
 
 
-def _mark(token, valence):
-    """What the rules need to know of a token: its valence, or else its part in the rules."""
-    parts = Lookup.of({**BOOSTERS, **dict.fromkeys(NEGATORS, NEGATES)}, "int")
-    rule = F.when(valence.isNull(), parts.get(token))
-    return F.struct(valence.cast("bigint").alias("v"), rule.alias("rule"))
-
-
-def _rule_total(marks):
-    """Sum of the adjusted valences of a text, given the marks of its tokens in order."""
-
-    def total(seen):
-        def one(mark, i):
-            v = mark["v"]
-            value = v * (UNIT // 10)
-            ahead = [
-                F.when(i >= k, F.get(seen, i - k)["rule"]) for k in range(1, len(BOOST_MICRO) + 1)
-            ]
-            for rule, micro in zip(ahead, BOOST_MICRO):
-                boost = rule * F.when(v > 0, micro * 100).when(v < 0, -micro * 100).otherwise(0)
-                value = value + F.when(F.abs(rule) == 1, boost).otherwise(0)
-            negations = sum((F.when(rule == NEGATES, 1).otherwise(0) for rule in ahead), F.lit(0))
-            # Three tokens ahead at most, so the factors are few and known.
-            factor = F.element_at(F.array(*[F.lit(f) for f in NEGATION_FACTORS]), negations + 1)
-            value = F.call_function("div", value * factor, F.lit(NEGATION_SCALE))
-            return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(value)
-
-        return F.aggregate(
-            F.transform(seen, one), F.lit(0).cast("bigint"), lambda acc, value: acc + value
-        )
-
-    return let(marks, total).cast("double") / UNIT
-
-
-def _polarity_by_join(df, tokens, text, lexicon, out, rules):
-    """Large lexicon: tokens meet valences in a join, sums come back per row."""
-    had_row, df = ROW in df.columns, with_row_id(df)
-    exploded = df.select(ROW, F.posexplode(tokens).alias("_pos", "token"))
-    scored = lexicon.joined(exploded, "token", [ROW, "_pos"])
-    if rules:
-        # One ordered array per row: the rules look at neighbours inside a text only.
-        arrays = scored.groupBy(ROW).agg(
-            F.array_sort(F.collect_list(F.struct("_pos", "token", "valence"))).alias("_w")
-        )
-
-        marks = F.transform("_w", lambda w: _mark(w["token"], w["valence"]))
-        totals = arrays.select(ROW, _rule_total(marks).alias("_total"))
-    else:
-        totals = scored.groupBy(ROW).agg(
-            (F.coalesce(F.sum("valence"), F.lit(0)).cast("double") / 10).alias("_total")
-        )
-    missing = F.when(F.col(text).isNotNull(), F.lit(0.0))
-    return joined_back(df, had_row, totals).withColumn(out, compound(F.coalesce("_total", missing))).drop("_total")
-
-
 # --- the whole score -----------------------------------------------------------------------------
 # What capitals add, and their fade over distance; what a contrast does to the words before and
 # after it, in tenths; what exclamation and question marks add to a text.
@@ -195,18 +140,16 @@ QUESTION_MICRO, MOST_QUESTIONS, MANY_QUESTIONS_MICRO = 180_000, 3, 960_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def plain_words(text) -> F.Column:
-    """Words between white space, without punctuation around them if more than two characters are left."""
-
-    def bare(word):
-        return let(F.btrim(word, F.lit(PUNCTUATION)), lambda b: F.when(F.length(b) > 2, b).otherwise(word))
-
-    cut = F.filter(F.split(F.col(text) if isinstance(text, str) else text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    return F.transform(cut, bare)
+WHITE = r"[ \t\n\x0B\f\r]+"
+WHOLE_SCORE = {
+    "punctuation": PUNCTUATION, "negates": NEGATES, "contrast": CONTRAST, "before": BEFORE, "after": AFTER, "boosts": BOOST_MICRO,
+    "capitals": CAPITALS_MICRO, "unit": UNIT, "scale": NEGATION_SCALE, "factors": NEGATION_FACTORS,
+}
 
 
-def is_capital(word) -> F.Column:
-    return (F.upper(word) == word) & (F.lower(word) != word)
+def bare(word) -> Column:
+    """A word without punctuation around it if more than two characters are left."""
+    return let(F.btrim(word, F.lit(PUNCTUATION)), lambda b: F.when(F.length(b) > 2, b).otherwise(F.col(word)))
 
 
 class Phrases:
@@ -225,26 +168,9 @@ class Phrases:
             raise ValueError("the phrase list is too large")
         self.longest = listed.agg(F.max(F.size("w"))).first()[0] or 0
 
-    def spans(self, words: F.Column) -> F.Column:
-        """For each word how many words the longest phrase that begins there has (0 for none), and its valence."""
-
-        def at(word, i):
-            def step(state, k):
-                path = F.when(k == 1, F.get(words, i)).otherwise(F.concat(state["path"], F.lit(" "), F.get(words, i + k - 1)))
-                node = F.when(state["open"], self._trie.get(path))
-                found = node["v"].isNotNull()
-                return F.struct(
-                    path.alias("path"), node.isNotNull().alias("open"),
-                    F.when(found, k).otherwise(state["n"]).alias("n"), F.when(found, node["v"]).otherwise(state["v"]).alias("v"),
-                )
-
-            start = F.struct(F.lit("").alias("path"), F.lit(True).alias("open"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("v"))
-            walk = F.aggregate(F.sequence(F.lit(1), F.lit(self.longest)), start, step)
-            nothing = F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("v"))
-            # Few words begin a phrase.
-            return F.when(self._trie.get(word).isNotNull(), let(walk, lambda s: F.struct(s["n"].alias("n"), s["v"].alias("v")))).otherwise(nothing)
-
-        return F.transform(words, at)
+    def trie(self) -> dict:
+        """Every beginning of a phrase with its valence; None where no phrase ends."""
+        return {path: node.get("v") for path, node in self._trie.mapping().items()}
 
 
 class FullScorer:
@@ -271,68 +197,22 @@ class FullScorer:
         return self._table is None
 
     def score(self, df, text, row_key, out="compound") -> DataFrame:
-        if not self.joins:
-            seen = F.transform(plain_words(text), lambda w: F.struct(w.alias("w"), self._table.get(F.lower(w)).cast("bigint").alias("v")))
-            return df.withColumn(out, self._compound(seen, F.col(text)))
-        had_row, df = ROW in df.columns, with_row_id(df)
-        words = df.select(ROW, F.posexplode(plain_words(text)).alias("_pos", "_word"))
-        scored = self._dimension.joined(words.withColumn("token", F.lower("_word")), "token", [ROW, "_pos"])
-        found = F.struct("_pos", F.col("_word").alias("w"), F.col("valence").cast("bigint").alias("v"))
-        arrays = scored.groupBy(ROW).agg(F.array_sort(F.collect_list(found)).alias("_seen"))
-        out_df = joined_back(df, had_row, arrays)
-        nothing = F.array().cast("array<struct<w:string,v:bigint>>")
-        seen = F.coalesce(F.transform("_seen", lambda x: F.struct(x["w"].alias("w"), x["v"].alias("v"))), nothing)
-        return out_df.withColumn(out, F.when(F.col(text).isNotNull(), self._compound(seen, F.col(text)))).drop("_seen")
-
-    def _compound(self, seen, text) -> F.Column:
-        total = let(seen, lambda s: let(self._marks(s), lambda m: self._sum(m, s)))
-        return let(total.cast("double") / (10 * UNIT), lambda t: compound(t + F.signum(t) * self._emphasis(text)))
-
-    def _marks(self, seen):
-        """For each word its valence and part in the rules, with phrases in place of their words."""
-        parts = Lookup.of({**BOOSTERS, **dict.fromkeys(NEGATORS, NEGATES)}, "int")
-        lowers = F.transform(seen, lambda x: F.lower(x["w"]))
-        mixed = let(F.size(F.filter(seen, lambda x: is_capital(x["w"]))), lambda n: (n > 0) & (n < F.size(seen)))
-
-        def marked(spans, mixed):
-            def one(x, i):
-                own = F.get(spans, i) if spans is not None else None
-                inside = F.lit(False)
-                for k in range(1, self._phrases.longest if spans is not None else 1):
-                    inside = inside | F.coalesce(F.when(i >= k, F.get(spans, i - k)["n"] > k), F.lit(False))
-                valence = x["v"] if own is None else F.when(inside, None).when(own["n"] > 0, own["v"]).otherwise(x["v"])
-                plain = ~inside if own is None else ~inside & (own["n"] == 0)
-                rule = F.when(plain & x["v"].isNull(), parts.get(F.lower(x["w"])))
-                return F.struct(valence.alias("v"), rule.alias("rule"), (mixed & is_capital(x["w"])).alias("caps"))
-
-            return F.transform(seen, one)
-
-        if self._phrases is None or not self._phrases.longest:
-            return let(mixed, lambda m: marked(None, m))
-        return let(mixed, lambda m: let(let(lowers, self._phrases.spans), lambda spans: marked(spans, m)))
-
-    def _sum(self, marks, seen):
-        """Sum of adjusted valences in tenths of ``1 / UNIT``."""
-        contrast = F.array_position(F.transform(seen, lambda x: F.lower(x["w"])), CONTRAST)
-
-        def with_contrast(at):
-            def one(mark, i):
-                v = mark["v"]
-                sign = F.when(v > 0, 1).when(v < 0, -1).otherwise(0)
-                value = v * (UNIT // 10) + F.when(mark["caps"], sign * CAPITALS_MICRO[0] * 100).otherwise(0)
-                ahead = [F.when(i >= k, F.get(marks, i - k)) for k in range(1, len(BOOST_MICRO) + 1)]
-                for mark_ahead, boost, capitals in zip(ahead, BOOST_MICRO, CAPITALS_MICRO):
-                    by = mark_ahead["rule"] * boost * 100 + F.when(mark_ahead["caps"], capitals * 100).otherwise(0)
-                    value = value + F.when(F.abs(mark_ahead["rule"]) == 1, sign * by).otherwise(0)
-                negations = sum((F.when(m["rule"] == NEGATES, 1).otherwise(0) for m in ahead), F.lit(0))
-                factor = F.element_at(F.array(*[F.lit(f) for f in NEGATION_FACTORS]), negations + 1)
-                value = F.call_function("div", value * factor, F.lit(NEGATION_SCALE))
-                weight = F.when((at == 0) | (i + 1 == at), 10).when(i + 1 < at, BEFORE).otherwise(AFTER)
-                return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(value * weight)
-
-            return F.aggregate(F.transform(marks, one), F.lit(0).cast("bigint"), lambda acc, value: acc + value)
-
-        return let(contrast, with_contrast)
+        trie, longest = (self._phrases.trie(), self._phrases.longest) if self._phrases is not None else ({}, 0)
+        work = batches.whole_sums(WHOLE_SCORE | {"parts": _parts()}, trie, longest)
+        if self.joins:
+            work = with_dictionary(work, "token", "valence")
+            scored = by_blocks(df, F.col(text), self._words, self._dimension, "token", work, TOTAL, "bigint")
+        else:
+            scored = df.withColumn(TOTAL, batches.by_dictionary(work, self._table.mapping(), "bigint")(F.col(text)))
+        total = F.col(TOTAL).cast("double") / (10 * UNIT)
+        scored = scored.withColumn(TOTAL, total + F.signum(total) * self._emphasis(F.col(text)))
+        return scored.withColumn(out, compound(F.col(TOTAL))).drop(TOTAL)
+
+    @staticmethod
+    def _words(blocks) -> DataFrame:
+        """Lower-case words of each block; what a word looks like is found out once for each."""
+        raw = blocks.select(BLOCK, F.explode(F.split(PLAIN, WHITE)).alias("raw")).distinct()
+        return raw.select(BLOCK, F.lower(bare("raw")).alias("token"))
 
     @staticmethod
     def _emphasis(text):

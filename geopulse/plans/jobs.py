@@ -78,7 +78,7 @@ class Enrichers:
         detector = LanguageDetector(profiles, max_rows) if profiles is not None else None
         resolver = PlaceResolver(gazetteer, max_rows) if gazetteer is not None else None
         # A lemma could be empty only if the table says so.
-        keeps = lemmas.where("lemma IS NULL OR trim(lemma) = ''").isEmpty()
+        keeps = not normaliser.blanks()
         joins = any(model.joins for model in (normaliser, scorer, detector) if model is not None)
         detect = detector.detect if detector is not None else None
         return cls(normaliser.normalise, detect, scorer.score, resolver, keeps, joins)

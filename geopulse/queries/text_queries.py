@@ -318,16 +318,16 @@ def large_lemmas(t):
     """A lemma for every longer word; some stand twice, with a lemma that comes later in order."""
     token = t.documents.select(F.explode(text.tokenise("text")).alias("token")).distinct()
     token = token.where(F.rlike("token", F.lit("^[a-z]{6,}$")))
-    first = token.select("token", F.substring("token", 1, 4).alias("lemma"))
-    return first.unionByName(token.where(F.col("token").startswith("t")).select("token", F.lit("zz").alias("lemma")))
+    # The texts are read once.
+    first, other = F.substring("token", 1, 4), F.lit("zz")
+    return token.select("token", F.explode(F.when(F.col("token").startswith("t"), F.array(first, other)).otherwise(F.array(first))).alias("lemma"))
 
 
 def large_lexicon(t):
     token = t.documents.select(F.explode(F.split(F.lower("text"), " ")).alias("token")).distinct()
     token = token.where(F.rlike("token", F.lit("^[a-z]{2,6}$")))
-    value = (F.ascii("token") + 3 * F.ascii(F.substring("token", 2, 1))) % 9 - 4
-    first = token.select("token", value.cast("int").alias("valence"))
-    return first.unionByName(token.where(F.col("token").startswith("t")).select("token", F.lit(9).alias("valence")))
+    value = ((F.ascii("token") + 3 * F.ascii(F.substring("token", 2, 1))) % 9 - 4).cast("int")
+    return token.select("token", F.explode(F.when(F.col("token").startswith("t"), F.array(value, F.lit(9))).otherwise(F.array(value))).alias("valence"))
 
 
 @query(

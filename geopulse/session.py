@@ -70,3 +70,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage, in storage that outlives an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, compressed, read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
