@@ -191,9 +191,12 @@ def stream_json_array(t):
 def stream_view(t):
     """The topic view kept current while posts arrive file by file."""
     arrived, out = scratch_path(t.spark, "posts"), scratch_path(t.spark, "view")
-    t.posts.repartition(3).write.json(arrived)
+    # Three batches, of files whose size does not grow with the posts.
+    posts = t.posts
+    files = max(1, -(-posts.rdd.getNumPartitions() // 3))
+    posts.repartition(3 * files).write.json(arrived)
     schema = "tid STRING, sal STRING, content STRING, lang STRING, score INT"
-    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(arrived)
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(arrived)
     view = live_view.live_view(stream, "income", words=TOPIC_WORDS["income"])
     live_view.run_live_view(view, out, scratch_path(t.spark, "marks")).awaitTermination()
     return live_view.read_live_view(t.spark, out)
