@@ -58,7 +58,8 @@ def sums():
 
     def work(texts, table):
         get = table.get
-        return [None if text is None else sum(v for v in map(get, text.split(" ")) if v is not None) for text in texts]
+        # What is not there or zero adds nothing.
+        return [None if text is None else sum(filter(None, map(get, text.split(" ")))) for text in texts]
 
     return work
 

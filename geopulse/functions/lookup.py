@@ -74,3 +74,8 @@ class Lookup:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed_once(df: DataFrame, *columns: Column, keep=()) -> DataFrame:
+    """``df.select(*keep, *columns)``, where filters that follow do not compute the columns again below."""
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))

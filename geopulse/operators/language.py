@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geopulse.functions.lookup import MAX_LOOKUP_ROWS
-from geopulse.functions.text import WORD, words
+from geopulse.functions.text import plain_words
 from geopulse.plans.blocks import BLOCK, PLAIN, by_blocks
 from geopulse.plans.skew import MAX_BROADCAST_ROWS, Dimension, fits
 
@@ -32,7 +32,8 @@ def train_lang(df: DataFrame, text, lang, size=PROFILE_SIZE) -> DataFrame:
     """
     counted = (
         df.where(F.col(lang).isNotNull())
-        .select(F.col(lang).alias("lang"), F.explode(words(text)).alias("word"))
+        .select(F.col(lang).alias("lang"), F.explode(F.split(plain_words(text), " ")).alias("word"))
+        .where("word <> ''")
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
     )
@@ -59,20 +60,35 @@ def _scorer():
     def scorer(grams, weights, langs):
         names = np.array([*langs, None], dtype=object)
 
-        # An unknown trigram weighs nothing.
-        weights = np.vstack([weights, np.zeros((1, len(langs)), dtype=np.int64)])
+        # Trigrams of ASCII characters stand in a table, the place of the others is searched.
+        unknown, last = len(grams), (1 << 21) - 1
+        a, b, c = grams >> 42, grams >> 21 & last, grams & last
+        plain = np.flatnonzero((a | b | c) < 128)
+        table = np.full(1 << 21, unknown, dtype=np.int32)
+        table[(a << 14 | b << 7 | c)[plain]] = plain
+
+        def place(points, middle):
+            a, b, c = points[middle - 1], points[middle], points[middle + 1]
+            odd = np.flatnonzero((a | b | c) > 127)
+            at = table[(a << 14 | b << 7 | c) & last]
+            if len(odd):
+                packed = a[odd].astype(np.int64) << 42 | b[odd].astype(np.int64) << 21 | c[odd]
+                found = np.minimum(np.searchsorted(grams, packed), unknown - 1)
+                at[odd] = np.where(grams[found] == packed, found, unknown)
+            return at
 
         def best_of(padded):
             ends = np.cumsum([len(text) for text in padded])
-            points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
             # The middle of a trigram tells whose text it is; blanks have no middle.
-            middle = np.flatnonzero(points[1:-1] != BLANK) + 1
-            marked = np.where(points == BLANK, ord("_"), points).astype(np.int64)
-            packed = (marked[middle - 1] << 42) | (marked[middle] << 21) | marked[middle + 1]
-            at = np.minimum(np.searchsorted(grams, packed), len(grams) - 1)
-            at[grams[at] != packed] = len(grams)
-            until = np.searchsorted(middle, ends)
-            upto = np.cumsum(np.vstack([np.zeros((1, len(langs)), dtype=np.int64), weights[at]]), axis=0)
+            blank = points == BLANK
+            middle = np.flatnonzero(~blank[1:-1]) + 1
+            at = place(np.where(blank, np.int32(ord("_")), points), middle)
+            # An unknown trigram weighs nothing.
+            known = np.flatnonzero(at != unknown)
+            until = np.searchsorted(middle[known], ends)
+            upto = np.zeros((len(known) + 1, len(langs)), dtype=np.int64)
+            np.cumsum(weights[at[known]], axis=0, out=upto[1:])
             totals = np.diff(upto[np.concatenate([[0], until])], axis=0)
             winner = totals.argmax(axis=1)
             winner[totals.max(axis=1) == 0] = len(langs)
@@ -144,7 +160,7 @@ class LanguageDetector:
         return F.pandas_udf(detected, "string")
 
     def detect(self, df: DataFrame, text, row_key, out="lang") -> DataFrame:
-        plain = F.regexp_replace(F.lower(F.col(text)), rf"[^{WORD}]+", " ")
+        plain = plain_words(text)
         if not self.joins:
             return df.withColumn(out, self._score(plain))
         compile = _compiler()

@@ -17,7 +17,7 @@ from geopulse.constants import (
     TOPICS,
     TOTAL_OFFENCES,
 )
-from geopulse.functions.lookup import MAX_LOOKUP_ROWS
+from geopulse.functions.lookup import MAX_LOOKUP_ROWS, computed_once
 from geopulse.functions.scalars import score_bin, topic_flags
 from geopulse.functions.text import SPACE, normalise_location, strip_social
 from geopulse.operators.docstore import bulk_insert, id_partition
@@ -104,7 +104,8 @@ def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="r
     posts = require(posts, ["author", "date"])
     if geo_only:
         posts = keep_geo(posts)
-    posts = posts.withColumn("text", strip_social("text"))
+    others = [c for c in posts.columns if c != "text"]
+    posts = computed_once(posts, strip_social("text").alias("text"), keep=others)
     posts = posts.where(F.rlike("text", F.lit(rf"[^{SPACE}]")))
     posts = posts.withColumn("_place", normalise_location(F.lower("location")))
     if enrichers.joins:

@@ -3,17 +3,19 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.functions.lookup import let
+from geopulse.functions.lookup import computed_once, let
 from geopulse.schemas import POST_LINE, POST_OBJECT
 
-# First match per line; fixed patterns. Escapes are not decoded and end at the first quote.
+# First match per line; fixed patterns: what stands ahead of the value, and the value. Escapes are not decoded and
+# end at the first quote.
+NUMBER, SHORTEST = r"\p{Nd}+", r"""[^"\n\r\u0085\u2028-\u2029]*"""
 FIELD_PATTERNS = {
-    "tid": r'"id":"(\p{Nd}+)"',
-    "author": r'"author_id":"(\p{Nd}+)"',
-    "date": r'"created_at":"(.*?)"',
-    "location": r'"full_name":"(.*?)"',
-    "text": r'"text":"(.*?)"',
-    "tags": r'"tags":"(.*?)"',
+    "tid": ('"id":"', NUMBER),
+    "author": ('"author_id":"', NUMBER),
+    "date": ('"created_at":"', SHORTEST),
+    "location": ('"full_name":"', SHORTEST),
+    "text": ('"text":"', SHORTEST),
+    "tags": ('"tags":"', SHORTEST),
 }
 
 
@@ -31,15 +33,15 @@ def extract_fields(lines: DataFrame, mode="regex") -> DataFrame:
     if mode == "regex":
         def found(name):
             # The line is searched once; an empty value is told from a miss by the whole match.
-            pattern = FIELD_PATTERNS[name]
+            ahead, pattern = FIELD_PATTERNS[name]
             value = let(
-                F.regexp_extract(line, pattern, 0),
-                lambda match: F.when(match != "", F.regexp_extract(match, pattern, 1)),
+                F.regexp_extract(line, f'{ahead}{pattern}"', 0),
+                lambda match: F.when(match != "", F.substring(match, F.lit(len(ahead) + 1), F.length(match) - len(ahead) - 1)),
             )
             return value.alias(name)
 
-        has_id = F.regexp_extract(line, FIELD_PATTERNS["tid"], 1) != ""
-        return lines.where(has_id).select(*[found(name) for name in FIELD_PATTERNS])
+        # Filters of the fields stay above, so no field is searched again for them.
+        return computed_once(lines, *[found(name) for name in FIELD_PATTERNS]).where("tid IS NOT NULL")
     body = F.regexp_replace(line, r",\s*$", "")
     doc = lines.select(F.from_json(body, POST_LINE).alias("d")).where("d.id IS NOT NULL")
     return doc.select(

@@ -62,6 +62,17 @@ def test_raw_fields_stop_at_the_first_quote_and_json_fields_do_not(spark):
     assert raw["100000000000001"].location == parsed["100000000000001"].location == "Middle Park, Victoria"
 
 
+def test_a_line_is_searched_once_for_each_field(spark, steps):
+    end = line("100000000000009", "one\u2028two").replace("\\u2028", "\u2028")
+    lines = spark.createDataFrame([(line("100000000000001"),), (line("100000000000008", text=""),), (end,)], "value string")
+    found = {r.tid[-1]: r.text for r in post_source.extract_fields(lines).collect()}
+    # A value ends at its quote in the same line.
+    assert found == {"1": "fine day", "8": "", "9": None}
+    # Filters of the text do not search for it again below.
+    plan = ingest_posts(lines, steps)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('"text":"') == 1 and plan.count("https?") == 1
+
+
 def test_ingest(spark, steps):
     lines = spark.createDataFrame([(x,) for x in LINES], "value string")
     got = {r.tid[-1]: r for r in ingest_posts(lines, steps).collect()}

@@ -124,3 +124,15 @@ def test_dates(spark):
     ts = F.lit("2023-05-01 20:30:15.123").cast("timestamp")
     assert one(spark, scalars.iso_utc(ts)) == "2023-05-01T20:30:15.000Z"
     assert str(one(spark, scalars.local_date(ts, "Australia/Melbourne"))) == "2023-05-02"
+
+
+def test_marks_are_stripped_in_order(spark):
+    # What is left of one mark may make another.
+    got = [one(spark, text.strip_social("t"), t=t) for t in ("a @b c #d e http://f g", "#@a b", "ht@x tp://y z", "no mark", None)]
+    assert got == ["a c e  g", "", " z", "no mark", None]
+
+
+def test_plain_words_are_the_words(spark):
+    for t in ("Ab,c  d_1 é\n--x", " .", "", "a"):
+        plain = one(spark, text.plain_words("t"), t=t)
+        assert [w for w in plain.split(" ") if w] == one(spark, text.words("t"), t=t)
