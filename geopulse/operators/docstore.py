@@ -33,7 +33,7 @@ def upsert(base: DataFrame, updates: DataFrame, order_col, key="_id") -> DataFra
     return stored.unionByName(new)
 
 
-def bulk_insert(base: DataFrame, new: DataFrame, order_col=None, key="_id", known=None):
+def bulk_insert(base: DataFrame, new: DataFrame, order_col=None, key="_id", known=None, finish=None):
     """Insert documents with unknown ids as version 1. Returns ``(inserted, conflicts)``.
 
     A document whose id is stored already, or came earlier in the same batch (by ``order_col``, then
@@ -43,6 +43,9 @@ def bulk_insert(base: DataFrame, new: DataFrame, order_col=None, key="_id", know
     whose id comes once and is not stored go on as they are; only copies of one id are compared by their
     fields. ``known`` may be a function from a frame of the new ids to the stored ones among them (and others),
     such as a look-up in a :class:`~geopulse.operators.keyindex.KeyIndex`, instead of all ids of ``base``.
+
+    ``finish`` makes the stored documents of some of ``new``, row by row and without losing one, from their fields alone: it
+    is not run for documents that are stored already, and once for equal copies. The order by fields is that of the finished ones.
     """
     new = with_generated_ids(new, key)
     fields = [c for c in new.columns if c not in (key, "version")]
@@ -55,6 +58,9 @@ def bulk_insert(base: DataFrame, new: DataFrame, order_col=None, key="_id", know
     odd = checkpointed(ids.where("_stored OR _copies > 1"))
     once = new.join(odd.select(key), key, "left_anti").select(key, *fields)
     repeated = new.join(odd.where("NOT _stored").select(key), key, "left_semi")
+    if finish is not None:
+        once, repeated = finish(once), finish(repeated.select(key, *fields).dropDuplicates())
+        fields = [c for c in once.columns if c not in (key, "version")]
     order = F.struct(*([order_col] if order_col else []), *fields)
     first = repeated.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("_doc")).select(key, "_doc.*")
     inserted = once.unionByName(first).withColumn("version", F.lit(1).cast("bigint"))

@@ -100,6 +100,14 @@ def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="r
     Cheap filters come first: ids, missing text, and for ``geo_only`` missing places. With models
     of normal size the whole job is one map stage.
     """
+    posts = enrich(located_posts(lines, enrichers, geo_only, mode), enrichers)
+    if not enrichers.keeps_text:
+        posts = require(posts, ["content"])
+    return posts.select(*POST_COLUMNS)
+
+
+def located_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="regex") -> DataFrame:
+    """Posts from raw lines with ``_id``, stripped text and region, after all filters but that of empty content."""
     posts = valid_id(extract_fields(lines, mode)).where(F.col("text").isNotNull())
     posts = require(posts, ["author", "date"])
     if geo_only:
@@ -111,14 +119,10 @@ def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="r
     if enrichers.joins:
         posts = with_row_id(posts)
     posts = enrichers.resolver.resolve(posts, "_place", ["tid"], "_match")
-    posts = posts.withColumn("sal", F.col("_match.sal"))
+    posts = posts.withColumn("sal", F.col("_match.sal")).drop("_match", "_place")
     if geo_only:
         posts = require(posts, ["sal"])
-    posts = enrich(posts, enrichers)
-    if not enrichers.keeps_text:
-        posts = require(posts, ["content"])
-    posts = posts.withColumn("_id", F.concat_ws(":", id_partition("tid").cast("string"), "tid"))
-    return posts.select(*POST_COLUMNS)
+    return posts.withColumn("_id", F.concat_ws(":", id_partition("tid").cast("string"), "tid"))
 
 
 def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode="regex") -> DataFrame:
@@ -127,20 +131,28 @@ def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode
     A post whose ``_id`` is stored already, or that comes again in the dump, is a conflict and is not
     stored; the first by date and then by its fields stays. Returns the conflicts: ``_id, rejected``.
 
-    Cleaned posts are written down once. Stored ids are looked up through the store's key index, which
-    reads the files that may hold one of the new ids, and is brought up to date at the end.
+    Posts are written down once. Stored ids are looked up through the store's key index, which
+    reads the files that may hold one of the new ids, and is brought up to date at the end. Where no step empties a
+    text, content, language and score are made only for posts that may be stored.
     """
-    posts = ingest_posts(read_post_lines(spark, path), enrichers, geo_only, mode)
-    partition = F.substring_index("_id", ":", 1).cast("int")
-    posts = posts.withColumn("partition", partition)
+    lines, partition = read_post_lines(spark, path), F.substring_index("_id", ":", 1).cast("int")
+    if enrichers.keeps_text:
+        posts = located_posts(lines, enrichers, geo_only, mode)
+
+        def finish(df):
+            return enrich(df, enrichers).select(*POST_COLUMNS).withColumn("partition", partition)
+    else:
+        posts, finish = ingest_posts(lines, enrichers, geo_only, mode), None
+    posts = posts.drop(ROW).withColumn("partition", partition)
     # An empty store, so that the first dump can look for stored ids.
-    posts.limit(0).write.mode("ignore").partitionBy("partition").parquet(store)
+    made = posts if finish is None else finish(posts.limit(0))
+    made.limit(0).write.mode("ignore").partitionBy("partition").parquet(store)
     index = KeyIndex(spark, store)
 
     def known(ids):
         return index.known(ids.select("_id", partition.alias("partition")))
 
-    inserted, conflicts = bulk_insert(None, posts, "date", known=known)
+    inserted, conflicts = bulk_insert(None, posts, "date", known=known, finish=finish)
     write_batched(inserted.drop("version"), store, partition_by=["partition"])
     index.update()
     return conflicts

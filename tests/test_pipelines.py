@@ -152,6 +152,32 @@ def test_ingest_twice_stores_each_id_once(spark, steps, tmp_path):
     assert back.count() == back.select("_id").distinct().count() == 3
 
 
+def test_stored_and_repeated_posts_are_not_enriched_again(spark, steps, tmp_path):
+    from dataclasses import replace
+
+    store, seen = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+
+    def counted(df, text, key, out):
+        @F.udf("string")
+        def count(x):
+            seen.add(1)
+            return x
+
+        return steps.normaliser(df.withColumn(text, count(text)), text, key, out)
+
+    counting = replace(steps, normaliser=counted)
+    # Copies that differ are compared by what they become.
+    other = line("100000000000001", "bad cats", "Middle Park, Victoria")
+    for name, lines, runs in (("a", LINES * 2 + [other], 4), ("b", [*LINES, other], 0)):
+        path, before = tmp_path / f"{name}.json", seen.value
+        path.write_text("\n".join(lines))
+        rejected = {r._id[2:]: r.rejected for r in ingest_job(spark, str(path), store, counting).collect()}
+        assert seen.value - before == runs
+    assert rejected == {"100000000000001": 2, "100000000000005": 1, "100000000000007": 1}
+    back = {r.tid: r.content for r in spark.read.parquet(store).collect()}
+    assert back == {"100000000000001": "bad cats", "100000000000005": "he said \\", "100000000000007": "bad place is missing"}
+
+
 def test_poison_references_do_not_end_the_harvest(spark, steps, tmp_path):
     drop(tmp_path / "in", "1.json", [status("AU", 2, "<p>good &#9999999; &#xD800;&#0000000065;</p>")])
     stream = harvest.harvest_stream(spark, str(tmp_path / "in"))
