@@ -63,13 +63,16 @@ def literal_numbers(values, kind):
 
 def rarity(df: DataFrame, text="text"):
     """A constant array of ``BUCKETS`` classes: three times the logarithm of how many words fall there."""
-    # Text before the first word or after the last gives an empty word, which counts for nothing.
-    word = df.select(F.explode(word_array(F.replace(F.lower(F.col(text)), F.lit("\n"), F.lit(" ")))).alias("word"))
+    # Text before the first word or after the last gives an empty word, which counts for nothing. Arrays of the words of
+    # a line are cut and taken apart in half the time that those of whole texts take.
+    line = df.select(F.explode(F.split(F.lower(F.col(text)), "\n")).alias("line"))
+    word = line.select(F.explode(word_array(F.col("line"))).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
     counts = word.groupBy(bucket).count()
     classes = [0] * BUCKETS
     for b, level in counts.select("bucket", F.floor(3 * F.log2(F.col("count") + 1)).cast("int")).collect():
-        classes[b] = level << 56
+        classes[b] = level
+    # Small numbers: the driver holds this constant once for each plan that names it.
     return literal_numbers(classes, "bigint")
 
 
@@ -101,7 +104,7 @@ def line_sets(df: DataFrame, levels, key="doc_id", text="text") -> DataFrame:
 
     def ranked(h):
         level = F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return level.bitwiseOR(h.bitwiseAND(F.lit(HASH_BITS)))
+        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit(HASH_BITS)))
 
     n = F.size("h")
     # At three words or fewer only equal sets are similar, and one word of them finds those.
@@ -124,12 +127,18 @@ def line_sets(df: DataFrame, levels, key="doc_id", text="text") -> DataFrame:
 def may_match(a: str, b: str):
     """Whether lengths and parity bits leave room for similarity 0.8 (4/9 of the sum in common)."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (bits_apart(a, b) <= na + nb - 2 * common_of(na, nb))
+
+
+def bits_apart(a: str, b: str):
+    """In how many words two sets differ at least."""
     apart = [F.bit_count(F.col(f"{a}.bits{i}").bitwiseXOR(F.col(f"{b}.bits{i}"))) for i in (0, 1)]
-    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (apart[0] + apart[1] <= na + nb - 2 * common_needed(a, b))
+    return apart[0] + apart[1]
 
 
-def common_needed(a: str, b: str):
-    return F.expr(f"(4 * ({a}.n + {b}.n) + 8) div 9")
+def common_of(na, nb):
+    """How many words sets of these sizes have in common at least if they are similar."""
+    return F.floor((4 * (na + nb) + 8) / 9)
 
 
 def later(a: str, b: str):
@@ -157,43 +166,54 @@ def pairs_with_first(sets: DataFrame):
 def pairs_by_prefix(sets: DataFrame) -> DataFrame:
     """Pairs ``line_hash, earlier`` of lines not ``done`` with earlier ones that the filters let through.
 
-    Each posting is a token and a few numbers. Both sides of the join are the same postings, shuffled
-    once: every condition speaks of both sides, so none moves below the exchange.
+    Each posting is a token and what the filters need. Both sides of the join are the same postings, shuffled
+    once: every condition speaks of both sides, so none moves below the exchange. Which line of a pair stands later
+    is asked of the few pairs that are left, so postings do not carry places.
     """
-    posted = sets.select(*SHORT, "done", F.posexplode("prefix").alias("pos", "token"))
-    ahead = F.least(F.col("a.pos"), F.col("b.pos")) + 1
-    behind = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
-    late = later("a", "b")
+    posted = sets.select("line_hash", "n", "bits0", "bits1", "done", F.posexplode("prefix").alias("pos", "token"))
+    # Length and place share a number with the mark.
+    n, pos, done = F.col("n").cast("bigint"), F.col("pos").cast("bigint"), F.col("done").cast("bigint")
+    meta = F.shiftleft(n, 32).bitwiseOR(F.shiftleft(pos, 1)).bitwiseOR(done).alias("meta")
+    posted = posted.select("token", "line_hash", meta, "bits0", "bits1")
+    (na, pa, da), (nb, pb, db) = [
+        (F.shiftright(m, 32), F.shiftright(m.bitwiseAND(F.lit(0xFFFFFFFF)), 1), m.bitwiseAND(F.lit(1))) for m in (F.col("a.meta"), F.col("b.meta"))
+    ]
+    needed = common_of(na, nb)
+    ahead, behind = F.least(pa, pb) + 1, F.least(na - pa, nb - pb) - 1
+    # Most pairs go by their parity bits.
     same = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.line_hash") < F.col("b.line_hash"))
-        & ~F.when(late, F.col("a.done")).otherwise(F.col("b.done"))
-        & may_match("a", "b")
-        & (ahead + behind >= common_needed("a", "b"))
+        & (bits_apart("a", "b") <= na + nb - 2 * needed)
+        & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb))
+        & (ahead + behind >= needed)
+        & (da.bitwiseAND(db) == 0)
+    )
+    met = posted.alias("a").join(posted.alias("b"), same).select(F.col("a.line_hash").alias("x"), F.col("b.line_hash").alias("y"))
+    met, place = met.distinct(), sets.select("line_hash", "doc_id", "line_no", "done")
+    met = met.join(place.alias("a"), F.col("x") == F.col("a.line_hash")).join(place.alias("b"), F.col("y") == F.col("b.line_hash"))
+    late = later("a", "b")
+    return met.where(~F.when(late, F.col("a.done")).otherwise(F.col("b.done"))).select(
+        F.when(late, F.col("x")).otherwise(F.col("y")).alias("line_hash"),
+        F.when(late, F.col("y")).otherwise(F.col("x")).alias("earlier"),
     )
-    return posted.alias("a").join(posted.alias("b"), same).select(
-        F.when(late, F.col("a.line_hash")).otherwise(F.col("b.line_hash")).alias("line_hash"),
-        F.when(late, F.col("b.line_hash")).otherwise(F.col("a.line_hash")).alias("earlier"),
-    ).distinct()
 
 
 def bit_filter(keys: DataFrame, column: str):
-    """A test of fixed size that all values of ``column`` pass, and few others while they are few."""
+    """A test of fixed size that all values of ``column`` pass, and few others while they are few: a function that takes
+    rows and a value of theirs, and gives the rows that pass or, with ``passing=False``, the others."""
     place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    word = keys.select(F.shiftright(place, 6).cast("int").alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    rows = word.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
-    table = [0] * (FILTER_BITS // 64)
-    for w, bits in rows:
-        table[w] = bits
-    table = literal_numbers(table, "bigint")
-
-    def test(value):
+    word = keys.select(F.shiftright(place, 6).cast("int").alias("_word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    # At most FILTER_BITS / 64 rows, which meet the others as a table: as a constant they would stand in every plan.
+    table = F.broadcast(word.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_bits")))
+
+    def rows(df, value, passing=True):
         at = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
-        found = F.element_at(table, (F.shiftright(at, 6) + 1).cast("int"))
-        shifted = F.call_function("shiftright", found, at.bitwiseAND(F.lit(63)).cast("int"))
-        return shifted.bitwiseAND(F.lit(1)) == 1
+        shifted = F.call_function("shiftright", table["_bits"], at.bitwiseAND(F.lit(63)).cast("int"))
+        hit = (F.shiftright(at, 6).cast("int") == table["_word"]) & (shifted.bitwiseAND(F.lit(1)) == 1)
+        return df.join(table, hit, "left_semi" if passing else "left_anti")
 
-    return test
+    return rows
 
 
 def similar(df: DataFrame, sets: DataFrame, pairs: DataFrame, key="doc_id", text="text") -> DataFrame:
@@ -203,8 +223,7 @@ def similar(df: DataFrame, sets: DataFrame, pairs: DataFrame, key="doc_id", text
     """
     needed = pairs.select("line_hash").unionByName(pairs.select(F.col("earlier").alias("line_hash"))).distinct()
     needed = written(needed.join(sets.select("line_hash", "doc_id", "line_no", "doc_hash"), "line_hash"), "line-needed")
-    passes = bit_filter(needed, "doc_hash")
-    lines = lines_of(df.where(passes(F.xxhash64(F.col(text)))), key, text)
+    lines = lines_of(bit_filter(needed, "doc_hash")(df, F.xxhash64(F.col(text))), key, text)
     at = F.expr("l.line_hash = w.line_hash AND l.line_no = w.line_no AND l.doc_hash = w.doc_hash AND l.doc_id <=> w.doc_id")
     found = lines.alias("l").join(needed.alias("w"), at, "left_semi").groupBy("line_hash").agg(F.first("line").alias("line"))
     words_of = written(found.select("line_hash", word_hashes(F.col("line")).alias("h")), "line-words")
@@ -260,12 +279,11 @@ def without_lines(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     """
     gone = removed_lines(df, key, text)
     names = df.columns
-    passes = bit_filter(gone, "doc_hash")
+    hit = bit_filter(gone, "doc_hash")
     rows = df.select(*[F.col(c).alias(f"kept_{c}") for c in names], F.xxhash64(F.col(text)).alias("hash"))
     # Documents that surely lose nothing need not meet the others.
-    hit = passes(F.col("hash"))
     same = F.expr(f"r.`kept_{key}` <=> g.doc_id AND r.hash = g.doc_hash")
-    changed = rows.where(hit).alias("r").join(gone.alias("g"), same, "left")
+    changed = hit(rows, F.col("hash")).alias("r").join(gone.alias("g"), same, "left")
     kept = let(
         F.split(F.col(f"kept_{text}"), "\n"),
         lambda lines: F.array_join(F.filter(lines, lambda s, i: ~F.array_contains("g.removed", i)), "\n"),
@@ -281,5 +299,5 @@ def without_lines(df: DataFrame, key="doc_id", text="text") -> DataFrame:
             return F.length(value).cast(df.schema[c].dataType).alias(c)
         return F.col(f"kept_{c}").alias(c)
 
-    whole = rows.where(~hit).select(*[F.col(f"kept_{c}").alias(c) for c in names])
+    whole = hit(rows, F.col("hash"), passing=False).select(*[F.col(f"kept_{c}").alias(c) for c in names])
     return changed.select(*[column(c, F.col("__new")) for c in names]).unionByName(whole)

@@ -210,7 +210,7 @@ def similar(df: DataFrame, described: DataFrame, pairs: DataFrame, key, text) ->
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     needed = written(described.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "near-needed")
     rows = keyed_text(df, key, text)
-    rows = rows.where(bit_filter(needed, "doc_id")(F.col("doc_id")))
+    rows = bit_filter(needed, "doc_id")(rows, F.col("doc_id"))
 
     def run(batches):
         tool = Sketcher(SHINGLE, 0)

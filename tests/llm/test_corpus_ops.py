@@ -159,6 +159,27 @@ def test_large_near_copy_groups_of_lines(docs):
     assert got == dict(brute_lines(enumerate(texts)))
 
 
+def test_constants_of_lines_are_short(docs):
+    """A constant stands in every plan that names it; 20 digits for each counter took much of the driver's memory."""
+    levels = line_dedup.rarity(docs(["the cat sat", "the dog", None]))
+    assert len(str(levels)) < 4 * line_dedup.BUCKETS
+    df = docs([f"text {i}" for i in range(50)])
+    rows = line_dedup.bit_filter(df.where("doc_id < 20"), "doc_id")
+    passing = {r.doc_id for r in rows(df, F.col("doc_id")).collect()}
+    others = {r.doc_id for r in rows(df, F.col("doc_id"), passing=False).collect()}
+    assert set(range(20)) <= passing and not passing & others and passing | others == set(range(50))
+
+
+def test_postings_carry_what_filters_need(docs):
+    """Places are asked of the pairs that are left; postings with them took half as much again."""
+    df = docs(["a b c d e f g h", "a b c d e f g h i", "x y"])
+    sets = line_dedup.line_sets(df, line_dedup.rarity(df)).withColumn("done", F.lit(False))
+    plan = line_dedup.pairs_by_prefix(sets)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = [i for i, line in enumerate(plan) if "Generate posexplode(prefix" in line]
+    posted = [next(line for line in reversed(plan[:i]) if "Project [" in line) for i in at]
+    assert posted and all("token" in line and "doc_id" not in line for line in posted)
+
+
 # --- sketches --------------------------------------------------------------------------------
 def test_sketches_of_edited_texts(docs, odd_texts):
     texts = odd_texts + ["tail words here and there " * 20]
