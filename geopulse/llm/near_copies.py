@@ -37,7 +37,7 @@ BUCKETS = 1 << 16
 PARTS = 16
 # Postings or hashes in one batch.
 STEP = 1 << 18
-# Bits of a set's parity vector: bit i is the parity of how many members name it.
+# Bits of a set's parity vector at most: bit i is the parity of how many members name it.
 PARITY = 2048
 
 
@@ -50,8 +50,13 @@ def class_of(hashes: np.ndarray) -> int:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """The parity vector of a set as 64-bit words. Two sets differ in at least as many members as bits."""
-    counts = np.bincount((hashes >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    """The parity vector of a set as 64-bit words. Two sets differ in at least as many members as bits.
+
+    It has as many bits as the set has members, up to a power of two from 64 to ``PARITY``: unrelated sets then
+    differ in half of them, similar ones in two ninths. Its two halves xor-ed are the vector of half as many bits.
+    """
+    width = min(PARITY, max(64, 1 << (len(hashes) - 1).bit_length()))
+    counts = np.bincount((hashes >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
@@ -192,10 +197,18 @@ def pairs_apart(met: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def may_be_similar(described: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose parity vectors leave room for similarity 0.8."""
+    """The pairs whose sizes and parity vectors leave room for similarity 0.8."""
     signs = described.groupBy("cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
     both = pairs.join(signs.toDF("a", "na", "x"), "a").join(signs.toDF("b", "nb", "y"), "b")
-    bits = F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    # Of sizes that near, one vector is at most twice as long as the other.
+    both = both.where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    width = F.least(F.size("x"), F.size("y"))
+
+    def folded(v):
+        halves = F.zip_with(F.slice(v, 1, width), F.slice(v, width + 1, width), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(v) > width, halves).otherwise(F.col(v))
+
+    bits = F.zip_with(folded("x"), folded("y"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
     return both.where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b")
 
@@ -263,8 +276,11 @@ def one_of_each(df: DataFrame, key="doc_id", text="text") -> DataFrame:
     found = grouped(df, key, text)
     order = F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "text_hash")
     stay = found.groupBy("root").agg(F.min(order).alias("row")).select("row.doc_id", "row.text_hash")
-    own_key, own_hash = fresh(df, "stay_key"), fresh(df, "stay_hash")
-    stay = written(stay.toDF(own_key, "text_hash"), "near-stay")
-    marked = df.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = F.col(key).eqNullSafe(stay[own_key]) & (F.col(own_hash) == stay["text_hash"])
-    return marked.join(stay, same, "left_semi").dropDuplicates([key, own_hash]).drop(own_hash)
+    own = fresh(df, "stay_row")
+    stay = written(stay, "near-stay")
+    # Key and hash in one struct, where null equals null: the join and what drops repeated rows want the same
+    # partitions then, so texts are shuffled once.
+    marked = df.withColumn(own, F.struct(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")))
+    # Never null, which a table that is read does not know: a cast of either side's struct would cost the partitions.
+    stay = stay.select(F.struct("doc_id", F.coalesce("text_hash", F.lit(0).cast("bigint")).alias("text_hash")).alias(own))
+    return marked.join(stay, own, "left_semi").dropDuplicates([own]).drop(own)

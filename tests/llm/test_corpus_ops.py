@@ -180,6 +180,34 @@ def test_postings_carry_what_filters_need(docs):
     assert posted and all("token" in line and "doc_id" not in line for line in posted)
 
 
+def test_texts_of_kept_documents_are_shuffled_once(docs, spark):
+    """Of rows that repeat key and text, null or not, one stays; the join and dropping repeats share their partitions."""
+    rows = [(k, t, "en", "s", 1, *"xxxxxx") for k, t in [(1, "a b c"), (1, "a b c"), (None, "d e f"), (None, "d e f"), (2, None), (3, "")]]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_copies.one_of_each(docs(None, rows))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(1, "a b c"), (2, None), (None, "d e f")]
+
+
+def test_parity_vectors_follow_the_size():
+    random.seed(9)
+    for n, words in ((0, 1), (1, 1), (64, 1), (65, 2), (500, 8), (5000, 32)):
+        h = np.array(random.sample(range(1 << 62), n), np.uint64)
+        vector = near_copies.parity(h)
+        assert len(vector) == words
+        # A vector of half the bits is its two halves xor-ed.
+        if words > 1:
+            half = np.bincount((h >> np.uint64(20) & np.uint64(32 * words - 1)).astype(np.int64), minlength=32 * words) & 1
+            halves = np.unpackbits(vector.view(np.uint8)).reshape(2, -1)
+            assert (halves[0] ^ halves[1] == half).all()
+
+
 # --- sketches --------------------------------------------------------------------------------
 def test_sketches_of_edited_texts(docs, odd_texts):
     texts = odd_texts + ["tail words here and there " * 20]
