@@ -8,7 +8,7 @@ unless the operator says otherwise; a null key is a key like any other; repeated
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopulse.session import scratch_path
+from geopulse.session import free, written  # noqa: F401
 
 # White space of the word patterns, and a word: anything else.
 SPACE = "\x20\x09-\x0d"
@@ -47,26 +47,6 @@ def doc_fold(key, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, kept when executors are lost, and
-    of a size that later plans know."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def free(*tables: DataFrame) -> None:
-    """Remove tables made by :func:`written` that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "scratch", None)
-        if path is not None:
-            context = table.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

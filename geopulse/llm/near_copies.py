@@ -12,7 +12,8 @@ left to chance:
    ``simhash_trees.RADIUS`` bits of its SimHash fingerprint. Pairs are checked on the whole sets, and
    components over those that hold join most members of large groups without all their pairs. Pairs whose parity vectors
    differ too much are left out before (no similar pair is among them).
-4. Then all pairs that meet and are not in one component yet are checked the same way.
+4. Then all pairs that meet and are not in one component yet are checked the same way, those that meet at
+   enough shingles for their sizes: long texts that have a passage in common do not.
 
 Results for edge cases: null and empty texts and those without a word are one class. Texts of up to three
 shingles link only if their sets are equal. Repeated rows are equal. The least key of a group stays,
@@ -37,7 +38,7 @@ BUCKETS = 1 << 16
 PARTS = 16
 # Postings or hashes in one batch.
 STEP = 1 << 18
-# Bits of a set's parity vector at most: bit i is the parity of how many members name it.
+# Bits of a parity vector of bounded size at most.
 PARITY = 2048
 
 
@@ -49,13 +50,16 @@ def class_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
+def parity(hashes: np.ndarray, most=PARITY) -> np.ndarray:
     """The parity vector of a set as 64-bit words. Two sets differ in at least as many members as bits.
 
-    It has as many bits as the set has members, up to a power of two from 64 to ``PARITY``: unrelated sets then
-    differ in half of them, similar ones in two ninths. Its two halves xor-ed are the vector of half as many bits.
+    Bit i is the parity of how many members name it. It has as many bits as the set has members, up to a power of two
+    from 64 to ``most`` (None: no bound): unrelated sets then differ in two fifths of them at least, similar ones in
+    two ninths. Large sets of a bounded vector differ in less, whatever they are. Its two halves xor-ed are the
+    vector of half as many bits.
     """
-    width = min(PARITY, max(64, 1 << (len(hashes) - 1).bit_length()))
+    width = max(64, 1 << (len(hashes) - 1).bit_length())
+    width = width if most is None else min(most, width)
     counts = np.bincount((hashes >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
@@ -76,7 +80,7 @@ def described(df: DataFrame, key, text) -> DataFrame:
                 np.add.at(counts, h & np.uint64(BUCKETS - 1), 1)
                 classes.append(class_of(h))
                 sizes.append(len(h))
-                parities.append(parity(h))
+                parities.append(parity(h, None))
             fps = np.frombuffer(b"".join(map(simhash_trees.fingerprint, texts)), ">i8").astype(np.int64)
             none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
             columns = [batch.column(0), batch.column(2), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps), pa.array(parities, words), *none]
@@ -193,7 +197,18 @@ def pairs_apart(met: DataFrame, labels: DataFrame) -> DataFrame:
     met = written(met.join(mixed, "token", "left_semi"), "near-mixed")
     free(labelled)
     at = F.expr("a.token = b.token AND a.cls > b.cls AND a.label <> b.label") & may_match("a", "b")
-    return met.alias("a").join(met.alias("b"), at).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")), [met]
+    sizes = F.first("a.n").alias("na"), F.first("b.n").alias("nb"), F.count(F.lit(1)).alias("common")
+    both = met.alias("a").join(met.alias("b"), at).groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(*sizes)
+    return both.where(may_have_enough()).select("a", "b"), [met]
+
+
+def may_have_enough():
+    """Whether ``common`` shingles among the first ones of both sets leave room for similarity 0.8.
+
+    What two sets have in common beyond these comes after the first ones of one of them. A token where all have one
+    label is not among them, but there a pair of two labels does not meet.
+    """
+    return F.expr("common + greatest((4 * na + 4) div 5, (4 * nb + 4) div 5) - 1 >= (4 * (na + nb) + 8) div 9")
 
 
 def may_be_similar(described: DataFrame, pairs: DataFrame) -> DataFrame:

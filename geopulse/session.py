@@ -5,9 +5,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Spark's setting that shuffle files go with the query that wrote them.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name="geopulse", master=None, shuffle_partitions=None, **conf):
     """A session with the settings the jobs rely on (UTC, adaptive plans, skew splitting)."""
@@ -72,8 +76,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries that run inside leave no shuffle files: they go when a query ends, and not when the driver happens to
+    collect its garbage, until when those of all steps before lie on the disk."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, compressed, read by column."""
+    """The rows as a Parquet table in the shared folder: computed once, compressed, read by column, kept when executors
+    are lost, and of a size that later plans know. The shuffles that made it are gone. See :func:`free`."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`written` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "scratch", None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
