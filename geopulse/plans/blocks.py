@@ -1,9 +1,12 @@
 """Texts against a model too large for every task: blocks of texts meet the part of the model that they name.
 
-The rows are written down once, in blocks of at most ``2 ** BLOCK_BITS`` bytes of text. The distinct words of each block meet
+The rows are written down once with a number, which deals them to blocks of at most ``2 ** BLOCK_BITS`` bytes of text. The distinct words of each block meet
 the model in one join, and what it found comes back to the block as a dictionary, which serves all its
 texts in one task. So words are shuffled once for each block and not for each place where they stand, a text stays in one
 piece, and a word comes at most once per block, however frequent it is: no key is hot.
+
+Many texts are handled in up to ``SLICES`` slices of their files, one after the other. What a slice makes is written
+down; then its shuffles and its part of the rows go, so that the disk holds the shuffles of one slice.
 """
 
 import pyarrow as pa
@@ -11,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopulse.functions.batches import reader
-from geopulse.plans.skew import ROW, Dimension
-from geopulse.session import written
+from geopulse.plans.skew import ROW, Dimension, stored_rows
+from geopulse.session import free, scratch_of, scratch_path, shuffles_removed
+from geopulse.sources.files import Folder
 
 BLOCK, PLAIN = "_block", "_plain"
 BLOCK_BITS, ROWS_BITS = 23, 12
+# Bytes of files of a slice at least, and slices at most: each of them reads the model.
+SLICE_BYTES, SLICES = 64 << 20, 8
 
 
 def block_of(row, text) -> Column:
@@ -31,16 +37,14 @@ def by_blocks(df: DataFrame, plain: Column, names, dimension: Dimension, key: st
     """``df`` with ``out``: what ``work(texts, found)`` makes of the texts ``plain`` of a block.
 
     ``names`` takes the blocks (``BLOCK``, ``PLAIN``) to the distinct ``key`` values of each; ``found`` is the Arrow table of
-    the model's rows with these keys. It goes row by row and needs no key of the rows.
+    the model's rows with these keys. It goes row by row and needs no key of the rows. A table that :func:`hand_over` has marked is
+    removed slice by slice.
     """
     columns = df.columns + ([] if out in df.columns else [out])
-    rows = df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
-    rows = rows.withColumn(PLAIN, plain).drop(out)
-    rows = written(rows.withColumn(BLOCK, block_of(ROW, PLAIN)), "blocks")
-    named = names(rows.select(BLOCK, PLAIN)).select(BLOCK, key).distinct()
+    rows = stored_rows(df)
+    owned = rows is not df or vars(df).get("handed", False)
     model = F.broadcast(dimension.frame) if dimension.small else dimension.frame
-    found = named.withColumnRenamed(BLOCK, "_of").join(model, key)
-    kept, read = [c for c in rows.columns if c not in (BLOCK, PLAIN)], reader()
+    kept, read = [c for c in rows.columns if c != out], reader()
     arrow = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[kind]
 
     def meet(texts: pa.Table, part: pa.Table) -> pa.Table:
@@ -49,9 +53,45 @@ def by_blocks(df: DataFrame, plain: Column, names, dimension: Dimension, key: st
         made = made if kind != "double" else [None if x is None else float(x) for x in made]
         return texts.select(kept).append_column(out, pa.array(made, arrow))
 
-    schema = rows.select(*kept, F.lit(None).cast(kind).alias(out)).schema
-    done = rows.groupBy(BLOCK).cogroup(found.groupBy("_of")).applyInArrow(meet, schema)
-    return done.select(*columns)
+    def met(part: DataFrame) -> DataFrame:
+        blocks = part.withColumn(PLAIN, plain).drop(out).withColumn(BLOCK, block_of(ROW, PLAIN))
+        named = names(blocks.select(BLOCK, PLAIN)).select(BLOCK, key).distinct()
+        found = named.withColumnRenamed(BLOCK, "_of").join(model, key)
+        schema = blocks.select(*kept, F.lit(None).cast(kind).alias(out)).schema
+        return blocks.groupBy(BLOCK).cogroup(found.groupBy("_of")).applyInArrow(meet, schema).select(*columns)
+
+    place = scratch_of(rows)
+    spark, folder = df.sparkSession, Folder(df.sparkSession, place)
+    slices = slices_of(folder.sizes())
+    if len(slices) < 2:
+        return met(rows)
+    path = scratch_path(spark, "rows")
+    for files in slices:
+        part = spark.read.schema(rows.schema).parquet(*[f"{place}/{name}" for name in files])
+        done = met(part)
+        with shuffles_removed(spark):
+            done.write.mode("append").parquet(path)
+        if owned:
+            for name in files:
+                folder.delete(name)
+    if owned:
+        free(rows)
+    result = spark.read.schema(done.schema).parquet(path)
+    result.scratch = path
+    return result
+
+
+def hand_over(table: DataFrame) -> DataFrame:
+    """A table that nothing reads any more but what it is given to."""
+    table.handed = True
+    return table
+
+
+def slices_of(sizes: dict[str, int]) -> list[list[str]]:
+    """Files of at least ``SLICE_BYTES`` in each slice but for one of all; a block may lie in two, which costs its words twice."""
+    n = min(SLICES, sum(sizes.values()) // SLICE_BYTES, len(sizes))
+    order = sorted(sizes, key=sizes.get, reverse=True)
+    return [order[i::n] for i in range(n)] if n > 1 else [order]
 
 
 def with_dictionary(work, key: str, value: str):

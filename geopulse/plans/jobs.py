@@ -38,11 +38,12 @@ from geopulse.operators.official import correlations, count_bands, describe5, dr
 from geopulse.operators.regions import join_regions, metric_layers, region_metrics
 from geopulse.operators.sentiment import Normaliser, Scorer
 from geopulse.operators.views import topic_views
-from geopulse.plans.skew import ROW, with_row_id
+from geopulse.plans.blocks import hand_over
+from geopulse.plans.skew import ROW, stored_rows, with_row_id
 from geopulse.schemas import POST_COLUMNS
 from geopulse.sources.posts import extract_fields, read_post_lines
 from geopulse.sources.sinks import save_gazetteer, write_batched
-from geopulse.session import checkpointed
+from geopulse.session import checkpointed, free
 from geopulse.sources.tables import read_place_dict
 
 # A step takes posts, the text column, the row key and the output column, and adds that column.
@@ -56,7 +57,8 @@ class Enrichers:
     ``keeps_text`` says that the normaliser never empties a text that is not blank. The job then
     leaves out its test for empty content, which would run the normaliser a second time, as
     filters are moved below the columns they look at. ``joins`` says that a step joins its model:
-    the posts are then written down once, with a number for each, before the steps.
+    the posts are then written down with a number for each before every step. A step may remove the table that it
+    gets, if its result does not read it.
     """
 
     normaliser: Step
@@ -84,13 +86,23 @@ class Enrichers:
         return cls(normaliser.normalise, detect, scorer.score, resolver, keeps, joins)
 
 
-def enrich(df: DataFrame, enrichers: Enrichers, text="text", row_key=("tid",)) -> DataFrame:
-    """Content, language and nine-point score of posts with a stripped ``text``."""
-    key = list(row_key)
-    out = with_row_id(df) if enrichers.joins else df
-    out = enrichers.normaliser(out, text, key, "content")
-    out = enrichers.detector(out, "content", key, "lang")
-    out = enrichers.scorer(out, "content", key, "_compound")
+def enrich(df: DataFrame, enrichers: Enrichers, text="text", row_key=("tid",), keep_text=True) -> DataFrame:
+    """Content, language and nine-point score of posts with a stripped ``text``.
+
+    Where a step joins, each step gets a table, which goes when the next one is written. ``keep_text=False`` says that
+    the text is not needed any more: these tables then have no text beside its content.
+    """
+    key, out, table = list(row_key), df, None
+    if enrichers.joins and not keep_text:
+        out, text = df.withColumnRenamed(text, "content"), "content"
+    steps = [(enrichers.normaliser, text, "content"), (enrichers.detector, "content", "lang"), (enrichers.scorer, "content", "_compound")]
+    for step, source, name in steps:
+        if enrichers.joins:
+            rows = stored_rows(out)
+            if table is not None and table is not rows:
+                free(table)
+            out, table = rows, hand_over(rows) if rows is not df else None
+        out = step(out, source, key, name)
     return out.withColumn("score", score_bin("_compound")).drop("_compound", ROW)
 
 
@@ -100,14 +112,21 @@ def ingest_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="r
     Cheap filters come first: ids, missing text, and for ``geo_only`` missing places. With models
     of normal size the whole job is one map stage.
     """
-    posts = enrich(located_posts(lines, enrichers, geo_only, mode), enrichers)
+    located = located_posts(lines, enrichers, geo_only, mode)
+    posts = enrich(located, enrichers, keep_text=False)
+    if enrichers.joins:
+        # The steps have tables of their own.
+        free(*located.reads)
     if not enrichers.keeps_text:
         posts = require(posts, ["content"])
     return posts.select(*POST_COLUMNS)
 
 
 def located_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="regex") -> DataFrame:
-    """Posts from raw lines with ``_id``, stripped text and region, after all filters but that of empty content."""
+    """Posts from raw lines with ``_id``, stripped text and region, after all filters but that of empty content.
+
+    The attribute ``reads`` of the frame lists the tables that were written for it.
+    """
     posts = valid_id(extract_fields(lines, mode)).where(F.col("text").isNotNull())
     posts = require(posts, ["author", "date"])
     if geo_only:
@@ -116,13 +135,17 @@ def located_posts(lines: DataFrame, enrichers: Enrichers, geo_only=False, mode="
     posts = computed_once(posts, strip_social("text").alias("text"), keep=others)
     posts = posts.where(F.rlike("text", F.lit(rf"[^{SPACE}]")))
     posts = posts.withColumn("_place", normalise_location(F.lower("location")))
+    reads = []
     if enrichers.joins:
         posts = with_row_id(posts)
+        reads.append(posts)
     posts = enrichers.resolver.resolve(posts, "_place", ["tid"], "_match")
     posts = posts.withColumn("sal", F.col("_match.sal")).drop("_match", "_place")
     if geo_only:
         posts = require(posts, ["sal"])
-    return posts.withColumn("_id", F.concat_ws(":", id_partition("tid").cast("string"), "tid"))
+    posts = posts.withColumn("_id", F.concat_ws(":", id_partition("tid").cast("string"), "tid"))
+    posts.reads = reads
+    return posts
 
 
 def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode="regex") -> DataFrame:
@@ -135,12 +158,13 @@ def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode
     reads the files that may hold one of the new ids, and is brought up to date at the end. Where no step empties a
     text, content, language and score are made only for posts that may be stored.
     """
-    lines, partition = read_post_lines(spark, path), F.substring_index("_id", ":", 1).cast("int")
+    lines, reads, partition = read_post_lines(spark, path), [], F.substring_index("_id", ":", 1).cast("int")
     if enrichers.keeps_text:
         posts = located_posts(lines, enrichers, geo_only, mode)
+        reads = posts.reads
 
         def finish(df):
-            return enrich(df, enrichers).select(*POST_COLUMNS).withColumn("partition", partition)
+            return enrich(df, enrichers, keep_text=False).select(*POST_COLUMNS).withColumn("partition", partition)
     else:
         posts, finish = ingest_posts(lines, enrichers, geo_only, mode), None
     posts = posts.drop(ROW).withColumn("partition", partition)
@@ -155,6 +179,7 @@ def ingest_job(spark: SparkSession, path, store, enrichers, geo_only=False, mode
     inserted, conflicts = bulk_insert(None, posts, "date", known=known, finish=finish)
     write_batched(inserted.drop("version"), store, partition_by=["partition"])
     index.update()
+    free(*reads)
     return conflicts
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopulse.session import checkpointed
+from geopulse.session import checkpointed, scratch_of, written
 
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -50,7 +50,12 @@ def with_row_id(df: DataFrame) -> DataFrame:
     """
     if ROW in df.columns:
         return df
-    return checkpointed(df.withColumn(ROW, F.monotonically_increasing_id()))
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def stored_rows(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own as a table; one that is such a table stays as it is."""
+    return with_row_id(df) if ROW not in df.columns or scratch_of(df) else written(df, "rows")
 
 
 def hot_keys(df: DataFrame, key: str, fraction=HOT_FRACTION) -> DataFrame:

@@ -49,7 +49,9 @@ def post_lines(t):
     """The lines as a text dump with a header and a footer line."""
     path = scratch_path(t.spark, "posts")
     head = literal_table(t.spark, ["('{\"total_rows\":0,\"offset\":0,\"rows\":[')", "(']}')"], ["value"])
-    post_line(t).unionAll(head).write.text(path)
+    # Files that cannot be split, so each is a small one.
+    lines = post_line(t).unionAll(head).write.option("compression", "gzip").option("maxRecordsPerFile", 10_000)
+    lines.text(path)
     return post_source.read_post_lines(t.spark, path)
 
 

@@ -71,9 +71,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in storage that outlives an executor."""
+    """Compute once and cut the lineage, in storage that outlives an executor. The shuffles that made it are gone."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_removed(df.sparkSession):
+        # A frame of its own, whose query is made here.
+        return df.select("*").checkpoint()
 
 
 @contextmanager
@@ -102,10 +104,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch_of(table: DataFrame):
+    """The folder of a table made by :func:`written`; None of other frames, also of those with such a column."""
+    return vars(table).get("scratch")
+
+
 def free(*tables: DataFrame) -> None:
     """Remove tables made by :func:`written` that nothing reads any more."""
     for table in tables:
-        path = getattr(table, "scratch", None)
+        path = scratch_of(table)
         if path is not None:
             context = table.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)

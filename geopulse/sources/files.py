@@ -20,6 +20,11 @@ class Folder:
             return []
         return sorted(s.getPath().getName() for s in self._files.listStatus(self._at(below)))
 
+    def sizes(self) -> dict[str, int]:
+        """Bytes of the files of the folder but for those that readers of tables skip."""
+        found = {s.getPath().getName(): s.getLen() for s in self._files.listStatus(self._at(""))}
+        return {name: size for name, size in found.items() if not name.startswith(("_", "."))}
+
     def read(self, name: str) -> str:
         source = self._files.open(self._at(name))
         try:
